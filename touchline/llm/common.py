@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +73,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x ^= x >> np.uint64(shift)
         x *= np.uint64(multiplier)
     return x ^ (x >> np.uint64(32))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables that hold only whole groups, from batches that are sorted by keys."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        columns = [now.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        tail = tuple(c[-1] for c in columns)
+        other = np.zeros(len(now), bool)
+        for c, t in zip(columns, tail):
+            other |= c != t
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut or (last is not None and tail != last):
+            yield pa.concat_tables([*held, now.slice(0, cut)]).combine_chunks()
+            held = []
+        held.append(now.slice(cut))
+        last = tail
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where the groups of a sorted table begin, and its length at the end."""
+    new = np.zeros(len(table), bool)
+    new[:1] = True
+    for k in keys:
+        c = table.column(k).to_numpy(zero_copy_only=False)
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), len(table))
+
+
+class WordCodes(dict):
+    """63-bit hashes of words, remembered; forget() keeps the memory bounded."""
+
+    MOST = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = xxhash.xxh3_64_intdigest(word) >> 1
+        return code
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words)).view(np.uint64)
+
+    def forget(self) -> None:
+        if len(self) > self.MOST:
+            self.clear()
