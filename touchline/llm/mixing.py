@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .select import first_until, unit_interval
+from .select import first_until, join_group, unit_interval
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source and no document is taken more often than this.
@@ -69,8 +69,8 @@ def mix(
     sizes = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), extra[0].alias("importance")))
     targets = source_targets(sizes, weights, max_copies)
     mean = sizes.groupBy("source").agg(F.try_divide(F.sum(F.col("importance") * F.col("size")), F.sum("size").cast("double")).alias("mean"))
-    targets = targets.join(mean, targets["source"].eqNullSafe(mean["source"])).drop(mean["source"])
-    keyed = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    targets = targets.join(mean, targets["source"].eqNullSafe(mean["source"])).drop(mean["source"]).withColumnRenamed("source", "of")
+    keyed = join_group(sizes, targets, {"source": "of"}, "doc_id")
     expected = F.least(F.lit(float(max_copies)), F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)) * F.coalesce(F.try_divide("importance", "mean"), F.lit(0.0)))
     u = unit_interval(F.lit(seed), F.col("doc_id"))
     keyed = keyed.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("part", F.col("expected") - F.col("whole"))

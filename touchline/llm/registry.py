@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracle
 from .common import table
 from .decontaminate import contamination_report
+from .minhash import near_duplicates
 from .mixing import mix
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate documents: five-word shingles, similarity 0.85."""
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=5, percent=85)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in documents."""
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -22,5 +28,5 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op6_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op4_decontaminate, op6_mix_sources)}
 ORACLE_SQL = oracle.ORACLE_SQL

@@ -15,6 +15,18 @@ def unit_interval(*columns: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns), 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def join_group(rows: DataFrame, groups: DataFrame, names: dict[str, str], spread: str, salts: int = 64) -> DataFrame:
+    """rows with the columns of groups (one row per group), where rows' column equals groups' column
+    for each of names, nulls included. Each group is dealt over `salts` keys by a hash of `spread`,
+    so a group that holds a third of the rows is no task of its own."""
+    left = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = groups.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    condition = F.col("__salt") == F.col("__copy")
+    for mine, other in names.items():
+        condition &= F.col(mine).eqNullSafe(F.col(other))
+    return left.join(right, condition, "left").drop("__salt", "__copy", *names.values())
+
+
 def first_until(rows: DataFrame, group: list[str], rank: str, size: str, limit: DataFrame, limit_column: str, ties: list[str], out: str) -> DataFrame:
     """rows with a boolean column `out`: true for the rows of each group that come first by `rank`
     (a double in [0, 1], then `ties`) until their sizes come nearest to the group's limit.
@@ -29,16 +41,13 @@ def first_until(rows: DataFrame, group: list[str], rank: str, size: str, limit:
     running = W.partitionBy(*group).orderBy("__step").rowsBetween(W.unboundedPreceding, W.currentRow)
     limits = limit.select(*(F.col(c).alias(f"__l{i}") for i, c in enumerate(group)), F.col(limit_column).cast("double").alias("__limit"))
 
-    def same(names: list[str]) -> Column:
-        condition = F.lit(True)
-        for i, c in enumerate(group):
-            condition &= F.col(c).eqNullSafe(F.col(f"{names[i]}"))
-        return condition
-
     keys = [f"__l{i}" for i in range(len(group))]
+    same = F.lit(True)
+    for mine, other in zip(group, keys):
+        same &= F.col(mine).eqNullSafe(F.col(other))
     reached = (
         sums.withColumn("__through", F.sum("__sum").over(running))
-        .join(limits, same(keys))
+        .join(limits, same)
         .groupBy(*keys)
         .agg(
             F.first("__limit").alias("__limit"),
@@ -46,7 +55,7 @@ def first_until(rows: DataFrame, group: list[str], rank: str, size: str, limit:
             F.min(F.when(F.col("__through") > F.col("__limit"), F.struct("__step", (F.col("__through") - F.col("__sum")).alias("before")))).alias("__at"),
         )
     )
-    placed = stepped.join(reached, same(keys), "left").drop(*keys)
+    placed = join_group(stepped, reached, dict(zip(group, keys)), ties[0])
     edge = F.col("__step") == F.col("__at.__step")
     ordered = W.partitionBy(*group, "__step").orderBy(rank, *ties).rowsBetween(W.unboundedPreceding, W.currentRow)
     on_edge = placed.filter(edge).withColumn("__before", F.col("__at.before") + F.sum(size).over(ordered) - F.col(size))
