@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,16 @@ def get_session(app: str = "touchline", master: str | None = None, **conf: str)
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if not getattr(context, "_touchline_shipped", False):
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="touchline-")) / "touchline.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(target))
+        context._touchline_shipped = True
