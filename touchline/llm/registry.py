@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from touchline.session import ship_package
 
 from . import oracle
-from .common import table
+from .common import remainder, table
 from .decontaminate import contamination_report
+from .embeddings import near_duplicate_vectors
 from .minhash import near_duplicates
 from .mixing import mix
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +35,32 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op4_decontaminate, op6_mix_sources)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of documents, learned from labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), training=remainder("doc_id", 5) != 0)
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        (remainder("doc_id", 5) == 0).alias("held_out"),
+        F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("toxic_hits").alias("n_hits"),
+    )
+
+
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings linked at cosine 0.95."""
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op4_decontaminate, op6_mix_sources, op7_toxicity, op8_embeddings)}
 ORACLE_SQL = oracle.ORACLE_SQL
