@@ -152,8 +152,26 @@ def _stem_counts(sample: DataFrame, among: set[str] | None) -> DataFrame:
     return sample.select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def _chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Stems that mark toxic documents beyond chance, with their weights (log of the ratio of rates)."""
+def _context_counts(sample: DataFrame, among: set[str]) -> DataFrame:
+    """stem, n: different pairs of words around a word that begins so."""
+    held = sample.sparkSession.sparkContext.broadcast(among)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for text in batch.column("text").to_pylist():
+                words = ["", *fold(text).split(), ""]
+                for i, w in enumerate(words[1:-1], 1):
+                    seen.update((w[:n], f"{words[i - 1]} {words[i + 1]}") for n in STEM if n <= len(w) and w[:n] in held.value)
+            rows = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["stem", "around"])
+
+    return sample.select("text").mapInArrow(contexts, "stem string, around string").groupBy("stem").agg(F.count_distinct("around").alias("n"))
+
+
+def _chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, longest: bool = True, tried: int = 0) -> dict[str, float]:
+    """Stems that mark toxic documents beyond chance (of `tried` stems, or those given), with their
+    weights (log of the ratio of rates); with `longest`, one of those that begin alike."""
 
     def surprise(a: int, b: int) -> float:
         """Likelihood ratio statistic of a of n_toxic against b of n_clean."""
@@ -162,7 +180,7 @@ def _chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         return 2 * sum(o * math.log(o / e) for o, e in terms if o > 0 and e > 0)
 
     seeds = {fold(w).strip()[: STEM[-1]] for w in SEED_WORDS}
-    limit = 2 * math.log(1e4 * max(1, len(toxic)))
+    limit = 2 * math.log(1e4 * max(1, tried, len(toxic)))
     weights = {}
     for stem in set(toxic) | seeds:
         a, b = toxic.get(stem, 0), clean.get(stem, 0)
@@ -171,6 +189,8 @@ def _chosen(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
             weights[stem] = max(weight, SEED_WEIGHT)
         elif weight > math.log(10) and len(stem) > 3 and surprise(a, b) > limit:
             weights[stem] = weight
+    if not longest:
+        return weights
     # the longest stem that still has (nearly) all documents of a shorter one, and no longer ones that add nothing
     kept = {}
     for stem in sorted(weights, key=len):
@@ -215,9 +235,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column | None = N
     n_toxic, n_clean = (drawn.filter(F.col("label") == k).count() for k in (1, 0))
     seeds = {fold(w).strip()[: STEM[-1]] for w in SEED_WORDS}
     often = _stem_counts(drawn.filter("label = 1"), None).filter("n >= 3").orderBy(F.desc("n"), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
-    toxic = {r["stem"]: r["n"] for r in often.collect()}
+    toxic = often_counts = {r["stem"]: r["n"] for r in often.collect()}
     clean = {r["stem"]: r["n"] for r in _stem_counts(drawn.filter("label = 0"), set(toxic) | seeds).collect()}
-    model = ToxicityModel(_chosen(toxic, clean, n_toxic, n_clean))
+    # copies of one toxic document make all its words frequent: what counts is in how many places a stem stands
+    first = _chosen(toxic, clean, n_toxic, n_clean, longest=False)
+    places = {r["stem"]: r["n"] for r in _context_counts(drawn.filter("label = 1"), set(first)).collect()}
+    toxic = {s: min(n, places.get(s, 0)) for s, n in toxic.items() if s in first}
+    model = ToxicityModel(_chosen(toxic, clean, n_toxic, n_clean, tried=len(often_counts)))
     if n_toxic and n_clean:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
