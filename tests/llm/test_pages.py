@@ -1,0 +1,42 @@
+from touchline.llm import pages as p
+from touchline.llm.pages import best_path, blocks_of, extract, extract_pages, host_of
+
+LONG = "This is a sentence of the article that goes on for a while. " * 4
+
+
+def page(body, head="<title>T</title><style>p{}</style><script>var t='</p><p>no';</script>"):
+    return f"<!DOCTYPE html><html><head>{head}</head><body>{body}</body></html>"
+
+
+def test_surroundings_go_and_blocks_stay():
+    body = (
+        "<header><h1>Site</h1></header><nav><ul><li><a href='/'>Home</a></li></ul></nav><!-- <p>no</p> -->"
+        "<div class='cookie-notice'>We use cookies.</div><div class='ad'>Buy.</div>"
+        f"<article><header><h1>Title &amp;  more</h1><span>By me</span></header><p>One&nbsp;two\n three<br>four &lt;b&gt; A<b>B</b>C</p><p><b>Unclosed.<br><p>{LONG}</p>"
+        "<ul><li>x<li>y</ul><table><tr><td>1</td><td>2</td></tr></table><aside>side</aside><form>f<input></form><div hidden>h</div><blockquote>q 1 < 2</blockquote></article>"
+        "<section id='comments'><article class='comment'><p>" + "I disagree. " * 90 + "</p></article></section><footer>&copy; x</footer>"
+    )
+    text = extract(blocks_of(page(body)), None)
+    assert text.split("\n\n") == ["Title & more", "One two three four <b> ABC", "Unclosed.", LONG.strip(), "x", "y", "1 2", "q 1 < 2"]
+
+
+def test_headings_around_the_article():
+    body = f"<div class='wrap'><h1>Head</h1><div class='text7'><p>{LONG}</p><p>{LONG}</p></div></div><div><p>aside text</p></div>"
+    assert extract(blocks_of(page(body)), None) == "\n\n".join(["Head", LONG.strip(), LONG.strip()])
+    assert best_path(blocks_of(page("<nav>menu</nav>"))) is None
+    assert host_of("HTTPS://u@Ex.org:80/a") == "ex.org" and host_of(None) == "" and host_of("x") == ""
+
+
+def test_hosts_agree(spark, monkeypatch):
+    usual = lambda i: page(f"<div class='c{i}'><p>{LONG * 5}</p></div><div class='x'><p>short</p></div>")
+    odd = page(f"<div class='c9'><p>few words</p></div><div class='x'><p>{LONG * 9}</p></div>")
+    rows = [(i, "http://h.org/a", usual(i), "t") for i in range(6)] + [(10, "http://h.org/b", odd, "t"), (11, "http://other.org/b", odd, "t")]
+    rows += [(20, None, None, "t"), (21, "http://h.org", "", "t"), (22, "nohost", "just words", "t"), (22, "nohost", "just words", "t"), (23, "http://h.org/", "<p>" + "w " * 100_000, "t")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    for most in (10**5, 0):
+        monkeypatch.setattr(p, "BROADCAST_HOSTS", most)
+        got = {r["page_id"]: (r["text"], r["n_chars"]) for r in extract_pages(d).collect()}
+        assert got[10][0] == "few words" and got[11][0] == (LONG * 9).strip()
+        assert got[0][0] == (LONG * 5).strip() and got[20] == got[21] == ("", 0) and got[22] == ("just words", 10)
+        assert got[23][1] == 199_999
+    assert extract_pages(d).count() == len(rows) and extract_pages(d.limit(0)).count() == 0

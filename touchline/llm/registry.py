@@ -13,8 +13,10 @@ from . import oracle
 from .common import remainder, table
 from .decontaminate import contamination_report
 from .embeddings import near_duplicate_vectors
+from .language import fit_language, predict_language
 from .minhash import near_duplicates
 from .mixing import mix
+from .pages import extract_pages
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -53,6 +55,20 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of pages."""
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(docs.select("doc_id", "text", "lang"), training=remainder("doc_id", 4) != 2)
+    return predict_language(docs.select("doc_id", "text"), model).select(
+        "doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous")
+    )
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,5 +78,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op4_decontaminate, op6_mix_sources, op7_toxicity, op8_embeddings)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op4_decontaminate, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language)}
 ORACLE_SQL = oracle.ORACLE_SQL
