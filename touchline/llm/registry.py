@@ -14,9 +14,11 @@ from .common import remainder, table
 from .decontaminate import contamination_report
 from .embeddings import near_duplicate_vectors
 from .language import fit_language, predict_language
+from .lm import score_texts
 from .minhash import near_duplicates
 from .mixing import mix
 from .pages import extract_pages
+from .quality import resample
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -25,11 +27,21 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), ngram=5, percent=85)
 
 
+def op2_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of documents under the Pitman-Yor model of nine tenths of them."""
+    return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out=remainder("doc_id", 10) == 0)
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in documents."""
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents resampled towards those labelled as good."""
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents mixed to source weights 1, 2, 3."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), weights=(1.0, 2.0, 3.0)).select(
@@ -78,5 +90,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op4_decontaminate, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language)}
 ORACLE_SQL = oracle.ORACLE_SQL
