@@ -119,19 +119,26 @@ class LanguageModel:
         return names, np.clip(scores, 0, 1), ambiguous
 
 
-def _train_bits(x: np.ndarray, y: np.ndarray, steps: int = 300, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regressions of the columns of y (+1, -1) on x, by Adam on all rows, classes balanced."""
+def _train_bits(x: np.ndarray, y: np.ndarray, epochs: int = 20, size: int = 128, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions of the columns of y (+1, -1) on x, by Adam on small batches, classes balanced."""
+    rng = np.random.default_rng(3)
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     positive = (y > 0).mean(axis=0)
-    balance = np.where(y > 0, 0.5 / np.maximum(positive, 1e-9), 0.5 / np.maximum(1 - positive, 1e-9)) / len(x)
-    mean, square = np.zeros_like(w), np.zeros_like(w)
-    mean_b, square_b = np.zeros_like(b), np.zeros_like(b)
-    for step in range(1, steps + 1):
-        pull = -y * balance / (1 + np.exp(np.clip(y * (x @ w + b), -50, 50)))
-        for value, gradient, m, s in ((w, x.T @ pull + penalty * w, mean, square), (b, pull.sum(axis=0), mean_b, square_b)):
-            m += 0.1 * (gradient - m)
-            s += 0.001 * (gradient**2 - s)
-            value -= 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-9)
+    balance = np.where(y > 0, 0.5 / np.maximum(positive, 1e-9), 0.5 / np.maximum(1 - positive, 1e-9)).astype(np.float32)
+    state = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, b)]
+    step = 0
+    for epoch in range(epochs):
+        order = rng.permutation(len(x))
+        rate = 0.2 * (1 - epoch / epochs)
+        for at in range(0, len(x), size):
+            rows = order[at : at + size]
+            xs, ys = x[rows], y[rows]
+            pull = -ys * balance[rows] / (1 + np.exp(np.clip(ys * (xs @ w + b), -50, 50))) / len(rows)
+            step += 1
+            for value, gradient, (m, s) in zip((w, b), (xs.T @ pull + penalty * w, pull.sum(axis=0)), state):
+                m += 0.1 * (gradient - m)
+                s += 0.01 * (gradient**2 - s)
+                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
     return w, b
 
 

@@ -14,6 +14,7 @@ from .common import remainder, table
 from .decontaminate import contamination_report
 from .embeddings import near_duplicate_vectors
 from .language import fit_language, predict_language
+from .licences import fit_licences, scan_licences
 from .lm import score_texts
 from .minhash import near_duplicates
 from .mixing import mix
@@ -32,6 +33,12 @@ def op2_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out=remainder("doc_id", 10) == 0)
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of documents that state a licence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licences(docs, fit_licences(docs))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in documents."""
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
@@ -90,5 +97,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language)}
 ORACLE_SQL = oracle.ORACLE_SQL
