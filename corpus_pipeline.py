@@ -1,2 +1,73 @@
-"""From raw documents to a training mix, stage by stage."""
-STAGES = []
+"""From raw documents to a training mix: the operators of touchline.llm, one stage after the other.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each as Parquet and gives
+what it reads back to the next. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from touchline.llm.common import materialize, remainder, table
+from touchline.llm.decontaminate import remove_contamination
+from touchline.llm.language import UNKNOWN, fit_language, predict_language
+from touchline.llm.minhash import deduplicate
+from touchline.llm.mixing import mix
+from touchline.llm.toxicity import fit_toxicity, score_toxicity
+from touchline.session import ship_package
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5. The lexicon is learned from the labelled documents
+    of this stage's input."""
+    ship_package(spark)
+    model = fit_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), training=remainder("doc_id", 5) != 0)
+    return score_toxicity(docs, model).filter("toxic_score < 0.5").select(*docs.columns)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have letters of a language: those without any, and those in no language that the
+    labelled documents are in, go. Ambiguous documents stay: mixed languages are clean."""
+    ship_package(spark)
+    model = fit_language(docs.select("doc_id", "text", "lang"), training=remainder("doc_id", 4) != 2)
+    return predict_language(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest doc_id: five-word
+    shingles, similarity 0.85."""
+    ship_package(spark)
+    return deduplicate(docs, ngram=5, percent=85)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages: windows of ten item words are cut out, and documents that
+    are more than half hit go."""
+    ship_package(spark)
+    return remove_contamination(docs, table(spark, sf_dir, "benchmark"), window=10, max_coverage=0.5)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: doc_id, source, size, source_size, target, copies, taken of the documents that it takes."""
+    ship_package(spark)
+    return mix(docs.select("doc_id", "text", "source"), weights=(1.0, 2.0, 3.0)).filter("copies > 0")
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+]
+
+#: Learned classifiers and hash-based sampling: no SQL says the same.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
