@@ -1,6 +1,437 @@
-"""Names of the queries and the SQL that checks them."""
+"""Names of the queries over the driver's tables, and the SQL that checks them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import columns as c
+from ..functions.names import suffix_join
+from ..operators import cleaning, evaluation, features, models, prediction, ratings, standings
+from ..session import ship_package
+from ..sources import store, xml
+from . import oracle
+from .fixtures import games, statistics, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL = oracle.ORACLE_SQL
+LABELS = ["home", "away", "draw"]
+STATS = ["flag_a", "flag_n", "flag_r"]
+SWEPT = [30.0, 50.0, 70.0]
+
+
+def query(f):
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return rounded(f(spark, sf_dir))
+
+    QUERIES[f.__name__] = run
+    return run
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six digits, whole numbers as bigint, so sums in another order compare equal."""
+    kinds = {"double": lambda n: F.round(n, 6).alias(n), "int": lambda n: F.col(n).cast("long").alias(n)}
+    return df.select(*(kinds[kind](n) if kind in kinds else F.col(n) for n, kind in df.dtypes))
+
+
+def text_time(df: DataFrame) -> DataFrame:
+    return df.withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"))
+
+
+# --- labels and easy columns
+
+
+@query
+def fixture_result_binomial(spark, sf):
+    return games(spark, sf).select("game_id", c.binomial_result(F.col("score_home"), F.col("score_away")).alias("home_team_result"))
+
+
+@query
+def fixture_result_multiclass(spark, sf):
+    return games(spark, sf).select("game_id", c.multiclass_result(F.col("score_home"), F.col("score_away")).alias("home_team_result"))
+
+
+@query
+def fixture_result_elo(spark, sf):
+    home = c.rating_result(F.col("score_home"), F.col("score_away"))
+    return games(spark, sf).select("game_id", home.alias("home_result"), (1 - home).alias("away_result"), F.abs(F.col("score_home") - F.col("score_away")).alias("margin"))
+
+
+@query
+def game_outcome(spark, sf):
+    return games(spark, sf).select("game_id", evaluation.outcome_label(F.col("score_home"), F.col("score_away")).alias("outcome"))
+
+
+@query
+def easy_pickings(spark, sf):
+    return features.easy_columns(games(spark, sf))
+
+
+# --- panel windows
+
+
+@query
+def prev_result(spark, sf):
+    return features.previous_results(games(spark, sf))
+
+
+@query
+def turn_around(spark, sf):
+    return features.turn_around(games(spark, sf))
+
+
+@query
+def matchup_form(spark, sf):
+    return features.matchup_form(games(spark, sf))
+
+
+@query
+def season_stats(spark, sf):
+    return features.season_stats(games(spark, sf))
+
+
+@query
+def form_stats(spark, sf):
+    return features.form_stats(games(spark, sf))
+
+
+@query
+def state_of_origin(spark, sf):
+    return features.with_small_rounds(games(spark, sf), most=9)
+
+
+@query
+def bye_flag(spark, sf):
+    return features.bye_flags(games(spark, sf))
+
+
+@query
+def fixture_features(spark, sf):
+    kept = ["game_id", "competition_id", "competition_year", "prev_result_home", "prev_result_away", "prev_result_diff", "turn_around_home", "turn_around_away", "turn_around_diff", "matchup_form", "small_round", "after_small_round"]
+    found = cleaning.drop_first_season(features.fixture_features(games(spark, sf)))
+    return found.select(*kept, c.binomial_result(F.col("score_home"), F.col("score_away")).alias("home_team_result"))
+
+
+# --- standings and statistics
+
+
+@query
+def ladder_entering_round(spark, sf):
+    return standings.entering_round(standings.ladder(games(spark, sf))).drop("recent_form")
+
+
+@query
+def ladder_rates(spark, sf):
+    rated = standings.rates(standings.entering_round(standings.ladder(games(spark, sf))))
+    return rated.select(*standings.ROUND, "team", *(f"{n}_rate" for n in standings.RATED))
+
+
+@query
+def form_string_score(spark, sf):
+    return standings.with_form_score(standings.ladder(games(spark, sf))).select(*standings.ROUND, "team", "recent_form", "form_score")
+
+
+@query
+def home_away_ladder_join(spark, sf):
+    all_games = games(spark, sf)
+    before = standings.entering_round(standings.ladder(all_games)).drop("recent_form")
+    joined = standings.join_both_sides(all_games, before, "ladder")
+    return joined.select("game_id", *(f"{n}_{s}_ladder" for n in ("wins", "points_for") for s in ("home", "away")))
+
+
+@query
+def performance_pivot(spark, sf):
+    return standings.pivot_statistics(statistics(spark, sf), ["season_id", "round_number", "team"], STATS)
+
+
+@query
+def performance_join(spark, sf):
+    wide = standings.pivot_statistics(statistics(spark, sf), ["season_id", "round_number", "team"], STATS)
+    wide = wide.withColumnsRenamed({"season_id": "competition_year", "round_number": "round_id"})
+    order = W.partitionBy("competition_year", "team").orderBy("round_id")
+    before = wide.select("competition_year", "round_id", "team", *(F.lag(s).over(order).alias(s) for s in STATS)).fillna(0.0, subset=STATS)
+    all_games, on = games(spark, sf).select("game_id", "competition_year", "round_id", "team_home", "team_away"), ["competition_year", "round_id"]
+    home = all_games.join(before.withColumnRenamed("team", "team_home"), [*on, "team_home"], "left")
+    joined = suffix_join(home, before.withColumnRenamed("team", "team_away"), [*on, "team_away"], ("_home_performance", "_away_performance"))
+    return joined.select("game_id", *(f"{s}_{side}_performance" for s in STATS for side in ("home", "away")))
+
+
+# --- sources
+
+
+@query
+def xml_fixtures_roundtrip(spark, sf):
+    team = lambda side, home: F.struct(F.lit(home).alias("_isHomeTeam"), F.col(f"score_{side}").cast("string").alias("_teamFinalScore"), F.col(f"team_{side}").alias("_teamName"))
+    game = F.struct(
+        F.col("game_id").cast("string").alias("_gameId"), F.col("game_state_name").alias("_gameStateName"), F.col("start_time").cast("string").alias("_startTime"), F.col("venue_name").alias("_venueName"),
+        F.struct(F.array(team("home", "true"), team("away", "false")).alias("team")).alias("teams"),
+    )
+    rounds = games(spark, sf).groupBy("competition_id", "competition_year", "round_id", "round_name").agg(F.array_sort(F.collect_list(game)).alias("gameFixture"))
+    document = F.struct(F.col("competition_id").alias("_competitionId"), F.col("competition_year").cast("string").alias("_competitionYear"), F.col("round_id").cast("string").alias("_roundId"), F.col("round_name").alias("_roundName"), "gameFixture")
+    texts = rounds.select(xml.to_text(document, xml.FIXTURES_TAG).alias("document"))
+    return text_time(xml.games_from_sides(xml.fixture_sides(xml.parse(texts, "document", xml.FIXTURES_TAG, xml.FIXTURES_SCHEMA))))
+
+
+@query
+def xml_ladder(spark, sf):
+    place = F.struct(
+        F.col("losses").cast("string").alias("_losses"), F.col("points_for").cast("string").alias("_pointsFor"), F.col("recent_form").alias("_recentForm"), F.col("team").alias("_teamName"), F.col("wins").cast("string").alias("_wins")
+    )
+    rounds = standings.ladder(games(spark, sf)).groupBy(*standings.ROUND).agg(F.collect_list(place).alias("ladderPosition"))
+    document = F.struct(F.col("competition_id").alias("_competitionId"), F.col("competition_year").cast("string").alias("_competitionYear"), F.col("round_id").cast("string").alias("_roundId"), "ladderPosition")
+    texts = rounds.select(xml.to_text(document, xml.LADDER_TAG).alias("document"))
+    return xml.ladder_rows(xml.parse(texts, "document", xml.LADDER_TAG, xml.LADDER_SCHEMA)).drop("recent_form")
+
+
+@query
+def xml_performance(spark, sf):
+    leader = F.struct(F.col("team").alias("_teamName"), F.col("value").cast("string").alias("_value"))
+    boards = statistics(spark, sf).groupBy("season_id", "round_number", "stat_name").agg(F.collect_list(leader).alias("leader"))
+    rounds = boards.groupBy("season_id", "round_number").agg(F.collect_list(F.struct(F.col("stat_name").alias("_statName"), "leader")).alias("leaderboard"))
+    document = F.struct(F.col("round_number").cast("string").alias("_roundNumber"), F.col("season_id").cast("string").alias("_seasonId"), "leaderboard")
+    texts = rounds.select(xml.to_text(document, xml.STATISTICS_TAG).alias("document"))
+    return xml.statistic_rows(xml.parse(texts, "document", xml.STATISTICS_TAG, xml.STATISTICS_SCHEMA))
+
+
+@query
+def stop_at_gap(spark, sf):
+    rounds = games(spark, sf).filter("NOT (competition_year = 1996 AND round_id = 4) AND NOT (competition_year = 1998 AND round_id = 1)")
+    return xml.until_gap(rounds.select("competition_year", "round_id").distinct(), ["competition_year"])
+
+
+@query
+def schema_union(spark, sf):
+    parts = [games(spark, sf).filter(F.col("competition_year") == 1995).select("game_id", "team_home"), games(spark, sf).filter(F.col("competition_year") == 1996).select("team_away", "game_id")]
+    return xml.union_all(parts)
+
+
+# --- cleaning and splits
+
+
+@query
+def fct_lump_max(spark, sf):
+    return cleaning.lump_levels(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", 40, "max")
+
+
+@query
+def fct_lump_min(spark, sf):
+    return cleaning.lump_levels(games(spark, sf).select("game_id", "venue_name"), "venue_name", 42, "min")
+
+
+@query
+def null_fill_by_type(spark, sf):
+    return cleaning.fill_nulls(games(spark, sf).select("game_id", "competition_year", "round_name", "score_home", "score_away", "odds_home", "crowd"))
+
+
+@query
+def training_split(spark, sf):
+    return cleaning.training_games(cleaning.drop_first_season(games(spark, sf)), use_odds=True).select("game_id", "competition_year", "odds_home")
+
+
+@query
+def inference_split(spark, sf):
+    return cleaning.inference_games(games(spark, sf)).select("game_id", "competition_year", "round_id")
+
+
+@query
+def drop_first_season(spark, sf):
+    return cleaning.drop_first_season(games(spark, sf)).groupBy("competition_id", "competition_year").agg(F.count(F.lit(1)).alias("games"))
+
+
+# --- ratings
+
+
+@query
+def margin_outcome(spark, sf):
+    return games(spark, sf).select("game_id", c.margin_outcome(F.col("score_home") - F.col("score_away"), -20.0, 20.0).alias("w"))
+
+
+@query
+def elo_ratings(spark, sf):
+    return ratings.rate_games(games(spark, sf)).select("competition_id", "game_id", "elo_home", "elo_away", "elo_home_prob")
+
+
+@query
+def elo_draw_rates(spark, sf):
+    return ratings.with_draws(ratings.rate_games(games(spark, sf))).select("game_id", "elo_diff", "draw_rate", "home_prob", "away_prob", "elo_prob_diff")
+
+
+@query
+def elo_k_sweep(spark, sf):
+    return ratings.sweep_k(games(spark, sf), SWEPT)
+
+
+# --- prediction, store, report
+
+
+def predicted(spark, sf) -> DataFrame:
+    all_games = games(spark, sf)
+    ahead = prediction.expected_scores(cleaning.training_games(all_games), all_games.filter(F.col("game_state_name") == "Pre Game"))
+    return prediction.prediction_records(ahead)
+
+
+def predicted_games(spark, sf) -> DataFrame:
+    return predicted(spark, sf).join(games(spark, sf), "game_id")
+
+
+@query
+def poisson_outcome(spark, sf):
+    return predicted(spark, sf).select("game_id", "home_score_avg", "away_score_avg", "home_team_win_prob", "home_team_lose_prob", "draw_prob")
+
+
+@query
+def bayes_evidence(spark, sf):
+    return predicted(spark, sf).select("game_id", "evidence", F.round(F.least("bayes_ratio", F.lit(1e9)), 4).alias("bayes_ratio"))
+
+
+@query
+def modal_scoreline(spark, sf):
+    return predicted(spark, sf).select("game_id", "home_score_mode", "away_score_mode")
+
+
+@query
+def prediction_record(spark, sf):
+    return predicted(spark, sf).drop("bayes_ratio")
+
+
+@query
+def predictions_upsert(spark, sf):
+    kept = predicted(spark, sf).select(*store.PREDICTION_COLUMNS)
+    existing = kept.filter("game_id % 2 = 0")
+    new = kept.filter("game_id % 3 = 0").withColumn("home_team_win_prob", F.col("home_team_win_prob") / 2)
+    return store.upsert(existing, new)
+
+
+@query
+def prediction_report(spark, sf):
+    predicted(spark, sf).createOrReplaceTempView("touchline_predictions")
+    games(spark, sf).createOrReplaceTempView("touchline_games")
+    return spark.sql("""
+        WITH next_round AS (SELECT min(round_id) AS round_id FROM touchline_games WHERE game_state_name = 'Pre Game')
+        SELECT p.game_id, p.home_team_result, g.team_home, g.odds_home, g.team_away, g.odds_away,
+          p.home_team_win_prob, p.home_team_lose_prob, g.round_id, g.competition_year, g.round_name
+        FROM touchline_predictions p LEFT JOIN touchline_games g ON p.game_id = g.game_id
+        WHERE g.game_state_name = 'Pre Game' AND g.round_id = (SELECT round_id FROM next_round)""")
+
+
+@query
+def tipper_picks(spark, sf):
+    return prediction.tipper_picks(predicted_games(spark, sf))
+
+
+@query
+def report_text(spark, sf):
+    return prediction.report_lines(predicted_games(spark, sf))
+
+
+# --- evaluation
+
+
+def judged(spark, sf) -> DataFrame:
+    """Played games with the outcome, and the outcome that mean scores foretell."""
+    all_games = cleaning.training_games(games(spark, sf))
+    found = prediction.expected_scores(all_games, all_games)
+    return found.select(
+        "*",
+        evaluation.outcome_label(F.col("score_home"), F.col("score_away")).alias("actual"),
+        evaluation.outcome_label(F.floor("home_score_avg"), F.floor("away_score_avg")).alias("foretold"),
+    )
+
+
+@query
+def confusion_matrix(spark, sf):
+    return evaluation.confusion_matrix(judged(spark, sf), "actual", "foretold", LABELS)
+
+
+@query
+def classification_report(spark, sf):
+    return evaluation.classification_report(judged(spark, sf), "actual", "foretold", LABELS)
+
+
+@query
+def regression_metrics(spark, sf):
+    return evaluation.regression_metrics(judged(spark, sf), {"home": ("score_home", "home_score_avg"), "away": ("score_away", "away_score_avg")})
+
+
+@query
+def roc_points(spark, sf):
+    return evaluation.roc_points(judged(spark, sf), "actual", "foretold", LABELS)
+
+
+@query
+def log_loss(spark, sf):
+    p = judged(spark, sf).withColumn("p", c.outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg"))).select("actual", F.col("p.home").alias("ph"), F.col("p.away").alias("pa"), F.col("p.draw").alias("pd"))
+    return evaluation.log_loss(p, "actual", {"home": "ph", "away": "pa", "draw": "pd"})
+
+
+@query
+def crosstab_nulls(spark, sf):
+    df = games(spark, sf).select("round_name", F.when(F.col("crowd").isNotNull(), "known").alias("crowd"))
+    return evaluation.cross_table(df, "round_name", "crowd", ["known", "missing"])
+
+
+@query
+def profile_summary(spark, sf):
+    return evaluation.profile(games(spark, sf), ["score_home", "score_away", "odds_home", "odds_away", "crowd"])
+
+
+@query
+def margin_histogram(spark, sf):
+    return evaluation.histogram(games(spark, sf).withColumn("margin", F.col("score_home") - F.col("score_away")), "margin", -60.0, 60.0, 12)
+
+
+@query
+def crowd_imputation(spark, sf):
+    return models.impute_crowd(games(spark, sf), (1996, 1997))
+
+
+# --- models: learned, so no SQL says the same
+
+PREDICTORS = ["team_home", "team_away", "round_id", "prev_result_diff", "matchup_form"]
+
+
+def training_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    all_games = games(spark, sf)
+    rows = all_games.join(features.previous_results(all_games), "game_id").join(features.matchup_form(all_games), "game_id")
+    return cleaning.training_games(rows), rows.filter(F.col("game_state_name") == "Pre Game")
+
+
+@query
+def train_score_models(spark, sf):
+    train, ahead = training_rows(spark, sf)
+    train = train.cache()
+    for side in ("home", "away"):
+        model, _ = models.train_score_model(train, PREDICTORS, f"score_{side}")
+        ahead = models.predict_scores(model, ahead, f"{side}_score_avg")
+    return prediction.prediction_records(ahead)
+
+
+@query
+def feature_importance_top20(spark, sf):
+    train, _ = training_rows(spark, sf)
+    model, _ = models.train_score_model(train.cache(), PREDICTORS, "score_home")
+    return models.feature_importances(model, train)
+
+
+@query
+def research_logistic(spark, sf):
+    train, _ = training_rows(spark, sf)
+    return models.logistic_coefficients(train.withColumn("won", (F.col("score_home") > F.col("score_away")).cast("double")), "won ~ prev_result_diff + matchup_form + odds_away")
+
+
+@query
+def research_linear(spark, sf):
+    train, _ = training_rows(spark, sf)
+    return models.linear_coefficients(train.withColumn("margin", F.col("score_home") - F.col("score_away")), "margin ~ prev_result_diff * matchup_form")
+
+
+@query
+def research_forest(spark, sf):
+    train, _ = training_rows(spark, sf)
+    return models.forest_importances(train.withColumn("result", c.binomial_result(F.col("score_home"), F.col("score_away"))), "result ~ prev_result_diff + matchup_form + odds_away + round_id")
