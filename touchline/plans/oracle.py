@@ -51,7 +51,7 @@ LADDER = f"""by_round AS (
     coalesce(string_agg(CASE WHEN own > other THEN 'W' WHEN own < other THEN 'L' WHEN own = other THEN 'D' END, '' ORDER BY game_id), '') AS recent_form
   FROM sides GROUP BY ALL),
 ladder AS (
-  SELECT {SEASON}, round_id, team, recent_form, {', '.join(f'sum({x}) OVER t AS {x}' for x in RATED)}
+  SELECT {SEASON}, round_id, team, string_agg(recent_form, '') OVER t AS recent_form, {', '.join(f'sum({x}) OVER t AS {x}' for x in RATED)}
   FROM by_round WINDOW t AS (PARTITION BY {SEASON}, team ORDER BY round_id ROWS UNBOUNDED PRECEDING)),
 entering AS (
   SELECT {SEASON}, round_id, team, {', '.join(f'coalesce(lag({x}) OVER t, 0) AS {x}' for x in RATED)}
