@@ -2,4 +2,59 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+#: ASCII letters to lower case, words between ASCII white space.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _components(links: str, nodes: str) -> str:
+    """reach(id, root): every node with the smallest node that links (a, b) lead to."""
+    return f"""walk(id, root) AS (
+      SELECT id, id FROM {nodes}
+      UNION
+      SELECT l.b, w.root FROM walk w JOIN {links} l ON w.id = l.a WHERE w.root < l.b),
+    reach AS (SELECT id, min(root) AS root FROM walk GROUP BY id)"""
+
+
+OP1 = rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM worded),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+{_components('links', '(SELECT doc_id AS id FROM documents)')}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept FROM sets JOIN reach ON doc_id = id
+"""
+
+OP4 = rf"""
+WITH docs AS (SELECT doc_id, coalesce({_ALNUM}, []) AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, coalesce({_ALNUM}, []) AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (
+  SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size)),
+found AS (SELECT p.doc_id, p.i, p.size, v.item FROM places p JOIN windows v ON p.size = v.size AND p.g = v.g),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM found GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(named.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP8 = f"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND NOT list_contains(list_transform(embedding, lambda c: coalesce(isfinite(c), FALSE)), FALSE) AND list_bool_or(list_transform(embedding, lambda c: c <> 0))),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.95),
+{_components('links', '(SELECT vec_id AS id FROM embeddings)')}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN reach ON vec_id = id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1, "op4_decontaminate": OP4, "op8_embeddings": OP8}

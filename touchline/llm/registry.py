@@ -25,7 +25,7 @@ from .toxicity import fit_toxicity, score_toxicity
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate documents: five-word shingles, similarity 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"), ngram=5, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), ngram=5, percent=85).drop("class_size")
 
 
 def op2_hpyp(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of ten words in documents."""
-    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10).drop("coverage", "longest")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
