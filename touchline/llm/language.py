@@ -22,8 +22,8 @@ ORDERS = (1, 2, 3, 4)
 #: Labelled documents that a language is learned from, at most, and languages, at most.
 PER_LANGUAGE = 400
 LANGUAGES = 200
-#: Characters that are turned into features at once.
-CHARS = 400_000
+#: Characters, and texts, that are turned into features at once.
+CHARS, TEXTS = 400_000, 128
 #: The best language's share of the score below which a document counts as ambiguous.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -96,19 +96,13 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score in [0, 1] and whether the two nearest codewords are too close, of each text."""
-        codes = [letters_of(t) for t in texts]
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         ambiguous = np.ones(len(texts), bool)
-        known = [i for i, c in enumerate(codes) if len(c)] if self.languages else []
-        begin = 0
-        while begin < len(known):
-            end, size = begin, 0
-            while end < len(known) and (end == begin or size + len(codes[known[end]]) <= CHARS):
-                size += len(codes[known[end]])
-                end += 1
-            at = known[begin:end]
-            begin = end
-            margin = features([codes[i] for i in at]) @ self.weights + self.bias
+        at: list[int] = []
+        codes: list[np.ndarray] = []
+
+        def decide() -> None:
+            margin = features(codes) @ self.weights + self.bias
             loss = np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) @ self.trust
             near = np.exp(loss.min(axis=1, keepdims=True) - loss)
             near /= near.sum(axis=1, keepdims=True)
@@ -116,6 +110,21 @@ class LanguageModel:
                 names[i] = self.languages[k]
             scores[at] = near.max(axis=1)
             ambiguous[at] = scores[at] < AMBIGUOUS
+            at.clear()
+            codes.clear()
+
+        size = 0
+        for i, text in enumerate(texts if self.languages else ()):
+            found = letters_of(text)
+            if len(found):
+                at.append(i)
+                codes.append(found)
+                size += len(found)
+                if size > CHARS or len(at) >= TEXTS:
+                    decide()
+                    size = 0
+        if at:
+            decide()
         return names, np.clip(scores, 0, 1), ambiguous
 
 
