@@ -26,9 +26,16 @@ def get_session(app: str = "touchline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, so fewer than Spark's default.
+BATCH_ROWS = "1000"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers, once for each context."""
-    context = spark.sparkContext
+    """Make this package importable in the executors' Python workers, once for each context, and let
+    batches of rows be small, unless the session says otherwise."""
+    context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH_ROWS)
     if not getattr(context, "_touchline_shipped", False):
         root = Path(__file__).resolve().parent
         target = Path(tempfile.mkdtemp(prefix="touchline-")) / "touchline.zip"
