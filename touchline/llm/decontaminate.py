@@ -7,8 +7,8 @@ that length reaches the window, the last `window` words are a window of an item
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +173,7 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Suf
     yield SuffixAutomaton(block, window)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 100_000) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 100_000, then: Callable | None = None) -> DataFrame:
     """All rows and columns of docs, and where benchmark items occur in the text.
 
     Adds n_words int, spans array<int> (hit word positions, [start, end) after [start, end), joined),
@@ -187,7 +187,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
     Null and empty texts have no words. Items without words have no window. Items without an id
     mark words but are not listed. Rows that share a doc_id are scanned apart. An empty benchmark
-    hits nothing.
+    hits nothing. `then` (batches to batches, with the columns of docs) may follow in the same task.
     """
     spark = docs.sparkSession
     added = ADDED
@@ -195,7 +195,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         "*", F.lit(0).alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("longest")
     )
     schema = out.schema
-    for i, automaton in enumerate(_blocks(benchmark, window, block_words)):
+    blocks = _blocks(benchmark, window, block_words)
+    following = next(blocks)
+    for i in count():
+        automaton, following = following, next(blocks, None)
         held = spark.sparkContext.broadcast(automaton)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, first=not i) -> Iterator[pa.RecordBatch]:
@@ -217,8 +220,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                 kept = [n for n in batch.schema.names if n not in added]
                 yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + new, names=kept + added)
 
-        out = (materialize(out) if i else out).mapInArrow(scan, schema)
-    return out
+        out = materialize(out) if i else out
+        if following is None:
+            return out.mapInArrow((lambda batches: then(scan(batches))) if then else scan, docs.schema if then else schema)
+        out = out.mapInArrow(scan, schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -249,8 +254,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     names = docs.columns
     aside = {c: f"{c}__kept" for c in names if c in ADDED}  # of docs, under names that the scan uses
     docs = docs.withColumnsRenamed(aside)
-    found = find_contamination(docs, benchmark, window)
-    back, schema, names = {v: k for k, v in aside.items()}, docs.schema, docs.columns
+    back, names = {v: k for k, v in aside.items()}, docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,7 +269,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
                     batch = batch.set_column(batch.schema.get_field_index("n_chars"), "n_chars", pa.array(sizes, batch.column("n_chars").type))
             yield batch.select(names).filter(pa.array(keep))
 
-    return found.mapInArrow(cut, schema).withColumnsRenamed(back)
+    return find_contamination(docs, benchmark, window, then=cut).withColumnsRenamed(back)
 
 
 def _without(text: bytes, spans: list[int]) -> bytes:
