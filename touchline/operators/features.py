@@ -31,17 +31,21 @@ def back_to_games(by_side: DataFrame, columns: list[str]) -> DataFrame:
     return by_side.groupBy("game_id").agg(*pick)
 
 
-def previous_results(games: DataFrame) -> DataFrame:
-    """prev_result_home: margin of the home team's previous home game of the season; prev_result_away:
-    of the away team's previous away game, still as home less away; prev_result_diff their
-    difference, taken before missing ones become 0."""
+def with_previous_results(games: DataFrame) -> DataFrame:
+    """Adds prev_result_home: margin of the home team's previous home game of the season;
+    prev_result_away: of the away team's previous away game, still as home less away; and
+    prev_result_diff, their difference, taken before missing ones become 0."""
     margin = F.col("score_home") - F.col("score_away")
     order = ["round_id", "game_id"]
     home = F.lag(margin).over(W.partitionBy(*SEASON, "team_home").orderBy(*order))
     away = F.lag(margin).over(W.partitionBy(*SEASON, "team_away").orderBy(*order))
-    found = games.withColumns({"h": home, "a": away})
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return found.select("game_id", zero(F.col("h")).alias("prev_result_home"), zero(F.col("a")).alias("prev_result_away"), zero(F.col("h") - F.col("a")).alias("prev_result_diff"))
+    found = games.withColumns({"__h": home, "__a": away})
+    return found.withColumns({"prev_result_home": zero(F.col("__h")), "prev_result_away": zero(F.col("__a")), "prev_result_diff": zero(F.col("__h") - F.col("__a"))}).drop("__h", "__a")
+
+
+def previous_results(games: DataFrame) -> DataFrame:
+    return with_previous_results(games).select("game_id", "prev_result_home", "prev_result_away", "prev_result_diff")
 
 
 def turn_around(games: DataFrame) -> DataFrame:
@@ -55,11 +59,16 @@ def turn_around(games: DataFrame) -> DataFrame:
     return back_to_games(filled, ["turn_around"]).withColumn("turn_around_diff", F.col("turn_around_home") - F.col("turn_around_away"))
 
 
-def matchup_form(games: DataFrame, form_games: int = 5) -> DataFrame:
-    """Signed results of the last form_games meetings of the same two teams at the same ends."""
+def with_matchup_form(games: DataFrame, form_games: int = 5) -> DataFrame:
+    """Adds matchup_form: signed results of the last form_games meetings of the same two teams at the
+    same ends."""
     last = W.partitionBy("competition_id", "team_home", "team_away").orderBy("start_time", "game_id").rowsBetween(-form_games, -1)
     form = F.sum(signed_result(F.col("score_home"), F.col("score_away"))).over(last)
-    return games.select("game_id", F.coalesce(form, F.lit(0)).cast("long").alias("matchup_form"))
+    return games.withColumn("matchup_form", F.coalesce(form, F.lit(0)).cast("long"))
+
+
+def matchup_form(games: DataFrame, form_games: int = 5) -> DataFrame:
+    return with_matchup_form(games, form_games).select("game_id", "matchup_form")
 
 
 def _strict_sum(value: Column, frame) -> Column:
@@ -114,8 +123,8 @@ def small_rounds(games: DataFrame, most: int = 5) -> DataFrame:
 
 
 def with_small_rounds(games: DataFrame, most: int = 5) -> DataFrame:
-    flags = small_rounds(games, most)
-    return games.join(flags, [*SEASON, "round_id"], "left").select("game_id", "small_round", "after_small_round")
+    """Adds both flags of the game's round."""
+    return games.join(small_rounds(games, most), [*SEASON, "round_id"], "left")
 
 
 def easy_columns(games: DataFrame) -> DataFrame:
@@ -136,8 +145,6 @@ def bye_flags(games: DataFrame) -> DataFrame:
 
 
 def fixture_features(games: DataFrame) -> DataFrame:
-    """games with the features of this module, joined by game."""
-    out = games
-    for part in (previous_results(games), turn_around(games), matchup_form(games), with_small_rounds(games)):
-        out = out.join(part, "game_id")
-    return out
+    """games with previous results, form and round flags, added on the row itself, and turnarounds,
+    which need both sides apart and come back by game."""
+    return with_small_rounds(with_matchup_form(with_previous_results(games))).join(turn_around(games), "game_id")

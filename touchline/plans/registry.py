@@ -103,7 +103,7 @@ def form_stats(spark, sf):
 
 @query
 def state_of_origin(spark, sf):
-    return features.with_small_rounds(games(spark, sf), most=9)
+    return features.with_small_rounds(games(spark, sf), most=9).select("game_id", "small_round", "after_small_round")
 
 
 @query
@@ -397,8 +397,7 @@ PREDICTORS = ["team_home", "team_away", "round_id", "prev_result_diff", "matchup
 
 
 def training_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
-    all_games = games(spark, sf)
-    rows = all_games.join(features.previous_results(all_games), "game_id").join(features.matchup_form(all_games), "game_id")
+    rows = features.with_matchup_form(features.with_previous_results(games(spark, sf)))
     return cleaning.training_games(rows), rows.filter(F.col("game_state_name") == "Pre Game")
 
 
