@@ -21,7 +21,7 @@ LOW = np.uint64(int("1" * (64 // BITS), 1 << BITS))
 SLACK = 5.0
 #: Members of one block: groups with more are dealt into pairs of tiles.
 TILE = 2048
-TILE_SHINGLES = 2_000_000
+TILE_SHINGLES = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 _FACTORS = (_RNG.integers(0, 1 << 32, MINIMA, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
