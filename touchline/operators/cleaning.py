@@ -49,8 +49,8 @@ def inference_games(games: DataFrame, use_odds: bool = False) -> DataFrame:
     """Games yet to be played of the smallest such round number (of any season)."""
     ahead = games.filter(F.col("game_state_name") == "Pre Game")
     ahead = ahead.filter(F.col("odds_home").isNotNull()) if use_odds else ahead
-    first = ahead.agg(F.min("round_id").alias("__round"))  # one row
-    return ahead.join(F.broadcast(first), F.col("round_id") == F.col("__round")).select(*games.columns)
+    first = ahead.select(F.min("round_id")).scalar()
+    return ahead.filter(F.col("round_id") == first)
 
 
 def split_by_hash(df: DataFrame, key: str, percent: int) -> tuple[DataFrame, DataFrame]:

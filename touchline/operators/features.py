@@ -54,8 +54,8 @@ def turn_around(games: DataFrame) -> DataFrame:
     order = W.partitionBy("competition_id", "team").orderBy("start_time", "game_id")
     gap = F.timestamp_diff("MICROSECOND", F.lag("start_time").over(order), F.col("start_time")) / 86_400_000_000.0
     gaps = sides(games).withColumn("gap", gap)
-    mean = gaps.agg(F.avg("gap").alias("mean"))  # one row
-    filled = gaps.crossJoin(F.broadcast(mean)).withColumn("turn_around", F.coalesce("gap", "mean"))
+    mean = gaps.select(F.avg("gap")).scalar()
+    filled = gaps.withColumn("turn_around", F.coalesce(F.col("gap"), mean))
     return back_to_games(filled, ["turn_around"]).withColumn("turn_around_diff", F.col("turn_around_home") - F.col("turn_around_away"))
 
 
