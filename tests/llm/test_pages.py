@@ -40,3 +40,12 @@ def test_hosts_agree(spark, monkeypatch):
         assert got[0][0] == (LONG * 5).strip() and got[20] == got[21] == ("", 0) and got[22] == ("just words", 10)
         assert got[23][1] == 199_999
     assert extract_pages(d).count() == len(rows) and extract_pages(d.limit(0)).count() == 0
+
+
+def test_deep_and_broken_pages():
+    deep = "<div class='a1'>" * 20_000 + "core text" + "</div>" * 20_000
+    assert extract(blocks_of(deep), None) == "core text"
+    items = "<ul>" + "<li>x" * 5000 + "</ul>"
+    assert extract(blocks_of(f"<article><p>{LONG}</p>{items}</article>"), None).count("x") == 5000
+    for broken in ("<", "<p", "<p class='", "</", "<!--", "<script>x", "a<b>c</p></div></html>", "&#xZZ; &bogus; &#9999999999;", "<p>" * 3000):
+        assert isinstance(extract(blocks_of(broken), None), str)

@@ -40,6 +40,8 @@ _ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""",
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
+#: Elements below this depth count as part of the one at it, so paths stay short.
+DEEPEST = 60
 #: Share of a page's text that its article holds at least; less where the element says what it is.
 MOST, SOME = 0.8, 0.4
 #: Share of a host's votes from which a path counts as one of its layouts.
@@ -78,7 +80,7 @@ def _opened(tag: str, attributes: str, parent: _Element) -> _Element:
     out = parent.out or hidden or tag in LEFT_OUT or surrounding or (tag == "header" and not parent.article)
     article = parent.article or tag in ("article", "main") or role in ("main", "article")
     # digits are dropped from names, so numbered elements of one kind share a path
-    path = f"{parent.path}>{tag}" + "".join(f".{n}" for n in sorted(set(names)))
+    path = f"{parent.path}>{tag}" + "".join(f".{n}" for n in sorted(set(names))) if parent.depth < DEEPEST else parent.path
     return _Element(tag, path, out, article, parent.depth + 1)
 
 
@@ -88,6 +90,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
     if not page:
         return blocks
     stack = [_Element("", "", False, False, 0)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
     linked: list[str] = []
     in_link = heading = False
@@ -125,22 +128,26 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
                 in_link = False
             elif tag in ("h1", "h2"):
                 heading = False
-            elif tag in CONTAINERS and any(e.tag == tag for e in stack):
-                while stack.pop().tag != tag:
-                    pass
+            elif tag in CONTAINERS and opened[tag]:
+                last = None
+                while last != tag:
+                    last = stack.pop().tag
+                    opened[last] -= 1
         elif tag == "a":
             in_link = True
         elif tag in ("h1", "h2"):
             heading = True
         elif tag in CONTAINERS:
             heading = False
-            if tag in ("li", "td", "th", "tr") and any(e.tag == tag for e in stack):
+            if tag in ("li", "td", "th", "tr") and opened[tag]:
                 # an item ends where the next one of the same list begins
                 inner = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag)
                 if not any(e.tag in ("ul", "ol", "menu", "table") for e in stack[inner + 1 :]):
+                    opened.subtract(e.tag for e in stack[inner:])
                     del stack[inner:]
             if not m[4].endswith("/") or tag in ("div", "article", "section"):
                 stack.append(_opened(tag, m[4], stack[-1]))
+                opened[tag] += 1
     if at < len(page):
         held.append(page[at:])
     end_block()
