@@ -2,10 +2,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from touchline.functions.names import clean_names, suffix_join
+from touchline.functions.names import clean_names, suffix_join, with_clean_names
+from touchline.operators.cleaning import split_by_hash
 from touchline.operators.models import feature_importances, load_model, predict_scores, save_model, train_score_model
 from touchline.sources import store, xml
-from touchline.streaming.standings import live_standings
+from touchline.streaming.standings import games_per_window, live_standings, upsert_predictions
 
 DOCUMENT = """<roundFixtures competitionId="c" competitionYear="2020" roundId="{r}" roundName="Round {r}">
   <gameFixture gameId="{g}" gameStateName="Final" startTime="2020-03-01T18:00:00" venueName="V"><teams>
@@ -77,3 +78,32 @@ def test_standings_from_a_stream(spark, tmp_path):
     query.stop()
     got = {r["team"]: (r["wins"], r["losses"], r["draws"], r["points_for"]) for r in spark.table("live_table").collect()}
     assert got == {"a": (1, 0, 1, 5.0), "b": (0, 1, 1, 3.0)}
+
+
+def test_games_per_window_of_a_stream(spark, tmp_path):
+    rows = spark.sql("SELECT 'c' AS competition_id, timestamp_ntz'2024-01-01 10:00:00' + make_interval(0, 0, 0, 0, id) AS start_time FROM range(5)")
+    rows.write.parquet(str(tmp_path / "games"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "games"))
+    query = games_per_window(stream, "start_time", "2 hours", "1 day").writeStream.outputMode("complete").format("memory").queryName("windows_table").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r["games"] for r in spark.table("windows_table").collect()) == [1, 2, 2]
+
+
+def test_predictions_from_a_stream(spark, tmp_path):
+    schema = "game_id long, home_team_result string, home_team_win_prob double, home_team_lose_prob double"
+    spark.sql("DROP TABLE IF EXISTS predictions_stream")
+    for i, rows in enumerate(([(1, "Win", 0.6, 0.3)], [(1, "Loss", 0.1, 0.8), (2, "Win", 0.7, 0.2)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = upsert_predictions(stream, "predictions_stream", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+        query.stop()
+    assert {r["game_id"]: r["home_team_result"] for r in spark.table("predictions_stream").collect()} == {1: "Loss", 2: "Win"}
+    spark.sql("DROP TABLE predictions_stream")
+
+
+def test_split_and_clean_columns(spark):
+    one, other = split_by_hash(spark.range(1000), "id", 80)
+    assert one.count() + other.count() == 1000 and 700 < one.count() < 900 and not one.join(other, "id").count()
+    assert with_clean_names(spark.createDataFrame([(1, 2)], "teamName int, roundId int")).columns == ["team_name", "round_id"]
