@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import features, ratings, standings
 from touchline.operators.cleaning import drop_first_season, fill_nulls, inference_games, lump_levels, training_games
-from touchline.operators.prediction import prediction_records, simulate, tipper_picks
+from touchline.operators.prediction import prediction_records, simulate, value_picks
 
 SCHEMA = "game_id long, competition_id string, competition_year long, round_id long, round_name string, start_time timestamp_ntz, team_home string, team_away string, game_state_name string, score_home double, score_away double, odds_home double, odds_away double"
 
@@ -125,4 +125,4 @@ def test_predictions_exact_and_simulated(spark):
 def test_picks_need_a_strict_edge(spark):
     rows = [(1, "a", "b", "Win", 0.5, 0.4, 2.1, 9.0), (2, "a", "b", "Win", 0.5, 0.4, 2.11, 9.0), (3, "a", "b", "Loss", 0.3, 0.5, 9.0, None), (4, "a", "b", "Loss", 0.0, 0.0, 9.0, 9.0), (5, "a", "b", "Loss", 0.2, 0.5, 1.0, 3.0)]
     df = spark.createDataFrame(rows, "game_id long, team_home string, team_away string, home_team_result string, home_team_win_prob double, home_team_lose_prob double, odds_home double, odds_away double")
-    assert {r["game_id"]: r["team"] for r in tipper_picks(df).collect()} == {2: "a", 5: "b"}
+    assert {r["game_id"]: r["team"] for r in value_picks(df).collect()} == {2: "a", 5: "b"}

@@ -61,7 +61,7 @@ def simulate(scored: DataFrame, draws: int = 2_000, seed: int = 7) -> DataFrame:
     return games.groupBy("game_id").agg(share(F.col("h") > F.col("a")).alias("home"), share(F.col("h") < F.col("a")).alias("away"), share(F.col("h") == F.col("a")).alias("draw"))
 
 
-def tipper_picks(predictions: DataFrame, edge: float = SETTINGS.edge) -> DataFrame:
+def value_picks(predictions: DataFrame, edge: float = SETTINGS.edge) -> DataFrame:
     """Sides whose price beats the fair price of their probability by the edge, strictly.
 
     predictions has team_home, team_away, home_team_result, win and lose probabilities, odds_home,

@@ -187,7 +187,7 @@ ORACLE_SQL: dict[str, str] = {
         {r('home_team_lose_prob')} AS home_team_lose_prob FROM records WHERE game_id % 2 = 0 OR game_id % 3 = 0""",
     "prediction_report": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, team_home, {r('odds_home')} AS odds_home, team_away, {r('odds_away')} AS odds_away, {r('home_team_win_prob')} AS home_team_win_prob,
         {r('home_team_lose_prob')} AS home_team_lose_prob, round_id, competition_year, round_name FROM records WHERE round_id = (SELECT min(round_id) FROM games WHERE game_state_name = 'Pre Game')""",
-    "tipper_picks": f"""{with_(*PREDICTED)} SELECT game_id, team, {r('price')} AS price, {r('price_min')} AS price_min FROM (
+    "value_picks": f"""{with_(*PREDICTED)} SELECT game_id, team, {r('price')} AS price, {r('price_min')} AS price_min FROM (
         SELECT game_id, team_home AS team, odds_home AS price, 1 / nullif(home_team_win_prob, 0) AS price_min FROM records WHERE home_team_result = 'Win'
         UNION ALL SELECT game_id, team_away, odds_away, 1 / nullif(home_team_lose_prob, 0) FROM records WHERE home_team_result = 'Loss') WHERE price > price_min * {SETTINGS.edge}""",
     "report_text": f"""{with_(*PREDICTED)} SELECT competition_id, string_agg(format('{{}} v {{}}: {{}} ({{:.2f}})', team_home, team_away, home_team_result, home_team_win_prob), chr(10) ORDER BY game_id) AS report FROM records GROUP BY ALL""",

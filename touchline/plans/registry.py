@@ -321,8 +321,8 @@ def prediction_report(spark, sf):
 
 
 @query
-def tipper_picks(spark, sf):
-    return prediction.tipper_picks(predicted_games(spark, sf))
+def value_picks(spark, sf):
+    return prediction.value_picks(predicted_games(spark, sf))
 
 
 @query
