@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
 from .select import first_until, join_group, unit_interval
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 #: No source and no document is taken more often than this.
 MAX_COPIES = 3
 
 
-def word_count(column: str):
-    return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
+def word_count(column: str) -> Column:
+    """Words of a text, 0 if it is null: each word becomes one letter, and white space goes, so no list
+    of words is made."""
+    letters = F.regexp_replace(F.regexp_replace(column, WORD, "w"), SPACE, "")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_copies: int = MAX_COPIES) -> DataFrame:
