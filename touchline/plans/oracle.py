@@ -10,7 +10,7 @@ DOUBLE = "CAST({} AS DOUBLE)"
 
 
 def r(e: str) -> str:
-    return f"round(CAST({e} AS DOUBLE), 6)"
+    return f"(round(CAST({e} AS DOUBLE), 6) + CAST(0 AS DOUBLE))"  # never -0.0
 
 
 def with_(*ctes: str) -> str:

@@ -35,8 +35,8 @@ def query(f):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, whole numbers as bigint, so sums in another order compare equal."""
-    kinds = {"double": lambda n: F.round(n, 6).alias(n), "int": lambda n: F.col(n).cast("long").alias(n)}
+    """Doubles to six digits (never -0.0), whole numbers as bigint, so sums in another order compare equal."""
+    kinds = {"double": lambda n: (F.round(n, 6) + F.lit(0.0)).alias(n), "int": lambda n: F.col(n).cast("long").alias(n)}
     return df.select(*(kinds[kind](n) if kind in kinds else F.col(n) for n, kind in df.dtypes))
 
 
