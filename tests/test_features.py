@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from touchline.operators import features, ratings, standings
 from touchline.operators.cleaning import drop_first_season, fill_nulls, inference_games, lump_levels, training_games
-from touchline.operators.prediction import prediction_records, simulate, value_picks
+from touchline.functions.columns import evidence_strength
+from touchline.operators.prediction import PICK_LINES, prediction_records, report_texts, simulate, value_picks
 
 SCHEMA = "game_id long, competition_id string, competition_year long, round_id long, round_name string, start_time timestamp_ntz, team_home string, team_away string, game_state_name string, score_home double, score_away double, odds_home double, odds_away double"
 
@@ -114,7 +115,8 @@ def test_predictions_exact_and_simulated(spark):
     exact = by_game(prediction_records(scored))
     assert set(exact) == {1, 2, 3}
     assert exact[1]["home_team_win_prob"] == pytest.approx(0.61375, abs=1e-5) and exact[1]["draw_prob"] == pytest.approx(0.06014, abs=1e-5)
-    assert exact[2]["home_team_result"] == "Loss" and exact[2]["home_score_mode"] == 3
+    assert exact[2]["home_team_result"] == "Loss" and exact[2]["predicted_home_score"] == 3 and exact[2]["predicted_margin"] == 0
+    assert exact[2]["bayes_factor"] == pytest.approx(1) and exact[3]["evidence_strength"] == "Decisive evidence"
     assert exact[3]["home_team_lose_prob"] == pytest.approx(0, abs=1e-9)
     for r in exact.values():
         assert r["home_team_win_prob"] + r["home_team_lose_prob"] + r["draw_prob"] == pytest.approx(1)
@@ -126,3 +128,14 @@ def test_picks_need_a_strict_edge(spark):
     rows = [(1, "a", "b", "Win", 0.5, 0.4, 2.1, 9.0), (2, "a", "b", "Win", 0.5, 0.4, 2.11, 9.0), (3, "a", "b", "Loss", 0.3, 0.5, 9.0, None), (4, "a", "b", "Loss", 0.0, 0.0, 9.0, 9.0), (5, "a", "b", "Loss", 0.2, 0.5, 1.0, 3.0)]
     df = spark.createDataFrame(rows, "game_id long, team_home string, team_away string, home_team_result string, home_team_win_prob double, home_team_lose_prob double, odds_home double, odds_away double")
     assert {r["game_id"]: r["team"] for r in value_picks(df).collect()} == {2: "a", 5: "b"}
+
+
+def test_evidence_bands_are_half_open(spark):
+    ratios = [0.5, 1.0, 2.9, 3.0, 10.0, 30.0, 100.0, float("inf"), None]
+    shown = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(ratios)], "i int, x double").orderBy("i").select(evidence_strength(F.col("x"))).collect()]
+    assert shown == ["Negative evidence", "Anecdotal evidence", "Anecdotal evidence", "Moderate evidence", "Strong evidence", "Very strong evidence", "Decisive evidence", "Decisive evidence", None]
+
+
+def test_report_texts(spark):
+    rows = spark.createDataFrame([(2, "c", "b", None), (1, "c", "a", 1.5)], "game_id long, competition_id string, team string, price double")
+    assert report_texts(rows, ["competition_id"], PICK_LINES).first()["report"] == "Team: a\nPrice: 1.50\n\nTeam: b\nPrice: None"

@@ -5,23 +5,49 @@ from pyspark.sql import functions as F
 from touchline.functions.names import clean_names, suffix_join, with_clean_names
 from touchline.operators.cleaning import split_by_hash
 from touchline.operators.models import feature_importances, load_model, predict_scores, save_model, train_score_model
+from touchline.operators.standings import ROUND, assemble, pivot_statistics
 from touchline.sources import store, xml
 from touchline.streaming.standings import games_per_window, live_standings, upsert_predictions
 
-DOCUMENT = """<roundFixtures competitionId="c" competitionYear="2020" roundId="{r}" roundName="Round {r}">
-  <gameFixture gameId="{g}" gameStateName="Final" startTime="2020-03-01T18:00:00" venueName="V"><teams>
-    <team isHomeTeam="true" teamName="a" teamFinalScore="12"/><team isHomeTeam="false" teamName="b" teamFinalScore=""/></teams></gameFixture>
-</roundFixtures>"""
+GAME = """<gameFixture gameId="{g}" gameNumber="1" gameStateName="Final" startTime="2020-03-01T18:00:00" startTimeUTC="2020-03-01T08:00:00Z" venueName="V" city="Y" crowd="900" broadcastChannel="Nine"><teams>
+    <team isHomeTeam="true" team="a" teamFinalScore="12" teamHeadToHeadOdds="1.5" teamLineOdds="1.9" teamLineAmount="-4.5"/><team isHomeTeam="false" team="b" teamFinalScore=""/></teams></gameFixture>"""
+LADDER = """<ladder><ladderposition position="1" teamName="a" wins="{w}" draws="0" losses="0" pointsFor="{w}0" recentForm="{form}" closeGames="x" dayRecord="1-0"/></ladder>"""
+STATISTICS = """<leaderboard seasonId="2020" competitionId="7" competitionName="n" roundNumber="2"><leaderboardStats>
+  <leaderboardStat ID="3" statName="Tries"><leaderboardEntry TeamID="1" TeamName="a" TeamAbbrev="A" Value="4.5" Rank="1" Appearances="2"/><leaderboardEntry TeamID="2" TeamName="b" Value="?"/></leaderboardStat></leaderboardStats></leaderboard>"""
 
 
-def test_xml_files(spark, tmp_path):
-    for r in (1, 2):
-        (tmp_path / f"r{r}.xml").write_text(DOCUMENT.format(r=r, g=r * 10))
-    (tmp_path / "empty.xml").write_text('<roundFixtures competitionId="c" competitionYear="2020" roundId="3" roundName="x"></roundFixtures>')
+def test_fixture_files(spark, tmp_path):
+    rounds = "".join(f'<roundFixtures roundId="{r}" roundName="Round {r}">{GAME.format(g=r * 10)}</roundFixtures>' for r in (1, 2))
+    one_side = '<gameFixture gameId="99"><teams><team isHomeTeam="true" team="a"/></teams></gameFixture>'
+    (tmp_path / "2020.xml").write_text(f'<fixtures>{rounds}<roundFixtures roundId="3" roundName="x"></roundFixtures><roundFixtures roundId="4">{one_side}</roundFixtures></fixtures>')
     documents = xml.read_documents(spark, str(tmp_path), xml.FIXTURES_TAG, xml.FIXTURES_SCHEMA)
-    rows = xml.games_from_sides(xml.fixture_sides(documents)).orderBy("game_id").collect()
-    assert [(r["game_id"], r["round_id"], r["team_home"], r["team_away"], r["score_home"], r["score_away"]) for r in rows] == [(10, 1, "a", "b", 12.0, None), (20, 2, "a", "b", 12.0, None)]
-    assert rows[0]["start_time"].hour == 18
+    games = xml.games_from_sides(xml.fixture_sides(documents))
+    rows = games.orderBy("game_id").collect()
+    assert [(r["game_id"], r["competition_year"], r["round_id"], r["team_home"], r["team_away"], r["team_final_score_home"], r["team_final_score_away"]) for r in rows] == [(10, 2020, 1, "a", "b", 12.0, None), (20, 2020, 2, "a", "b", 12.0, None)]
+    first = rows[0]
+    assert (first["start_time"].hour, first["start_time_utc"].hour, first["crowd"], first["broadcast_channel1"], first["broadcast_channel2"]) == (18, 8, 900.0, "Nine", None)
+    assert (first["team_head_to_head_odds_home"], first["team_line_odds_home"], first["team_line_amount_home"], first["game_number"]) == (1.5, 1.9, -4.5, 1)
+    assert {"score_home", "odds_away", "line_odds_home", "line_amount_away"} <= set(xml.panel_games(games).columns)
+
+
+def test_ladder_and_statistic_files_and_their_join(spark, tmp_path):
+    for name in ("fixtures", "ladders/2020", "statistics/2020"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "fixtures/2020.xml").write_text(f'<fixtures><roundFixtures roundId="2" roundName="Round 2">{GAME.format(g=1)}</roundFixtures></fixtures>')
+    for r, form in ((1, "W"), (2, "WW"), (4, "WWL")):
+        (tmp_path / f"ladders/2020/{r}.xml").write_text(LADDER.format(w=r, form=form))
+    for r in (1, 2):
+        (tmp_path / f"statistics/2020/{r}.xml").write_text(STATISTICS)
+    ladder = xml.ladder_rows(xml.read_documents(spark, str(tmp_path / "ladders/2020"), xml.LADDER_TAG, xml.LADDER_SCHEMA))
+    assert sorted((r["round_id"], r["competition_year"], r["team"], r["wins"], r["points_for"], r["close_games"], r["day_record"]) for r in ladder.collect()) == [(1, 2020, "a", 1.0, 10.0, None, "1-0"), (2, 2020, "a", 2.0, 20.0, None, "1-0")]
+    long = xml.statistic_rows(xml.read_documents(spark, str(tmp_path / "statistics/2020"), xml.STATISTICS_TAG, xml.STATISTICS_SCHEMA.replace("leaderboardStat array", "leaderboardStats struct<leaderboardStat array") + ">").withColumn("leaderboardStat", F.col("leaderboardStats.leaderboardStat")))
+    got = sorted((r["round_id"], r["stat_name"], r["stat_id"], r["team_name"], r["value"], r["rank"], r["appearances"], r["season_id"]) for r in long.filter("team_name = 'a'").collect())
+    assert got == [(1, "Tries", "3", "a", 4.5, 1, 2, "2020"), (2, "Tries", "3", "a", 4.5, 1, 2, "2020")]
+    wide = pivot_statistics(long.withColumns({"competition_id": F.lit("1"), "team": F.col("team_name")}), [*ROUND, "team"], ["Tries"])
+    games = xml.games_from_sides(xml.fixture_sides(xml.read_documents(spark, str(tmp_path / "fixtures"), xml.FIXTURES_TAG, xml.FIXTURES_SCHEMA)))
+    row = assemble(games, ladder, wide).first()
+    assert (row["wins_home_ladder"], row["win_rate_home_ladder"], row["avg_points_for_home_ladder"], row["recent_form_home_ladder"], row["close_games_home_ladder"]) == (1.0, 0.5, 5.0, 1.0, 0.0)
+    assert row["wins_away_ladder"] is None and row["Tries_home_performance"] == 4.5 and row["Tries_away_performance"] == 0.0
 
 
 def test_rounds_stop_at_the_first_gap(spark):

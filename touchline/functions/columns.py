@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 # Bands of the ratio of two probabilities, upper bounds excluded.
 EVIDENCE_BANDS = (
-    (1.0, "Evidence supports Away"),
-    (3.0, "Weak evidence for Home"),
-    (10.0, "Moderate evidence for Home"),
-    (30.0, "Strong evidence for Home"),
-    (100.0, "Very strong evidence for Home"),
+    (1.0, "Negative evidence"),
+    (3.0, "Anecdotal evidence"),
+    (10.0, "Moderate evidence"),
+    (30.0, "Strong evidence"),
+    (100.0, "Very strong evidence"),
 )
-EVIDENCE_TOP = "Decisive evidence for Home"
+EVIDENCE_TOP = "Decisive evidence"
 
 #: Terms of a Poisson distribution; means up to 70 leave out less than 1e-9.
 POISSON_TERMS = 160
@@ -51,11 +51,11 @@ def form_score(form: Column) -> Column:
     return F.regexp_count(form, F.lit("W")) - F.regexp_count(form, F.lit("L"))
 
 
-def bayes_ratio(home: Column, away: Column) -> Column:
+def bayes_factor(home: Column, away: Column) -> Column:
     return F.when(away == 0, F.lit(float("inf"))).otherwise(home / away)
 
 
-def evidence_band(ratio: Column) -> Column:
+def evidence_strength(ratio: Column) -> Column:
     band = F.when(ratio < EVIDENCE_BANDS[0][0], EVIDENCE_BANDS[0][1])
     for bound, label in EVIDENCE_BANDS[1:]:
         band = band.when(ratio < bound, label)

@@ -127,14 +127,13 @@ def with_small_rounds(games: DataFrame, most: int = 5) -> DataFrame:
     return games.join(small_rounds(games, most), [*SEASON, "round_id"], "left")
 
 
-def easy_columns(games: DataFrame) -> DataFrame:
-    """Start hour, weekday, and whether the season is one of the two without crowds."""
-    return games.select(
-        "game_id",
-        F.hour("start_time").cast("long").alias("start_hour"),
-        F.date_format("start_time", "EEEE").alias("weekday"),
-        F.col("competition_year").isin(1996, 1997).alias("closed_season"),
-    )
+def with_easy_columns(games: DataFrame, closed_years: tuple[int, ...] = (2020,)) -> DataFrame:
+    """Adds start_hour, game_day (the weekday's name), corona_season (is the season one of
+    closed_years?) and, where games have both positions, position_diff."""
+    added = {"corona_season": F.col("competition_year").isin(*closed_years), "start_hour": F.hour("start_time").cast("long"), "game_day": F.date_format("start_time", "EEEE")}
+    if {"position_home_ladder", "position_away_ladder"} <= set(games.columns):
+        added["position_diff"] = F.col("position_home_ladder") - F.col("position_away_ladder")
+    return games.withColumns(added)
 
 
 def bye_flags(games: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.columns import bayes_ratio, evidence_band, outcome_probabilities, poisson_terms
+from ..functions.columns import bayes_factor, evidence_strength, outcome_probabilities, poisson_terms
 
 
 def expected_scores(played: DataFrame, ahead: DataFrame) -> DataFrame:
@@ -18,14 +18,15 @@ def expected_scores(played: DataFrame, ahead: DataFrame) -> DataFrame:
 
 
 def prediction_records(scored: DataFrame) -> DataFrame:
-    """game_id, result, three probabilities, the likeliest score and the evidence for the home side.
+    """game_id, result, three probabilities, the likeliest score and margin, and the evidence for the
+    home side: the ratio of both win probabilities and its band.
 
     scored has game_id, home_score_avg, away_score_avg. Probabilities are those of independent
     Poisson scores, exact; the likeliest score of a mean is its whole part. The result is Win if home
     is strictly likelier, else Loss.
     """
     p = scored.withColumn("p", outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg"))).filter("p is not null")
-    ratio = bayes_ratio(F.col("p.home"), F.col("p.away"))
+    ratio = bayes_factor(F.col("p.home"), F.col("p.away"))
     return p.select(
         "game_id",
         F.when(F.col("p.home") > F.col("p.away"), "Win").otherwise("Loss").alias("home_team_result"),
@@ -34,10 +35,11 @@ def prediction_records(scored: DataFrame) -> DataFrame:
         F.col("p.draw").alias("draw_prob"),
         "home_score_avg",
         "away_score_avg",
-        F.floor("home_score_avg").alias("home_score_mode"),
-        F.floor("away_score_avg").alias("away_score_mode"),
-        ratio.alias("bayes_ratio"),
-        evidence_band(ratio).alias("evidence"),
+        F.floor("home_score_avg").alias("predicted_home_score"),
+        F.floor("away_score_avg").alias("predicted_away_score"),
+        (F.floor("home_score_avg") - F.floor("away_score_avg")).alias("predicted_margin"),
+        ratio.alias("bayes_factor"),
+        evidence_strength(ratio).alias("evidence_strength"),
     )
 
 
@@ -74,8 +76,29 @@ def value_picks(predictions: DataFrame, edge: float = SETTINGS.edge) -> DataFram
     return predictions.select("game_id", chosen.alias("s")).select("game_id", "s.*").filter(F.col("price") > F.col("price_min") * edge)
 
 
-def report_lines(predictions: DataFrame) -> DataFrame:
-    """competition_id, report: a block of text for the games of each competition, in order of game_id."""
-    line = F.format_string("%s v %s: %s (%.2f)", "team_home", "team_away", "home_team_result", "home_team_win_prob")
-    ordered = F.array_sort(F.collect_list(F.struct("game_id", line.alias("line"))))
-    return predictions.groupBy("competition_id").agg(F.array_join(F.transform(ordered, lambda s: s["line"]), "\n").alias("report"))
+# Labels of a game's text and the columns that follow them.
+REPORT_LINES = (
+    ("Round Name", "round_name"),
+    ("Home Team Result", "home_team_result"),
+    ("Home Team", "team_home"),
+    ("Home Team Position", "position_home"),
+    ("Home Team Head to Head Price", "odds_home"),
+    ("Away Team", "team_away"),
+    ("Away Team Position", "position_away"),
+    ("Away Team Head to Head Price", "odds_away"),
+)
+PICK_LINES = (("Team", "team"), ("Price", "price"))
+
+
+def report_texts(rows: DataFrame, group: list[str], lines: tuple[tuple[str, str], ...] = REPORT_LINES) -> DataFrame:
+    """The columns of group, and report: a block of labelled lines for each row, in order of game_id.
+
+    Nulls are shown as `None`, doubles with two digits. A group becomes one text, so it should be
+    small, such as a competition's round.
+    """
+    kinds = dict(rows.dtypes)
+    shown = lambda c: F.format_string("%.2f", c) if kinds[c] == "double" else F.col(c).cast("string")
+    line = lambda label, c: F.concat(F.lit(f"{label}: "), F.when(F.col(c).isNull(), "None").otherwise(shown(c)))
+    block = F.concat_ws("\n", *(line(label, c) for label, c in lines))
+    ordered = F.array_sort(F.collect_list(F.struct("game_id", block.alias("block"))))
+    return rows.groupBy(*group).agg(F.array_join(F.transform(ordered, lambda s: s["block"]), "\n\n").alias("report"))

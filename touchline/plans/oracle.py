@@ -22,6 +22,8 @@ def home_away(*columns: str) -> str:
 
 
 SEASON = "competition_id, competition_year"
+POSITION = "CAST(substr(team_{}, 2) AS BIGINT) + 1"
+RATES = {"win_rate": "wins", "draw_rate": "draws", "loss_rate": "losses", "avg_points_for": "points_for", "avg_points_against": "points_against"}
 RATED = ("wins", "losses", "draws", "points_for", "points_against")
 SIGNED = "CASE WHEN own > other THEN 1 WHEN own < other THEN -1 ELSE 0 END"
 BINOMIAL = "CASE WHEN score_home >= score_away THEN 'Win' WHEN score_home < score_away THEN 'Loss' END"
@@ -56,6 +58,7 @@ ladder AS (
 entering AS (
   SELECT {SEASON}, round_id, team, {', '.join(f'coalesce(lag({x}) OVER t, 0) AS {x}' for x in RATED)}
   FROM ladder WINDOW t AS (PARTITION BY {SEASON}, team ORDER BY round_id))"""
+NO_GAP = f"QUALIFY dense_rank() OVER (PARTITION BY {SEASON} ORDER BY round_id) = round_id"
 WIDE = f"""wide AS (
   SELECT season_id, round_number, team, {', '.join(f"coalesce(max(value) FILTER (stat_name = '{s}'), 0) AS {s}" for s in ('flag_a', 'flag_n', 'flag_r'))} FROM statistics GROUP BY ALL)"""
 
@@ -83,7 +86,12 @@ records AS (
 
 
 PREDICTED = (GAMES_SQL, EXPECTED, chances("Pre Game"))
-BAND = "CASE " + " ".join(f"WHEN ratio < {b} THEN '{t}'" for b, t in EVIDENCE_BANDS) + f" ELSE '{EVIDENCE_TOP}' END AS evidence"
+PICKS = f"""picks AS (SELECT * FROM (
+  SELECT game_id, competition_id, team_home AS team, odds_home AS price, 1 / nullif(home_team_win_prob, 0) AS price_min FROM records WHERE home_team_result = 'Win'
+  UNION ALL SELECT game_id, competition_id, team_away, odds_away, 1 / nullif(home_team_lose_prob, 0) FROM records WHERE home_team_result = 'Loss') WHERE price > price_min * {SETTINGS.edge})"""
+BAND = "CASE " + " ".join(f"WHEN ratio < {b} THEN '{t}'" for b, t in EVIDENCE_BANDS) + f" ELSE '{EVIDENCE_TOP}' END AS evidence_strength"
+SCORELINE = ", ".join(f"CAST({e} AS BIGINT) AS predicted_{n}" for n, e in (("home_score", "floor(home_score_avg)"), ("away_score", "floor(away_score_avg)"), ("margin", "floor(home_score_avg) - floor(away_score_avg)")))
+PRICE = "coalesce(format('{{:.2f}}', {}), 'None')"
 LABELS = "(VALUES ('home'), ('away'), ('draw')) l(label)"
 JUDGED = f"""judged AS (
   SELECT *, {OUTCOME} AS actual,
@@ -123,7 +131,8 @@ ORACLE_SQL: dict[str, str] = {
     "fixture_result_elo": f"""{with_(GAMES_SQL)} SELECT game_id, {r('h')} AS home_result, {r('1 - h')} AS away_result, {r('abs(score_home - score_away)')} AS margin
         FROM (SELECT *, CASE WHEN score_home > score_away THEN 1.0 WHEN score_home < score_away THEN 0.0 WHEN score_home = score_away THEN 0.5 END AS h FROM games)""",
     "game_outcome": f"{with_(GAMES_SQL)} SELECT game_id, {OUTCOME} AS outcome FROM games",
-    "easy_pickings": f"{with_(GAMES_SQL)} SELECT game_id, CAST(hour(start_time) AS BIGINT) AS start_hour, dayname(start_time) AS weekday, competition_year IN (1996, 1997) AS closed_season FROM games",
+    "easy_pickings": f"""{with_(GAMES_SQL)} SELECT game_id, {POSITION.format('home')} - ({POSITION.format('away')}) AS position_diff, competition_year IN (1996, 1997) AS corona_season,
+        CAST(hour(start_time) AS BIGINT) AS start_hour, dayname(start_time) AS game_day FROM games""",
     "prev_result": f"{with_(GAMES_SQL, PREVIOUS)} SELECT game_id, {r('prev_result_home')} AS prev_result_home, {r('prev_result_away')} AS prev_result_away, {r('prev_result_diff')} AS prev_result_diff FROM previous",
     "turn_around": f"""{with_(GAMES_SQL, SIDES_SQL, GAPS)} SELECT game_id, {r('turn_around_home')} AS turn_around_home, {r('turn_around_away')} AS turn_around_away,
         {r('turn_around_home - turn_around_away')} AS turn_around_diff FROM turned""",
@@ -146,7 +155,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM games JOIN previous USING (game_id) JOIN turned USING (game_id) JOIN matchup USING (game_id) JOIN rounds USING (competition_id, competition_year, round_id)
         JOIN (SELECT competition_id, min(competition_year) AS first_year FROM games GROUP BY ALL) USING (competition_id) WHERE competition_year <> first_year""",
     "ladder_entering_round": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT * FROM entering",
-    "ladder_rates": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT {SEASON}, round_id, team, {', '.join(f'{r(f'{x} / round_id')} AS {x}_rate' for x in RATED)} FROM entering",
+    "ladder_rates": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT {SEASON}, round_id, team, {', '.join(f'{r(f'{x} / round_id')} AS {n}' for n, x in RATES.items())} FROM entering",
     "form_string_score": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT {SEASON}, round_id, team, recent_form, CAST(len(replace(replace(recent_form, 'L', ''), 'D', '')) - len(replace(replace(recent_form, 'W', ''), 'D', '')) AS BIGINT) AS form_score FROM ladder",
     "home_away_ladder_join": f"""{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT game_id, h.wins AS wins_home_ladder, a.wins AS wins_away_ladder, h.points_for AS points_for_home_ladder, a.points_for AS points_for_away_ladder
         FROM games g LEFT JOIN entering h ON g.competition_id = h.competition_id AND g.competition_year = h.competition_year AND g.round_id = h.round_id AND g.team_home = h.team
@@ -156,8 +165,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT game_id, {', '.join(f'{t}.{s} AS {s}_{n}_performance' for s in ('flag_a', 'flag_n', 'flag_r') for t, n in (('h', 'home'), ('a', 'away')))} FROM games g
         LEFT JOIN b h ON g.competition_year = h.season_id AND g.round_id = h.round_number AND g.team_home = h.team
         LEFT JOIN b a ON g.competition_year = a.season_id AND g.round_id = a.round_number AND g.team_away = a.team""",
-    "xml_fixtures_roundtrip": f"{with_(GAMES_SQL)} SELECT competition_id, competition_year, round_id, round_name, game_id, game_state_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, team_home, team_away, score_home, score_away FROM games",
-    "xml_ladder": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT {SEASON}, round_id, team, wins, losses, points_for FROM ladder",
+    "xml_fixtures_roundtrip": f"{with_(GAMES_SQL)} SELECT competition_id, competition_year, round_id, round_name, game_id, game_state_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, venue_name, crowd, team_home, team_away, score_home, score_away, {r('odds_home')} AS odds_home, {r('odds_away')} AS odds_away FROM games",
+    "xml_ladder": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT {SEASON}, round_id, team, {', '.join(RATED)} FROM ladder {NO_GAP}",
+    "assembled_games": f"""{with_(GAMES_SQL, SIDES_SQL, LADDER)}, kept AS (SELECT * FROM ladder {NO_GAP}),
+        b AS (SELECT {SEASON}, round_id, team, coalesce(lag(wins) OVER t, 0) AS wins, coalesce(lag(points_for) OVER t, 0) AS points_for, coalesce(lag(form) OVER t, 0) AS form
+          FROM (SELECT *, CAST(len(regexp_replace(recent_form, '[^W]', '', 'g')) - len(regexp_replace(recent_form, '[^L]', '', 'g')) AS DOUBLE) AS form FROM kept)
+          WINDOW t AS (PARTITION BY {SEASON}, team ORDER BY round_id))
+        SELECT game_id, {', '.join(f"{t}.wins AS wins_{n}_ladder, {t}.form AS recent_form_{n}_ladder, {r(f'{t}.wins / g.round_id')} AS win_rate_{n}_ladder, {r(f'{t}.points_for / g.round_id')} AS avg_points_for_{n}_ladder" for t, n in (('h', 'home'), ('a', 'away')))} FROM games g
+        LEFT JOIN b h ON g.competition_id = h.competition_id AND g.competition_year = h.competition_year AND g.round_id = h.round_id AND g.team_home = h.team
+        LEFT JOIN b a ON g.competition_id = a.competition_id AND g.competition_year = a.competition_year AND g.round_id = a.round_id AND g.team_away = a.team""",
     "xml_performance": f"{with_(STATISTICS_SQL)} SELECT CAST(season_id AS VARCHAR) AS season_id, CAST(round_number AS VARCHAR) AS round_number, stat_name, team, {r('value')} AS value FROM statistics",
     "stop_at_gap": f"""{with_(GAMES_SQL)} SELECT competition_year, round_id FROM (SELECT *, row_number() OVER (PARTITION BY competition_year ORDER BY round_id) AS n FROM (
         SELECT DISTINCT competition_year, round_id FROM games WHERE NOT (competition_year = 1996 AND round_id = 4) AND NOT (competition_year = 1998 AND round_id = 1))) WHERE n = round_id""",
@@ -179,18 +195,19 @@ ORACLE_SQL: dict[str, str] = {
           {r('p * (1 - draw_rate) - (1 - p) * (1 - draw_rate)')} AS elo_prob_diff FROM bucketed JOIN drawn USING (bucket)""",
     "elo_k_sweep": f"""{recursive(GAMES_SQL, ratings([30.0, 50.0, 70.0]))} SELECT k, {r('avg(-ln(greatest(CASE WHEN w > 0.5 THEN p ELSE 1 - p END, 1e-15)))')} AS log_loss, count(*) AS games FROM rated WHERE w IS NOT NULL AND w <> 0.5 GROUP BY k""",
     "poisson_outcome": f"{with_(*PREDICTED)} SELECT game_id, {', '.join(f'{r(x)} AS {x}' for x in ('home_score_avg', 'away_score_avg', 'home_team_win_prob', 'home_team_lose_prob', 'draw_prob'))} FROM records",
-    "bayes_evidence": f"{with_(*PREDICTED)} SELECT game_id, {BAND}, round(least(ratio, 1e9), 4) AS bayes_ratio FROM records",
-    "modal_scoreline": f"{with_(*PREDICTED)} SELECT game_id, CAST(floor(home_score_avg) AS BIGINT) AS home_score_mode, CAST(floor(away_score_avg) AS BIGINT) AS away_score_mode FROM records",
+    "bayes_evidence": f"{with_(*PREDICTED)} SELECT game_id, {BAND}, round(least(ratio, 1e9), 4) AS bayes_factor FROM records",
+    "modal_scoreline": f"{with_(*PREDICTED)} SELECT game_id, {SCORELINE} FROM records",
     "prediction_record": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, {', '.join(f'{r(x)} AS {x}' for x in ('home_team_win_prob', 'home_team_lose_prob', 'draw_prob', 'home_score_avg', 'away_score_avg'))},
-        CAST(floor(home_score_avg) AS BIGINT) AS home_score_mode, CAST(floor(away_score_avg) AS BIGINT) AS away_score_mode, {BAND} FROM records""",
+        {SCORELINE}, {BAND} FROM records""",
     "predictions_upsert": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, {r('CASE WHEN game_id % 3 = 0 THEN home_team_win_prob / 2 ELSE home_team_win_prob END')} AS home_team_win_prob,
         {r('home_team_lose_prob')} AS home_team_lose_prob FROM records WHERE game_id % 2 = 0 OR game_id % 3 = 0""",
-    "prediction_report": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, team_home, {r('odds_home')} AS odds_home, team_away, {r('odds_away')} AS odds_away, {r('home_team_win_prob')} AS home_team_win_prob,
+    "prediction_report": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, team_home, {POSITION.format('home')} AS position_home, {r('odds_home')} AS odds_home, team_away, {POSITION.format('away')} AS position_away, {r('odds_away')} AS odds_away, {r('home_team_win_prob')} AS home_team_win_prob,
         {r('home_team_lose_prob')} AS home_team_lose_prob, round_id, competition_year, round_name FROM records WHERE round_id = (SELECT min(round_id) FROM games WHERE game_state_name = 'Pre Game')""",
-    "value_picks": f"""{with_(*PREDICTED)} SELECT game_id, team, {r('price')} AS price, {r('price_min')} AS price_min FROM (
-        SELECT game_id, team_home AS team, odds_home AS price, 1 / nullif(home_team_win_prob, 0) AS price_min FROM records WHERE home_team_result = 'Win'
-        UNION ALL SELECT game_id, team_away, odds_away, 1 / nullif(home_team_lose_prob, 0) FROM records WHERE home_team_result = 'Loss') WHERE price > price_min * {SETTINGS.edge}""",
-    "report_text": f"""{with_(*PREDICTED)} SELECT competition_id, string_agg(format('{{}} v {{}}: {{}} ({{:.2f}})', team_home, team_away, home_team_result, home_team_win_prob), chr(10) ORDER BY game_id) AS report FROM records GROUP BY ALL""",
+    "value_picks": f"""{with_(*PREDICTED, PICKS)} SELECT game_id, team, {r('price')} AS price, {r('price_min')} AS price_min FROM picks""",
+    "pick_text": f"""{with_(*PREDICTED, PICKS)} SELECT competition_id, string_agg('Team: ' || team || chr(10) || 'Price: ' || {PRICE.format('price')}, chr(10) || chr(10) ORDER BY game_id) AS report FROM picks GROUP BY ALL""",
+    "report_text": f"""{with_(*PREDICTED)} SELECT {SEASON}, round_id, string_agg(concat_ws(chr(10), 'Round Name: ' || round_name, 'Home Team Result: ' || home_team_result,
+        'Home Team: ' || team_home, 'Home Team Position: ' || ({POSITION.format('home')}), 'Home Team Head to Head Price: ' || {PRICE.format('odds_home')},
+        'Away Team: ' || team_away, 'Away Team Position: ' || ({POSITION.format('away')}), 'Away Team Head to Head Price: ' || {PRICE.format('odds_away')}), chr(10) || chr(10) ORDER BY game_id) AS report FROM records GROUP BY ALL""",
     "confusion_matrix": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)} SELECT label AS actual, {', '.join(f"count(*) FILTER (foretold = '{x}') AS predicted_{x}" for x in ('home', 'away', 'draw'))} FROM {LABELS} LEFT JOIN judged ON actual = label GROUP BY ALL""",
     "classification_report": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)}, cells AS (SELECT label, count(*) FILTER (actual = label AND foretold = label) AS tp, count(*) FILTER (foretold = label) AS called, count(*) FILTER (actual = label) AS support FROM judged, {LABELS} GROUP BY ALL),
         ratios AS (SELECT *, coalesce(tp / nullif(called, 0), 0) AS pr, coalesce(tp / nullif(support, 0), 0) AS re FROM cells)

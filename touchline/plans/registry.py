@@ -40,6 +40,11 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(kinds[kind](n) if kind in kinds else F.col(n) for n, kind in df.dtypes))
 
 
+def with_positions(df: DataFrame) -> DataFrame:
+    """A made-up place in the standings for each team: its number."""
+    return df.withColumns({f"position_{side}_ladder": F.expr(f"CAST(substr(team_{side}, 2) AS bigint) + 1") for side in ("home", "away")})
+
+
 def text_time(df: DataFrame) -> DataFrame:
     return df.withColumn("start_time", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"))
 
@@ -70,7 +75,7 @@ def game_outcome(spark, sf):
 
 @query
 def easy_pickings(spark, sf):
-    return features.easy_columns(games(spark, sf))
+    return features.with_easy_columns(with_positions(games(spark, sf)), closed_years=(1996, 1997)).select("game_id", "position_diff", "corona_season", "start_hour", "game_day")
 
 
 # --- panel windows
@@ -129,7 +134,7 @@ def ladder_entering_round(spark, sf):
 @query
 def ladder_rates(spark, sf):
     rated = standings.rates(standings.entering_round(standings.ladder(games(spark, sf))))
-    return rated.select(*standings.ROUND, "team", *(f"{n}_rate" for n in standings.RATED))
+    return rated.select(*standings.ROUND, "team", *(n for n, total in standings.RATES.items() if total in standings.TOTALS))
 
 
 @query
@@ -165,38 +170,61 @@ def performance_join(spark, sf):
 # --- sources
 
 
-@query
-def xml_fixtures_roundtrip(spark, sf):
-    team = lambda side, home: F.struct(F.lit(home).alias("_isHomeTeam"), F.col(f"score_{side}").cast("string").alias("_teamFinalScore"), F.col(f"team_{side}").alias("_teamName"))
+def as_text(names: dict[str, str]) -> list:
+    """Columns as attributes: attribute name to column."""
+    return [F.col(c).cast("string").alias(f"_{name}") for name, c in names.items()]
+
+
+def fixture_documents(spark, sf) -> DataFrame:
+    """The games written as documents, and read again."""
+    team = lambda side, home: F.struct(F.lit(home).alias("_isHomeTeam"), *as_text({"team": f"team_{side}", "teamFinalScore": f"score_{side}", "teamHeadToHeadOdds": f"odds_{side}"}))
     game = F.struct(
-        F.col("game_id").cast("string").alias("_gameId"), F.col("game_state_name").alias("_gameStateName"), F.col("start_time").cast("string").alias("_startTime"), F.col("venue_name").alias("_venueName"),
+        *as_text({"gameId": "game_id", "gameStateName": "game_state_name", "startTime": "start_time", "venueName": "venue_name", "crowd": "crowd"}),
         F.struct(F.array(team("home", "true"), team("away", "false")).alias("team")).alias("teams"),
+    )
+    rounds = games(spark, sf).groupBy("competition_id", "competition_year", "round_id", "round_name").agg(F.collect_list(game).alias("gameFixture"))
+    document = F.struct(*as_text({"roundId": "round_id", "roundName": "round_name"}), "gameFixture")
+    texts = rounds.select("competition_id", "competition_year", xml.to_text(document, xml.FIXTURES_TAG).alias("document"))
+    return xml.parse(texts, "document", xml.FIXTURES_TAG, xml.FIXTURES_SCHEMA)
+
+
+def ladder_documents(spark, sf) -> DataFrame:
+    place = F.struct(*as_text({"teamName": "team", "wins": "wins", "draws": "draws", "losses": "losses", "pointsFor": "points_for", "pointsAgainst": "points_against", "recentForm": "recent_form"}))
+    rounds = standings.ladder(games(spark, sf)).groupBy(*standings.ROUND).agg(F.collect_list(place).alias("ladderposition"))
+    texts = rounds.select("competition_id", "competition_year", F.col("round_id").alias("document_round"), xml.to_text(F.struct("ladderposition"), xml.LADDER_TAG).alias("document"))
+    return xml.parse(texts, "document", xml.LADDER_TAG, xml.LADDER_SCHEMA)
+
+
+@query
+def xml_fixtures_roundtrip(spark, sf):
+    found = xml.panel_games(xml.games_from_sides(xml.fixture_sides(fixture_documents(spark, sf))))
+    return text_time(found).select(
+        "competition_id", "competition_year", "round_id", "round_name", "game_id", "game_state_name", "start_time", "venue_name", "crowd",
+        "team_home", "team_away", "score_home", "score_away", "odds_home", "odds_away",
     )
-    rounds = games(spark, sf).groupBy("competition_id", "competition_year", "round_id", "round_name").agg(F.array_sort(F.collect_list(game)).alias("gameFixture"))
-    document = F.struct(F.col("competition_id").alias("_competitionId"), F.col("competition_year").cast("string").alias("_competitionYear"), F.col("round_id").cast("string").alias("_roundId"), F.col("round_name").alias("_roundName"), "gameFixture")
-    texts = rounds.select(xml.to_text(document, xml.FIXTURES_TAG).alias("document"))
-    return text_time(xml.games_from_sides(xml.fixture_sides(xml.parse(texts, "document", xml.FIXTURES_TAG, xml.FIXTURES_SCHEMA))))
 
 
 @query
 def xml_ladder(spark, sf):
-    place = F.struct(
-        F.col("losses").cast("string").alias("_losses"), F.col("points_for").cast("string").alias("_pointsFor"), F.col("recent_form").alias("_recentForm"), F.col("team").alias("_teamName"), F.col("wins").cast("string").alias("_wins")
-    )
-    rounds = standings.ladder(games(spark, sf)).groupBy(*standings.ROUND).agg(F.collect_list(place).alias("ladderPosition"))
-    document = F.struct(F.col("competition_id").alias("_competitionId"), F.col("competition_year").cast("string").alias("_competitionYear"), F.col("round_id").cast("string").alias("_roundId"), "ladderPosition")
-    texts = rounds.select(xml.to_text(document, xml.LADDER_TAG).alias("document"))
-    return xml.ladder_rows(xml.parse(texts, "document", xml.LADDER_TAG, xml.LADDER_SCHEMA)).drop("recent_form")
+    return xml.ladder_rows(ladder_documents(spark, sf)).select(*standings.ROUND, "team", *standings.TOTALS)
 
 
 @query
 def xml_performance(spark, sf):
-    leader = F.struct(F.col("team").alias("_teamName"), F.col("value").cast("string").alias("_value"))
-    boards = statistics(spark, sf).groupBy("season_id", "round_number", "stat_name").agg(F.collect_list(leader).alias("leader"))
-    rounds = boards.groupBy("season_id", "round_number").agg(F.collect_list(F.struct(F.col("stat_name").alias("_statName"), "leader")).alias("leaderboard"))
-    document = F.struct(F.col("round_number").cast("string").alias("_roundNumber"), F.col("season_id").cast("string").alias("_seasonId"), "leaderboard")
+    entry = F.struct(*as_text({"TeamName": "team", "Value": "value"}))
+    boards = statistics(spark, sf).groupBy("season_id", "round_number", "stat_name").agg(F.collect_list(entry).alias("leaderboardEntry"))
+    stat = F.struct(*as_text({"ID": "stat_name", "statName": "stat_name"}), "leaderboardEntry")
+    rounds = boards.groupBy("season_id", "round_number").agg(F.collect_list(stat).alias("leaderboardStat"))
+    document = F.struct(*as_text({"seasonId": "season_id", "roundNumber": "round_number"}), "leaderboardStat")
     texts = rounds.select(xml.to_text(document, xml.STATISTICS_TAG).alias("document"))
-    return xml.statistic_rows(xml.parse(texts, "document", xml.STATISTICS_TAG, xml.STATISTICS_SCHEMA))
+    return xml.statistic_rows(xml.parse(texts, "document", xml.STATISTICS_TAG, xml.STATISTICS_SCHEMA)).select("season_id", "round_number", "stat_name", F.col("team_name").alias("team"), "value")
+
+
+@query
+def assembled_games(spark, sf):
+    found = xml.games_from_sides(xml.fixture_sides(fixture_documents(spark, sf)))
+    joined = standings.assemble(found, xml.ladder_rows(ladder_documents(spark, sf)))
+    return joined.select("game_id", *(f"{n}_{side}_ladder" for n in ("wins", "recent_form", "win_rate", "avg_points_for") for side in ("home", "away")))
 
 
 @query
@@ -277,7 +305,8 @@ def predicted(spark, sf) -> DataFrame:
 
 
 def predicted_games(spark, sf) -> DataFrame:
-    return predicted(spark, sf).join(games(spark, sf), "game_id")
+    found = predicted(spark, sf).join(with_positions(games(spark, sf)), "game_id")
+    return found.withColumnsRenamed({"position_home_ladder": "position_home", "position_away_ladder": "position_away"})
 
 
 @query
@@ -287,17 +316,17 @@ def poisson_outcome(spark, sf):
 
 @query
 def bayes_evidence(spark, sf):
-    return predicted(spark, sf).select("game_id", "evidence", F.round(F.least("bayes_ratio", F.lit(1e9)), 4).alias("bayes_ratio"))
+    return predicted(spark, sf).select("game_id", "evidence_strength", F.round(F.least("bayes_factor", F.lit(1e9)), 4).alias("bayes_factor"))
 
 
 @query
 def modal_scoreline(spark, sf):
-    return predicted(spark, sf).select("game_id", "home_score_mode", "away_score_mode")
+    return predicted(spark, sf).select("game_id", "predicted_home_score", "predicted_away_score", "predicted_margin")
 
 
 @query
 def prediction_record(spark, sf):
-    return predicted(spark, sf).drop("bayes_ratio")
+    return predicted(spark, sf).drop("bayes_factor")
 
 
 @query
@@ -311,10 +340,11 @@ def predictions_upsert(spark, sf):
 @query
 def prediction_report(spark, sf):
     predicted(spark, sf).createOrReplaceTempView("touchline_predictions")
-    games(spark, sf).createOrReplaceTempView("touchline_games")
+    with_positions(games(spark, sf)).createOrReplaceTempView("touchline_games")
     return spark.sql("""
         WITH next_round AS (SELECT min(round_id) AS round_id FROM touchline_games WHERE game_state_name = 'Pre Game')
-        SELECT p.game_id, p.home_team_result, g.team_home, g.odds_home, g.team_away, g.odds_away,
+        SELECT p.game_id, p.home_team_result, g.team_home, g.position_home_ladder AS position_home, g.odds_home,
+          g.team_away, g.position_away_ladder AS position_away, g.odds_away,
           p.home_team_win_prob, p.home_team_lose_prob, g.round_id, g.competition_year, g.round_name
         FROM touchline_predictions p LEFT JOIN touchline_games g ON p.game_id = g.game_id
         WHERE g.game_state_name = 'Pre Game' AND g.round_id = (SELECT round_id FROM next_round)""")
@@ -327,7 +357,13 @@ def value_picks(spark, sf):
 
 @query
 def report_text(spark, sf):
-    return prediction.report_lines(predicted_games(spark, sf))
+    return prediction.report_texts(predicted_games(spark, sf), standings.ROUND)
+
+
+@query
+def pick_text(spark, sf):
+    picks = prediction.value_picks(predicted_games(spark, sf)).join(games(spark, sf).select("game_id", "competition_id"), "game_id")
+    return prediction.report_texts(picks, ["competition_id"], prediction.PICK_LINES)
 
 
 # --- evaluation
