@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from touchline.operators import features, ratings, standings
 from touchline.operators.cleaning import drop_first_season, fill_nulls, inference_games, lump_levels, training_games
 from touchline.functions.columns import evidence_strength
+from touchline.operators.evaluation import best_cutoff, kappa_by_cutoff
+from touchline.operators.models import eliminate_predictors
 from touchline.operators.prediction import PICK_LINES, prediction_records, report_texts, simulate, value_picks
 
 SCHEMA = "game_id long, competition_id string, competition_year long, round_id long, round_name string, start_time timestamp_ntz, team_home string, team_away string, game_state_name string, score_home double, score_away double, odds_home double, odds_away double"
@@ -139,3 +141,16 @@ def test_evidence_bands_are_half_open(spark):
 def test_report_texts(spark):
     rows = spark.createDataFrame([(2, "c", "b", None), (1, "c", "a", 1.5)], "game_id long, competition_id string, team string, price double")
     assert report_texts(rows, ["competition_id"], PICK_LINES).first()["report"] == "Team: a\nPrice: 1.50\n\nTeam: b\nPrice: None"
+
+
+def test_cutoff_of_most_agreement(spark):
+    rows = spark.createDataFrame([(1, 0.9), (1, 0.62), (0, 0.6), (0, 0.1), (1, None), (None, 0.5)], "y int, p double")
+    table = {r["cutoff_no"]: r for r in kappa_by_cutoff(rows, F.col("y"), F.col("p"), 50).collect()}
+    assert (table[31]["tp"], table[31]["fp"], table[31]["kappa"]) == (2, 0, 1.0) and table[5]["kappa"] == pytest.approx(0.0) and max(table) == 45
+    assert best_cutoff(rows, F.col("y"), F.col("p"), 50).first()["cutoff"] == 0.62
+    assert not kappa_by_cutoff(rows.limit(0), F.col("y"), F.col("p")).count()
+
+
+def test_elimination_keeps_what_matters(spark):
+    df = spark.range(400).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("t"), F.col("id") % 3).alias("noise"), (F.col("id") * 37 % 11).cast("double").alias("other"), F.round(F.exp(F.col("id") % 7 / 3)).alias("score"))
+    assert eliminate_predictors(df, ["other", "x", "noise"], "score", 1) == ["x"]

@@ -60,6 +60,28 @@ def roc_points(df: DataFrame, actual: str, predicted: str, labels: list[str]) ->
     return sums.withColumn("auc", (1 + F.col("tpr") - F.col("fpr")) / 2)
 
 
+def kappa_by_cutoff(df: DataFrame, positive: Column, score: Column, steps: int = 100) -> DataFrame:
+    """cutoff_no, cutoff, tp, fp, kappa: agreement beyond chance of `positive` with score >= cutoff,
+    for the cutoffs 1 / steps, 2 / steps, ... up to the largest score.
+
+    Scores lie in [0, 1]. Rows are counted by step first, so steps + 1 rows remain at most; null
+    scores and labels are passed over.
+    """
+    rows = df.select(positive.cast("long").alias("y"), F.floor(F.round(score, 9) * steps).alias("step")).filter("y is not null and step is not null")
+    counts = rows.groupBy("step").agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    called = counts.filter("step >= 1").withColumn("cutoff_no", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("step"), F.lit(steps - 1).cast("long")))))
+    found = called.groupBy("cutoff_no").agg(F.sum("y").alias("tp"), F.sum(F.col("n") - F.col("y")).alias("fp"))
+    n, p, m = counts.select(F.sum("n")).scalar(), counts.select(F.sum("y")).scalar(), F.col("tp") + F.col("fp")
+    agreed = (F.col("tp") + n - p - F.col("fp")) / n.cast("double")
+    chance = (m * p + (n - m) * (n - p)) / (n.cast("double") * n)
+    return found.select("cutoff_no", (F.col("cutoff_no") / float(steps)).alias("cutoff"), "tp", "fp", F.coalesce(F.try_divide(agreed - chance, 1 - chance), F.lit(0.0)).alias("kappa"))
+
+
+def best_cutoff(df: DataFrame, positive: Column, score: Column, steps: int = 100) -> DataFrame:
+    """The row of kappa_by_cutoff with the largest kappa, the smallest cutoff of equals."""
+    return kappa_by_cutoff(df, positive, score, steps).orderBy(F.desc("kappa"), "cutoff_no").limit(1)
+
+
 def log_loss(df: DataFrame, actual: str, probabilities: dict[str, str], floor: float = 1e-15) -> DataFrame:
     """Mean of minus the logarithm of the actual label's probability."""
     p = F.coalesce(*(F.when(F.col(actual) == label, F.col(c)) for label, c in probabilities.items()))

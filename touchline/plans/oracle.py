@@ -220,6 +220,10 @@ ORACLE_SQL: dict[str, str] = {
         SELECT label, {r('tpr')} AS tpr, {r('fpr')} AS fpr, {r('(1 + tpr - fpr) / 2')} AS auc FROM rates""",
     "log_loss": f"""{with_(GAMES_SQL, EXPECTED, chances('Final'))}, p AS (SELECT CASE {OUTCOME} WHEN 'home' THEN home_team_win_prob WHEN 'away' THEN home_team_lose_prob WHEN 'draw' THEN draw_prob END AS p FROM records)
         SELECT {r('avg(-ln(greatest(p, 1e-15)))')} AS log_loss, count(p) AS games FROM p""",
+    "kappa_cutoffs": f"""{with_(GAMES_SQL, EXPECTED, chances('Final'))}, s AS (SELECT {OUTCOME} = 'home' AS y, floor(round(home_team_win_prob, 9) * 20) AS step FROM records WHERE score_home IS NOT NULL AND score_away IS NOT NULL),
+        counts AS (SELECT k, count(*) FILTER (y AND step >= k) AS tp, count(*) FILTER (NOT y AND step >= k) AS fp, CAST(count(*) FILTER (y) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM s, range(1, 20) t(k) GROUP BY k),
+        rates AS (SELECT *, (tp + n - p - fp) / n AS agreed, ((tp + fp) * p + (n - tp - fp) * (n - p)) / (n * n) AS chance FROM counts WHERE tp + fp > 0)
+        SELECT k AS cutoff_no, {r('k / 20')} AS cutoff, tp, fp, {r('coalesce((agreed - chance) / nullif(1 - chance, 0), 0)')} AS kappa FROM rates""",
     "crosstab_nulls": f"{with_(GAMES_SQL)} SELECT coalesce(round_name, 'missing') AS round_name, count(crowd) AS n_known, count(*) FILTER (crowd IS NULL) AS n_missing FROM games GROUP BY ALL",
     "profile_summary": with_(GAMES_SQL)
     + " UNION ALL ".join(

@@ -400,10 +400,20 @@ def roc_points(spark, sf):
     return evaluation.roc_points(judged(spark, sf), "actual", "foretold", LABELS)
 
 
+def judged_chances(spark, sf) -> DataFrame:
+    """Outcomes of played games and their probabilities ph, pa, pd."""
+    found = judged(spark, sf).withColumn("p", c.outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg")))
+    return found.select("actual", F.col("p.home").alias("ph"), F.col("p.away").alias("pa"), F.col("p.draw").alias("pd"))
+
+
+@query
+def kappa_cutoffs(spark, sf):
+    return evaluation.kappa_by_cutoff(judged_chances(spark, sf), F.col("actual") == "home", F.col("ph"), 20)
+
+
 @query
 def log_loss(spark, sf):
-    p = judged(spark, sf).withColumn("p", c.outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg"))).select("actual", F.col("p.home").alias("ph"), F.col("p.away").alias("pa"), F.col("p.draw").alias("pd"))
-    return evaluation.log_loss(p, "actual", {"home": "ph", "away": "pa", "draw": "pd"})
+    return evaluation.log_loss(judged_chances(spark, sf), "actual", {"home": "ph", "away": "pa", "draw": "pd"})
 
 
 @query
