@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from touchline.llm.common import materialize, remainder, table
 from touchline.llm.decontaminate import remove_contamination
-from touchline.llm.language import UNKNOWN, fit_language, predict_language
+from touchline.llm.language import fit_language, predict_language
 from touchline.llm.minhash import deduplicate
 from touchline.llm.mixing import mix
 from touchline.llm.toxicity import fit_toxicity, score_toxicity
@@ -28,10 +28,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have letters of a language: those without any, and those in no language that the
-    labelled documents are in, go. Ambiguous documents stay: mixed languages are clean."""
+    labelled documents are in (lang_foreign), go. Ambiguous documents stay: mixed languages are clean."""
     ship_package(spark)
     model = fit_language(docs.select("doc_id", "text", "lang"), training=remainder("doc_id", 4) != 2)
-    return predict_language(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return predict_language(docs, model).filter(~F.col("lang_foreign")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

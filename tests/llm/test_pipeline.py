@@ -89,3 +89,17 @@ def test_run_is_the_stages(spark, tables):
     rows = corpus_pipeline.run(spark, tables)
     assert rows.count() and {"doc_id", "copies", "taken"} <= set(rows.columns)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "decontamination", "mixture"]
+
+
+def test_language_stage_drops_languages_without_labels(spark):
+    rng = random.Random(21)
+    spoken = {"aa": ["ka", "to", "mi", "re"], "bb": ["sch", "ung", "ber", "ei"], "cc": ["ção", "ñe", "ó", "lha"], None: ["αλ", "ος", "ει", "ντ"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(spoken[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    langs = list(spoken)
+    rows = [(i, text(langs[i % 4], rng.randrange(5, 80)), langs[i % 4]) for i in range(800)]
+    rows += [(i, f"{text('aa', 40)} {text('bb', 40)}", "aa") for i in range(800, 840)]  # mixed
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, d, "").collect()}
+    unseen = {i for i, _, lang in rows if lang is None}
+    assert len(kept & unseen) <= 0.05 * len(unseen)
+    assert len(kept - unseen) >= 0.98 * (len(rows) - len(unseen))

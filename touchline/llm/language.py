@@ -26,6 +26,12 @@ LANGUAGES = 200
 CHARS, TEXTS = 400_000, 128
 #: The best language's share of the score below which a document counts as ambiguous.
 AMBIGUOUS = 0.6
+#: A text is foreign if its decoding loss and its likeness to the nearest languages are both worse than in
+#: all but these shares of the documents set aside in training, and of their beginnings, of its length;
+#: never if its bits fit the codeword with this mean probability.
+LOSS_ABOVE, LIKENESS_BELOW, SURE = 0.02, 0.05, 0.93
+#: Texts of that length from which a limit is set, at least.
+ENOUGH = 20
 UNKNOWN = "und"
 
 
@@ -84,6 +90,34 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     return best
 
 
+def _length(codes: list[np.ndarray]) -> np.ndarray:
+    """Binary logarithms of the texts' letters."""
+    return np.log2(np.maximum(1, np.fromiter(map(len, codes), np.int64, len(codes)))).astype(np.int64)
+
+
+def _beginning(codes: np.ndarray) -> np.ndarray:
+    """The first 8, 16, ... or 1024 letters of a text, by a hash of it."""
+    return codes[: 8 << int(mix64(codes[:64].astype(np.uint64).sum(keepdims=True) + np.uint64(len(codes)))[0] % np.uint64(8))]
+
+
+def _profiles(x: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([(x[label == i] ** 2).mean(axis=0) if (label == i).any() else np.zeros(x.shape[1], np.float32) for i in range(n)])
+
+
+def _limits(model: LanguageModel, x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """By length: the loss and likeness that texts of learned languages, about that long, seldom pass."""
+    limits = LanguageModel().limits
+    if len(model.languages) > 1:  # a single language has no bits to decode, so nothing can be far from it
+        loss = model.losses(x)
+        likeness, loss = model.likeness(x, loss), loss.min(axis=1)
+        for k in range(len(limits)):
+            near = np.abs(length - k) <= 1
+            if near.sum() >= ENOUGH:
+                most = max(np.quantile(loss[near], 1 - LOSS_ABOVE), -np.log(SURE) * model.trust.sum())
+                limits[k] = most, np.quantile(likeness[near], LIKENESS_BELOW)
+    return limits
+
+
 @dataclass
 class LanguageModel:
     """One binary classifier for each bit of the codewords; `trust` is its accuracy beyond chance."""
@@ -93,23 +127,42 @@ class LanguageModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, 1), np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(1, np.float32))
     trust: np.ndarray = field(default_factory=lambda: np.ones(1, np.float32))
+    #: By language, the mean shares of the features; by binary logarithm of the letters, the largest loss and the least likeness.
+    profiles: np.ndarray = field(default_factory=lambda: np.zeros((0, FEATURES), np.float32))
+    limits: np.ndarray = field(default_factory=lambda: np.tile([np.inf, 0.0], (32, 1)))
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """Texts x languages: decoding losses."""
+        margin = x @ self.weights + self.bias
+        return np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) @ self.trust
+
+    def likeness(self, x: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        """Cosine of each text and its nearest language or, if larger, equal parts of its nearest two."""
+        first = loss.argmin(axis=1)
+        rest = loss.copy()
+        rest[np.arange(len(x)), first] = np.inf
+        one, both = self.profiles[first], (self.profiles[first] + self.profiles[rest.argmin(axis=1)]) / 2
+        return np.maximum((x * np.sqrt(one)).sum(axis=1), (x * np.sqrt(both)).sum(axis=1))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score in [0, 1] and whether the two nearest codewords are too close, of each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score in [0, 1], whether the two nearest codewords are too close, and whether the
+        text is in no learned language, of each text."""
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        ambiguous = np.ones(len(texts), bool)
+        ambiguous, foreign = np.ones(len(texts), bool), np.ones(len(texts), bool)
         at: list[int] = []
         codes: list[np.ndarray] = []
 
         def decide() -> None:
-            margin = features(codes) @ self.weights + self.bias
-            loss = np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) @ self.trust
+            x = features(codes)
+            loss = self.losses(x)
             near = np.exp(loss.min(axis=1, keepdims=True) - loss)
             near /= near.sum(axis=1, keepdims=True)
             for i, k in zip(at, near.argmax(axis=1)):
                 names[i] = self.languages[k]
             scores[at] = near.max(axis=1)
             ambiguous[at] = scores[at] < AMBIGUOUS
+            worst, least = self.limits[_length(codes)].T
+            foreign[at] = (loss.min(axis=1) > worst) & (self.likeness(x, loss) < least)
             at.clear()
             codes.clear()
 
@@ -125,7 +178,7 @@ class LanguageModel:
                     size = 0
         if at:
             decide()
-        return names, np.clip(scores, 0, 1), ambiguous
+        return names, np.clip(scores, 0, 1), ambiguous, foreign
 
 
 def _train_bits(x: np.ndarray, y: np.ndarray, epochs: int = 20, size: int = 128, penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
@@ -171,10 +224,13 @@ def fit_language(docs: DataFrame, training: Column | None = None, per_language:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [letters_of(t) for t in batch.column("text").to_pylist()]
-            rows = [features([c])[0].astype(np.float16).tobytes() if len(c) else None for c in codes]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.binary())], names=["lang", "x"])
+            begun = [_beginning(c) for c in codes]
+            arrays = [pa.array([features([c])[0].astype(np.float16).tobytes() if len(c) else None for c in part], pa.binary()) for part in (codes, begun)]
+            lengths = [pa.array(_length(part), pa.int64()) for part in (codes, begun)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *arrays, *lengths], names=["lang", "x", "begun", "x_length", "begun_length"])
 
-    rows = drawn.select("lang", "text").mapInArrow(extract, "lang string, x binary").filter("x is not null").collect()
+    schema = "lang string, x binary, begun binary, x_length long, begun_length long"
+    rows = drawn.select("lang", "text").mapInArrow(extract, schema).filter("x is not null").collect()
     rows.sort(key=lambda r: (r["lang"], r["x"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
@@ -186,24 +242,32 @@ def fit_language(docs: DataFrame, training: Column | None = None, per_language:
     checked = np.arange(len(x)) % 5 == 0  # every fifth row tells how far each bit can be trusted
     w, b = _train_bits(x[~checked], y[~checked])
     right = ((x[checked] @ w + b) * y[checked] > 0).mean(axis=0)
+    trust = np.maximum(2 * right - 1, 0.05).astype(np.float32)
+    aside = [rows[i] for i in np.flatnonzero(checked)]
+    begun = np.stack([np.frombuffer(r["begun"], np.float16) for r in aside]).astype(np.float32)
+    lengths = np.array([r["x_length"] for r in aside] + [r["begun_length"] for r in aside])
+    first = LanguageModel(languages, code, w, b, trust, _profiles(x[~checked], label[~checked], len(languages)))
+    limits = _limits(first, np.concatenate([x[checked], begun]), lengths)
     w, b = _train_bits(x, y)
-    return LanguageModel(languages, code, w, b, np.maximum(2 * right - 1, 0.05).astype(np.float32))
+    return LanguageModel(languages, code, w, b, trust, _profiles(x, label, len(languages)), limits)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of docs, and lang_pred string, lang_score double, lang_ambiguous boolean.
+    """All columns of docs, and lang_pred string, lang_score double, lang_ambiguous boolean,
+    lang_foreign boolean.
 
-    Null texts and texts without a letter are `und` with score 0, and ambiguous; so is every text if
-    the model knows no language. Columns of docs with these names are replaced.
+    lang_pred is the nearest learned language even of texts in none, which are lang_foreign. Null
+    texts and texts without a letter are `und` with score 0, ambiguous and foreign; so is every text
+    if the model knows no language. A model of one language finds no other foreign texts. Columns of docs with these names are replaced.
     """
-    added = {"lang_pred": "string", "lang_score": "double", "lang_ambiguous": "boolean"}
+    added = {"lang_pred": "string", "lang_score": "double", "lang_ambiguous": "boolean", "lang_foreign": "boolean"}
     docs = docs.drop(*added)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, ambiguous = held.value.predict(batch.column("text").to_pylist())
-            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ambiguous, pa.bool_())]
+            names, scores, ambiguous, foreign = held.value.predict(batch.column("text").to_pylist())
+            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(ambiguous, pa.bool_()), pa.array(foreign, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *added])
 
     return docs.mapInArrow(predict, StructType([*docs.schema.fields, *StructType.fromDDL(", ".join(f"{n} {k}" for n, k in added.items())).fields]))
