@@ -137,3 +137,19 @@ def test_table_counts_follow_their_distribution():
     exact = (t * np.exp(log_p - log_p.max())).sum() / np.exp(log_p - log_p.max()).sum()
     many = draw_tables(np.full(4000, c), np.full(4000, math.log(base)), np.full(4000, 10.0), theta, d, rng.random(4000))
     assert abs(many.mean() - exact) < 0.1 * exact
+
+
+def test_large_dishes_have_the_exact_mean_and_spread():
+    theta, d, n = 1.0, 0.5, 8000
+    for c, base, others in ((40, 0.01, 50), (300, 0.05, 10), (300, 0.001, 200), (1000, 0.01, 100), (1000, 0.002, 2000)):
+        log_s = np.array([0.0])
+        for k in range(1, c):
+            log_s = np.logaddexp(np.append(np.log(k - d * np.arange(1, k + 1)) + log_s, -np.inf), np.append(-np.inf, log_s))
+        t = np.arange(1, c + 1)
+        log_p = log_s + t * math.log(base) + np.cumsum(np.log(theta + d * (others + t - 1)))
+        p = np.exp(log_p - log_p.max())
+        p /= p.sum()
+        mean = (t * p).sum()
+        drawn = draw_tables(np.full(n, c), np.full(n, math.log(base)), np.full(n, float(others)), theta, d, np.random.default_rng(c).random(n))
+        assert abs(drawn.mean() - mean) < 0.05 * mean
+        assert abs(drawn.var() - ((t - mean) ** 2 * p).sum()) < 0.15 * ((t - mean) ** 2 * p).sum()

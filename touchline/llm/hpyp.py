@@ -6,11 +6,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import mix64
+
 #: Customers of a dish up to which table counts are drawn from their exact conditional.
 EXACT = 16
-#: Beyond, customers sit down in blocks of this share of those seated, each opening as many tables as
-#: one expects.
-BLOCK = 1 / 2
+#: Beyond, customers sit down in blocks of this share of those seated, each opening a binomial number
+#: of tables; blocks are smaller where more than MOST_NEW tables are expected.
+BLOCK = 1 / 16
+MOST_NEW = 20.0
 
 
 @lru_cache(64)
@@ -52,20 +55,40 @@ def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.nd
             tables[some] = 1 + (weight < uniform[some] * weight[-1]).sum(axis=0)
     large = np.flatnonzero(customers > EXACT)
     t, seated = tables[large].astype(float), np.full(len(large), EXACT, float)
+    seeds = mix64((uniform[large] * (1 << 53)).astype(np.uint64))
     while len(large):
         total, step = customers[large].astype(float), np.exp(log_base[large]) * (theta + discount * (other_tables[large] + t))
         block = np.minimum(total - seated, np.maximum(1, np.floor(seated * BLOCK)))
         middle = seated + block / 2
         new = step * (middle / total) ** discount
-        t += block * new / (middle - discount * t + new)
+        chance = new / (middle - discount * t + new)
+        block = np.minimum(block, np.maximum(1, np.floor(MOST_NEW / chance)))
+        seeds = mix64(seeds + np.uint64(1))
+        t += _binomial(block, chance, (seeds >> np.uint64(11)).astype(float) / (1 << 53))
         seated += block
         done = seated >= total
         if done.any():
-            tables[large[done]] = np.minimum(np.floor(t[done] + uniform[large[done]]), customers[large[done]])
-            large, t, seated = large[~done], t[~done], seated[~done]
+            tables[large[done]] = t[done]
+            large, t, seated, seeds = large[~done], t[~done], seated[~done], seeds[~done]
     return tables
 
 
+def _binomial(n: np.ndarray, p: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """Binomial numbers by inversion; for means up to MOST_NEW or n = 1."""
+    drawn, odds = np.zeros(len(n)), p / np.maximum(1 - p, 1e-300)
+    mass = np.exp(n * np.log1p(-np.minimum(p, 1 - 1e-16)))
+    rows, left, k = np.arange(len(n)), uniform - mass, 0
+    while True:
+        more = (left >= 0) & (k < n[rows])
+        rows, left, mass = rows[more], left[more], mass[more]
+        if not len(rows):
+            return drawn
+        mass = mass * (n[rows] - k) / (k + 1) * odds[rows]
+        k += 1
+        drawn[rows] = k
+        left = left - mass
+
+
 def discount_of(ones: float, twos: float) -> float:
     """The discount that counts of counts suggest."""
     return float(min(0.95, max(0.1, ones / (ones + 2 * twos)))) if ones else 0.5
