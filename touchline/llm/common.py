@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +19,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where none is set, a local
+    session (one process, as in tests) gets a temporary one, and a cluster gets an error."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="touchline-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-shared-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+#: Paths written by materialize and not yet removed, while scratch() is open.
+_WRITTEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, survives lost
     executors, and lets several later steps read one result."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/touchline-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    note_written(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._touchline_path = path
+    return found
+
+
+def note_written(path: str) -> None:
+    for paths in _WRITTEN:
+        paths.append(path)
+
+
+def discard(spark: SparkSession, *written: DataFrame | str) -> None:
+    """Remove what materialize wrote, once nothing reads it any more."""
+    for w in written:
+        path = w if isinstance(w, str) else getattr(w, "_touchline_path", None)
+        if path:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Remove at the end all that materialize wrote inside, but for what is taken out of the list."""
+    paths: list[str] = []
+    _WRITTEN.append(paths)
+    try:
+        yield paths
+    finally:
+        _WRITTEN.pop()
+        discard(spark, *paths)
+
+
+def set_aside(docs: DataFrame, names: Iterable[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns of these names (in any case) under others, and how to name them back."""
+    taken = {n.lower() for n in names}
+    aside = {c: f"{c}__kept" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(aside), {new: old for old, new in aside.items()}
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -62,7 +62,8 @@ def mix(
     `importance` over the source's mean by words, where that column is given), max_copies at most.
     The whole part is taken for certain. What is left of the target is drawn: documents are ranked
     by Pareto order sampling, the odds of a random number over the odds of the fractional part, and
-    taken from the front until the words come nearest to the target. The random numbers are hashes
+    taken from the front until the words come nearest to the target; those without a fractional part
+    take no part in it. The random numbers are hashes
     of seed and doc_id, so reruns agree.
 
     Null and empty texts have size 0 and take nothing. Rows that share a doc_id are ranked by text
@@ -79,9 +80,10 @@ def mix(
     keyed = keyed.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("part", F.col("expected") - F.col("whole"))
     # odds of u over odds of part, put into [0, 1] by x / (1 + x), which keeps the order
     up, down = u * (1 - F.col("part")), (1 - u) * F.col("part")
-    keyed = keyed.withColumn("rank", F.when(F.col("part") > 0, up / (up + down)).otherwise(F.lit(1.0)))
+    keyed = keyed.withColumn("rank", F.when(F.col("part") > 0, up / (up + down)))
     ranked = materialize(keyed.select("doc_id", "source", "size", "source_size", "target", "whole", "part", "rank"))
     left = ranked.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"))
-    drawn = first_until(ranked, ["source"], "rank", "size", left, "left", ["doc_id", "size"], "drawn")
-    copies = F.least(F.lit(max_copies), F.col("whole") + F.when(F.col("drawn") & (F.col("part") > 0), 1).otherwise(0)).cast("long")
+    drawn = first_until(ranked.filter("part > 0"), ["source"], "rank", "size", left, "left", ["doc_id", "size"], "drawn")
+    drawn = drawn.unionByName(ranked.filter("part = 0").withColumn("drawn", F.lit(False)))
+    copies = F.least(F.lit(max_copies), F.col("whole") + F.col("drawn").cast("long")).cast("long")
     return drawn.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -112,9 +112,9 @@ def gumbel_top(weighted: DataFrame, k: int, seed: int = 42) -> DataFrame:
         return keyed.withColumn("kept", F.lit(True))
     # the arc tangent puts the largest keys first and keeps their order in (0, 1)
     rank = 0.5 - F.atan((F.col("gumbel_key") - spread["mean"]) / max(spread["sd"], 1e-9) * 4) / math.pi
-    ranked = keyed.withColumn("rank", F.least(F.lit(1.0), F.greatest(F.lit(0.0), rank))).withColumn("one", F.lit(1)).withColumn("all", F.lit(0))
-    limit = weighted.sparkSession.createDataFrame([(0, float(k))], "all int, k double")
-    return first_until(ranked, ["all"], "rank", "one", limit, "k", ["doc_id"], "kept").drop("rank", "one", "all")
+    ranked = keyed.withColumn("rank", F.least(F.lit(1.0), F.greatest(F.lit(0.0), rank))).withColumn("one", F.lit(1))
+    limit = weighted.sparkSession.createDataFrame([(float(k),)], "k double")
+    return first_until(ranked, [], "rank", "one", limit, "k", ["doc_id"], "kept").drop("rank", "one")
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 42) -> DataFrame:
