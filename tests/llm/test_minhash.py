@@ -59,6 +59,39 @@ def test_repeated_ids_nulls_and_empty(spark):
     assert got == sorted([(5, 36, 5, True), (5, 36, 5, True), (5, 1, 5, True), (7, 36, 5, False), (None, 36, None, False), (None, 0, None, False)], key=str)
     none = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(none).count() == 0 and deduplicate(none).count() == 0
+    left = sorted(((r["doc_id"], r["text"]) for r in deduplicate(d).collect()), key=str)
+    assert left == sorted([(5, text), (5, "other words"), (None, text), (None, None)], key=str)
+
+
+def test_deduplicate_keeps_other_texts_of_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a, 1, "x"), (5, b, 2, "x"), (7, b, 3, "x"), (9, a + " more", 4, "x"), (5, a.upper(), 5, "x"), (8, "", 6, "x"), (8, "", 7, None), (6, "alone", 8, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, digest int, Among string")
+    got = deduplicate(d)
+    assert got.columns == d.columns
+    assert sorted((r["doc_id"], r["text"], r["digest"]) for r in got.collect()) == sorted([(5, a.upper(), 5), (5, b, 2), (6, "alone", 8), (8, "", 6), (8, "", 7)])
+    assert got.filter("Among is null").first()["digest"] == 7
+
+
+def test_wanted_ids_are_all_found(spark, monkeypatch):
+    from touchline.llm import minhash
+
+    d = spark.range(-3000, 3000).withColumnRenamed("id", "doc_id")
+    wanted = d.filter("doc_id % 7 = 3")
+    for bits in (1 << 26, 1 << 16):
+        monkeypatch.setattr(minhash, "ID_BITS", bits)
+        among = {r["doc_id"] for r in minhash._with_ids(d, wanted).filter("among").collect()}
+        assert among >= {r["doc_id"] for r in wanted.collect()} and len(among) < 1.2 * wanted.count()
+
+
+def test_hot_buckets_agree(spark, monkeypatch):
+    from touchline.llm import select
+
+    rng = random.Random(9)
+    docs = [(i, " ".join(w)) for i, w in enumerate(corpus(rng, 1, 60, 70))] + [(1000 + i, "the same few words again") for i in range(50)]
+    monkeypatch.setattr(select, "HOT", 4)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(d).collect()} == brute(docs)
 
 
 def test_estimate_is_corrected():

@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import WordCodes, group_bounds, materialize, mix64, utf8_bytes, whole_groups
+from .common import WordCodes, group_bounds, materialize, mix64, set_aside, utf8_bytes, whole_groups
 from .graph import connected_components
+from .select import join_counted
 
 MINIMA = 128
 #: Low bits kept of each (scrambled) minimum.
@@ -19,6 +21,8 @@ BITS = 4
 LOW = np.uint64(int("1" * (64 // BITS), 1 << BITS))
 #: Standard deviations by which an estimate may fall short of the threshold.
 SLACK = 5.0
+#: Bits of the table that tells which ids are wanted, so that few other rows are dealt out: 8 MB, always.
+ID_BITS = 1 << 26
 #: Members of one block: groups with more are dealt into pairs of tiles.
 TILE = 2048
 TILE_SHINGLES = 500_000
@@ -250,6 +254,17 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 85, bands: i
     (component_id null, not kept). Rows that share a doc_id are each linked by their own text.
     """
     signed = materialize(_signatures(docs, ngram, bands, rows))
+    found = _placed(docs, signed, ngram, percent)
+    out = join_counted(signed.select("doc_id", "n_shingles", "digest"), found.drop("component", "winner", "in_component"), "digest", "class_size", signed.count(), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return out.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
+    )
+
+
+def _placed(docs: DataFrame, signed: DataFrame, ngram: int, percent: int) -> DataFrame:
+    """One row for each class of equal sets: digest, class_size, component (a digest), component_id,
+    in_component (rows of the component), winner (its class with the smallest doc_id, then digest)."""
     classes = materialize(
         signed.filter("digest is not null")
         .groupBy("digest")
@@ -257,13 +272,14 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 85, bands: i
     )
     banded = classes.select("digest", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = banded.join(shared, "key").withColumn("tiles", F.ceil(F.col("n") / TILE)).drop("n")
+    total = classes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    members = join_counted(banded, shared, "key", "n", total).withColumn("tiles", F.ceil(F.col("n") / TILE)).drop("n")
     members = _tiled(members.join(classes.select("digest", "n_shingles", "packed"), "digest"), "key", "tiles")
-    families = materialize(connected_components(_sift(members, percent)).select(F.col("node").alias("digest"), F.col("component").alias("family")))
+    families = connected_components(_sift(members, percent)).select(F.col("node").alias("digest"), F.col("component").alias("family"))
 
-    wanted = families.join(classes.select("digest", "doc_id", "n_shingles"), "digest")
-    sizes = wanted.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("tiles"))
-    wanted = wanted.join(sizes, "family").select("doc_id", "digest", "family", "tiles")
+    wanted = materialize(families.join(classes.select("digest", "doc_id", "n_shingles"), "digest"))
+    sizes = wanted.groupBy("family").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n_shingles") / TILE_SHINGLES)).alias("tiles"), F.count(F.lit(1)).alias("n"))
+    wanted = materialize(join_counted(wanted, sizes, "family", "n", wanted.count()).select("doc_id", "digest", "family", "tiles"))
 
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
@@ -275,24 +291,63 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 85, bands: i
             out = batch.select(["digest", "family", "tiles"]).append_column("shingles", pa.array(sets, pa.large_binary()).cast(pa.binary()))
             yield out.filter(pa.array(same, pa.bool_()))
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(full_sets, "digest binary, family binary, tiles long, shingles binary")
+    texts = _with_ids(docs.select("doc_id", "text"), wanted).filter("among").drop("among")
+    texts = texts.join(wanted, "doc_id").mapInArrow(full_sets, "digest binary, family binary, tiles long, shingles binary")
     parts = connected_components(_verify(_tiled(texts, "family", "tiles"), percent)).select(F.col("node").alias("digest"), "component")
-    placed = classes.select("digest", "doc_id", "class_size").join(parts, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    smallest = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = placed.join(smallest, "component").select("digest", "component_id", "class_size")
-    out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size")
+    placed = materialize(classes.select("digest", "doc_id", "class_size").join(parts, "digest", "left").withColumn("component", F.coalesce("component", "digest")))
+    of_all = placed.groupBy("component").agg(
+        F.min("doc_id").alias("component_id"),
+        F.min(F.struct("doc_id", "digest"))["digest"].alias("winner"),
+        F.sum("class_size").alias("in_component"),
+        F.count(F.lit(1)).alias("classes"),
     )
+    return materialize(join_counted(placed.drop("doc_id"), of_all, "component", "classes", placed.count()).drop("classes"))
 
 
-def deduplicate(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that stay: one of each component, the one with the smallest doc_id.
+def _with_ids(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs with a boolean `among`: true wherever doc_id is one of wanted's, and by chance for few others.
 
-    Rows without words or without doc_id stay; of rows that repeat a doc_id, those with the smallest
-    doc_id of their component stay once.
+    A bit table over hashes of the ids, of ID_BITS bits whatever the number of rows, goes to every
+    executor, so rows that can't be wanted need not be dealt out. Null ids are not among them.
     """
-    kept = near_duplicates(docs, **settings).filter("kept").select("doc_id").distinct()
-    some = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    row, bit = F.shiftright(place, 15), F.pmod(place, F.lit(1 << 15))
+    table = wanted.filter("doc_id is not null").groupBy(row.alias("__row")).agg(F.bitmap_construct_agg(bit).alias("__table"))
+    joined = docs.withColumns({"__bit": bit, "__of": row}).join(F.broadcast(table), F.col("__of") == F.col("__row"), "left")
+    byte = F.conv(F.hex(F.substring("__table", F.shiftright("__bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    among = F.coalesce(F.getbit(byte.cast("long"), F.pmod("__bit", F.lit(8)).cast("int")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return joined.withColumn("among", among).drop("__bit", "__of", "__row", "__table")
+
+
+def deduplicate(docs: DataFrame, ngram: int = 5, percent: int = 85, bands: int = 25, rows: int = 5) -> DataFrame:
+    """The rows of docs that stay: one of each component, that with the smallest doc_id.
+
+    Rows without words or without doc_id stay. Of a component's rows that share the smallest doc_id, one
+    stays: that of the smallest set digest and, among equal sets, the smallest text. Rows that share a
+    doc_id but no component are apart. Only rows whose id is in a component of several rows are dealt
+    out; all others pass with their texts where they are.
+    """
+    signed = materialize(_signatures(docs, ngram, bands, rows))
+    placed = _placed(docs, signed, ngram, percent).filter("in_component > 1")
+    ids = join_counted(signed.select("doc_id", "digest"), placed.select("digest", "class_size", "winner", "component_id"), "digest", "class_size", signed.count())
+    ids = materialize(ids.withColumn("wins", (F.col("digest") == F.col("winner")) & (F.col("doc_id") == F.col("component_id"))))
+    docs, back = set_aside(docs, ["among", "set_digest", "wins", "digest", "row"])
+    marked = _with_ids(docs, ids)
+    passing = marked.filter(~F.col("among")).drop("among")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for batch in batches:
+            sets = [shingle_set(t, codes, ngram) for t in utf8_bytes(batch.column("text"))]
+            codes.forget()
+            yield batch.append_column("set_digest", pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()))
+
+    several = marked.filter("among").drop("among")
+    several = several.mapInArrow(digests, StructType([*several.schema.fields, StructField("set_digest", BinaryType())]))
+    known = ids.groupBy("doc_id", "digest").agg(F.bool_or("wins").alias("wins")).withColumnRenamed("doc_id", "__id")
+    # a doc_id that a third of all rows share meets few digests; equal rows are thinned before they are dealt out
+    several = several.join(known, (F.col("doc_id") == F.col("__id")) & (F.col("set_digest") == F.col("digest")), "left").drop("__id", "digest")
+    alone = several.filter("wins is null").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    winners = several.filter("wins").groupBy("doc_id", "set_digest").agg(F.min_by(row, "text").alias("row")).select("row.*")
+    return passing.unionByName(alone).unionByName(winners).withColumnsRenamed(back)
