@@ -8,20 +8,19 @@ import numpy as np
 
 from .common import mix64
 
-#: Customers of a dish up to which table counts are drawn from their exact conditional.
-EXACT = 16
-#: Beyond, customers sit down in blocks of this share of those seated, each opening a binomial number
-#: of tables; blocks are smaller where more than MOST_NEW tables are expected.
-BLOCK = 1 / 16
-MOST_NEW = 20.0
+#: Customers of a dish for which the weights of all seatings are tabled.
+TABLED = 1024
+#: Table counts that are weighed at first, numbers that are weighed together, and the share of all
+#: weight below which the largest count weighed ends the list.
+WIDTH, CELLS, REST = 8, 400_000, 1e-12
 
 
-@lru_cache(64)
+@lru_cache(8)
 def log_stirling(discount: float) -> np.ndarray:
-    """log S(c, t): weights of all seatings of c customers at t tables, for c, t up to EXACT."""
-    s = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    """log S(c, t): weights of all seatings of c customers at t tables, for c, t up to TABLED."""
+    s = np.full((TABLED + 1, TABLED + 1), -np.inf)
     s[0, 0] = 0.0
-    for c in range(EXACT):
+    for c in range(TABLED):
         t = np.arange(1, c + 2)
         with np.errstate(divide="ignore"):
             s[c + 1, 1 : c + 2] = np.logaddexp(s[c, t - 1], np.log(np.maximum(c - discount * t, 0)) + s[c, t])
@@ -32,61 +31,69 @@ def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.nd
     """A draw of each dish's number of tables, given its customers (0 have none), the log probability
     of the dish under the parent, and the tables of the restaurant's other dishes.
 
-    Up to EXACT customers from p(t) ~ S(c, t) base**t (theta + d T)(theta + d (T + 1)) ..., which sums
-    over all seatings. The same uniform numbers (in [0, 1)) give the same draws.
+    From p(t) ~ S(c, t) base**t (theta + d T)(theta + d (T + 1)) ..., which sums over all seatings. Of more
+    than TABLED customers, t = s + n: s tables that the first TABLED open, and n of the others. Where a
+    customer's chance to join one of t tables falls by d t / c, weights of t obey, in log c, a linear
+    equation whose solution makes n negative binomial given s, and s a draw from the table with other
+    weights. The same uniform numbers (in [0, 1)) give the same draws.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    stirling = np.exp(log_stirling(round(discount, 3)))
-    capped = np.minimum(customers, EXACT)
-    # a table opened early makes the later customers' old tables less likely, by (seated / all)**d
-    base = np.exp(log_base + discount * np.log(np.minimum(1.0, EXACT / np.maximum(customers, 1))))
-    for c in range(2, EXACT + 1):
-        rows = np.flatnonzero(capped == c)
-        for at in range(0, len(rows), 20_000):
-            some = rows[at : at + 20_000]
-            # tables - 1 open with weights base * (theta + d * others), base * (theta + d * (others + 1)), ...
-            step, b = theta + discount * other_tables[some], base[some]
-            weight = np.empty((c, len(some)))
-            so_far = b * step
-            weight[0] = stirling[c, 1] * so_far
-            for t in range(1, c):
-                so_far = so_far * (b * (step + discount * t))
-                weight[t] = weight[t - 1] + stirling[c, t + 1] * so_far
-            tables[some] = 1 + (weight < uniform[some] * weight[-1]).sum(axis=0)
-    large = np.flatnonzero(customers > EXACT)
-    t, seated = tables[large].astype(float), np.full(len(large), EXACT, float)
-    seeds = mix64((uniform[large] * (1 << 53)).astype(np.uint64))
-    while len(large):
-        total, step = customers[large].astype(float), np.exp(log_base[large]) * (theta + discount * (other_tables[large] + t))
-        block = np.minimum(total - seated, np.maximum(1, np.floor(seated * BLOCK)))
-        middle = seated + block / 2
-        new = step * (middle / total) ** discount
-        chance = new / (middle - discount * t + new)
-        block = np.minimum(block, np.maximum(1, np.floor(MOST_NEW / chance)))
-        seeds = mix64(seeds + np.uint64(1))
-        t += _binomial(block, chance, (seeds >> np.uint64(11)).astype(float) / (1 << 53))
-        seated += block
-        done = seated >= total
-        if done.any():
-            tables[large[done]] = t[done]
-            large, t, seated, seeds = large[~done], t[~done], seated[~done], seeds[~done]
+    log_s = log_stirling(discount)
+    tabled = np.minimum(customers, TABLED)
+    # what a table among the first TABLED leaves of the later customers' chances, less what they open
+    fewer = np.minimum(1.0, TABLED / np.maximum(customers, 1)) ** discount
+    opening = np.exp(log_base) * (1 - fewer)
+    log_weight = log_base - np.log1p(-opening)
+    left, width = np.flatnonzero(customers > 1), WIDTH
+    left = left[np.argsort(tabled[left].astype(np.int16), kind="stable")]
+    while len(left):
+        open_ended = []
+        for at in range(0, len(left), CELLS // width):
+            some = left[at : at + CELLS // width]
+            c = tabled[some]
+            t = np.arange(1, min(width, int(c[-1])) + 1)
+            log_p = log_s[c[:, None], t] + log_weight[some, None] * t
+            if c[-1] == TABLED:
+                everyone = np.maximum(customers[some], TABLED)[:, None].astype(float)
+                log_p += _log_gamma(everyone - discount * t) - _log_gamma(everyone) - _log_gamma(c[:, None] - discount * t) + _log_gamma(c[:, None].astype(float))
+            log_p += np.cumsum(np.log((theta + discount * other_tables[some])[:, None] + discount * (t - 1)), axis=1)
+            log_p -= log_p.max(axis=1, keepdims=True)
+            so_far = np.cumsum(np.exp(log_p), axis=1)
+            ends = (c <= t[-1]) | (np.exp(log_p[:, -1]) <= REST * so_far[:, -1])
+            tables[some] = 1 + (so_far < (uniform[some] * so_far[:, -1])[:, None]).sum(axis=1)
+            open_ended.append(some[~ends])
+        left, width = np.concatenate(open_ended), 4 * width
+    large = np.flatnonzero(customers > TABLED)
+    u = (mix64((uniform[large] * (1 << 53)).astype(np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
+    tables[large] += _negative_binomial(theta / discount + other_tables[large] + tables[large], opening[large], u)
     return tables
 
 
-def _binomial(n: np.ndarray, p: np.ndarray, uniform: np.ndarray) -> np.ndarray:
-    """Binomial numbers by inversion; for means up to MOST_NEW or n = 1."""
-    drawn, odds = np.zeros(len(n)), p / np.maximum(1 - p, 1e-300)
-    mass = np.exp(n * np.log1p(-np.minimum(p, 1 - 1e-16)))
-    rows, left, k = np.arange(len(n)), uniform - mass, 0
-    while True:
-        more = (left >= 0) & (k < n[rows])
-        rows, left, mass = rows[more], left[more], mass[more]
-        if not len(rows):
-            return drawn
-        mass = mass * (n[rows] - k) / (k + 1) * odds[rows]
-        k += 1
-        drawn[rows] = k
-        left = left - mass
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series, 10 above x (to 1e-13 for x >= 0)."""
+    x = np.asarray(x, float)
+    y, below = x + 10, np.ones_like(x)
+    for i in range(10):
+        below = below * ((x + i) / y)  # scaled, or it would overflow
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below) - 10 * np.log(y)
+
+
+def _negative_binomial(shape: np.ndarray, q: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """Numbers with p(k) ~ q**k shape (shape + 1) ... (shape + k - 1) / k!, by inversion within 9 deviations of the mean."""
+    drawn = np.zeros(len(shape), np.int64)
+    mean = shape * q / (1 - q)
+    spread = 9 * np.sqrt(mean / (1 - q)) + 30
+    order = np.argsort(spread)
+    while len(order):
+        some = order[: max(1, CELLS // (4 * int(spread[order[0]]) + 4))]
+        some = some[spread[some] <= 2 * spread[order[0]]]
+        width = 2 * int(spread[some[-1]]) + 2
+        k = np.maximum(0, np.floor(mean[some] - spread[some]))[:, None] + np.arange(width)
+        log_p = _log_gamma(shape[some, None] + k) - _log_gamma(k + 1) + k * np.log(q[some, None])
+        so_far = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
+        drawn[some] = k[:, 0] + (so_far < (uniform[some] * so_far[:, -1])[:, None]).sum(axis=1)
+        order = order[len(some) :]
+    return drawn
 
 
 def discount_of(ones: float, twos: float) -> float:

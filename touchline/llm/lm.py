@@ -14,26 +14,27 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shared_dir, shuffle_partitions, utf8_bytes
+from .common import mix64, note_written, shared_dir, shuffle_partitions, utf8_bytes
 from .hpyp import discount_of, draw_tables
 
 #: Bytes of text that are counted together.
 CHUNK = 3_000_000
+#: Tokens for each bucket of words or pairs, so that a bucket's memory is bounded.
+BUCKET = 1_000_000
 #: Stands for the end of a text among the words, none of which holds it.
 END = b"\n"
-#: Chains whose predictive probabilities are averaged, and Gibbs sweeps of each.
-CHAINS, SWEEPS = 2, 2
+#: Chains, Gibbs sweeps of each, and sweeps at the end whose seatings are kept: predictive probabilities
+#: are averaged over CHAINS * KEPT seatings.
+CHAINS, SWEEPS, KEPT = 2, 3, 2
 THETA = 1.0
-#: Word pairs are told apart by hashes with so many bits more than their number needs: one pair in
-#: 2**SPARE shares its hash with another.
-SPARE = 16
 
-CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, tokens binary, counts binary, trained long"
+CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, n_words long, tokens binary, counts binary, pairs binary, pair_counts binary, trained long"
 ASKED = "bucket int, chunk long, at binary, names binary, counts binary"
-ANSWERED = "chunk long, kind int, bucket int, a binary, b binary, c binary, d binary, types long, ones long, twos long"
+ANSWERED = "chunk long, bucket int, a binary, b binary, c binary, d binary, named long, types long, ones long, twos long"
 SEATED = "chunk long, bucket int, a binary, b binary, c binary, customers array<long>, tables array<long>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
@@ -75,25 +76,31 @@ def _record(fields: str, rows: list[tuple]) -> pa.RecordBatch:
 def _by_chunk(df: DataFrame, buckets: int) -> DataFrame:
     """Write df in the shared folder bucketed by chunk, so joins by chunk need not deal it out again."""
     spark, name = df.sparkSession, f"touchline_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    note_written(path)
     written = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
     return written
 
 
 def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Some documents a row: their words once, tokens as places in those words, training counts."""
+    """Some documents a row: their words once, tokens as places in those words, the distinct pairs of
+    neighbouring tokens (by place, in order), and training counts of words and pairs."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, sizes, tokens, known, size = [], [], [], [], _LocalIds({END: 0}), 0
+        ids, held, sizes, tokens, known, size, n_chunks = [], [], [], [], _LocalIds({END: 0}), 0, 0
 
         def done() -> pa.RecordBatch:
-            place = np.concatenate(tokens)
-            training = np.repeat(~np.array(held, bool), sizes)
-            counts = np.bincount(place[training], minlength=len(known))
-            counts[0] = len(held) - sum(held)
-            name = uuid.uuid4().int >> 65  # written once, so it need not be the same in another run
-            return _record(CHUNKS, [(name, ids, held, sizes, _pack_words(list(known)), _pack(place), _pack(counts), int(counts.sum()))])
+            place = np.concatenate(tokens).astype(np.int64)
+            training = np.repeat(~np.array(held, bool), np.array(sizes, np.int64) + 1)
+            token, pair = _token_pairs(place, np.array(sizes, np.int64), len(known))
+            counts = np.bincount(token[training], minlength=len(known))
+            pairs, pair_of = np.unique(pair, return_inverse=True)
+            pair_counts = np.bincount(pair_of[training], minlength=len(pairs))
+            name = (TaskContext.get().partitionId() << 32) + n_chunks
+            packed = _pack(place), _pack(counts), _pack(np.diff(pairs, prepend=0)), _pack(pair_counts)
+            return _record(CHUNKS, [(name, ids, held, sizes, _pack_words(list(known)), len(known), *packed, int(counts.sum()))])
 
         for batch in batches:
             for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), utf8_bytes(batch.column("text"))):
@@ -105,34 +112,50 @@ def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
                 size += len(text or b"") + 16
                 if size >= CHUNK:
                     yield done()
-                    ids, held, sizes, tokens, known, size = [], [], [], [], _LocalIds({END: 0}), 0
+                    ids, held, sizes, tokens, known, size, n_chunks = [], [], [], [], _LocalIds({END: 0}), 0, n_chunks + 1
         if ids:
             yield done()
 
     return docs.select("doc_id", held_out.alias("held"), "text").mapInArrow(chunk, CHUNKS)
 
 
-class _Chunk:
-    """A chunk's pairs of neighbouring tokens; each distinct pair once, and hashes of them."""
+def _token_pairs(place: np.ndarray, sizes: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens, ends included, as places of words; and each with the one before, as one number."""
+    token = np.zeros(int((sizes + 1).sum()), np.int64)
+    inside = np.ones(len(token), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    token[inside] = place
+    return token, np.concatenate(([0], token[:-1])) * n_words + token
 
-    def __init__(self, row: dict, bits: int) -> None:
-        self.words = _unpack_words(row["words"])
-        self.sizes = np.array(row["sizes"], np.int64)
-        self.held = np.array(row["held"], bool)
-        ends = np.cumsum(self.sizes + 1) - 1
-        self.token = np.zeros(int((self.sizes + 1).sum()), np.int64)
-        inside = np.ones(len(self.token), bool)
-        inside[ends] = False
-        self.token[inside] = _unpack(row["tokens"])
-        before = np.concatenate(([0], self.token[:-1]))
-        pair, self.pair_of = np.unique(before * len(self.words) + self.token, return_inverse=True)
-        self.context, self.word = pair // len(self.words), pair % len(self.words)
-        self.word_hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        mixed = mix64(self.word_hash[self.context] * np.uint64(0x9E3779B97F4A7C15) + self.word_hash[self.word])
-        self.keys, self.first, self.key_of = np.unique(mixed >> np.uint64(64 - bits), return_index=True, return_inverse=True)
 
-    def doc_of(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
+def _scramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of so many bits, each to another one: no two to the same."""
+    mask, half = np.uint64((1 << bits) - 1), np.uint64(bits // 2)
+    for multiplier in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x * np.uint64(multiplier)) & mask
+        x = x ^ (x >> half)
+    return x
+
+
+class _Pairs:
+    """A chunk's distinct pairs, and the number that each bears in all chunks: that of its words, which
+    come from the words' buckets, so different pairs have different numbers."""
+
+    def __init__(self, row: dict, settings: dict) -> None:
+        n, width = row["n_words"], settings["width"]
+        self.slots: list[tuple[int, np.ndarray, np.ndarray]] = []  # bucket, places in words, places in the bucket
+        self.count, self.owns, ids = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, np.uint64)
+        for a in row["word_answers"]:
+            at = np.cumsum(_unpack(a["a"]))
+            place = _unpack(a["b"])
+            self.slots.append((a["bucket"], at, place))
+            self.count[at], self.owns[at] = _unpack(a["c"]), _unpack(a["d"])
+            ids[at] = (np.uint64(a["bucket"]) << np.uint64(settings["place_bits"])) | place.astype(np.uint64)
+        pair = np.cumsum(_unpack(row["pairs"]))
+        self.context, self.word = pair // n, pair % n
+        keys = _scramble((ids[self.context] << np.uint64(width)) | ids[self.word], 2 * width)
+        self.order = np.argsort(keys)
+        self.keys = keys
 
 
 def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -151,24 +174,26 @@ def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
     return chunks.select("chunk", "words", "counts").mapInArrow(ask, ASKED)
 
 
-def _pair_requests(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
-    """The pairs of each chunk as sorted hashes, dealt into buckets by their range, with training counts."""
+def _pair_requests(joined: DataFrame, buckets: int, settings: dict) -> DataFrame:
+    """The pairs of each chunk as sorted numbers, dealt into buckets by their range, with training counts."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = 2 * settings["width"]
+        starts = np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
         for batch in batches:
-            for row in batch.to_pylist():
-                c = _Chunk(row, bits)
-                training = ~c.held[c.doc_of()]
-                counts = np.bincount(c.key_of[c.pair_of[training]], minlength=len(c.keys))
-                edges = np.searchsorted(c.keys, np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)).tolist() + [len(c.keys)]
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                p = _Pairs(row, settings)
+                keys, counts = p.keys[p.order], _unpack(row["pair_counts"])[p.order]
+                edges = np.searchsorted(keys, starts).tolist() + [len(keys)]
                 slices = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
-                yield _record(ASKED, [(b, row["chunk"], None, _pack(np.diff(c.keys[s].view(np.int64), prepend=0)), _pack(counts[s])) for b, s in slices])
+                yield _record(ASKED, [(b, row["chunk"], None, _pack(np.diff(keys[s].view(np.int64), prepend=0)), _pack(counts[s])) for b, s in slices])
 
-    return chunks.select("chunk", "held", "sizes", "words", "tokens").mapInArrow(ask, ASKED)
+    return joined.select("chunk", "n_words", "pairs", "pair_counts", "word_answers").mapInArrow(ask, ASKED)
 
 
 def _gathered(requests: DataFrame, answer: Callable[[int, list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
-    """answer(bucket, its rows) for each bucket; the number of buckets grows with the data."""
+    """answer(bucket, its rows) for each bucket, one bucket at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -185,18 +210,18 @@ def _gathered(requests: DataFrame, answer: Callable[[int, list[dict]], pa.Record
 
 
 def _count_words(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-    known = _LocalIds()
-    places = [np.fromiter(map(known.__getitem__, _unpack_words(r["names"])), np.int64) for r in rows]
-    return _answers(bucket, rows, 0, places, len(known))
+    named = [_unpack_words(r["names"]) for r in rows]
+    known = {w: i for i, w in enumerate(sorted(set().union(*named)))}  # in order, whatever the chunks
+    return _answers(bucket, rows, [np.fromiter(map(known.__getitem__, n), np.int64, len(n)) for n in named], len(known), True)
 
 
 def _count_pairs(bucket: int, rows: list[dict]) -> pa.RecordBatch:
     keys = [np.cumsum(_unpack(r["names"])) for r in rows]
     unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return _answers(bucket, rows, 1, np.split(place, np.cumsum([len(k) for k in keys])[:-1]), len(unique))
+    return _answers(bucket, rows, np.split(place, np.cumsum([len(k) for k in keys])[:-1]), len(unique), False)
 
 
-def _answers(bucket: int, rows: list[dict], kind: int, places: list[np.ndarray], n: int) -> pa.RecordBatch:
+def _answers(bucket: int, rows: list[dict], places: list[np.ndarray], n: int, tell_places: bool) -> pa.RecordBatch:
     """To each chunk: the counts of what it named over all chunks, and which of it the chunk owns
     (was the first to name). The bucket's sums go with the first answer."""
     counts, owned = np.zeros(n, np.int64), np.zeros(n, bool)
@@ -206,31 +231,31 @@ def _answers(bucket: int, rows: list[dict], kind: int, places: list[np.ndarray],
     for i, (r, p) in enumerate(zip(rows, places)):
         own = ~owned[p]
         owned[p] = True
-        sums = (int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())) if not i else (0, 0, 0)
-        out.append((r["chunk"], kind, bucket, r["at"], _pack(p) if not kind else None, _pack(counts[p]), _pack(own), *sums))
+        sums = (n, int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())) if not i else (0, 0, 0, 0)
+        out.append((r["chunk"], bucket, r["at"], _pack(p) if tell_places else None, _pack(counts[p]), _pack(own), *sums))
     return _record(ANSWERED, out)
 
 
-class _State:
+def _collected(answers: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """The answers to each chunk as one row, and their sums: largest bucket, types, ones, twos."""
+    told = F.array_sort(F.collect_list(F.struct("bucket", "a", "b", "c", "d"))).alias(name)
+    sums = [F.max("named").alias("named"), *(F.sum(c).alias(c) for c in ("types", "ones", "twos"))]
+    written = _by_chunk(answers.groupBy("chunk").agg(told, *sums), shuffle_partitions(answers.sparkSession))
+    row = written.agg(F.coalesce(F.max("named"), F.lit(0)).alias("named"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "ones", "twos"))).first()
+    return written.select("chunk", name), row.asDict()
+
+
+class _State(_Pairs):
     """What a chunk knows of its words and pairs, and the seatings that follow from it."""
 
     def __init__(self, row: dict, settings: dict) -> None:
+        super().__init__(row, settings)
         self.settings = settings
-        self.chunk = _Chunk(row, settings["bits"])
-        n = len(self.chunk.words)
-        self.slots: list[tuple[int, np.ndarray, np.ndarray]] = []  # bucket, places in words, places in the bucket
-        self.count, self.owns = np.zeros(n, np.int64), np.zeros(n, bool)
-        answers = sorted(row["answers"], key=lambda a: (a["kind"], a["bucket"]))
-        for a in (a for a in answers if a["kind"] == 0):
-            at = np.cumsum(_unpack(a["a"]))
-            self.slots.append((a["bucket"], at, _unpack(a["b"])))
-            self.count[at], self.owns[at] = _unpack(a["c"]), _unpack(a["d"])
-        pairs = [a for a in answers if a["kind"] == 1]
-        self.pair_count = np.concatenate([_unpack(a["c"]) for a in pairs])
-        self.pair_owned = np.concatenate([_unpack(a["d"]) for a in pairs]).astype(bool)
-        self.context, self.word = self.chunk.context[self.chunk.first], self.chunk.word[self.chunk.first]
+        self.pair_count, self.pair_owned = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), bool)
+        self.pair_count[self.order] = np.concatenate([_unpack(a["c"]) for a in row["pair_answers"]])
+        self.pair_owned[self.order] = np.concatenate([_unpack(a["d"]) for a in row["pair_answers"]])
 
-    def start(self, chain: int) -> tuple[np.ndarray, np.ndarray]:
+    def start(self) -> tuple[np.ndarray, np.ndarray]:
         """Before any sweep: the parent's probabilities of the words, and tables of the contexts."""
         s = self.settings
         parent = (self.count + 0.5) / (s["tokens"] + 0.5 * (s["types"] + 1))
@@ -253,10 +278,11 @@ class _State:
     def seat(self, row: dict, sweep: int, chain: int, owned: bool) -> np.ndarray:
         """Tables of each pair (or of those that the chunk owns) in the given sweep: the same in every
         chunk that holds the pair, as they follow from counts and a hash."""
-        parent, opened = self.start(chain) if not sweep else self.after(row, sweep - 1, chain)
+        parent, opened = self.after(row, sweep - 1, chain) if sweep else self.start()
         several = np.flatnonzero((self.pair_count > 1) & self.pair_owned if owned else self.pair_count > 1)
         tables = np.minimum(self.pair_count, 1)
-        u = (mix64(self.chunk.keys[several] + np.uint64(1 + chain + CHAINS * sweep << 54)) >> np.uint64(11)).astype(float) / (1 << 53)
+        salt = np.uint64((1 + chain + CHAINS * sweep) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        u = (mix64(mix64(self.keys[several]) + salt) >> np.uint64(11)).astype(float) / (1 << 53)
         others = np.maximum(opened[self.context[several]] - 1.0, 0.0)
         tables[several] = draw_tables(self.pair_count[several], np.log(parent[self.word[several]]), others, THETA, self.settings["pair_discount"], u)
         return tables
@@ -285,7 +311,7 @@ def _sweep(joined: DataFrame, settings: dict, sweep: int) -> DataFrame:
 
 def _seat_words(sweep: int, types: int, discount: float) -> Callable[[int, list[dict]], pa.RecordBatch]:
     """For a bucket of words: customers in the parent restaurant, tables drawn there, and the tables of
-    each word as a context."""
+    each word as a context. Random numbers go by the words' places in the bucket."""
 
     def answer(bucket: int, rows: list[dict]) -> pa.RecordBatch:
         places = [_unpack(r["at"]) for r in rows]
@@ -315,20 +341,22 @@ def _score(joined: DataFrame, settings: dict) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                state = _State(row, s)
-                chunk, n_docs = state.chunk, len(row["sizes"])
-                chance = np.zeros(len(chunk.word))
-                for chain in range(CHAINS):
-                    tables = state.seat(row, SWEEPS - 1, chain, False)
-                    parent, opened = state.after(row, SWEEPS - 1, chain)
-                    own = np.maximum(state.pair_count - s["pair_discount"] * tables, 0)[chunk.key_of]
-                    rest = THETA + s["pair_discount"] * opened[chunk.context]
-                    chance += (own + rest * parent[chunk.word]) / (THETA + state.count[chunk.context]) / CHAINS
-                doc = chunk.doc_of()
-                sums = lambda x: np.bincount(doc, x, n_docs).astype(float)
-                known = np.bincount(doc, (state.count > 0)[chunk.token], n_docs).astype(np.int64)
+                state, sizes = _State(row, s), np.array(row["sizes"], np.int64)
+                chance = np.zeros(len(state.keys))
+                for sweep in range(SWEEPS - KEPT, SWEEPS):
+                    for chain in range(CHAINS):
+                        tables = state.seat(row, sweep, chain, False)
+                        parent, opened = state.after(row, sweep, chain)
+                        own = np.maximum(state.pair_count - s["pair_discount"] * tables, 0)
+                        rest = THETA + s["pair_discount"] * opened[state.context]
+                        chance += (own + rest * parent[state.word]) / (THETA + state.count[state.context]) / (CHAINS * KEPT)
+                token, pair = _token_pairs(_unpack(row["tokens"]), sizes, row["n_words"])
+                pair_of = np.searchsorted(np.cumsum(_unpack(row["pairs"])), pair)
+                doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+                sums = lambda x: np.bincount(doc, x, len(sizes)).astype(float)
+                known = np.bincount(doc, (state.count > 0)[token], len(sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(chunk.sizes + 1), pa.array(known), pa.array(sums(np.log10(state.count + 0.1)[chunk.token])), pa.array(sums(np.log10(chance)[chunk.pair_of]))],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(sizes + 1), pa.array(known), pa.array(sums(np.log10(state.count + 0.1)[token])), pa.array(sums(np.log10(chance)[pair_of]))],
                     names=[f.split()[0] for f in SCORES.split(", ")],
                 )
 
@@ -341,48 +369,53 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
 
     Tokens are the words between ASCII white space, in ASCII lower case, and the end. base_score is
     the unigram model with 0.1 added; score is log10 of the text's probability, the product of its
-    tokens' predictive probabilities, each averaged over the seatings of CHAINS chains; perplexity is
-    the inverse of their geometric mean. As in the
+    tokens' predictive probabilities, each averaged over the last KEPT seatings of CHAINS chains;
+    perplexity is the inverse of their geometric mean. As in the
     base, words without training tokens are one type: V words and the unknown word sum to 1.
 
     1. Documents are gathered into chunks of CHUNK bytes; a chunk names each word, and each pair of
        neighbouring words, once.
-    2. Words and pairs are dealt into buckets by hash and counted there; buckets answer the chunks.
+    2. Words are dealt into buckets by hash and counted there; buckets answer the chunks and number the
+       words. Then pairs, which have a number for each pair of words, are dealt into buckets and counted.
        No table of words or pairs is ever in one place, and a frequent word or pair is named once a
-       chunk. Buckets also say which chunk owns a thing, so that sums over distinct things add up.
+       chunk. Buckets also say which chunk owns a thing, so that sums over distinct things add up. Their
+       number grows with the tokens, BUCKET for each, so their memory is bounded.
     3. A Gibbs sweep: every chunk draws the tables of its pairs, given the parent's probabilities and
        the contexts' tables; what it owns goes to the words' buckets, which draw the parent's tables
        and answer. Draws follow from hashes, so chunks agree on the pairs that they share. Within a
        sweep all restaurants are drawn at once, given the sweep before.
     4. Chunks add up their documents. Only sums come to the driver.
 
-    A null text is the empty text: one token. Rows that share a doc_id are scored each. Without
-    training rows every token is the unknown word, of probability 1.
+    Runs agree, however the rows are partitioned. A null text is the empty text: one token. Rows that
+    share a doc_id are scored each. Without training rows every token is the unknown word, of
+    probability 1. There may be 2**32 different words at most (a clear error beyond).
     """
-    spark = docs.sparkSession
-    buckets = 2 * shuffle_partitions(spark)
-    chunks = _by_chunk(_chunks(docs.select("doc_id", "text"), F.coalesce(held_out, F.lit(True)).cast("boolean")), shuffle_partitions(spark))
-    totals = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size("sizes") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0)).alias("all")).first()
-    bits = min(63, max(1, int(totals["all"])).bit_length() + SPARE)
-    answers = _gathered(_word_requests(chunks, buckets), _count_words, ANSWERED).unionByName(_gathered(_pair_requests(chunks, buckets, bits), _count_pairs, ANSWERED))
-    sums = [F.sum(F.when(F.col("kind") == kind, F.col(c)).otherwise(0)).alias(f"{c}{kind}") for kind in (0, 1) for c in ("types", "ones", "twos")]
-    told = F.collect_list(F.struct("kind", "bucket", "a", "b", "c", "d")).alias("answers")
-    counted = _by_chunk(answers.groupBy("chunk").agg(told, *sums), shuffle_partitions(spark))
-    n = counted.agg(*(F.coalesce(F.sum(f"{c}{kind}"), F.lit(0)).alias(f"{c}{kind}") for kind in (0, 1) for c in ("types", "ones", "twos"))).first()
-    settings = {
-        "bits": bits, "tokens": totals["tokens"], "types": n["types0"], "pairs": n["types1"],
-        "word_discount": discount_of(n["ones0"], n["twos0"]), "pair_discount": discount_of(n["ones1"], n["twos1"]), "customers": [], "tables": [],
-    }
-    joined = chunks.join(counted.select("chunk", "answers"), "chunk")
+    parts = shuffle_partitions(docs.sparkSession)
+    chunks = _by_chunk(_chunks(docs.select("doc_id", "text"), F.coalesce(held_out, F.lit(True)).cast("boolean")), parts)
+    all_tokens = F.sum(F.size("sizes") + F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n))
+    totals = chunks.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("tokens"), F.coalesce(all_tokens, F.lit(0)).alias("all")).first()
+    buckets = 1 + int(totals["all"]) // BUCKET
+    word_answers, words = _collected(_gathered(_word_requests(chunks, buckets), _count_words, ANSWERED), "word_answers")
+    place_bits = max(1, int(words["named"]).bit_length())
+    width = place_bits + (buckets - 1).bit_length()
+    if width > 32:
+        raise ValueError("too many different words to number their pairs in 64 bits")
+    settings = {"tokens": totals["tokens"], "types": words["types"], "place_bits": place_bits, "width": width, "word_discount": discount_of(words["ones"], words["twos"]), "customers": [], "tables": []}
+    joined = chunks.join(word_answers, "chunk")
+    pair_answers, pairs = _collected(_gathered(_pair_requests(joined, buckets, settings), _count_pairs, ANSWERED), "pair_answers")
+    settings = settings | {"pairs": pairs["types"], "pair_discount": discount_of(pairs["ones"], pairs["twos"])}
+    joined = joined.join(pair_answers, "chunk")
+    narrow = ["chunk", "n_words", "pairs", "word_answers", "pair_answers"]
     for sweep in range(SWEEPS):
-        seated = _gathered(_sweep(joined, settings, sweep), _seat_words(sweep, n["types0"], settings["word_discount"]), SEATED)
+        sat = _gathered(_sweep(joined.select(*narrow, *([f"seated{sweep - 1}"] if sweep else [])), settings, sweep), _seat_words(sweep, settings["types"], settings["word_discount"]), SEATED)
         per_chain = [F.sum(F.get(c, i)).alias(f"{c}{i}") for c in ("customers", "tables") for i in range(CHAINS)]
-        seated = _by_chunk(seated.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(f"seated{sweep}"), *per_chain), shuffle_partitions(spark))
-        all_of = seated.agg(*(F.coalesce(F.sum(f"{c}{i}"), F.lit(0)).alias(f"{c}{i}") for c in ("customers", "tables") for i in range(CHAINS))).first()
+        sat = _by_chunk(sat.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(f"seated{sweep}"), *per_chain), parts)
+        all_of = sat.agg(*(F.coalesce(F.sum(f"{c}{i}"), F.lit(0)).alias(f"{c}{i}") for c in ("customers", "tables") for i in range(CHAINS))).first()
         settings = settings | {c: [*settings[c], [all_of[f"{c}{i}"] for i in range(CHAINS)]] for c in ("customers", "tables")}
-        joined = joined.join(seated.select("chunk", f"seated{sweep}"), "chunk")
+        joined = joined.join(sat.select("chunk", f"seated{sweep}"), "chunk")
     tokens, types = settings["tokens"], settings["types"]
-    return _score(joined, settings).select(
+    wanted = [*narrow, "doc_ids", "held", "sizes", "tokens", *(f"seated{k}" for k in range(SWEEPS - KEPT - 1, SWEEPS) if k >= 0)]
+    return _score(joined.select(*wanted), settings).select(
         "doc_id",
         "held_out",
         "n_tokens",
