@@ -68,3 +68,32 @@ def test_empty_tables(spark):
     assert contamination_report(d, b).count() == 0
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert contamination_report(one, b).first()["contaminated"] is False
+
+
+def test_repetitive_and_very_long_texts_take_linear_time():
+    import time
+
+    from touchline.llm.decontaminate import SuffixAutomaton
+
+    same = [(k, [b"a"] * 20_000) for k in range(3)] + [(10, [b"a"] * 4), (11, [b"a"] * 4), (12, [b"a"] * 2)]
+    found = SuffixAutomaton(same, 10)
+    begun = time.time()
+    spans, items, longest = found.scan([b"a"] * 200_000)
+    assert spans == [0, 200_000] and items == {0, 1, 2, 10, 11, 12} and longest == 20_000
+    assert time.time() - begun < 3
+
+
+def test_short_items_within_others(spark):
+    items = [(1, "a b c"), (2, "b c"), (3, "c"), (4, "x a b c d e f g h i j k l"), (5, "b c"), (6, "a b")]
+    docs = [(1, "z a b c z"), (2, "a b z"), (3, "b c c"), (4, "x a b c d e f g h i j"), (4, "x a b c d e f g h i j"), (5, "a a b")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    for block in (10**6, 3):
+        got = {r["doc_id"]: tuple(r)[1:6] for r in contamination_report(d, b, 10).collect()} if block > 3 else {
+            r["doc_id"]: r for r in find_contamination(d, b, 10, block).collect()
+        }
+        want = brute(docs, items, 10)
+        if block > 3:
+            assert got == want
+        else:
+            assert {k: (r["n_words"], sum(r["spans"][1::2]) - sum(r["spans"][::2]), len(r["items"])) for k, r in got.items()} == {k: v[:3] for k, v in want.items()}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8_bytes
+from .common import WordCodes, materialize, mix64, set_aside, utf8_bytes
 
 #: ASCII letters to lower case, digits kept, bytes from 0x80 kept, every other ASCII byte to a space.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
@@ -41,7 +41,7 @@ class SuffixAutomaton:
         self.link = [-1]
         self.length = [0]
         self.shortest = window
-        ends: dict[int, set[str | None]] = {}
+        ends: dict[int, list[tuple[int, str | None]]] = {}
         coded = []
         for name, words in items:
             if not words:
@@ -52,26 +52,34 @@ class SuffixAutomaton:
             last = 0
             for code in codes:
                 last = self._extend(last, code)
+        # by state, the state of its last `window` words (-1: it has fewer)
+        self.top = [-1] * len(self.length)
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        for state in by_length:
+            shorter = self.link[state]
+            self.top[state] = self.top[shorter] if self.length[shorter] >= window else state if self.length[state] >= window else -1
         #: by state of a whole window, the items that hold it
         self.windows: dict[int, set[str | None]] = {}
-        #: by state, the short items that end there: (words, item)
-        self.whole: dict[int, list[tuple[int, str | None]]] = {}
         for name, codes in coded:
             if len(codes) < window:
-                ends.setdefault(self._walk(codes), set()).add((len(codes), name))
+                ends.setdefault(self._walk(codes), []).append((len(codes), name))
             else:
                 state, matched = 0, 0
                 for code in codes:
                     state, matched = self.next[state][code], matched + 1
-                    while self.length[self.link[state]] >= window:
-                        state = self.link[state]
                     if matched >= window:
+                        state = self.top[state]
                         self.windows.setdefault(state, set()).add(name)
-        # a state also ends with what its suffix links end with
-        for state in sorted(range(len(self.length)), key=self.length.__getitem__):
-            own = ends.get(state, set()) | set(self.whole.get(self.link[state], ()) if state else ())
-            if own:
-                self.whole[state] = sorted(own, key=lambda x: (x[0], str(x[1])))
+        #: by state, the short items that end there: size, their names, and the state that has the next shorter ones
+        self.whole: dict[int, tuple[int, set[str | None], int]] = {}
+        shorter_at = [0] * len(self.length)
+        for state in by_length:
+            link = self.link[state]
+            shorter_at[state] = link if link in self.whole else shorter_at[link]
+            if state in ends:
+                # items that end in one state are as long as each other: a shorter one would end in a link
+                self.whole[state] = (max(size for size, _ in ends[state]), {name for _, name in ends[state]}, shorter_at[state])
+        self.short_at = [state if state in self.whole else shorter_at[state] for state in range(len(self.length))]
 
     def _walk(self, codes: list[int]) -> int:
         state = 0
@@ -119,26 +127,33 @@ class SuffixAutomaton:
         runs = runs[runs[:, 1] - runs[:, 0] >= self.shortest]
         spans: list[int] = []
         items: set[str | None] = set()
+        seen: set[int] = set()  # states whose items are in the list
         longest = 0
+        follow, link, length, top, short_at = self.next, self.link, self.length, self.top, self.short_at
         for begin, end in runs.tolist():
             state = matched = 0
             for at, code in enumerate(codes[begin:end].tolist(), begin + 1):
-                while state and code not in self.next[state]:
-                    state = self.link[state]
-                    matched = self.length[state]
-                if code in self.next[state]:
-                    state, matched = self.next[state][code], matched + 1
+                while state and code not in follow[state]:
+                    state = link[state]
+                    matched = length[state]
+                if code in follow[state]:
+                    state, matched = follow[state][code], matched + 1
                 reach = 0
                 if matched >= self.window:
-                    top = state
-                    while self.length[self.link[top]] >= self.window:
-                        top = self.link[top]
-                    items |= self.windows[top]
                     reach = self.window
-                for size, name in self.whole.get(state, ()):
+                    if top[state] not in seen:
+                        seen.add(top[state])
+                        items |= self.windows[top[state]]
+                short = short_at[state]
+                while short:
+                    size, names, following = self.whole[short]
                     if size <= matched:
-                        items.add(name)
                         reach = max(reach, size)
+                        if short in seen:  # and so are the shorter ones
+                            break
+                        seen.add(short)
+                        items |= names
+                    short = following
                 if reach:
                     longest = max(longest, matched)
                     start = at - reach
@@ -173,6 +188,70 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Suf
     yield SuffixAutomaton(block, window)
 
 
+#: Bits of the table that tells which runs of words a benchmark of several blocks holds: 8 MB, always.
+ANCHOR_BITS = 1 << 26
+
+
+def _run_hashes(words: list[bytes], codes: WordCodes, size: int) -> np.ndarray:
+    """A hash for each run of `size` words."""
+    w = codes.of(words)
+    h = np.full(max(0, len(w) - size + 1), size, np.uint64)
+    for i in range(size):
+        h = (h ^ w[i : len(w) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return mix64(h)
+
+
+def _anchors(benchmark: DataFrame, window: int) -> tuple[np.ndarray, list[int]]:
+    """A bit table of ANCHOR_BITS over the hashes of all windows of the benchmark, and their sizes."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for batch in batches:
+            sizes, places = [], []
+            for text in utf8_bytes(batch.column("text")):
+                if words := item_words(text):
+                    size = min(window, len(words))
+                    h = np.unique(_run_hashes(words, codes, size) % np.uint64(ANCHOR_BITS)).astype(np.int64)
+                    sizes.append(np.full(len(h), size))
+                    places.append(h)
+            codes.forget()
+            sizes, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (sizes, places))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), pa.array(places)], names=["size", "place"])
+
+    rows = benchmark.select("text").mapInArrow(hashed, "size int, place long")
+    tables = rows.groupBy(F.shiftright("place", 15).alias("row")).agg(F.bitmap_construct_agg(F.pmod("place", F.lit(1 << 15))).alias("table"), F.collect_set("size").alias("sizes"))
+    bits, sizes = np.zeros(ANCHOR_BITS >> 3, np.uint8), set()
+    for r in tables.toLocalIterator():  # ANCHOR_BITS / 2**15 rows of 4 KB at most
+        bits[r["row"] << 12 : (r["row"] + 1) << 12] = np.frombuffer(r["table"], np.uint8)
+        sizes |= set(r["sizes"])
+    return bits, sorted(sizes)
+
+
+def _with_anchors(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """docs as two: the rows whose text may hold a window of the benchmark, and those in which none of
+    its runs of words has the hash of one. Either reads docs once."""
+    held = docs.sparkSession.sparkContext.broadcast(_anchors(benchmark, window))
+
+    def split(wanted: bool) -> Callable:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits, sizes = held.value
+            codes = WordCodes()
+            for batch in batches:
+                keep, counts = [], []
+                for text in utf8_bytes(batch.column("text")):
+                    words = item_words(text)
+                    places = (_run_hashes(words, codes, size) % np.uint64(ANCHOR_BITS) for size in sizes if size <= len(words))
+                    keep.append(any((bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).any() for p in places) == wanted)
+                    counts.append(len(words))
+                codes.forget()
+                yield batch.set_column(batch.schema.get_field_index("n_words"), "n_words", pa.array(counts, pa.int32())).filter(pa.array(keep, pa.bool_()))
+
+        return pick
+
+    return docs.mapInArrow(split(True), docs.schema), docs.mapInArrow(split(False), docs.schema)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 100_000, then: Callable | None = None) -> DataFrame:
     """All rows and columns of docs, and where benchmark items occur in the text.
 
@@ -181,9 +260,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     match). A column of docs with one of these names is replaced.
 
     The benchmark is read in blocks of at most block_words words; each block's automaton is
-    broadcast (two states a word at most, so its size is bounded by block_words) and all documents
-    are streamed through it once. One block is the usual case; with more, each pass is written to
-    the shared folder before the next.
+    broadcast (two states a word at most, so its size is bounded by block_words) and documents
+    are streamed through it once. One block is the usual case. With more, documents none of whose
+    runs of words has a hash that a window has are set apart first, by a bit table of fixed size;
+    the others are written to the shared folder and go through one block after the other.
 
     Null and empty texts have no words. Items without words have no window. Items without an id
     mark words but are not listed. Rows that share a doc_id are scanned apart. An empty benchmark
@@ -196,9 +276,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     )
     schema = out.schema
     blocks = _blocks(benchmark, window, block_words)
-    following = next(blocks)
+    following, clean = next(blocks), None
     for i in count():
         automaton, following = following, next(blocks, None)
+        if following is not None and not i:
+            out, clean = _with_anchors(out, benchmark, window)
+            out = materialize(out)
         held = spark.sparkContext.broadcast(automaton)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, first=not i) -> Iterator[pa.RecordBatch]:
@@ -222,7 +305,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
         out = materialize(out) if i else out
         if following is None:
-            return out.mapInArrow((lambda batches: then(scan(batches))) if then else scan, docs.schema if then else schema)
+            out = out.mapInArrow((lambda batches: then(scan(batches))) if then else scan, docs.schema if then else schema)
+            return out if clean is None else out.unionByName(clean.mapInArrow(then, docs.schema) if then else clean)
         out = out.mapInArrow(scan, schema)
 
 
@@ -251,10 +335,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10
     more than max_coverage of the words is hit goes altogether. Untouched texts stay as they are,
     byte for byte; where text is cut, n_chars (if there is one) becomes its new length.
     """
+    docs, back = set_aside(docs, ADDED)
     names = docs.columns
-    aside = {c: f"{c}__kept" for c in names if c in ADDED}  # of docs, under names that the scan uses
-    docs = docs.withColumnsRenamed(aside)
-    back, names = {v: k for k, v in aside.items()}, docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
