@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from touchline.llm import pages as p
 from touchline.llm.pages import best_path, blocks_of, extract, extract_pages, host_of
 
@@ -49,3 +54,46 @@ def test_deep_and_broken_pages():
     assert extract(blocks_of(f"<article><p>{LONG}</p>{items}</article>"), None).count("x") == 5000
     for broken in ("<", "<p", "<p class='", "</", "<!--", "<script>x", "a<b>c</p></div></html>", "&#xZZ; &bogus; &#9999999999;", "<p>" * 3000):
         assert isinstance(extract(blocks_of(broken), None), str)
+
+
+LAYOUTS = {
+    "sidebar beside": "<div class='content has-sidebar'>{}</div>",
+    "state words": "<article class='post share-enabled comments-open'>{}</article>",
+    "self-closed drawing": "<svg class='i'/><iframe src='x'/><article>{}</article>",
+    "names that begin alike": "<title-bar>x</title-bar><select-menu></select-menu><article>{}</article>",
+    "layout": "<div class='layout no-sidebar'>{}</div>",
+    "all in a widget": "<div class='widget'>{}</div>",
+    "head of the article": "<article><div class='article-header'></div>{}</article>",
+    "parts": "<article><div class='content'>{}</div></article>",
+    "surrounded": "<div id='cookie-notice'><p>We bake cookies.</p></div><div class='main'><article>{}</article><div class='related-posts'><p>More of it.</p></div></div><div class='comments'><p>" + "No. " * 2000 + "</p></div>",
+    "unclosed": "<div class='x'><select><option>1</div><article>{}",
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_generated_layouts(name):
+    """Each layout around each article gives exactly the article's blocks."""
+    rng = random.Random(6)
+    for _ in range(20):
+        words = lambda: " ".join(rng.choice(["stone", "river", "a", "of", "l'été", "x < y", "&", "ad", "comments"]) for _ in range(rng.randrange(10, 40)))
+        blocks = [words() for _ in range(rng.randrange(5, 12))]
+        kinds = ["<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote>{}</blockquote>", "<h2>{}</h2>", "<p class='advice'>{}</p>"]
+        body = "<h1>Head</h1>" + "".join(rng.choice(kinds).format(p.html.escape(b).replace(" ", rng.choice([" ", "\n", " <b> </b>"]))) for b in blocks)
+        body += "<p class='advert'>Buy!</p><section id='search-and-rescue'><p>They came.</p></section><p>so <svg><p>no</p><text>no</text></svg><math><mi>x</mi><mo>=</mo></math> <button>no</button>2</p>"
+        want = ["Head", *(" ".join(b.split()) for b in blocks), "They came.", "so x= 2"]
+        assert extract(blocks_of(page(LAYOUTS[name].format(body))), None).split("\n\n") == want
+
+
+def test_malformed_pages_take_linear_time():
+    for bad in ("<svg ", '<a "', "<svg>", "<!--", "<script ", "<script>", "</a ", '<p class="', '<a b="c> ', "<a b='>\"", "<textarea>", "<iframe>x", "<", "<a = ", "<li>", "<ul><li>", "&#", "<![CDATA["):
+        begun = time.time()
+        assert isinstance(extract(blocks_of(bad * (10**6 // len(bad))), None), str)
+        assert time.time() - begun < 12, bad
+
+
+def test_salted_paths_agree(spark, monkeypatch):
+    rows = [(i, None if i % 2 else "http://h.org/a", page(f"<div class='c'><p>{LONG * 5} {i}</p></div><div class='x'><p>short</p></div>")) for i in range(60)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {tuple(r) for r in extract_pages(d).collect()}
+    monkeypatch.setattr(p, "BROADCAST_HOSTS", 0)
+    assert {tuple(r) for r in extract_pages(d).collect()} == want and len(want) == 60

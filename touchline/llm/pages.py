@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,26 +17,31 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .select import join_group
 
-# Fixed values. Elements by what they do to text.
-RAW = "script style noscript template textarea svg iframe object math canvas select xmp title"
-LEFT_OUT = frozenset("nav footer aside form button dialog menu head datalist audio video map".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
-CONTAINERS = frozenset("html head body article aside blockquote center details dialog div dl fieldset figure footer form header li main menu nav ol section table tbody tfoot thead tr td th ul button datalist audio video map".split())
-SPACES = frozenset("br td th img input wbr".split()) - {"wbr"}
+# Fixed values. Elements by what they do to text: those whose content is no markup, those whose text is no
+# part of an article, those that end a block, those that hold others, those that leave a space, and those that hold nothing.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+LEFT_OUT = frozenset("nav footer aside form button dialog menu head datalist audio video map noscript template svg object canvas select annotation annotation-xml".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
+CONTAINERS = frozenset("html body article blockquote center details div dl fieldset figure header li main ol section table tbody tfoot thead tr td th ul".split()) | LEFT_OUT
+WITHIN = frozenset("blockquote dl ol ul li figure details fieldset table tbody tfoot thead tr header".split())  # parts of an article, never all of it
+SPACES = frozenset("br td th img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Fixed values. Words in class, id or role that name what surrounds an article.
+# Fixed values. Words in class, id or role that name what surrounds an article; words that may stand beside
+# them in a name; and words that name an article.
 SURROUNDINGS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner breadcrumb breadcrumbs byline comment comments commentlist "
     "complementary consent contentinfo cookie cookies disclaimer discussion disqus feedback footer gdpr header masthead menu menubar modal nav navbar navigation newsletter "
     "notice notices notification overlay pager pagination paywall popup recommended related replies reply respond responses search share sharing sidebar sidenav signup skip "
     "social subscribe subscription tagcloud tags toc toolbar tooltip widget widgets".split()
 )
+BESIDE = frozenset(
+    "area articles bar block bottom box button buttons col column container content entry footer form global group header icons inner item items left links list main middle "
+    "outer page panel post posts primary right row secondary section site slot stories top unit wrap wrapper zone article story".split()
+)
 ARTICLE_WORDS = frozenset("article content entry main post story".split())
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<({'|'.join(RAW.split())})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-z][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"[a-z][^\s/>]*", re.I)
+_QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
 _ATTRIBUTE = re.compile(r"""([a-z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
@@ -44,6 +50,10 @@ _HOST = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 DEEPEST = 60
 #: Share of a page's text that its article holds at least; less where the element says what it is.
 MOST, SOME = 0.8, 0.4
+#: Share of an element's text from which one within it stands for it.
+ALL_BUT = 0.95
+#: Share of a page's text that may be left when what looks like surroundings has gone; below, it stays.
+LITTLE = 0.1
 #: Share of a host's votes from which a path counts as one of its layouts.
 LAYOUT = 0.2
 #: Hosts up to which the table of paths is sent to every executor (about 100 bytes a host).
@@ -56,87 +66,178 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "out", "article", "depth")
-
-    def __init__(self, tag, path, out, article, depth):
-        self.tag, self.path, self.out, self.article, self.depth = tag, path, out, article, depth
-
-
-def _opened(tag: str, attributes: str, parent: _Element) -> _Element:
-    """The element for a start tag: its generalised path and whether its text is left out."""
+    """An open element: is its text left out for certain (out), by the look of an element around it (look),
+    or from within a block that goes on (silent)?"""
+
+    __slots__ = ("tag", "path", "out", "look", "silent", "article", "depth")
+
+    def __init__(self, tag, path, out, look, silent, article, depth):
+        self.tag, self.path, self.out, self.look, self.silent, self.article, self.depth = tag, path, out, look, silent, article, depth
+
+
+@lru_cache(100_000)
+def is_surrounding(name: str) -> bool:
+    """Does a class, id or role say that its element surrounds an article? All its words must: "has-sidebar",
+    "search-and-rescue" or "article-header" don't."""
+    words = [w.lower() for w in _WORD.findall(name)]
+    named = [w for w in words if w in SURROUNDINGS]
+    if not named or not all(w in SURROUNDINGS or w in BESIDE for w in words):
+        return False
+    return not (set(named) <= {"header", "footer"} and not ARTICLE_WORDS.isdisjoint(words))
+
+
+def _tokens(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """start, end, name (lower case; empty for comments and the like), attributes, is it an end tag: the
+    markup of a page in order. What is looked for in vain once is not looked for again, so time is linear."""
+    size, at = len(page), 0
+    missing: set[str] = set()
+    low = page.lower()
+    if len(low) != size:  # a few capital letters become longer; those are not part of any tag
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
+
+    def find(what: str, begin: int) -> int:
+        if what in missing:
+            return -1
+        found = low.find(what, begin)
+        if found < 0:
+            missing.add(what)
+        return found
+
+    while (start := find("<", at)) >= 0:
+        after = low[start + 1 : start + 2]
+        if low.startswith("<!--", start):
+            end = find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", False
+        elif low.startswith("<![cdata[", start):
+            end = find("]]>", start + 9)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", False
+        elif after in ("!", "?"):
+            end = find(">", start + 1)
+            at = size if end < 0 else end + 1
+            yield start, at, "", "", False
+        elif name := _NAME.match(low, start + 2 if after == "/" else start + 1):
+            first = find(">", start)
+            if first < 0:  # the tag never ends
+                yield start, size, "", "", False
+                return
+            closing, end = after == "/", name.end()
+            while not closing:
+                stop = _QUOTE_OR_END.search(page, end)
+                if stop is None or stop[1] is None:
+                    end = stop.start() if stop else first
+                    break
+                quote = find(stop[1], stop.end())
+                if quote < 0:  # never closed
+                    end = find(">", stop.end())
+                    end = first if end < 0 else end
+                    break
+                end = quote + 1
+            if closing:
+                end = first
+            at = end + 1
+            yield start, at, name[0], page[name.end() : end], closing
+            if not closing and name[0] in RAW and not page[end - 1 : end] == "/":
+                close = find(f"</{name[0]}", at)
+                if close >= 0:
+                    yield at, close, "", "", False
+                    at = close
+        else:
+            at = start + 1
+
+
+def _names(attributes: str) -> tuple[list[str], str, bool]:
+    """Classes, ids and role; the role; is the element hidden?"""
     names: list[str] = []
     hidden, role = False, ""
-    if attributes:
-        for name, value in _ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), value.strip("\"'")
-            if name in ("class", "id"):
-                names += [w.lower() for w in _WORD.findall(value)]
-            elif name == "role":
-                role = value.lower()
-                names.append(role)
-            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
-                hidden = True
-    surrounding = tag not in ("html", "body", "main") and not SURROUNDINGS.isdisjoint(names)
-    out = parent.out or hidden or tag in LEFT_OUT or surrounding or (tag == "header" and not parent.article)
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        name, value = name.lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            names += value.split()
+        elif name == "role":
+            role = value.lower()
+            names.append(role)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+            hidden = True
+    return names, role, hidden
+
+
+def _opened(tag: str, attributes: str, parent: _Element, number: int) -> _Element:
+    """The element for a start tag: its generalised path and whether its text is left out."""
+    names, role, hidden = _names(attributes)
+    if tag in LEFT_OUT and tag not in BLOCKS:
+        return _Element(tag, parent.path, parent.out, parent.look, True, parent.article, parent.depth)
+    out = parent.out or hidden or tag in LEFT_OUT or (tag == "header" and not parent.article)
+    look = number if tag not in ("html", "body", "main") and any(map(is_surrounding, names)) else parent.look
     article = parent.article or tag in ("article", "main") or role in ("main", "article")
     # digits are dropped from names, so numbered elements of one kind share a path
-    path = f"{parent.path}>{tag}" + "".join(f".{n}" for n in sorted(set(names))) if parent.depth < DEEPEST else parent.path
-    return _Element(tag, path, out, article, parent.depth + 1)
+    words = {w.lower() for n in names for w in _WORD.findall(n)}
+    path = f"{parent.path}>{tag}" + "".join(f".{n}" for n in sorted(words)) if parent.depth < DEEPEST else parent.path
+    return _Element(tag, path, out, look, parent.silent, article, parent.depth + 1)
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
-    """(text, path of the container, characters in links, is it left out, is it a main heading) in page order."""
-    blocks: list[tuple[str, str, int, bool, bool]] = []
+    """(text, path of the container, characters in links, is it left out, is it a main heading) in page order.
+
+    What is left out by the look of a class, id or role alone comes back if hardly any text is left
+    without it.
+    """
+    blocks: list[tuple[str, str, int, bool, bool, int]] = []
     if not page:
-        return blocks
-    stack = [_Element("", "", False, False, 0)]
+        return []
+    stack = [_Element("", "", False, 0, False, False, 0)]
     opened: Counter[str] = Counter()
     held: list[str] = []
     linked: list[str] = []
     in_link = heading = False
+    own_look = own_out = 0  # of a paragraph or heading, which is no container
+    number = 0
 
     def end_block() -> None:
-        nonlocal in_link
+        nonlocal own_look, own_out
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 top = stack[-1]
                 links = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
-                blocks.append((text, top.path, links, top.out or (top.tag == "header" and not heading), heading))
+                blocks.append((text, top.path, links, bool(top.out or own_out or (top.tag == "header" and not heading)), heading, own_look or top.look))
             held.clear()
             linked.clear()
+        own_look = own_out = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        begin = m.start()
-        if begin > at:
+    for begin, end, tag, attributes, closing in _tokens(page):
+        if begin > at and not stack[-1].silent:
             held.append(page[at:begin])
             if in_link:
                 linked.append(page[at:begin])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+        at = end
+        if not tag:
+            continue
+        if closing and tag in CONTAINERS and opened[tag]:
+            while stack[-1].silent and stack[-1].tag != tag:  # never closed
+                opened[stack.pop().tag] -= 1
+        if stack[-1].silent and tag not in CONTAINERS:
             continue
-        tag = tag.lower()
-        if tag in BLOCKS:
+        if tag in BLOCKS and not stack[-1].silent:
             end_block()
             in_link = False
         elif tag in SPACES:
             held.append(" ")
-        if m[2]:
+        if closing:
             if tag == "a":
                 in_link = False
             elif tag in ("h1", "h2"):
                 heading = False
-            elif tag in CONTAINERS and opened[tag]:
+            if tag in CONTAINERS and opened[tag]:
                 last = None
                 while last != tag:
                     last = stack.pop().tag
                     opened[last] -= 1
-        elif tag == "a":
+            continue
+        if tag == "a":
             in_link = True
-        elif tag in ("h1", "h2"):
-            heading = True
         elif tag in CONTAINERS:
             heading = False
             if tag in ("li", "td", "th", "tr") and opened[tag]:
@@ -145,13 +246,35 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
                 if not any(e.tag in ("ul", "ol", "menu", "table") for e in stack[inner + 1 :]):
                     opened.subtract(e.tag for e in stack[inner:])
                     del stack[inner:]
-            if not m[4].endswith("/") or tag in ("div", "article", "section"):
-                stack.append(_opened(tag, m[4], stack[-1]))
+            if not attributes.endswith("/") or tag in ("div", "article", "section"):
+                number += 1
+                stack.append(_opened(tag, attributes, stack[-1], number))
                 opened[tag] += 1
-    if at < len(page):
+        elif tag in BLOCKS:
+            heading = tag in ("h1", "h2")
+            if attributes:
+                number += 1
+                names, _, hidden = _names(attributes)
+                own_out = hidden
+                own_look = number if any(map(is_surrounding, names)) else 0
+    if at < len(page) and not stack[-1].silent:
         held.append(page[at:])
     end_block()
-    return blocks
+    return _settled(blocks)
+
+
+def _settled(blocks: list[tuple[str, str, int, bool, bool, int]]) -> list[tuple[str, str, int, bool, bool]]:
+    """Blocks with the last word on those that only look left out: the largest element of them comes
+    back if what is shown is LITTLE beside it and in nothing that says it is an article."""
+    own = lambda b: max(0, len(b[0]) - 2 * b[2])
+    shown = sum(own(b) for b in blocks if not b[3] and not b[5])
+    by_look: Counter[int] = Counter()
+    for b in blocks:
+        if not b[3] and b[5]:
+            by_look[b[5]] += own(b)
+    stated = any(not b[3] and not b[5] and any(map(_says_article, _ancestors(b[1]))) for b in blocks) if by_look else False
+    back = {look for look, n in by_look.most_common(1) if not stated and shown < LITTLE * (shown + n)}
+    return [(text, path, links, out or (look > 0 and look not in back), heading) for text, path, links, out, heading, look in blocks]
 
 
 def _ancestors(path: str) -> list[str]:
@@ -160,9 +283,12 @@ def _ancestors(path: str) -> list[str]:
 
 
 def best_path(blocks: list[tuple[str, str, int, bool, bool]]) -> tuple[str, int] | None:
-    """The path that holds a page's article, and its characters: of all containers, scored by the text
-    outside links, the innermost that says it is an article and holds SOME of it, or else the
-    innermost that holds MOST."""
+    """The path that holds a page's article, and its characters, by the text outside links.
+
+    Of the containers that say they are an article and hold SOME of the page, the outermost article
+    element (or else the outermost at all), or one within that holds ALL_BUT of it; if none says so,
+    the innermost container that holds MOST of the page.
+    """
     score: Counter[str] = Counter()
     total = 0
     for text, path, links, out, _ in blocks:
@@ -173,7 +299,12 @@ def best_path(blocks: list[tuple[str, str, int, bool, bool]]) -> tuple[str, int]
     if not total:
         return None
     named = [p for p, s in score.items() if s >= SOME * total and _says_article(p)]
-    held = named or [p for p, s in score.items() if s >= MOST * total]
+    articles = [p for p in named if p.rpartition(">")[2].split(".")[0] == "article"]
+    if named:
+        outer = min(articles or named, key=lambda p: (p.count(">"), -score[p], p))
+        held = [p for p in named if p == outer or (p.startswith(outer + ">") and score[p] >= ALL_BUT * score[outer])]
+    else:
+        held = [p for p, s in score.items() if s >= MOST * total and p.rpartition(">")[2].split(".")[0] not in WITHIN]
     path = max(held, key=lambda p: (p.count(">"), score[p], p))
     return path, score[path]
 
@@ -245,7 +376,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     if paths.count() <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(paths), rows["of"] == paths["host"], "left")
     else:
-        rows = join_group(rows, paths, {"of": "host"}, "url")
+        rows = join_group(rows, paths, {"of": "host"}, "page_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
