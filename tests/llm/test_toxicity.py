@@ -51,3 +51,46 @@ def test_without_labels_and_empty(spark):
     got = {r["doc_id"]: r["toxic_score"] for r in score_toxicity(d, model).collect()}
     assert got[1] > 0.5 > got[2] == got[3] == got[4]
     assert score_toxicity(d.limit(0), model).count() == 0
+
+
+def test_accents_and_marks_are_folded():
+    assert fold("ïdiot i\u0308diot MÒRON dummkopf Trottèl ﬁlth") == " idiot idiot moron dummkopf trottel filth "
+    assert fold("cabrón blödmann") == " cabron blodmann "
+
+
+def test_cover_by_brute_force():
+    from touchline.llm.toxicity import uncovered
+
+    rng = random.Random(3)
+    for _ in range(300):
+        spans = lambda n: [(a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(n)))]
+        hits, covers = [(a, b, 1.0) for a, b in spans(12)], spans(6)
+        assert uncovered(hits, covers) == [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in covers)]
+
+
+def test_density_by_brute_force():
+    """Hits of word beginnings and exceptions, looked up word by word."""
+    rng = random.Random(4)
+    m = ToxicityModel({"idiot": 3.0, "scum": 2.0, "moro": 1.5})
+    words = ["idiot", "Idiots", "scum", "pond", "scum layer", "moron", "1d10t", "calm", "idi", "the", "trash can", "ïdiot"]
+    for _ in range(200):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))
+        folded = fold(text).split()
+        weight = 0.0
+        for i, w in enumerate(folded):
+            kept = [v for k, v in m.entries.items() if w.startswith(k)]
+            pond = w == "scum" and (folded[i - 1 : i] == ["pond"] or folded[i + 1 : i + 2] == ["layer"])
+            weight += 0 if pond else sum(kept)
+        assert abs(m.density(text)[1] - (weight / len(folded) if folded else 0)) < 1e-12
+
+
+def test_very_long_text_takes_linear_time(spark):
+    import time
+
+    m = ToxicityModel({"idiot": 3.0})
+    begun = time.time()
+    assert m.density("trash can idiot " * 80_000)[0] == 80_000
+    assert time.time() - begun < 5
+    d = spark.createDataFrame([(1, "calm words " * 200_000, 1), (1, "calm words " * 200_000, 1), (2, "you idiot", 2)], "doc_id long, text string, toxic_hits int")
+    got = score_toxicity(d, m).collect()
+    assert sorted(r["toxic_hits"] for r in got) == [0, 0, 1] and len({r["toxic_score"] for r in got if r["doc_id"] == 1}) == 1

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,28 +49,39 @@ EXCEPTION_PHRASES = (
 _HOMOGLYPH = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "]")
 _SUBSTITUTE = re.compile(r"(?<=[^\W\d_])[0134578](?=\w)|[0134578@$](?=[^\W\d_])|(?<=[^\W\d_])[!|](?=[^\W\d_])|(?<=[^\W\d_])[0134578]")
 _OTHER = re.compile(r"[\W_]+")
+_MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f]+")
 
 #: Labelled rows that the lexicon and the curve are learned from, at most, of either class.
 SAMPLE = 3000
 #: Lengths of word beginnings that may become entries.
 STEM = range(3, 11)
-#: Beginnings that are looked up in the other class, at most: the most frequent ones.
-CANDIDATES = 50_000
 #: A document may be this many times likelier toxic by each known seed word, before labels speak.
 SEED_WEIGHT = math.log(30)
 
 
 def fold(text: str | None) -> str:
-    """' word word ' in lower case, look-alikes and substitutes as the letters they stand for."""
+    """' word word ' in lower case without accents, look-alikes and substitutes as the letters they stand for."""
     if not text:
         return " "
     low = text.lower()
-    if _HOMOGLYPH.search(low):
-        low = low.translate(HOMOGLYPHS)
+    if not low.isascii():
+        low = _MARK.sub("", unicodedata.normalize("NFKD", low)).lower()
+        if _HOMOGLYPH.search(low):
+            low = low.translate(HOMOGLYPHS)
     low = _SUBSTITUTE.sub(lambda m: SUBSTITUTES[m.group()], low)
     return f" {_OTHER.sub(' ', low).strip()} "
 
 
+def uncovered(hits: list[tuple[int, int, float]], covers: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """The hits (begin, end, ...) that lie within none of covers (begin, end)."""
+    if not covers:
+        return hits
+    begins = sorted(covers)
+    reach = list(accumulate((end for _, end in begins), max))
+    starts = [begin for begin, _ in begins]
+    return [h for h in hits if (at := bisect_right(starts, h[0])) == 0 or reach[at - 1] < h[1]]
+
+
 @dataclass
 class ToxicityModel:
     """Entries are word beginnings with weights; the score is 1 / (1 + exp(-(bias + slope * x))) of
@@ -100,9 +114,11 @@ class ToxicityModel:
             return 0, 0.0, words
         hits, covered = [], []
         for end, (size, weight) in self._automaton.iter(folded):
-            (covered if weight is None else hits).append((end - size + 1, end, weight))
-        if covered:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in covered)]
+            if weight is None:
+                covered.append((end - size + 1, end))
+            else:
+                hits.append((end - size + 1, end, weight))
+        hits = uncovered(hits, covered)
         return len(hits), sum(h[2] for h in hits) / words, words
 
     def feature(self, density: float) -> float:
@@ -115,8 +131,8 @@ class ToxicityModel:
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """All columns of docs, and toxic_score double, toxic_hits int, toxic_words int.
 
-    Null and empty texts have no hits; their score is that of a text without any. Columns of docs
-    with these names are replaced.
+    Null and empty texts have no hits; their score is that of a text without any. Repeated rows are
+    scored each. Columns of docs with these names are replaced (the pipeline's stage sets them aside).
     """
     added = {"toxic_score": "double", "toxic_hits": "int", "toxic_words": "int"}
     docs = docs.drop(*added)
@@ -137,19 +153,19 @@ def _stems(words: set[str]) -> set[str]:
     return {w[:n] for w in words for n in STEM if n <= len(w)}
 
 
-def _stem_counts(sample: DataFrame, among: set[str] | None) -> DataFrame:
-    """stem, n: documents of the sample with a word that begins so (of the stems in `among`)."""
-    held = sample.sparkSession.sparkContext.broadcast(among)
+def _stem_counts(sample: DataFrame) -> DataFrame:
+    """stem, toxic, clean: documents of the sample (text, label) of either class with a word that begins so."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                stems = _stems(set(fold(text).split()))
-                counts.update(stems if held.value is None else stems & held.value)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["stem", "n"])
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+                counts[label].update(_stems(set(fold(text).split())))
+        for label, found in enumerate(counts):
+            n, none = pa.array(list(found.values()), pa.int64()), pa.array([0] * len(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *((n, none) if label else (none, n))], names=["stem", "toxic", "clean"])
 
-    return sample.select("text").mapInArrow(count, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+    return sample.select("text", "label").mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _context_counts(sample: DataFrame, among: set[str]) -> DataFrame:
@@ -221,8 +237,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column | None = N
 
     Learns from at most `sample` labelled documents of either class, those with the smallest hashes
     of doc_id among rows for which `training` (a condition on doc_id) holds. Where a doc_id has
-    several labels, 1 wins; null labels and ids are passed over. Without labels the seed words
-    remain. Only counts of stems, and the sample's densities, come to the driver.
+    several labels, 1 wins; null labels and ids are passed over; rows that repeat a doc_id count each.
+    Without labels the seed words remain. Stems are counted and compared in Spark; those that are ten
+    times likelier in toxic documents of the sample, and the sample's densities, come to the driver.
     """
     known = labels.filter("doc_id is not null and toxic is not null")
     known = (known.filter(training) if training is not None else known).groupBy("doc_id").agg(F.max("toxic").alias("label"))
@@ -234,14 +251,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, training: Column | None = N
     drawn = materialize(drawn)
     n_toxic, n_clean = (drawn.filter(F.col("label") == k).count() for k in (1, 0))
     seeds = {fold(w).strip()[: STEM[-1]] for w in SEED_WORDS}
-    often = _stem_counts(drawn.filter("label = 1"), None).filter("n >= 3").orderBy(F.desc("n"), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
-    toxic = often_counts = {r["stem"]: r["n"] for r in often.collect()}
-    clean = {r["stem"]: r["n"] for r in _stem_counts(drawn.filter("label = 0"), set(toxic) | seeds).collect()}
+    counted = materialize(_stem_counts(drawn).filter((F.col("toxic") >= 3) | F.col("stem").isin(*seeds)))
+    tried = counted.filter("toxic >= 3").count()
+    # those that may be chosen: ten times likelier in toxic documents, or seeds
+    likelier = (F.col("toxic") + 0.5) / (n_toxic + 1) > 9.9 * (F.col("clean") + 0.5) / (n_clean + 1)
+    rows = counted.filter(likelier | F.col("stem").isin(*seeds)).collect()
+    toxic, clean = ({r["stem"]: r[side] for r in rows} for side in ("toxic", "clean"))
     # copies of one toxic document make all its words frequent: what counts is in how many places a stem stands
-    first = _chosen(toxic, clean, n_toxic, n_clean, longest=False)
+    first = _chosen(toxic, clean, n_toxic, n_clean, longest=False, tried=tried)
     places = {r["stem"]: r["n"] for r in _context_counts(drawn.filter("label = 1"), set(first)).collect()}
     toxic = {s: min(n, places.get(s, 0)) for s, n in toxic.items() if s in first}
-    model = ToxicityModel(_chosen(toxic, clean, n_toxic, n_clean, tried=len(often_counts)))
+    model = ToxicityModel(_chosen(toxic, clean, n_toxic, n_clean, tried=tried))
     if n_toxic and n_clean:
         held = docs.sparkSession.sparkContext.broadcast(model)
 
