@@ -51,3 +51,39 @@ def test_no_languages(spark):
     assert predict_language(d.limit(0), LanguageModel()).count() == 0
     one = fit_language(spark.createDataFrame([(i, "abc def", "xx") for i in range(12)], "doc_id long, text string, lang string"))
     assert one.predict(["hello", None])[0] == ["xx", "und"]
+
+
+def test_losses_by_brute_force():
+    rng = np.random.default_rng(2)
+    code = codewords(9)
+    m = LanguageModel(list("abcdefghi"), code, rng.normal(size=(4096, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]).astype(np.float32), rng.random(code.shape[1]).astype(np.float32))
+    x = features([letters_of(t) for t in ("one text", "another", "zzz")])
+    margin = x @ m.weights + m.bias
+    want = [[sum(m.trust[b] * np.log1p(np.exp(-margin[i, b] * code[k, b])) for b in range(code.shape[1])) for k in range(9)] for i in range(3)]
+    assert np.allclose(m.losses(x), want, rtol=1e-4)
+
+
+def test_more_languages_than_two_hundred(spark):
+    rng = random.Random(3)
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    spoken = {f"l{k:03}": rng.sample(letters, 12) for k in range(230)}
+    rows = [(i, " ".join("".join(rng.choice(spoken[lang]) for _ in range(3)) for _ in range(20)), lang) for i, lang in enumerate(list(spoken) * 8)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language(d, training=d["doc_id"] % 8 != 7)
+    assert model.languages == sorted(spoken)
+    held = [r for r in predict_language(d, model).filter("doc_id % 8 = 7").collect()]
+    assert sum(r["lang"] == r["lang_pred"] for r in held) > 0.9 * len(held)
+
+
+def test_drawn_are_the_smallest_hashes(spark):
+    """Whatever a language's share of the rows; rows that share a doc_id are drawn together."""
+    from pyspark.sql import functions as F
+
+    from touchline.llm.language import _drawn
+
+    rows = [(i, f"t{i}", "big" if i % 50 else "small") for i in range(5000)] + [(1, "again", "big"), (1, "again", "big")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [(r["lang"], r["text"]) for r in _drawn(d, 30).collect()]
+    order = sorted((r["h"] % 2**64, r["lang"], r["doc_id"]) for r in d.select(F.xxhash64("doc_id").alias("h"), "lang", "doc_id").distinct().collect())
+    want = {lang: [i for _, g, i in order if g == lang][:30] for lang in ("big", "small")}
+    assert sorted(got) == sorted((g, t) for i, t, g in rows if i in want[g])

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import materialize, mix64
+from .select import unit_interval
 
 #: Hashed n-gram features, and the lengths of the n-grams.
 FEATURES = 4096
 ORDERS = (1, 2, 3, 4)
-#: Labelled documents that a language is learned from, at most, and languages, at most.
-PER_LANGUAGE = 400
-LANGUAGES = 200
+#: Labelled documents that a language is learned from, at most; and all languages together, which are
+#: feature rows of 8 KB on the driver (128 MB, and twice that while they are trained on). With more than
+#: ROWS / PER_LANGUAGE languages each gets fewer, but FEWEST at least.
+PER_LANGUAGE, ROWS, FEWEST = 400, 16_000, 4
 #: Characters, and texts, that are turned into features at once.
 CHARS, TEXTS = 400_000, 128
 #: The best language's share of the score below which a document counts as ambiguous.
@@ -75,15 +77,18 @@ def features(texts: list[np.ndarray]) -> np.ndarray:
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
     """n x bits matrix of +1 and -1. Up to 5 languages: every way to split them in two. More: the
-    random code of 12 log2(n) bits with the largest smallest distance between codewords, of 50."""
+    random code of 12 log2(n) bits with the largest smallest distance between codewords, of 50 (of as
+    many as look at 10 million pairs, where there are many languages; that distance is then a sample's)."""
     if n < 2:
         return np.ones((n, 1), np.int8)
     if n <= 5:
         return np.array([[1 if b >> i & 1 else -1 for b in range(1, 1 << n) if b & 1 and b != (1 << n) - 1] for i in range(n)], np.int8)
     rng, bits, best, most = np.random.default_rng(seed), int(np.ceil(12 * np.log2(n))), None, -1
-    for _ in range(50):
+    for _ in range(50 if n <= 600 else 5):
         code = rng.choice(np.array([-1, 1], np.int8), size=(n, bits))
-        apart = int((code[:, None, :] != code[None, :, :]).sum(axis=2)[np.triu_indices(n, 1)].min())
+        some = code[rng.choice(n, min(n, 600), replace=False)]
+        near = some.astype(np.int32) @ code.T.astype(np.int32)  # bits less twice the distance
+        apart = int(bits - np.sort(near, axis=1)[:, -2].max()) // 2  # the largest is a word with itself
         balanced = np.abs(code.sum(axis=0)).max() < n
         if apart > most and balanced:
             best, most = code, apart
@@ -134,7 +139,8 @@ class LanguageModel:
     def losses(self, x: np.ndarray) -> np.ndarray:
         """Texts x languages: decoding losses."""
         margin = x @ self.weights + self.bias
-        return np.logaddexp(0, -margin[:, None, :] * self.code[None, :, :]) @ self.trust
+        one, other = np.logaddexp(0, -margin) * self.trust, np.logaddexp(0, margin) * self.trust
+        return one @ (self.code > 0).T.astype(np.float32) + other @ (self.code < 0).T.astype(np.float32)
 
     def likeness(self, x: np.ndarray, loss: np.ndarray) -> np.ndarray:
         """Cosine of each text and its nearest language or, if larger, equal parts of its nearest two."""
@@ -204,50 +210,70 @@ def _train_bits(x: np.ndarray, y: np.ndarray, epochs: int = 20, size: int = 128,
     return w, b
 
 
+def _drawn(known: DataFrame, per_language: int) -> DataFrame:
+    """lang, text, aside: of each language, the rows with the smallest hashes of doc_id, per_language at
+    most; every fifth, by another hash, is set aside.
+
+    A language's rows are thinned by a limit on the hash, which follows from its number of rows, before
+    any are put in order; so a language with a third of all rows is a few hundred rows in that step.
+    Rows that share a doc_id and language share the place and are drawn together.
+    """
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    u = unit_interval(F.col("doc_id"))
+    ids = known.select("doc_id", "lang").join(counts, "lang").filter(u * F.col("n") < 2 * per_language + 50).select("doc_id", "lang").distinct()
+    order = W.partitionBy("lang").orderBy(u, "doc_id")
+    ids = materialize(ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).drop("rank"))
+    # at most max(ROWS, FEWEST a language) ids, so this side may be broadcast
+    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    return drawn.select("lang", "text", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("aside"))
+
+
 def fit_language(docs: DataFrame, training: Column | None = None, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """A model from docs (doc_id, text, lang).
 
-    Learns from at most per_language documents of each language, those with the smallest hashes of
-    doc_id among rows for which `training` holds, and of the LANGUAGES most frequent languages. Rows
-    with null lang or text, or without a letter, teach nothing. The tasks turn texts into features;
-    at most per_language * LANGUAGES feature rows come to the driver.
+    Learns every value of lang among rows for which `training` holds, from at most per_language documents
+    of each (fewer if there are so many languages that they would be more than ROWS together), those
+    with the smallest hashes of doc_id. Rows with null lang, doc_id or text, or without a letter, teach
+    nothing. The tasks turn texts into features; only those rows come to the driver.
     """
     known = docs.filter("lang is not null and text is not null and doc_id is not null")
     known = known.filter(training) if training is not None else known
-    often = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.filter(F.col("lang").isin(often)).select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).drop("rank")
-    ids = materialize(ids.distinct())
-    # at most per_language * LANGUAGES ids, so this side may be broadcast
-    drawn = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+    n_languages = known.agg(F.count_distinct("lang")).first()[0]
+    drawn = _drawn(known, min(per_language, max(FEWEST, ROWS // max(1, n_languages))))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            aside = batch.column("aside").to_pylist()
             codes = [letters_of(t) for t in batch.column("text").to_pylist()]
             begun = [_beginning(c) for c in codes]
-            arrays = [pa.array([features([c])[0].astype(np.float16).tobytes() if len(c) else None for c in part], pa.binary()) for part in (codes, begun)]
+            packed = lambda c: features([c])[0].astype(np.float16).tobytes()
+            arrays = [pa.array([packed(c) if len(c) else None for c in codes], pa.binary()), pa.array([packed(c) if a and len(c) else None for c, a in zip(begun, aside)], pa.binary())]
             lengths = [pa.array(_length(part), pa.int64()) for part in (codes, begun)]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *arrays, *lengths], names=["lang", "x", "begun", "x_length", "begun_length"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("aside"), *arrays, *lengths], names=["lang", "aside", "x", "begun", "x_length", "begun_length"])
 
-    schema = "lang string, x binary, begun binary, x_length long, begun_length long"
-    rows = drawn.select("lang", "text").mapInArrow(extract, schema).filter("x is not null").collect()
+    schema = "lang string, aside boolean, x binary, begun binary, x_length long, begun_length long"
+    rows = drawn.mapInArrow(extract, schema).filter("x is not null").collect()
     rows.sort(key=lambda r: (r["lang"], r["x"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return LanguageModel()
+    place = {lang: i for i, lang in enumerate(languages)}
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32)
-    label = np.array([languages.index(r["lang"]) for r in rows])
+    label = np.array([place[r["lang"]] for r in rows])
     code = codewords(len(languages))
     y = code[label].astype(np.float32)
-    checked = np.arange(len(x)) % 5 == 0  # every fifth row tells how far each bit can be trusted
-    w, b = _train_bits(x[~checked], y[~checked])
+    checked = np.array([r["aside"] for r in rows])  # tell how far each bit can be trusted
+    if checked.all() or not checked.any():
+        checked = np.arange(len(x)) % 5 == 0
+    learned = ~checked if (~checked).any() else np.ones(len(x), bool)
+    w, b = _train_bits(x[learned], y[learned])
     right = ((x[checked] @ w + b) * y[checked] > 0).mean(axis=0)
     trust = np.maximum(2 * right - 1, 0.05).astype(np.float32)
-    aside = [rows[i] for i in np.flatnonzero(checked)]
-    begun = np.stack([np.frombuffer(r["begun"], np.float16) for r in aside]).astype(np.float32)
-    lengths = np.array([r["x_length"] for r in aside] + [r["begun_length"] for r in aside])
-    first = LanguageModel(languages, code, w, b, trust, _profiles(x[~checked], label[~checked], len(languages)))
-    limits = _limits(first, np.concatenate([x[checked], begun]), lengths)
+    begun = [r for r in rows if r["begun"]]
+    first = LanguageModel(languages, code, w, b, trust, _profiles(x[learned], label[learned], len(languages)))
+    parts = [x[checked], *(np.frombuffer(r["begun"], np.float16).astype(np.float32)[None] for r in begun)]
+    lengths = np.array([r["x_length"] for r, c in zip(rows, checked) if c] + [r["begun_length"] for r in begun])
+    limits = _limits(first, np.concatenate(parts), lengths)
     w, b = _train_bits(x, y)
     return LanguageModel(languages, code, w, b, trust, _profiles(x, label, len(languages)), limits)
 
@@ -258,7 +284,8 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     lang_pred is the nearest learned language even of texts in none, which are lang_foreign. Null
     texts and texts without a letter are `und` with score 0, ambiguous and foreign; so is every text
-    if the model knows no language. A model of one language finds no other foreign texts. Columns of docs with these names are replaced.
+    if the model knows no language. A model of one language finds no other foreign texts. Repeated rows are
+    predicted each. Columns of docs with these names are replaced (the pipeline's stage sets them aside).
     """
     added = {"lang_pred": "string", "lang_score": "double", "lang_ambiguous": "boolean", "lang_foreign": "boolean"}
     docs = docs.drop(*added)
