@@ -103,3 +103,54 @@ def test_language_stage_drops_languages_without_labels(spark):
     unseen = {i for i, _, lang in rows if lang is None}
     assert len(kept & unseen) <= 0.05 * len(unseen)
     assert len(kept - unseen) >= 0.98 * (len(rows) - len(unseen))
+
+
+def test_stages_with_clashing_columns_repeated_ids_and_empty_tables(spark, tmp_path):
+    folder = str(tmp_path)
+    text = lambda k: " ".join(f"w{k}{chr(97 + i % 26)}x{i}" for i in range(60))
+    rows = [(i, text(i), "kk", f"s{i % 2}", 9, 0.9, "x", "y") for i in range(30)]
+    rows += [(3, text(40), "kk", "s0", 9, None, "a", "b"), (4, text(4), "kk", "s0", 9, 0.1, "a", "b"), (50, "you idiot moron", "kk", "s1", 9, 0.0, "c", "d"), (None, text(60), None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, toxic_score double, lang_pred string, spans string"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    seen = sorted(((r[0], r[1], *r[5:]) for r in rows if r[0] != 50), key=str)
+    # of the two rows with id 4 and one text, one stays
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.materialize(stage(spark, docs, folder))
+            assert docs.columns == [f.split()[0] for f in schema.split(", ")]
+            got = sorted(((r["doc_id"], r["text"], r["toxic_score"], r["lang_pred"], r["spans"]) for r in docs.collect()), key=str)
+            if n and name in ("toxicity", "language"):
+                assert got == seen
+            elif n:
+                assert len(got) == len(seen) - 1 and set(got) <= set(seen) and {r[:2] for r in got} == {r[:2] for r in seen}
+        assert corpus_pipeline.mixture(spark, docs, folder).count() == (n > 0) * corpus_pipeline.mixture(spark, docs, folder).count()
+
+
+def test_run_leaves_only_its_result(spark, tables):
+    import os
+
+    from touchline.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, tables)
+    assert out.count() and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_a_cluster_without_a_shared_folder_gets_a_clear_error():
+    from touchline.llm.common import shared_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
