@@ -10,9 +10,12 @@ from .common import mix64
 
 #: Customers of a dish for which the weights of all seatings are tabled.
 TABLED = 1024
-#: Table counts that are weighed at first, numbers that are weighed together, and the share of all
-#: weight below which the largest count weighed ends the list.
-WIDTH, CELLS, REST = 8, 400_000, 1e-12
+#: Numbers that are weighed together, and the share of all weight below which further counts are left out.
+CELLS, REST = 400_000, 1e-9
+#: Dishes of at most so many customers are weighed together with all others of as many, BLOCK at a time.
+FEW, BLOCK = 16, 20_000
+#: Weights beyond this are divided by it.
+LARGEST = 1e200
 
 
 @lru_cache(8)
@@ -27,6 +30,14 @@ def log_stirling(discount: float) -> np.ndarray:
     return s
 
 
+@lru_cache(8)
+def ratios(discount: float) -> np.ndarray:
+    """By t and c: S(c, t + 1) / S(c, t), 0 from t = c."""
+    s = log_stirling(discount).T
+    with np.errstate(invalid="ignore"):
+        return np.ascontiguousarray(np.nan_to_num(np.exp(s[1:] - s[:-1]), nan=0.0))
+
+
 def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.ndarray, theta: float, discount: float, uniform: np.ndarray) -> np.ndarray:
     """A draw of each dish's number of tables, given its customers (0 have none), the log probability
     of the dish under the parent, and the tables of the restaurant's other dishes.
@@ -38,44 +49,76 @@ def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.nd
     weights. The same uniform numbers (in [0, 1)) give the same draws.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    log_s = log_stirling(discount)
-    tabled = np.minimum(customers, TABLED)
-    # what a table among the first TABLED leaves of the later customers' chances, less what they open
-    fewer = np.minimum(1.0, TABLED / np.maximum(customers, 1)) ** discount
-    opening = np.exp(log_base) * (1 - fewer)
-    log_weight = log_base - np.log1p(-opening)
-    left, width = np.flatnonzero(customers > 1), WIDTH
-    left = left[np.argsort(tabled[left].astype(np.int16), kind="stable")]
-    while len(left):
-        open_ended = []
-        for at in range(0, len(left), CELLS // width):
-            some = left[at : at + CELLS // width]
-            c = tabled[some]
-            t = np.arange(1, min(width, int(c[-1])) + 1)
-            log_p = log_s[c[:, None], t] + log_weight[some, None] * t
-            if c[-1] == TABLED:
-                everyone = np.maximum(customers[some], TABLED)[:, None].astype(float)
-                log_p += _log_gamma(everyone - discount * t) - _log_gamma(everyone) - _log_gamma(c[:, None] - discount * t) + _log_gamma(c[:, None].astype(float))
-            log_p += np.cumsum(np.log((theta + discount * other_tables[some])[:, None] + discount * (t - 1)), axis=1)
-            log_p -= log_p.max(axis=1, keepdims=True)
-            so_far = np.cumsum(np.exp(log_p), axis=1)
-            ends = (c <= t[-1]) | (np.exp(log_p[:, -1]) <= REST * so_far[:, -1])
-            tables[some] = 1 + (so_far < (uniform[some] * so_far[:, -1])[:, None]).sum(axis=1)
-            open_ended.append(some[~ends])
-        left, width = np.concatenate(open_ended), 4 * width
+    base, step = np.exp(log_base), theta + discount * other_tables
+    stirling = np.exp(log_stirling(discount)[: FEW + 1, : FEW + 1])
+    for c in range(2, FEW + 1):
+        same = np.flatnonzero(customers == c)
+        for at in range(0, len(same), BLOCK):
+            some = same[at : at + BLOCK]
+            tables[some] = _few(stirling[c], base[some], step[some], discount, uniform[some])
+    some = np.flatnonzero((customers > FEW) & (customers <= TABLED))
+    tables[some] = _tabled(customers[some], base[some], step[some], discount, uniform[some], None)
     large = np.flatnonzero(customers > TABLED)
+    everyone = customers[large].astype(float)
+    # what a table among the first TABLED leaves of the later customers' chances, less what they open
+    opening = base[large] * (1 - (TABLED / everyone) ** discount)
+    first = _tabled(np.full(len(large), TABLED), base[large] / (1 - opening), step[large], discount, uniform[large], everyone)
     u = (mix64((uniform[large] * (1 << 53)).astype(np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
-    tables[large] += _negative_binomial(theta / discount + other_tables[large] + tables[large], opening[large], u)
+    tables[large] = first + _negative_binomial(step[large] / discount + first, opening, u)
     return tables
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, 10 above x (to 1e-13 for x >= 0)."""
-    x = np.asarray(x, float)
-    y, below = x + 10, np.ones_like(x)
-    for i in range(10):
-        below = below * ((x + i) / y)  # scaled, or it would overflow
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(below) - 10 * np.log(y)
+def _few(stirling: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float, uniform: np.ndarray) -> np.ndarray:
+    """Tables of dishes with the same number of customers, whose row of S is given: all weights, summed."""
+    c = int(np.flatnonzero(stirling)[-1])
+    weight = np.empty((c, len(base)))
+    so_far = base * step
+    weight[0] = stirling[1] * so_far
+    for t in range(1, c):
+        so_far = so_far * (base * (step + discount * t))
+        weight[t] = weight[t - 1] + stirling[t + 1] * so_far
+    return 1 + (weight < uniform * weight[-1]).sum(axis=0)
+
+
+def _tabled(c: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float, uniform: np.ndarray, everyone: np.ndarray | None) -> np.ndarray:
+    """Tables of c customers, up to TABLED: p(t + 1) / p(t) = S(c, t + 1) / S(c, t) base (step + d t), and a
+    factor for the chances left to the later ones of `everyone`.
+
+    Weights are summed from t = 1, all dishes at once, until what is left is REST of the sum; then again
+    until they reach the random share of it.
+    """
+    table, tables = ratios(discount), np.ones(len(c), np.int64)
+    total, times = np.ones(len(c)), np.zeros(len(c), np.int8)  # divided so many times by LARGEST
+    for last in (False, True):
+        rows, t = np.arange(len(c)), 0
+        p, so_far, shifts, before = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c), np.int8), np.zeros(len(c))
+        of_c, of_base, of_step, wanted, of_times, of_all = c, base, step, uniform * total, times, everyone
+        while len(rows):
+            t += 1
+            if last:
+                going = (so_far < wanted) | (shifts < of_times)
+            else:
+                going = (p > REST * so_far) | (p > before)
+            going &= of_c > t
+            ended = len(rows) - np.count_nonzero(going)
+            if ended:
+                if last:
+                    tables[rows[~going]] = t
+                else:
+                    total[rows[~going]], times[rows[~going]] = so_far[~going], shifts[~going]
+                rows, p, so_far, shifts, of_c, of_base, of_step, wanted, of_times = (x[going] for x in (rows, p, so_far, shifts, of_c, of_base, of_step, wanted, of_times))
+                of_all = of_all[going] if everyone is not None else None
+            before = p
+            factor = of_base * (of_step + discount * t)
+            if everyone is not None:
+                less = discount * t + (discount + 1) / 2
+                factor *= ((TABLED - less) / (of_all - less)) ** discount
+            p = p * table[t][of_c] * factor if t < TABLED else np.zeros(len(rows))
+            so_far = so_far + p
+            if t % 8 == 0 and (large := p > LARGEST).any():
+                p, so_far, before = (np.where(large, x / LARGEST, x) for x in (p, so_far, before))
+                shifts = shifts + large.astype(np.int8)
+    return tables
 
 
 def _negative_binomial(shape: np.ndarray, q: np.ndarray, uniform: np.ndarray) -> np.ndarray:
@@ -89,7 +132,8 @@ def _negative_binomial(shape: np.ndarray, q: np.ndarray, uniform: np.ndarray) ->
         some = some[spread[some] <= 2 * spread[order[0]]]
         width = 2 * int(spread[some[-1]]) + 2
         k = np.maximum(0, np.floor(mean[some] - spread[some]))[:, None] + np.arange(width)
-        log_p = _log_gamma(shape[some, None] + k) - _log_gamma(k + 1) + k * np.log(q[some, None])
+        log_p = np.zeros(k.shape)
+        log_p[:, 1:] = np.cumsum(np.log((shape[some, None] + k[:, :-1]) / k[:, 1:] * q[some, None]), axis=1)
         so_far = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
         drawn[some] = k[:, 0] + (so_far < (uniform[some] * so_far[:, -1])[:, None]).sum(axis=1)
         order = order[len(some) :]
