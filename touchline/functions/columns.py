@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +15,8 @@ EVIDENCE_BANDS = (
 )
 EVIDENCE_TOP = "Decisive evidence"
 
-#: Terms of a Poisson distribution; means up to 70 leave out less than 1e-9.
-POISSON_TERMS = 160
-_LOG_FACTORIALS = [math.lgamma(k + 1) for k in range(POISSON_TERMS)]
+#: Standard deviations of a Poisson distribution, and terms besides, beyond its mean that are summed.
+POISSON_SPREAD, POISSON_MORE = 12.0, 20
 
 
 def binomial_result(home: Column, away: Column) -> Column:
@@ -62,22 +59,43 @@ def evidence_strength(ratio: Column) -> Column:
     return F.when(ratio.isNotNull(), band.otherwise(EVIDENCE_TOP))
 
 
+def poisson_last(mean: Column) -> Column:
+    """The last term that matters of a Poisson distribution: what is left out is less than 1e-12."""
+    return F.ceil(mean + POISSON_SPREAD * F.sqrt(mean) + POISSON_MORE)
+
+
 def poisson_terms(mean: Column) -> Column:
-    """Array of P(X = 0 .. POISSON_TERMS - 1), built from logarithms."""
-    logs = F.array(*(F.lit(x) for x in _LOG_FACTORIALS))
-    return F.when(mean > 0, F.transform(logs, lambda lf, k: F.exp(k * F.log(mean) - mean - lf))).otherwise(
-        F.transform(logs, lambda _, k: F.when(k == 0, 1.0).otherwise(0.0))
+    """Array of P(X = 0), P(X = 1), ..., as many as the mean needs."""
+    none = F.lit(float("-inf"))
+    start = F.struct(F.when(mean >= 0, -mean).alias("log"), F.array(F.exp(-mean)).alias("terms"))
+    # each term from the one before, in logarithms, so that none is lost where the first ones vanish
+    grown = lambda s, k: F.when(mean > 0, s["log"] + F.log(mean / k)).otherwise(none)
+    return F.aggregate(
+        F.sequence(F.lit(1).cast("long"), poisson_last(mean)),
+        start,
+        lambda s, k: F.struct(grown(s, k).alias("log"), F.concat(s["terms"], F.array(F.exp(grown(s, k)))).alias("terms")),
+        lambda s: s["terms"],
     )
 
 
 def outcome_probabilities(home: Column, away: Column) -> Column:
-    """struct(home, away, draw) of two independent Poisson scores with these means, from exact sums."""
-    start = F.struct(F.lit(0.0).alias("home"), F.lit(0.0).alias("draw"), F.lit(0.0).alias("below"))
-    pairs = F.zip_with(poisson_terms(home), poisson_terms(away), lambda h, a: F.struct(h.alias("h"), a.alias("a")))
+    """struct(home, away, draw) of two independent Poisson scores with these means, from exact sums.
+
+    The terms follow from one another, and there are as many as the larger mean needs. Null means give
+    null.
+    """
+    none = F.lit(float("-inf"))
+    grown = lambda log, mean, k: F.when(mean > 0, log + F.log(mean / k)).otherwise(none)
+    start = F.struct((-home).alias("h"), (-away).alias("a"), F.lit(0.0).alias("home"), F.exp(-home - away).alias("draw"), F.exp(-away).alias("below"))
+
+    def step(s: Column, k: Column) -> Column:
+        h, a = grown(s["h"], home, k), grown(s["a"], away, k)
+        return F.struct(h.alias("h"), a.alias("a"), (s["home"] + F.exp(h) * s["below"]).alias("home"), (s["draw"] + F.exp(h + a)).alias("draw"), (s["below"] + F.exp(a)).alias("below"))
+
     summed = F.aggregate(
-        pairs,
+        F.sequence(F.lit(1).cast("long"), poisson_last(F.greatest(home, away))),
         start,
-        lambda s, p: F.struct((s["home"] + p["h"] * s["below"]).alias("home"), (s["draw"] + p["h"] * p["a"]).alias("draw"), (s["below"] + p["a"]).alias("below")),
-        lambda s: F.struct(s["home"].alias("home"), (1 - s["home"] - s["draw"]).alias("away"), s["draw"].alias("draw")),
+        step,
+        lambda s: F.struct(s["home"].alias("home"), F.greatest(F.lit(0.0), 1 - s["home"] - s["draw"]).alias("away"), s["draw"].alias("draw")),
     )
     return F.when(home.isNotNull() & away.isNotNull(), summed)

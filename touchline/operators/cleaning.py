@@ -25,6 +25,14 @@ def lump_levels(df: DataFrame, column: str, n: int, ties: str = "max") -> DataFr
     return df.join(kept, column, "left").withColumn(column, lumped).select(*df.columns)
 
 
+def known_levels(df: DataFrame, column: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """column, rows: its values and how often each comes, with those of `more` that never come (0 rows).
+    An encoder fitted on the values alone would not know these."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    added = df.sparkSession.createDataFrame([(v, 0) for v in more], f"{column} string, rows long")
+    return counts.unionByName(added).groupBy(column).agg(F.sum("rows").alias("rows"))
+
+
 def fill_nulls(df: DataFrame, number: float = 0, text: str = "None") -> DataFrame:
     """Null numbers and texts replaced; other types as they are."""
     filled: list[Column] = []

@@ -25,7 +25,8 @@ def prediction_records(scored: DataFrame) -> DataFrame:
     Poisson scores, exact; the likeliest score of a mean is its whole part. The result is Win if home
     is strictly likelier, else Loss.
     """
-    p = scored.withColumn("p", outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg"))).filter("p is not null")
+    known = scored.filter("home_score_avg is not null and away_score_avg is not null")
+    p = known.withColumn("p", outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg")))
     ratio = bayes_factor(F.col("p.home"), F.col("p.away"))
     return p.select(
         "game_id",

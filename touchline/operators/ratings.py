@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import RFormula
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..functions.columns import margin_outcome
+from ..session import settle
+from .cleaning import split_by_hash
 
 RATED = "competition_id string, game_id long, k double, w double, elo_home double, elo_away double, elo_home_prob double"
 
@@ -49,23 +53,56 @@ def rate_games(games: DataFrame, settings: Settings = SETTINGS, ks: list[float]
     return rows.groupBy("competition_id", "k").applyInPandas(rate, RATED)
 
 
+def _bucket() -> Column:
+    """0 to 20: the home probability in twentieths, half to even."""
+    return F.bround(F.col("elo_home_prob") * 20).cast("int").alias("prob_bucket")
+
+
 def draw_rates(rated: DataFrame) -> DataFrame:
-    """prob_bucket (0 to 20, the home probability in twentieths, half to even), draw_rate."""
-    bucket = F.bround(F.col("elo_home_prob") * 20).cast("int")
-    return rated.groupBy(bucket.alias("prob_bucket")).agg(F.avg(F.when(F.col("w") == 0.5, 1.0).otherwise(0.0)).alias("draw_rate"), F.count(F.lit(1)).alias("games"))
+    """k, prob_bucket, draw_rate, games: the share of draws by the home probability in twentieths."""
+    return rated.groupBy("k", _bucket()).agg(F.avg(F.when(F.col("w") == 0.5, 1.0).otherwise(0.0)).alias("draw_rate"), F.count(F.lit(1)).alias("games"))
 
 
 def with_draws(rated: DataFrame) -> DataFrame:
-    """Adds elo_diff, elo_away_prob, draw_rate and both probabilities less their share of it."""
-    rates = draw_rates(rated).select("prob_bucket", "draw_rate")  # at most 21 rows
-    out = rated.withColumn("prob_bucket", F.bround(F.col("elo_home_prob") * 20).cast("int")).join(F.broadcast(rates), "prob_bucket", "left")
+    """Adds elo_diff, elo_away_prob, draw_rate and both probabilities less their share of it.
+
+    rated is read twice, so it should be cheap to read (see session.settle).
+    """
+    rates = draw_rates(rated).select("k", "prob_bucket", "draw_rate")  # at most 21 rows for each k
+    out = rated.withColumn("prob_bucket", _bucket()).join(F.broadcast(rates), ["k", "prob_bucket"], "left")
     home = F.col("elo_home_prob") * (1 - F.col("draw_rate"))
     away = (1 - F.col("elo_home_prob")) * (1 - F.col("draw_rate"))
     return out.select(*rated.columns, (F.col("elo_home") - F.col("elo_away")).alias("elo_diff"), "draw_rate", home.alias("home_prob"), away.alias("away_prob"), (home - away).alias("elo_prob_diff"))
 
 
 def sweep_k(games: DataFrame, ks: list[float], settings: Settings = SETTINGS) -> DataFrame:
-    """k, log_loss, games: how well the ratings with each k foretell the played, drawless games."""
-    rated = rate_games(games, settings, ks).filter("w is not null and w <> 0.5")
-    p = F.when(F.col("w") > 0.5, F.col("elo_home_prob")).otherwise(1 - F.col("elo_home_prob"))
-    return rated.groupBy("k").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"), F.count(F.lit(1)).alias("games"))
+    """k, log_loss, games: how well the ratings with each k foretell home win, draw and away win of the
+    played games after each competition's first season."""
+    rated = settle(rate_games(games, settings, ks).filter("w is not null"))
+    first = games.groupBy("competition_id").agg(F.min("competition_year").alias("__first"))
+    later = games.join(first, "competition_id").filter("competition_year <> __first").select("game_id")
+    judged = with_draws(rated).join(later, "game_id")
+    p = F.when(F.col("w") > 0.5, F.col("home_prob")).when(F.col("w") < 0.5, F.col("away_prob")).otherwise(F.col("draw_rate"))
+    return judged.groupBy("k").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"), F.count(F.lit(1)).alias("games"))
+
+
+def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42) -> DataFrame:
+    """k, kappa: agreement beyond chance of a forest on ratings and probabilities with the results of
+    played games after the first season, for games that hashes of game_id keep from its training (a
+    fifth). One forest for each k, so ks should be few."""
+    rated = settle(rate_games(games, settings, ks).filter("w is not null"))
+    first = games.groupBy("competition_id").agg(F.min("competition_year").alias("__first"))
+    later = games.join(first, "competition_id").filter("competition_year <> __first").select("game_id")
+    result = F.when(F.col("w") > 0.5, "home").when(F.col("w") < 0.5, "away").otherwise("draw")
+    rows = settle(with_draws(rated).join(later, "game_id").withColumn("result", result))
+    kappas = []
+    for k in ks:
+        of_k = RFormula(formula="result ~ elo_home + elo_away + home_prob + draw_rate + away_prob").fit(rows).transform(rows.filter(F.col("k") == k))
+        train, test = split_by_hash(of_k, "game_id", 80)
+        called = RandomForestClassifier(numTrees=trees, seed=seed).fit(train).transform(test).groupBy("label", "prediction").count().collect()  # 9 rows at most
+        n = sum(r["count"] for r in called)
+        agreed = sum(r["count"] for r in called if r["label"] == r["prediction"]) / n
+        of = lambda side, v: sum(r["count"] for r in called if r[side] == v) / n
+        chance = sum(of("label", v) * of("prediction", v) for v in {r["label"] for r in called})
+        kappas.append((float(k), (agreed - chance) / (1 - chance) if chance < 1 else 0.0))
+    return games.sparkSession.createDataFrame(kappas, "k double, kappa double")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..config import SETTINGS
-from ..functions.columns import EVIDENCE_BANDS, EVIDENCE_TOP, POISSON_TERMS
 from .fixtures import GAMES_SQL, SIDES_SQL, STATISTICS_SQL
 
 DOUBLE = "CAST({} AS DOUBLE)"
@@ -73,7 +71,7 @@ def chances(state: str) -> str:
     term = lambda m: f"CASE WHEN {m} > 0 THEN exp(k * ln({m}) - {m} - lgamma(k + 1)) WHEN k = 0 THEN 1.0 ELSE 0.0 END"
     return f"""means AS (SELECT DISTINCT home_score_avg AS h, away_score_avg AS a FROM expected WHERE game_state_name = '{state}' AND home_score_avg IS NOT NULL AND away_score_avg IS NOT NULL),
 terms AS (
-  SELECT h, a, k, {term('h')} AS ph, {term('a')} AS pa FROM means, (SELECT unnest(range(0, {POISSON_TERMS})) AS k)),
+  SELECT h, a, k, {term('h')} AS ph, {term('a')} AS pa FROM (SELECT h, a, unnest(range(0, CAST(greatest(h, a) + 14 * sqrt(greatest(h, a)) AS BIGINT) + 40)) AS k FROM means)),
 summed AS (
   SELECT h, a, sum(ph * below) AS p_home, sum(ph * pa) AS p_draw FROM (
     SELECT h, a, ph, pa, coalesce(sum(pa) OVER (PARTITION BY h, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM terms) GROUP BY h, a),
@@ -88,8 +86,9 @@ records AS (
 PREDICTED = (GAMES_SQL, EXPECTED, chances("Pre Game"))
 PICKS = f"""picks AS (SELECT * FROM (
   SELECT game_id, competition_id, team_home AS team, odds_home AS price, 1 / nullif(home_team_win_prob, 0) AS price_min FROM records WHERE home_team_result = 'Win'
-  UNION ALL SELECT game_id, competition_id, team_away, odds_away, 1 / nullif(home_team_lose_prob, 0) FROM records WHERE home_team_result = 'Loss') WHERE price > price_min * {SETTINGS.edge})"""
-BAND = "CASE " + " ".join(f"WHEN ratio < {b} THEN '{t}'" for b, t in EVIDENCE_BANDS) + f" ELSE '{EVIDENCE_TOP}' END AS evidence_strength"
+  UNION ALL SELECT game_id, competition_id, team_away, odds_away, 1 / nullif(home_team_lose_prob, 0) FROM records WHERE home_team_result = 'Loss') WHERE price > price_min * 1.05)"""
+BAND = """CASE WHEN ratio < 1 THEN 'Negative evidence' WHEN ratio < 3 THEN 'Anecdotal evidence' WHEN ratio < 10 THEN 'Moderate evidence'
+  WHEN ratio < 30 THEN 'Strong evidence' WHEN ratio < 100 THEN 'Very strong evidence' ELSE 'Decisive evidence' END AS evidence_strength"""
 SCORELINE = ", ".join(f"CAST({e} AS BIGINT) AS predicted_{n}" for n, e in (("home_score", "floor(home_score_avg)"), ("away_score", "floor(away_score_avg)"), ("margin", "floor(home_score_avg) - floor(away_score_avg)")))
 PRICE = "coalesce(format('{{:.2f}}', {}), 'None')"
 LABELS = "(VALUES ('home'), ('away'), ('draw')) l(label)"
@@ -102,7 +101,7 @@ JUDGED = f"""judged AS (
 def ratings(ks: list[float]) -> str:
     """The recurrence as a recursive query: game n of every competition and k in step n, with the
     ratings of the 17 teams as a list."""
-    low, high, start, carry = SETTINGS.margin_min, SETTINGS.margin_max, SETTINGS.rating_start, SETTINGS.carry_over
+    low, high, start, carry = -80.0, 80.0, 1500.0, 0.5
     base = f"CASE WHEN s.year <> g.competition_year THEN list_transform(s.ratings, lambda x: x + {carry} * ({start} - x)) ELSE s.ratings END"
     return f"""numbered AS (
   SELECT g.competition_id, game_id, competition_year, CAST(substr(team_home, 2) AS INT) + 1 AS h, CAST(substr(team_away, 2) AS INT) + 1 AS a, m.advantage, ks.k,
@@ -167,17 +166,23 @@ ORACLE_SQL: dict[str, str] = {
         LEFT JOIN b a ON g.competition_year = a.season_id AND g.round_id = a.round_number AND g.team_away = a.team""",
     "xml_fixtures_roundtrip": f"{with_(GAMES_SQL)} SELECT competition_id, competition_year, round_id, round_name, game_id, game_state_name, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time, venue_name, crowd, team_home, team_away, score_home, score_away, {r('odds_home')} AS odds_home, {r('odds_away')} AS odds_away FROM games",
     "xml_ladder": f"{with_(GAMES_SQL, SIDES_SQL, LADDER)} SELECT {SEASON}, round_id, team, {', '.join(RATED)} FROM ladder {NO_GAP}",
-    "assembled_games": f"""{with_(GAMES_SQL, SIDES_SQL, LADDER)}, kept AS (SELECT * FROM ladder {NO_GAP}),
+    "assembled_games": f"""{with_(GAMES_SQL, SIDES_SQL, STATISTICS_SQL, LADDER)}, hosts AS (SELECT DISTINCT competition_id, team_home AS team FROM games), kept AS (SELECT * FROM ladder {NO_GAP}),
         b AS (SELECT {SEASON}, round_id, team, coalesce(lag(wins) OVER t, 0) AS wins, coalesce(lag(points_for) OVER t, 0) AS points_for, coalesce(lag(form) OVER t, 0) AS form
           FROM (SELECT *, CAST(len(regexp_replace(recent_form, '[^W]', '', 'g')) - len(regexp_replace(recent_form, '[^L]', '', 'g')) AS DOUBLE) AS form FROM kept)
           WINDOW t AS (PARTITION BY {SEASON}, team ORDER BY round_id))
-        SELECT game_id, {', '.join(f"{t}.wins AS wins_{n}_ladder, {t}.form AS recent_form_{n}_ladder, {r(f'{t}.wins / g.round_id')} AS win_rate_{n}_ladder, {r(f'{t}.points_for / g.round_id')} AS avg_points_for_{n}_ladder" for t, n in (('h', 'home'), ('a', 'away')))} FROM games g
+        , {WIDE}, s AS (SELECT season_id, round_number, team, {', '.join(f'coalesce(lag({x}) OVER t, 0) AS {x}' for x in ('flag_a', 'flag_n', 'flag_r'))} FROM wide WINDOW t AS (PARTITION BY season_id, team ORDER BY round_number))
+        SELECT game_id, {', '.join(f'{t}.{x} AS {x}_{n}_performance' for x in ('flag_a', 'flag_n', 'flag_r') for t, n in (('sh', 'home'), ('sa', 'away')))}, {', '.join(f"{t}.wins AS wins_{n}_ladder, {t}.form AS recent_form_{n}_ladder, {r(f'{t}.wins / g.round_id')} AS win_rate_{n}_ladder, {r(f'{t}.points_for / g.round_id')} AS avg_points_for_{n}_ladder" for t, n in (('h', 'home'), ('a', 'away')))} FROM games g
         LEFT JOIN b h ON g.competition_id = h.competition_id AND g.competition_year = h.competition_year AND g.round_id = h.round_id AND g.team_home = h.team
-        LEFT JOIN b a ON g.competition_id = a.competition_id AND g.competition_year = a.competition_year AND g.round_id = a.round_id AND g.team_away = a.team""",
+        LEFT JOIN b a ON g.competition_id = a.competition_id AND g.competition_year = a.competition_year AND g.round_id = a.round_id AND g.team_away = a.team
+        LEFT JOIN hosts hh ON hh.competition_id = g.competition_id AND hh.team = g.team_home LEFT JOIN hosts ha ON ha.competition_id = g.competition_id AND ha.team = g.team_away
+        LEFT JOIN s sh ON g.competition_year = sh.season_id AND g.round_id = sh.round_number AND hh.team = sh.team
+        LEFT JOIN s sa ON g.competition_year = sa.season_id AND g.round_id = sa.round_number AND ha.team = sa.team""",
     "xml_performance": f"{with_(STATISTICS_SQL)} SELECT CAST(season_id AS VARCHAR) AS season_id, CAST(round_number AS VARCHAR) AS round_number, stat_name, team, {r('value')} AS value FROM statistics",
     "stop_at_gap": f"""{with_(GAMES_SQL)} SELECT competition_year, round_id FROM (SELECT *, row_number() OVER (PARTITION BY competition_year ORDER BY round_id) AS n FROM (
         SELECT DISTINCT competition_year, round_id FROM games WHERE NOT (competition_year = 1996 AND round_id = 4) AND NOT (competition_year = 1998 AND round_id = 1))) WHERE n = round_id""",
-    "schema_union": f"{with_(GAMES_SQL)} SELECT game_id, team_home, NULL AS team_away FROM games WHERE competition_year = 1995 UNION ALL SELECT game_id, NULL, team_away FROM games WHERE competition_year = 1996",
+    "schema_union": f"{with_(GAMES_SQL)} SELECT game_id, team_home, NULL AS team_away FROM games UNION ALL SELECT game_id, NULL, team_away FROM games",
+    "level_vocabulary": f"{with_(GAMES_SQL)} SELECT team_home, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT team_home, CAST(count(*) AS BIGINT) AS n FROM games GROUP BY ALL UNION ALL SELECT 'T3', 0 UNION ALL SELECT 'Newcomers', 0) GROUP BY ALL",
+    "predictor_filter": f"SELECT n || '_' || s || '_ladder' AS predictor FROM (VALUES {', '.join(f"('{n}')" for n in ('wins', 'losses', 'draws', 'points_for', 'points_against', 'recent_form', 'win_rate', 'draw_rate', 'loss_rate', 'avg_points_for', 'avg_points_against'))}) t(n), (VALUES ('home'), ('away')) u(s)",
     "fct_lump_max": """WITH counts AS (SELECT p_name, count(*) AS n FROM part GROUP BY ALL), ranked AS (SELECT p_name, (SELECT count(*) FROM counts b WHERE b.n >= a.n) AS place FROM counts a)
         SELECT p_partkey, CASE WHEN p_name IS NULL OR place <= 40 THEN p_name ELSE 'Other' END AS p_name FROM part LEFT JOIN ranked USING (p_name)""",
     "fct_lump_min": f"""{with_(GAMES_SQL)}, counts AS (SELECT venue_name, count(*) AS n FROM games GROUP BY ALL), ranked AS (SELECT venue_name, rank() OVER (ORDER BY n DESC) AS place FROM counts)
@@ -188,19 +193,23 @@ ORACLE_SQL: dict[str, str] = {
     "inference_split": f"{with_(GAMES_SQL)} SELECT game_id, competition_year, round_id FROM games WHERE game_state_name = 'Pre Game' AND round_id = (SELECT min(round_id) FROM games WHERE game_state_name = 'Pre Game')",
     "drop_first_season": f"""{with_(GAMES_SQL)} SELECT {SEASON}, count(*) AS games FROM games WHERE competition_year <> (SELECT min(competition_year) FROM games f WHERE f.competition_id = games.competition_id) GROUP BY ALL""",
     "margin_outcome": f"{with_(GAMES_SQL)} SELECT game_id, CASE WHEN score_home IS NOT NULL THEN {r('least(1.0, greatest(0.0, (score_home - score_away + 20) / 40))')} END AS w FROM games",
-    "elo_ratings": f"{recursive(GAMES_SQL, ratings([SETTINGS.rating_k]))} SELECT competition_id, game_id, {r('elo_home')} AS elo_home, {r('elo_away')} AS elo_away, {r('p')} AS elo_home_prob FROM rated",
-    "elo_draw_rates": f"""{recursive(GAMES_SQL, ratings([SETTINGS.rating_k]))}, bucketed AS (SELECT *, round_even(p * 20, 0) AS bucket FROM rated),
+    "elo_ratings": f"{recursive(GAMES_SQL, ratings([70.0]))} SELECT competition_id, game_id, {r('elo_home')} AS elo_home, {r('elo_away')} AS elo_away, {r('p')} AS elo_home_prob FROM rated",
+    "elo_draw_rates": f"""{recursive(GAMES_SQL, ratings([70.0]))}, bucketed AS (SELECT *, round_even(p * 20, 0) AS bucket FROM rated),
         drawn AS (SELECT bucket, avg(CASE WHEN w = 0.5 THEN 1.0 ELSE 0.0 END) AS draw_rate FROM bucketed GROUP BY ALL)
         SELECT game_id, {r('elo_home - elo_away')} AS elo_diff, {r('draw_rate')} AS draw_rate, {r('p * (1 - draw_rate)')} AS home_prob, {r('(1 - p) * (1 - draw_rate)')} AS away_prob,
           {r('p * (1 - draw_rate) - (1 - p) * (1 - draw_rate)')} AS elo_prob_diff FROM bucketed JOIN drawn USING (bucket)""",
-    "elo_k_sweep": f"""{recursive(GAMES_SQL, ratings([30.0, 50.0, 70.0]))} SELECT k, {r('avg(-ln(greatest(CASE WHEN w > 0.5 THEN p ELSE 1 - p END, 1e-15)))')} AS log_loss, count(*) AS games FROM rated WHERE w IS NOT NULL AND w <> 0.5 GROUP BY k""",
+    "elo_k_sweep": f"""{recursive(GAMES_SQL, ratings([float(k) for k in range(21, 71)]))}, bucketed AS (SELECT *, round_even(p * 20, 0) AS bucket FROM rated WHERE w IS NOT NULL),
+        drawn AS (SELECT k, bucket, avg(CASE WHEN w = 0.5 THEN 1.0 ELSE 0.0 END) AS draw_rate FROM bucketed GROUP BY ALL),
+        later AS (SELECT b.*, draw_rate FROM bucketed b JOIN drawn USING (k, bucket) WHERE year <> (SELECT min(competition_year) FROM games g WHERE g.competition_id = b.competition_id))
+        SELECT k, {r('avg(-ln(greatest(CASE WHEN w > 0.5 THEN p * (1 - draw_rate) WHEN w < 0.5 THEN (1 - p) * (1 - draw_rate) ELSE draw_rate END, 1e-15)))')} AS log_loss, count(*) AS games FROM later GROUP BY k""",
     "poisson_outcome": f"{with_(*PREDICTED)} SELECT game_id, {', '.join(f'{r(x)} AS {x}' for x in ('home_score_avg', 'away_score_avg', 'home_team_win_prob', 'home_team_lose_prob', 'draw_prob'))} FROM records",
     "bayes_evidence": f"{with_(*PREDICTED)} SELECT game_id, {BAND}, round(least(ratio, 1e9), 4) AS bayes_factor FROM records",
     "modal_scoreline": f"{with_(*PREDICTED)} SELECT game_id, {SCORELINE} FROM records",
     "prediction_record": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, {', '.join(f'{r(x)} AS {x}' for x in ('home_team_win_prob', 'home_team_lose_prob', 'draw_prob', 'home_score_avg', 'away_score_avg'))},
         {SCORELINE}, {BAND} FROM records""",
-    "predictions_upsert": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, {r('CASE WHEN game_id % 3 = 0 THEN home_team_win_prob / 2 ELSE home_team_win_prob END')} AS home_team_win_prob,
-        {r('home_team_lose_prob')} AS home_team_lose_prob FROM records WHERE game_id % 2 = 0 OR game_id % 3 = 0""",
+    "predictions_upsert": f"""{with_(*PREDICTED)}, ends AS (SELECT min(round_id) AS first, max(round_id) AS last FROM records)
+        SELECT game_id, home_team_result, {r('CASE WHEN round_id > first THEN home_team_win_prob / 2 ELSE home_team_win_prob END')} AS home_team_win_prob,
+        {r('home_team_lose_prob')} AS home_team_lose_prob FROM records, ends WHERE round_id > first OR round_id < last""",
     "prediction_report": f"""{with_(*PREDICTED)} SELECT game_id, home_team_result, team_home, {POSITION.format('home')} AS position_home, {r('odds_home')} AS odds_home, team_away, {POSITION.format('away')} AS position_away, {r('odds_away')} AS odds_away, {r('home_team_win_prob')} AS home_team_win_prob,
         {r('home_team_lose_prob')} AS home_team_lose_prob, round_id, competition_year, round_name FROM records WHERE round_id = (SELECT min(round_id) FROM games WHERE game_state_name = 'Pre Game')""",
     "value_picks": f"""{with_(*PREDICTED, PICKS)} SELECT game_id, team, {r('price')} AS price, {r('price_min')} AS price_min FROM picks""",
@@ -215,6 +224,11 @@ ORACLE_SQL: dict[str, str] = {
     "regression_metrics": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)}, pairs AS (SELECT 'home' AS target, score_home AS y, home_score_avg AS f FROM judged UNION ALL SELECT 'away', score_away, away_score_avg FROM judged)
         SELECT target, {r('avg(abs(y - f))')} AS mae, {r('sqrt(avg((y - f) * (y - f)))')} AS rmse, {r('1 - sum((y - f) * (y - f)) / nullif(var_pop(y) * count(y), 0)')} AS r2,
           {r('avg(2 * (CASE WHEN y > 0 THEN y * ln(y / greatest(f, 1e-9)) ELSE 0 END - y + greatest(f, 1e-9)))')} AS poisson_deviance FROM pairs WHERE y IS NOT NULL AND f IS NOT NULL GROUP BY target""",
+    "score_source_metrics": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)}, pairs AS (SELECT 'mean_home' AS target, score_home AS y, home_score_avg AS f FROM judged UNION ALL SELECT 'mean_away', score_away, away_score_avg FROM judged
+          UNION ALL SELECT 'mode_home', score_home, floor(home_score_avg) FROM judged UNION ALL SELECT 'mode_away', score_away, floor(away_score_avg) FROM judged)
+        SELECT target, {r('avg(abs(y - f))')} AS mae, {r('sqrt(avg((y - f) * (y - f)))')} AS rmse, {r('1 - sum((y - f) * (y - f)) / nullif(var_pop(y) * count(y), 0)')} AS r2,
+          {r('avg(2 * (CASE WHEN y > 0 THEN y * ln(y / greatest(f, 1e-9)) ELSE 0 END - y + greatest(f, 1e-9)))')} AS poisson_deviance FROM pairs WHERE y IS NOT NULL AND f IS NOT NULL GROUP BY target""",
+    "accuracy": f"{with_(GAMES_SQL, EXPECTED, JUDGED)} SELECT {r('avg(CASE WHEN actual = foretold THEN 1.0 WHEN actual <> foretold THEN 0.0 END)')} AS accuracy FROM judged",
     "roc_points": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)}, rates AS (SELECT label, count(*) FILTER (actual = label AND foretold = label) / nullif(count(*) FILTER (actual = label), 0) AS tpr,
         count(*) FILTER (actual <> label AND foretold = label) / nullif(count(*) FILTER (actual <> label), 0) AS fpr FROM judged, {LABELS} GROUP BY ALL)
         SELECT label, {r('tpr')} AS tpr, {r('fpr')} AS fpr, {r('(1 + tpr - fpr) / 2')} AS auc FROM rates""",

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import jobs
 from ..functions import columns as c
-from ..functions.names import suffix_join
 from ..operators import cleaning, evaluation, features, models, prediction, ratings, standings
-from ..session import ship_package
+from ..session import settle, shared_folder, ship_package
 from ..sources import store, xml
 from . import oracle
 from .fixtures import games, statistics, table
@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL = oracle.ORACLE_SQL
 LABELS = ["home", "away", "draw"]
 STATS = ["flag_a", "flag_n", "flag_r"]
-SWEPT = [30.0, 50.0, 70.0]
+SWEPT = [float(k) for k in range(21, 71)]
 
 
 def query(f):
@@ -157,13 +157,11 @@ def performance_pivot(spark, sf):
 
 @query
 def performance_join(spark, sf):
+    """Teams' statistics before the round, joined as the assembly does (teams play in one competition)."""
     wide = standings.pivot_statistics(statistics(spark, sf), ["season_id", "round_number", "team"], STATS)
-    wide = wide.withColumnsRenamed({"season_id": "competition_year", "round_number": "round_id"})
-    order = W.partitionBy("competition_year", "team").orderBy("round_id")
-    before = wide.select("competition_year", "round_id", "team", *(F.lag(s).over(order).alias(s) for s in STATS)).fillna(0.0, subset=STATS)
-    all_games, on = games(spark, sf).select("game_id", "competition_year", "round_id", "team_home", "team_away"), ["competition_year", "round_id"]
-    home = all_games.join(before.withColumnRenamed("team", "team_home"), [*on, "team_home"], "left")
-    joined = suffix_join(home, before.withColumnRenamed("team", "team_away"), [*on, "team_away"], ("_home_performance", "_away_performance"))
+    wide = wide.withColumnsRenamed({"season_id": "competition_year", "round_number": "round_id"}).withColumn("competition_id", F.lit("all"))
+    all_games = games(spark, sf).select("game_id", F.lit("all").alias("competition_id"), "competition_year", "round_id", "team_home", "team_away")
+    joined = standings.join_both_sides(all_games, standings.entering_round(wide), "performance")
     return joined.select("game_id", *(f"{s}_{side}_performance" for s in STATS for side in ("home", "away")))
 
 
@@ -220,11 +218,19 @@ def xml_performance(spark, sf):
     return xml.statistic_rows(xml.parse(texts, "document", xml.STATISTICS_TAG, xml.STATISTICS_SCHEMA)).select("season_id", "round_number", "stat_name", F.col("team_name").alias("team"), "value")
 
 
+def competition_statistics(spark, sf) -> DataFrame:
+    """The statistics as those of every competition's team of that name."""
+    wide = standings.pivot_statistics(statistics(spark, sf), ["season_id", "round_number", "team"], STATS)
+    wide = wide.withColumnsRenamed({"season_id": "competition_year", "round_number": "round_id"})
+    return games(spark, sf).select("competition_id", F.col("team_home").alias("team")).distinct().join(wide, "team")
+
+
 @query
 def assembled_games(spark, sf):
     found = xml.games_from_sides(xml.fixture_sides(fixture_documents(spark, sf)))
-    joined = standings.assemble(found, xml.ladder_rows(ladder_documents(spark, sf)))
-    return joined.select("game_id", *(f"{n}_{side}_ladder" for n in ("wins", "recent_form", "win_rate", "avg_points_for") for side in ("home", "away")))
+    joined = standings.assemble(found, xml.ladder_rows(ladder_documents(spark, sf)), competition_statistics(spark, sf))
+    ladder = [f"{n}_{side}_ladder" for n in ("wins", "recent_form", "win_rate", "avg_points_for") for side in ("home", "away")]
+    return joined.select("game_id", *ladder, *(f"{s}_{side}_performance" for s in STATS for side in ("home", "away")))
 
 
 @query
@@ -235,8 +241,8 @@ def stop_at_gap(spark, sf):
 
 @query
 def schema_union(spark, sf):
-    parts = [games(spark, sf).filter(F.col("competition_year") == 1995).select("game_id", "team_home"), games(spark, sf).filter(F.col("competition_year") == 1996).select("team_away", "game_id")]
-    return xml.union_all(parts)
+    """All games twice, with different columns."""
+    return xml.union_all([games(spark, sf).select("game_id", "team_home"), games(spark, sf).select("team_away", "game_id")])
 
 
 # --- cleaning and splits
@@ -272,6 +278,18 @@ def drop_first_season(spark, sf):
     return cleaning.drop_first_season(games(spark, sf)).groupBy("competition_id", "competition_year").agg(F.count(F.lit(1)).alias("games"))
 
 
+@query
+def level_vocabulary(spark, sf):
+    return cleaning.known_levels(games(spark, sf), "team_home", ("T3", "Newcomers"))
+
+
+@query
+def predictor_filter(spark, sf):
+    """Names of the assembled columns that remain without those of statistics."""
+    found = standings.assemble(games(spark, sf), standings.ladder(games(spark, sf)), competition_statistics(spark, sf))
+    return spark.createDataFrame([(c,) for c in models.filter_predictors(found.columns[len(games(spark, sf).columns) :])], "predictor string")
+
+
 # --- ratings
 
 
@@ -287,7 +305,7 @@ def elo_ratings(spark, sf):
 
 @query
 def elo_draw_rates(spark, sf):
-    return ratings.with_draws(ratings.rate_games(games(spark, sf))).select("game_id", "elo_diff", "draw_rate", "home_prob", "away_prob", "elo_prob_diff")
+    return ratings.with_draws(settle(ratings.rate_games(games(spark, sf)))).select("game_id", "elo_diff", "draw_rate", "home_prob", "away_prob", "elo_prob_diff")
 
 
 @query
@@ -295,6 +313,11 @@ def elo_k_sweep(spark, sf):
     return ratings.sweep_k(games(spark, sf), SWEPT)
 
 
+@query
+def elo_forest_kappa(spark, sf):
+    return ratings.forest_kappa(games(spark, sf), [30.0, 70.0], trees=20)
+
+
 # --- prediction, store, report
 
 
@@ -331,10 +354,14 @@ def prediction_record(spark, sf):
 
 @query
 def predictions_upsert(spark, sf):
-    kept = predicted(spark, sf).select(*store.PREDICTION_COLUMNS)
-    existing = kept.filter("game_id % 2 = 0")
-    new = kept.filter("game_id % 3 = 0").withColumn("home_team_win_prob", F.col("home_team_win_prob") / 2)
-    return store.upsert(existing, new)
+    """Stored: all predictions but those of the last round ahead. New: all but those of the first, each
+    twice, of which the second revision counts."""
+    found = predicted(spark, sf).select(*store.PREDICTION_COLUMNS).join(games(spark, sf).select("game_id", "round_id"), "game_id")
+    first, last = found.select(F.min("round_id")).scalar(), found.select(F.max("round_id")).scalar()
+    existing = found.filter(F.col("round_id") < last).select(*store.PREDICTION_COLUMNS)
+    revised = found.filter(F.col("round_id") > first).withColumn("revision", F.explode(F.array(F.lit(2), F.lit(1))))
+    new = revised.withColumn("home_team_win_prob", F.col("home_team_win_prob") * F.col("revision") / 4).select(*store.PREDICTION_COLUMNS, "revision")
+    return store.upsert(existing, new, order="revision")
 
 
 @query
@@ -390,6 +417,19 @@ def classification_report(spark, sf):
     return evaluation.classification_report(judged(spark, sf), "actual", "foretold", LABELS)
 
 
+@query
+def accuracy(spark, sf):
+    return evaluation.accuracy(judged(spark, sf), "actual", "foretold")
+
+
+@query
+def score_source_metrics(spark, sf):
+    """Errors of both sources of scores: the models' means, and the likeliest scores."""
+    found = judged(spark, sf).withColumns({f"{side}_mode": F.floor(f"{side}_score_avg") for side in ("home", "away")})
+    pairs = {f"{source}_{side}": (f"score_{side}", f"{side}_{column}") for source, column in (("mean", "score_avg"), ("mode", "mode")) for side in ("home", "away")}
+    return evaluation.regression_metrics(found, pairs)
+
+
 @query
 def regression_metrics(spark, sf):
     return evaluation.regression_metrics(judged(spark, sf), {"home": ("score_home", "home_score_avg"), "away": ("score_away", "away_score_avg")})
@@ -439,7 +479,12 @@ def crowd_imputation(spark, sf):
 
 # --- models: learned, so no SQL says the same
 
-PREDICTORS = ["team_home", "team_away", "round_id", "prev_result_diff", "matchup_form"]
+
+def prepared(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Games with features, standings and statistics, and the predictors without statistics."""
+    all_games = games(spark, sf)
+    found, predictors = jobs.prepare(all_games, standings.ladder(all_games), competition_statistics(spark, sf))
+    return found, models.filter_predictors(predictors)
 
 
 def training_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -449,19 +494,33 @@ def training_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 @query
 def train_score_models(spark, sf):
-    train, ahead = training_rows(spark, sf)
-    train = train.cache()
-    for side in ("home", "away"):
-        model, _ = models.train_score_model(train, PREDICTORS, f"score_{side}")
-        ahead = models.predict_scores(model, ahead, f"{side}_score_avg")
-    return prediction.prediction_records(ahead)
+    """Both jobs in turn: models of both sides' scores trained, saved, read again and applied."""
+    found, predictors = prepared(spark, sf)
+    rows, folder = settle(found), f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    jobs.train(rows, predictors, folder, draws=2, folds=3)
+    return jobs.predict(rows, predictors, folder)
+
+
+@query
+def search_candidates(spark, sf):
+    """Random draws of settings of both kinds of model, by their deviance."""
+    found, predictors = prepared(spark, sf)
+    return models.candidates(settle(cleaning.training_games(found)), predictors, "score_home", draws=2, boosted_draws=1, folds=2)
 
 
 @query
 def feature_importance_top20(spark, sf):
-    train, _ = training_rows(spark, sf)
-    model, _ = models.train_score_model(train.cache(), PREDICTORS, "score_home")
-    return models.feature_importances(model, train)
+    found, predictors = prepared(spark, sf)
+    train = settle(cleaning.training_games(found))
+    model, _ = models.train_score_model(train, predictors, "score_home", draws=1, folds=2)
+    return models.feature_importances(model, train.fillna(0))
+
+
+@query
+def home_ground_advantage(spark, sf):
+    rows = features.with_easy_columns(games(spark, sf))
+    found = models.home_ground_estimates(rows, ["venue_name", "team_home", "team_away", "start_hour", "game_day", "round_id", "competition_year"], trees=20)
+    return found.select("game_id", "home_ground_advantage")
 
 
 @query

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "touchline", master: str | None = None, **conf: str) -> SparkSession:
@@ -34,7 +34,7 @@ def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the executors' Python workers, once for each context, and let
     batches of rows be small, unless the session says otherwise."""
     context, rows = spark.sparkContext, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(rows) == "10000":
+    if not context.getConf().contains(rows) and not getattr(context, "_touchline_shipped", False):
         spark.conf.set(rows, BATCH_ROWS)
     if not getattr(context, "_touchline_shipped", False):
         root = Path(__file__).resolve().parent
@@ -44,3 +44,21 @@ def ship_package(spark: SparkSession) -> None:
                 out.write(source, source.relative_to(root.parent))
         context.addPyFile(str(target))
         context._touchline_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. A local session (one process)
+    without one gets a temporary folder; a cluster gets an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="touchline-shared-"))
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, for what several later steps read."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
