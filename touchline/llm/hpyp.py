@@ -91,22 +91,22 @@ def _tabled(c: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float,
     total, times = np.ones(len(c)), np.zeros(len(c), np.int8)  # divided so many times by LARGEST
     for last in (False, True):
         rows, t = np.arange(len(c)), 0
-        p, so_far, shifts, before = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c), np.int8), np.zeros(len(c))
-        of_c, of_base, of_step, wanted, of_times, of_all = c, base, step, uniform * total, times, everyone
+        p, so_far, before, opened = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c)), np.ones(len(c), np.int64)
+        shifts, wanted = np.zeros(len(c), np.int8), uniform * total
+        of_c, of_base, of_step, of_times, of_all = c, base, step, times, everyone
         while len(rows):
             t += 1
+            going = ((so_far < wanted) | (shifts < of_times) if last else (p > REST * so_far) | (p > before)) & (of_c > t)
             if last:
-                going = (so_far < wanted) | (shifts < of_times)
-            else:
-                going = (p > REST * so_far) | (p > before)
-            going &= of_c > t
-            ended = len(rows) - np.count_nonzero(going)
-            if ended:
+                opened = opened + going
+            # those that are done are carried along until they are many: their sums don't grow beyond the last count
+            if np.count_nonzero(going) <= 0.8 * len(rows):
+                ended = ~going
                 if last:
-                    tables[rows[~going]] = t
+                    tables[rows[ended]] = opened[ended]
                 else:
-                    total[rows[~going]], times[rows[~going]] = so_far[~going], shifts[~going]
-                rows, p, so_far, shifts, of_c, of_base, of_step, wanted, of_times = (x[going] for x in (rows, p, so_far, shifts, of_c, of_base, of_step, wanted, of_times))
+                    total[rows[ended]], times[rows[ended]] = so_far[ended], shifts[ended]
+                rows, p, so_far, opened, shifts, wanted, of_c, of_base, of_step, of_times = (x[going] for x in (rows, p, so_far, opened, shifts, wanted, of_c, of_base, of_step, of_times))
                 of_all = of_all[going] if everyone is not None else None
             before = p
             factor = of_base * (of_step + discount * t)

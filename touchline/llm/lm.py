@@ -275,17 +275,23 @@ class _State(_Pairs):
         rest = (THETA + d * all_tables) / (THETA + all_customers) / (s["types"] + 1)
         return (customers - d * tables) / (THETA + all_customers) + rest, opened
 
-    def seat(self, row: dict, sweep: int, chain: int, owned: bool) -> np.ndarray:
-        """Tables of each pair (or of those that the chunk owns) in the given sweep: the same in every
-        chunk that holds the pair, as they follow from counts and a hash."""
-        parent, opened = self.after(row, sweep - 1, chain) if sweep else self.start()
+    def seat(self, row: dict, sweep: int, owned: bool) -> list[np.ndarray]:
+        """By chain, the tables of each pair (or of those that the chunk owns) in the given sweep: the same
+        in every chunk that holds the pair, as they follow from counts and a hash."""
         several = np.flatnonzero((self.pair_count > 1) & self.pair_owned if owned else self.pair_count > 1)
-        tables = np.minimum(self.pair_count, 1)
-        salt = np.uint64((1 + chain + CHAINS * sweep) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-        u = (mix64(mix64(self.keys[several]) + salt) >> np.uint64(11)).astype(float) / (1 << 53)
-        others = np.maximum(opened[self.context[several]] - 1.0, 0.0)
-        tables[several] = draw_tables(self.pair_count[several], np.log(parent[self.word[several]]), others, THETA, self.settings["pair_discount"], u)
-        return tables
+        key, context, word = mix64(self.keys[several]), self.context[several], self.word[several]
+        bases, others, uniforms = [], [], []
+        for chain in range(CHAINS):
+            parent, opened = self.after(row, sweep - 1, chain) if sweep else self.start()
+            salt = np.uint64((1 + chain + CHAINS * sweep) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+            uniforms.append((mix64(key + salt) >> np.uint64(11)).astype(float) / (1 << 53))
+            bases.append(np.log(parent)[word])
+            others.append(np.maximum(opened[context] - 1.0, 0.0))
+        drawn = draw_tables(np.tile(self.pair_count[several], CHAINS), np.concatenate(bases), np.concatenate(others), THETA, self.settings["pair_discount"], np.concatenate(uniforms))
+        out = [np.minimum(self.pair_count, 1) for _ in range(CHAINS)]
+        for tables, part in zip(out, np.split(drawn, CHAINS)):
+            tables[several] = part
+        return out
 
 
 def _sweep(joined: DataFrame, settings: dict, sweep: int) -> DataFrame:
@@ -299,8 +305,8 @@ def _sweep(joined: DataFrame, settings: dict, sweep: int) -> DataFrame:
                 state = _State(row, held.value)
                 n, own = len(state.count), state.pair_owned
                 dish, context = [], []
-                for chain in range(CHAINS):
-                    tables = state.seat(row, sweep, chain, True)[own]
+                for tables in state.seat(row, sweep, True):
+                    tables = tables[own]
                     dish.append(np.bincount(state.word[own], tables, n).astype(np.int64))
                     context.append(np.bincount(state.context[own], tables, n).astype(np.int64))
                 told = [(b, row["chunk"], _pack(place), _pack(np.concatenate([d[at] for d in dish])), _pack(np.concatenate([c[at] for c in context]))) for b, at, place in state.slots]
@@ -344,8 +350,7 @@ def _score(joined: DataFrame, settings: dict) -> DataFrame:
                 state, sizes = _State(row, s), np.array(row["sizes"], np.int64)
                 chance = np.zeros(len(state.keys))
                 for sweep in range(SWEEPS - KEPT, SWEEPS):
-                    for chain in range(CHAINS):
-                        tables = state.seat(row, sweep, chain, False)
+                    for chain, tables in enumerate(state.seat(row, sweep, False)):
                         parent, opened = state.after(row, sweep, chain)
                         own = np.maximum(state.pair_count - s["pair_discount"] * tables, 0)
                         rest = THETA + s["pair_discount"] * opened[state.context]
