@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import materialize, mix64
-from .select import unit_interval
+from .select import join_group, unit_interval
 
 #: Hashed n-gram features, and the lengths of the n-grams.
 FEATURES = 4096
@@ -220,7 +220,8 @@ def _drawn(known: DataFrame, per_language: int) -> DataFrame:
     """
     counts = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     u = unit_interval(F.col("doc_id"))
-    ids = known.select("doc_id", "lang").join(counts, "lang").filter(u * F.col("n") < 2 * per_language + 50).select("doc_id", "lang").distinct()
+    ids = join_group(known.select("doc_id", "lang"), counts.withColumnRenamed("lang", "of"), {"lang": "of"}, "doc_id")
+    ids = ids.filter(u * F.col("n") < 2 * per_language + 50).select("doc_id", "lang").distinct()
     order = W.partitionBy("lang").orderBy(u, "doc_id")
     ids = materialize(ids.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).drop("rank"))
     # at most max(ROWS, FEWEST a language) ids, so this side may be broadcast
