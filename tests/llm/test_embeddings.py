@@ -54,3 +54,24 @@ def test_bound_holds():
     assert (np.abs(approx - u @ u.T) <= e[:, None] + e + e[:, None] * e).all()
     pairs = {(int(i), int(j)) for a, b in links_between(u, u, 0.3, True) for i, j in zip(a, b)}
     assert pairs == {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.3)) if i < j}
+
+
+def test_bounds_hold_in_many_dimensions_and_at_the_threshold():
+    from touchline.llm.embeddings import possible_links
+
+    rng = np.random.default_rng(2)
+    for dim in (3, 64, 1024, 5000):
+        base = rng.normal(size=(40, dim))
+        x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.33]) * rng.uniform(1e-3, 1e3, size=(80, 1))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        exact = {(int(i), int(j)) for i, j in zip(*np.nonzero(u @ u.T >= 0.95)) if i < j}
+        possible = {(int(i), int(j)) for a, b in possible_links(quantise(u), quantise(u), 0.95, True) for i, j in zip(a, b)}
+        assert exact <= possible and len(possible) <= len(exact) + 60
+        assert {(int(i), int(j)) for a, b in links_between(x, x, 0.95, True) for i, j in zip(a, b)} == exact
+
+
+def test_huge_and_tiny_components_are_linked(spark):
+    rows = [(1, [1e200, 2e200]), (2, [1e-300, 2e-300]), (3, [3.0, 6.0]), (4, [5e-324, 5e-324]), (5, [1.0, 1.0]), (6, [1e308, -1e308])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(d, 0.999).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}

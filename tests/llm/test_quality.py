@@ -48,3 +48,44 @@ def test_counts_are_of_the_whole_text():
     assert counts[:-2].sum() == 28 and counts[-2:].tolist() == [2 + 1 + 1, 9 - 4] or counts[-2:].sum() == 9
     assert bucket_counts(None).sum() == 0 and bucket_counts("xx").sum() == 0
     assert not log_ratios(np.ones(BUCKETS), np.zeros(BUCKETS)).any()
+
+
+def test_weights_by_brute_force(spark):
+    """Trigrams counted one by one, the two models and the documents' weights from plain dictionaries."""
+    import math
+    from collections import Counter
+
+    from touchline.llm.quality import fit_ratio, weigh
+
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choice(["alpha", "beta", "beta", "über", "x"]) for _ in range(rng.randrange(0, 40)))) for i in range(60)] + [(60, "long " * 50_000), (61, None), (3, "again again")]
+    labels = [(i, int(i % 3 == 0)) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def counts(text):
+        found = Counter()
+        for a, b, c in zip(text or "", (text or "")[1:], (text or "")[2:]):
+            h = ((ord(a) << 42) ^ (ord(b) << 21) ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+            found["gram", h >> 49] += 1
+        words = (text or "").split()
+        for a, b in zip(words, words[1:]):
+            found["repeat", a == b] += 1
+        return found
+
+    raw, target = Counter(), Counter()
+    for i, t in docs:
+        raw += counts(t)
+        if i < 40 and i % 3 == 0:
+            target += counts(t)
+
+    def log_share(model, key):
+        size = 2**15 if key[0] == "gram" else 2
+        return math.log((model[key] + 1) / (sum(n for k, n in model.items() if k[0] == key[0]) + size))
+
+    ratios, share = fit_ratio(d, known)
+    assert share == sum(q for _, q in labels) / len(labels)
+    got = weigh(d, ratios).collect()
+    for r in got:
+        want = sum(n * (log_share(target, k) - log_share(raw, k)) for k, n in counts(r["text"]).items())
+        assert abs(r["log_weight"] - want) < 1e-6 * max(1, abs(want))

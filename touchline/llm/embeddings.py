@@ -20,8 +20,8 @@ TILE = 4096
 ROWS, PAIRS = 1024, 100_000
 #: Components multiplied at once: sums of 1024 products of two int8 codes are exact in float32.
 PART = 1024
-#: More than rounding adds to a bound: products of codes are exact sums, so only their scaling rounds.
-ROUNDING = 1e-6
+#: More than rounding adds to a bound: products of codes are exact sums, so only five steps in float32 round.
+ROUNDING = 2e-6
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -37,11 +37,10 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _products_of(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Inner products of int8 codes, as whole numbers in float64."""
-    total = np.zeros((len(one), len(other)))
-    for at in range(0, one.shape[1], PART):
-        total += one[:, at : at + PART].astype(np.float32) @ other[:, at : at + PART].astype(np.float32).T
-    return total
+    """Inner products of int8 codes: whole numbers, exact in float32 up to PART components, then float64."""
+    if one.shape[1] <= PART:
+        return one.astype(np.float32) @ other.astype(np.float32).T
+    return sum((_products_of(one[:, at : at + PART], other[:, at : at + PART]).astype(float) for at in range(0, one.shape[1], PART)), start=0.0)
 
 
 def possible_links(one: tuple, other: tuple, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -51,10 +50,13 @@ def possible_links(one: tuple, other: tuple, threshold: float, same: bool) -> It
     whatever the dimension.
     """
     (q, s, e), (r, t, f) = one, other
-    s, e, t, f = (v.astype(float) for v in (s, e, t, f))
     for begin in range(0, len(q), ROWS):
         rows = slice(begin, begin + ROWS)
-        most = _products_of(q[rows], r) * s[rows, None] * t + (e[rows, None] + f + e[rows, None] * f)
+        most = _products_of(q[rows], r)
+        most *= s[rows, None]
+        most *= t
+        most += e[rows, None] * (1 + f)
+        most += f
         i, j = np.nonzero(most >= threshold - ROUNDING)
         i += begin
         yield (i[i < j], j[i < j]) if same else (i, j)
