@@ -12,7 +12,7 @@ from .common import mix64
 TABLED = 1024
 #: Numbers that are weighed together, and the share of all weight below which further counts are left out.
 CELLS, REST = 400_000, 1e-9
-#: Dishes of at most so many customers are weighed together with all others of as many, BLOCK at a time.
+#: Dishes of at most so many customers are weighed together with all others of as many; dishes at a time.
 FEW, BLOCK = 16, 20_000
 #: Weights beyond this are divided by it.
 LARGEST = 1e200
@@ -57,7 +57,10 @@ def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.nd
             some = same[at : at + BLOCK]
             tables[some] = _few(stirling[c], base[some], step[some], discount, uniform[some])
     some = np.flatnonzero((customers > FEW) & (customers <= TABLED))
-    tables[some] = _tabled(customers[some], base[some], step[some], discount, uniform[some], None)
+    some = some[np.argsort(base[some] * step[some] * np.log(customers[some]))]  # those that open about as many tables go together
+    for at in range(0, len(some), BLOCK):
+        part = some[at : at + BLOCK]
+        tables[part] = _tabled(customers[part], base[part], step[part], discount, uniform[part], None)
     large = np.flatnonzero(customers > TABLED)
     everyone = customers[large].astype(float)
     # what a table among the first TABLED leaves of the later customers' chances, less what they open
@@ -88,36 +91,47 @@ def _tabled(c: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float,
     until they reach the random share of it.
     """
     table, tables = ratios(discount), np.ones(len(c), np.int64)
-    total, times = np.ones(len(c)), np.zeros(len(c), np.int8)  # divided so many times by LARGEST
+    total, times = np.ones(len(c)), np.zeros(len(c), np.int64)  # divided so many times by LARGEST
     for last in (False, True):
         rows, t = np.arange(len(c)), 0
-        p, so_far, before, opened = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c)), np.ones(len(c), np.int64)
-        shifts, wanted = np.zeros(len(c), np.int8), uniform * total
-        of_c, of_base, of_step, of_times, of_all = c, base, step, times, everyone
-        while len(rows):
+        p, so_far, opened = np.ones(len(c)), np.ones(len(c)), np.ones(len(c), np.int64)
+        wanted = np.where(times > 0, np.inf, uniform * total)  # not reached before as many divisions as the total had
+        of_c, first, more, of_all = c, base * step, base * discount, everyone
+        while len(rows) and t < TABLED - 1:
             t += 1
-            going = ((so_far < wanted) | (shifts < of_times) if last else (p > REST * so_far) | (p > before)) & (of_c > t)
+            scratch = np.multiply(more, t)
+            scratch += first
+            if everyone is not None:
+                less = discount * t + (discount + 1) / 2
+                scratch *= ((TABLED - less) / (of_all - less)) ** discount
             if last:
-                opened = opened + going
-            # those that are done are carried along until they are many: their sums don't grow beyond the last count
+                going = so_far < wanted
+                opened += going
+            p *= scratch
+            p *= np.take(table[t], of_c, out=scratch)
+            so_far += p
+            if not last:  # while weights rise, p is a t-th of the sum at least
+                going = p > np.multiply(so_far, REST, out=scratch)
+            # those that are done are carried along until they are many: their sums hardly grow
             if np.count_nonzero(going) <= 0.8 * len(rows):
                 ended = ~going
                 if last:
                     tables[rows[ended]] = opened[ended]
                 else:
-                    total[rows[ended]], times[rows[ended]] = so_far[ended], shifts[ended]
-                rows, p, so_far, opened, shifts, wanted, of_c, of_base, of_step, of_times = (x[going] for x in (rows, p, so_far, opened, shifts, wanted, of_c, of_base, of_step, of_times))
+                    total[rows[ended]] = so_far[ended]
+                rows, p, so_far, opened, wanted, of_c, first, more = (x[going] for x in (rows, p, so_far, opened, wanted, of_c, first, more))
                 of_all = of_all[going] if everyone is not None else None
-            before = p
-            factor = of_base * (of_step + discount * t)
-            if everyone is not None:
-                less = discount * t + (discount + 1) / 2
-                factor *= ((TABLED - less) / (of_all - less)) ** discount
-            p = p * table[t][of_c] * factor if t < TABLED else np.zeros(len(rows))
-            so_far = so_far + p
             if t % 8 == 0 and (large := p > LARGEST).any():
-                p, so_far, before = (np.where(large, x / LARGEST, x) for x in (p, so_far, before))
-                shifts = shifts + large.astype(np.int8)
+                p[large] /= LARGEST
+                so_far[large] /= LARGEST
+                times[rows[large]] += -1 if last else 1
+                if last:
+                    reached = large & (times[rows] == 0)
+                    wanted[reached] = (uniform * total)[rows[reached]]
+        if last:
+            tables[rows] = opened + (so_far < wanted)
+        else:
+            total[rows] = so_far
     return tables
 
 
