@@ -55,6 +55,8 @@ _MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-
 SAMPLE = 3000
 #: Lengths of word beginnings that may become entries.
 STEM = range(3, 11)
+#: Stems, or stems and what stands around them, that a task holds before it hands them on.
+HELD = 100_000
 #: A document may be this many times likelier toxic by each known seed word, before labels speak.
 SEED_WEIGHT = math.log(30)
 
@@ -158,12 +160,19 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for label, found in enumerate(counts):
+                n, none = pa.array(list(found.values()), pa.int64()), pa.array([0] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *((n, none) if label else (none, n))], names=["stem", "toxic", "clean"])
+                found.clear()
+
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
                 counts[label].update(_stems(set(fold(text).split())))
-        for label, found in enumerate(counts):
-            n, none = pa.array(list(found.values()), pa.int64()), pa.array([0] * len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *((n, none) if label else (none, n))], names=["stem", "toxic", "clean"])
+                if len(counts[label]) > HELD:
+                    yield from done()
+        yield from done()
 
     return sample.select("text", "label").mapInArrow(count, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
@@ -173,14 +182,21 @@ def _context_counts(sample: DataFrame, among: set[str]) -> DataFrame:
     held = sample.sparkSession.sparkContext.broadcast(among)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, str]] = set()
+
+        def done() -> pa.RecordBatch:
+            rows = list(seen)
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["stem", "around"])
+
         for batch in batches:
-            seen = set()
             for text in batch.column("text").to_pylist():
                 words = ["", *fold(text).split(), ""]
                 for i, w in enumerate(words[1:-1], 1):
                     seen.update((w[:n], f"{words[i - 1]} {words[i + 1]}") for n in STEM if n <= len(w) and w[:n] in held.value)
-            rows = list(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["stem", "around"])
+                    if len(seen) > HELD:
+                        yield done()
+        yield done()
 
     return sample.select("text").mapInArrow(contexts, "stem string, around string").groupBy("stem").agg(F.count_distinct("around").alias("n"))
 
