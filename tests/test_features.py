@@ -1,6 +1,8 @@
 """Small hand-made panels with known answers."""
 
+import math
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +128,19 @@ def test_predictions_exact_and_simulated(spark):
     assert abs(drawn["home"] - exact[1]["home_team_win_prob"]) < 4 * (0.24 / 2000) ** 0.5
 
 
+def test_equal_means_tie_and_small_chances_keep_their_digits(spark):
+    means = [(1, 29.925, 29.925), (2, 0.1 + 0.2, 0.3), (3, 700.0, 700.0), (4, 40.0, 5.0), (5, 5.0, 40.0), (6, 0.0, 0.0)]
+    rows = by_game(prediction_records(spark.createDataFrame(means, "game_id long, home_score_avg double, away_score_avg double")))
+    for tie in (1, 3, 6):
+        r = rows[tie]
+        assert (r["home_team_result"], r["bayes_factor"], r["evidence_strength"]) == ("Loss", 1.0, "Anecdotal evidence") and r["home_team_win_prob"] == r["home_team_lose_prob"]
+    assert rows[2]["home_team_result"] == "Win" and rows[2]["evidence_strength"] == "Anecdotal evidence"  # larger by one bit
+    pmf = lambda m, k: Fraction(m) ** k / math.factorial(k)
+    small = float(sum(pmf(5, a) * sum(pmf(40, h) for h in range(a)) for a in range(150))) * math.exp(-45)
+    assert rows[4]["home_team_lose_prob"] == pytest.approx(small, rel=1e-11) and rows[5]["home_team_win_prob"] == pytest.approx(small, rel=1e-11)
+    assert rows[4]["bayes_factor"] == pytest.approx(rows[4]["home_team_win_prob"] / small, rel=1e-11) and rows[5]["evidence_strength"] == "Negative evidence"
+
+
 def test_picks_need_a_strict_edge(spark):
     rows = [(1, "a", "b", "Win", 0.5, 0.4, 2.1, 9.0), (2, "a", "b", "Win", 0.5, 0.4, 2.11, 9.0), (3, "a", "b", "Loss", 0.3, 0.5, 9.0, None), (4, "a", "b", "Loss", 0.0, 0.0, 9.0, 9.0), (5, "a", "b", "Loss", 0.2, 0.5, 1.0, 3.0)]
     df = spark.createDataFrame(rows, "game_id long, team_home string, team_away string, home_team_result string, home_team_win_prob double, home_team_lose_prob double, odds_home double, odds_away double")

@@ -52,6 +52,13 @@ def bayes_factor(home: Column, away: Column) -> Column:
     return F.when(away == 0, F.lit(float("inf"))).otherwise(home / away)
 
 
+def win_ratio(home_mean: Column, away_mean: Column, home: Column, away: Column) -> Column:
+    """The ratio of both win probabilities of Poisson scores, on the side of 1 on which their means are: the
+    likelier winner is the side with the larger mean, whatever the last bit of the sums says."""
+    ratio = bayes_factor(home, away)
+    return F.when(home_mean > away_mean, F.greatest(ratio, F.lit(1.0))).when(home_mean < away_mean, F.least(ratio, F.lit(1.0 - 2.0**-53))).when(home_mean == away_mean, F.lit(1.0))
+
+
 def evidence_strength(ratio: Column) -> Column:
     band = F.when(ratio < EVIDENCE_BANDS[0][0], EVIDENCE_BANDS[0][1])
     for bound, label in EVIDENCE_BANDS[1:]:
@@ -81,21 +88,28 @@ def poisson_terms(mean: Column) -> Column:
 def outcome_probabilities(home: Column, away: Column) -> Column:
     """struct(home, away, draw) of two independent Poisson scores with these means, from exact sums.
 
-    The terms follow from one another, and there are as many as the larger mean needs. Null means give
-    null.
+    The terms follow from one another, and there are as many as the larger mean needs. Both sides are
+    summed alike, term by term: equal means give equal probabilities to the last bit, and a small
+    probability keeps its digits. Null means give null.
     """
     none = F.lit(float("-inf"))
     grown = lambda log, mean, k: F.when(mean > 0, log + F.log(mean / k)).otherwise(none)
-    start = F.struct((-home).alias("h"), (-away).alias("a"), F.lit(0.0).alias("home"), F.exp(-home - away).alias("draw"), F.exp(-away).alias("below"))
+    start = F.struct(
+        (-home).alias("h"), (-away).alias("a"), F.lit(0.0).alias("home"), F.lit(0.0).alias("away"), F.exp(-home - away).alias("draw"), F.exp(-home).alias("home_below"), F.exp(-away).alias("away_below")
+    )
 
     def step(s: Column, k: Column) -> Column:
         h, a = grown(s["h"], home, k), grown(s["a"], away, k)
-        return F.struct(h.alias("h"), a.alias("a"), (s["home"] + F.exp(h) * s["below"]).alias("home"), (s["draw"] + F.exp(h + a)).alias("draw"), (s["below"] + F.exp(a)).alias("below"))
-
-    summed = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), poisson_last(F.greatest(home, away))),
-        start,
-        step,
-        lambda s: F.struct(s["home"].alias("home"), F.greatest(F.lit(0.0), 1 - s["home"] - s["draw"]).alias("away"), s["draw"].alias("draw")),
-    )
+        return F.struct(
+            h.alias("h"),
+            a.alias("a"),
+            (s["home"] + F.exp(h) * s["away_below"]).alias("home"),
+            (s["away"] + F.exp(a) * s["home_below"]).alias("away"),
+            (s["draw"] + F.exp(h + a)).alias("draw"),
+            (s["home_below"] + F.exp(h)).alias("home_below"),
+            (s["away_below"] + F.exp(a)).alias("away_below"),
+        )
+
+    terms = F.sequence(F.lit(1).cast("long"), poisson_last(F.greatest(home, away)))
+    summed = F.aggregate(terms, start, step, lambda s: F.struct(s["home"].alias("home"), s["away"].alias("away"), s["draw"].alias("draw")))
     return F.when(home.isNotNull() & away.isNotNull(), summed)

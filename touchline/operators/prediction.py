@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS
-from ..functions.columns import bayes_factor, evidence_strength, outcome_probabilities, poisson_terms
+from ..functions.columns import evidence_strength, outcome_probabilities, poisson_terms, win_ratio
 
 
 def expected_scores(played: DataFrame, ahead: DataFrame) -> DataFrame:
@@ -23,14 +23,14 @@ def prediction_records(scored: DataFrame) -> DataFrame:
 
     scored has game_id, home_score_avg, away_score_avg. Probabilities are those of independent
     Poisson scores, exact; the likeliest score of a mean is its whole part. The result is Win if home
-    is strictly likelier, else Loss.
+    is strictly likelier, which is where its mean is larger, else Loss; equal means have ratio 1.
     """
     known = scored.filter("home_score_avg is not null and away_score_avg is not null")
     p = known.withColumn("p", outcome_probabilities(F.col("home_score_avg"), F.col("away_score_avg")))
-    ratio = bayes_factor(F.col("p.home"), F.col("p.away"))
+    ratio = win_ratio(F.col("home_score_avg"), F.col("away_score_avg"), F.col("p.home"), F.col("p.away"))
     return p.select(
         "game_id",
-        F.when(F.col("p.home") > F.col("p.away"), "Win").otherwise("Loss").alias("home_team_result"),
+        F.when(F.col("home_score_avg") > F.col("away_score_avg"), "Win").otherwise("Loss").alias("home_team_result"),
         F.col("p.home").alias("home_team_win_prob"),
         F.col("p.away").alias("home_team_lose_prob"),
         F.col("p.draw").alias("draw_prob"),

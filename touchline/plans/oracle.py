@@ -73,14 +73,15 @@ def chances(state: str) -> str:
 terms AS (
   SELECT h, a, k, {term('h')} AS ph, {term('a')} AS pa FROM (SELECT h, a, unnest(range(0, CAST(greatest(h, a) + 14 * sqrt(greatest(h, a)) AS BIGINT) + 40)) AS k FROM means)),
 summed AS (
-  SELECT h, a, sum(ph * below) AS p_home, sum(ph * pa) AS p_draw FROM (
-    SELECT h, a, ph, pa, coalesce(sum(pa) OVER (PARTITION BY h, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM terms) GROUP BY h, a),
+  SELECT h, a, sum(ph * a_below) AS p_home, sum(pa * h_below) AS p_away, sum(ph * pa) AS p_draw FROM (
+    SELECT h, a, ph, pa, coalesce(sum(pa) OVER below, 0) AS a_below, coalesce(sum(ph) OVER below, 0) AS h_below
+    FROM terms WINDOW below AS (PARTITION BY h, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY h, a),
 chances AS (
-  SELECT e.*, s.p_home AS home_team_win_prob, 1 - s.p_home - s.p_draw AS home_team_lose_prob, s.p_draw AS draw_prob
+  SELECT e.*, s.p_home AS home_team_win_prob, s.p_away AS home_team_lose_prob, s.p_draw AS draw_prob
   FROM expected e JOIN summed s ON e.home_score_avg = s.h AND e.away_score_avg = s.a WHERE e.game_state_name = '{state}'),
 records AS (
-  SELECT *, CASE WHEN home_team_win_prob > home_team_lose_prob THEN 'Win' ELSE 'Loss' END AS home_team_result,
-    CASE WHEN home_team_lose_prob = 0 THEN 1e300 ELSE home_team_win_prob / home_team_lose_prob END AS ratio FROM chances)"""
+  SELECT *, CASE WHEN home_score_avg > away_score_avg THEN 'Win' ELSE 'Loss' END AS home_team_result,
+    CASE WHEN home_score_avg = away_score_avg THEN 1.0 WHEN home_team_lose_prob = 0 THEN 1e300 ELSE home_team_win_prob / home_team_lose_prob END AS ratio FROM chances)"""
 
 
 PREDICTED = (GAMES_SQL, EXPECTED, chances("Pre Game"))

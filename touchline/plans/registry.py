@@ -366,15 +366,14 @@ def predictions_upsert(spark, sf):
 
 @query
 def prediction_report(spark, sf):
-    predicted(spark, sf).createOrReplaceTempView("touchline_predictions")
-    with_positions(games(spark, sf)).createOrReplaceTempView("touchline_games")
-    return spark.sql("""
-        WITH next_round AS (SELECT min(round_id) AS round_id FROM touchline_games WHERE game_state_name = 'Pre Game')
+    statement = """
+        WITH next_round AS (SELECT min(round_id) AS round_id FROM {fixtures} WHERE game_state_name = 'Pre Game')
         SELECT p.game_id, p.home_team_result, g.team_home, g.position_home_ladder AS position_home, g.odds_home,
           g.team_away, g.position_away_ladder AS position_away, g.odds_away,
           p.home_team_win_prob, p.home_team_lose_prob, g.round_id, g.competition_year, g.round_name
-        FROM touchline_predictions p LEFT JOIN touchline_games g ON p.game_id = g.game_id
-        WHERE g.game_state_name = 'Pre Game' AND g.round_id = (SELECT round_id FROM next_round)""")
+        FROM {predictions} p LEFT JOIN {fixtures} g ON p.game_id = g.game_id
+        WHERE g.game_state_name = 'Pre Game' AND g.round_id = (SELECT round_id FROM next_round)"""
+    return spark.sql(statement, predictions=predicted(spark, sf), fixtures=with_positions(games(spark, sf)))
 
 
 @query
