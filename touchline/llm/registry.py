@@ -20,6 +20,7 @@ from .minhash import near_duplicates
 from .mixing import mix
 from .pages import extract_pages
 from .quality import resample
+from .sharding import shard_report
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -88,6 +89,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in 24 shards of near equal bytes, equal texts together."""
+    return shard_report(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+
+
 def _shipped(query):
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,5 +103,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language, op13_shards)}
 ORACLE_SQL = oracle.ORACLE_SQL
