@@ -18,6 +18,7 @@ from .licences import fit_licences, scan_licences
 from .lm import score_texts
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import hard_negatives
 from .pages import extract_pages
 from .quality import resample
 from .sharding import shard_report
@@ -89,6 +90,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; every seventh has the next label."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select("vec_id", "embedding", label.cast("long").alias("label")), F.col("vec_id") % 50 == 0)
+
+
 def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in 24 shards of near equal bytes, equal texts together."""
     return shard_report(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
@@ -103,5 +111,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language, op13_shards)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language, op12_negatives, op13_shards)}
 ORACLE_SQL = oracle.ORACLE_SQL
