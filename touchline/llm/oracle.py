@@ -57,6 +57,30 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x
 SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, root AS component_id, vec_id = root AS kept FROM embeddings JOIN reach ON vec_id = id
 """
 
+#: CRC-32 of decimal ids, digit by digit, over the table of the 256 bytes.
+_CRC = """bytes(b, c) AS (SELECT range, list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, range) FROM range(256)),
+  crcs(conv_id, left_over, c) AS (
+    SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM conversations
+    UNION ALL
+    SELECT conv_id, left_over[2:], xor(crcs.c // 256, bytes.c) FROM crcs JOIN bytes ON bytes.b = xor(crcs.c % 256, CAST(ascii(left_over[1]) AS BIGINT)) WHERE left_over <> ''),
+  counts AS (SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM crcs WHERE left_over = '')"""
+OP11 = f"""
+WITH RECURSIVE {_CRC},
+plain AS (
+  SELECT conv_id, list(t ORDER BY turn NULLS FIRST, t.role, t.text) AS own
+  FROM (SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+rebuilt AS (
+  SELECT p.conv_id, coalesce(b.own[:h], []) || p.own[h + 1:] AS path FROM plain p JOIN counts USING (conv_id) LEFT JOIN plain b ON b.conv_id = p.conv_id - p.conv_id % 100),
+prefixes AS (SELECT conv_id, d, path[:d] AS path, d = len(path) AS ends FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, path, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM prefixes GROUP BY d, path),
+placed AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.path[:n.d] = n.path) AS kids FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[:n.d - 1]),
+below AS (
+  SELECT path[:a] AS path, a AS d, count(*) FILTER (kids = 0) AS leaves, sum(CASE WHEN d > 0 THEN (n - 1) * length(path[d].text) ELSE 0 END) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM placed) GROUP BY ALL)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256 FROM placed JOIN below USING (d, path)
+"""
+
 OP12 = """
 WITH codes AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -70,4 +94,4 @@ FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same AND 100 * n
 WINDOW w AS (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) QUALIFY row_number() OVER w <= 3
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1, "op4_decontaminate": OP4, "op8_embeddings": OP8, "op12_negatives": OP12}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": OP1, "op4_decontaminate": OP4, "op8_embeddings": OP8, "op11_trie": OP11, "op12_negatives": OP12}

@@ -23,6 +23,7 @@ from .pages import extract_pages
 from .quality import resample
 from .sharding import shard_report
 from .toxicity import fit_toxicity, score_toxicity
+from .trie import shared_start_trie
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of conversations that begin with turns of every hundredth one."""
+    return shared_start_trie(table(spark, sf_dir, "conversations"), every=100, most=6)
+
+
 def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth embedding; every seventh has the next label."""
     rows = table(spark, sf_dir, "embeddings")
@@ -111,5 +117,5 @@ def _shipped(query):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language, op12_negatives, op13_shards)}
+QUERIES = {f.__name__: _shipped(f) for f in (op1_minhash, op2_hpyp, op3_licences, op4_decontaminate, op5_quality, op6_mix_sources, op7_toxicity, op8_embeddings, op9_pages, op10_language, op11_trie, op12_negatives, op13_shards)}
 ORACLE_SQL = oracle.ORACLE_SQL
