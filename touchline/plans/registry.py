@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import jobs
 from ..functions import columns as c
 from ..operators import cleaning, evaluation, features, models, prediction, ratings, standings
+from ..operators.surrogate import Range
 from ..session import settle, shared_folder, ship_package
 from ..sources import store, xml
 from . import oracle
@@ -507,6 +508,26 @@ def search_candidates(spark, sf):
     return models.candidates(settle(cleaning.training_games(found)), predictors, "score_home", draws=2, boosted_draws=1, folds=2)
 
 
+#: Ranges of the registered searches: fewer and smaller trees than models.BOOSTED_SPACE, as a pass over the rows is a job.
+SMALL_SPACE = models.BOOSTED_SPACE | {"trees": Range(4, 12, whole=True), "max_depth": Range(2, 3, whole=True), "learning_rate": Range(0.01, 0.3, log=True)}
+
+
+@query
+def train_boosted_models(spark, sf):
+    """Both jobs with Poisson boosting: searched, fitted, saved, read again and applied to the games ahead."""
+    found, predictors = prepared(spark, sf)
+    rows, folder = settle(found), f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    jobs.train_boosted(rows, predictors, folder, rounds=1, batch=3, folds=3, space=SMALL_SPACE)
+    return jobs.predict(rows, predictors, folder)
+
+
+@query
+def surrogate_trials(spark, sf):
+    """Settings of Poisson boosting in the order in which a surrogate search tried them."""
+    found, predictors = prepared(spark, sf)
+    return models.boosted_trials(settle(cleaning.training_games(found)), predictors, "score_home", rounds=3, batch=4, folds=3, space=SMALL_SPACE)
+
+
 @query
 def feature_importance_top20(spark, sf):
     found, predictors = prepared(spark, sf)

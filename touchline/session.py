@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -58,7 +59,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: computed once, its lineage cut, its
+    columns still pruned by what reads it. release() removes it."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._touchline_kept = path
+    return found
+
+
+def release(df: DataFrame) -> None:
+    """Remove what keep() wrote, once nothing reads it any more."""
+    path = getattr(df, "_touchline_kept", None)
+    if path:
+        release_path(df.sparkSession, path)
+
+
+def _there(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there, there.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def release_path(spark: SparkSession, path: str) -> None:
+    there, files = _there(spark, path)
+    files.delete(there, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    there, files = _there(spark, path)
+    return files.exists(there)
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, for what several later steps read."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df computed once and kept in the shared folder, for what several later steps and the caller read."""
+    return keep(df)
