@@ -125,6 +125,11 @@ def recursive(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
 
 
+CURVE = f"""{with_(GAMES_SQL, EXPECTED, chances('Final'))}, scores AS (SELECT {OUTCOME} = 'home' AS y, {r('home_team_win_prob')} AS cutoff FROM records WHERE score_home IS NOT NULL AND score_away IS NOT NULL),
+    tied AS (SELECT cutoff, count(*) FILTER (y) AS positives, count(*) FILTER (NOT y) AS negatives FROM scores GROUP BY cutoff),
+    curve AS (SELECT *, CAST(sum(positives) OVER w AS BIGINT) AS tp, CAST(sum(negatives) OVER w AS BIGINT) AS fp FROM tied WINDOW w AS (ORDER BY cutoff DESC)),
+    totals AS (SELECT CAST(max(tp) AS DOUBLE) AS p, CAST(max(fp) AS DOUBLE) AS n FROM curve)"""
+
 ORACLE_SQL: dict[str, str] = {
     "fixture_result_binomial": f"{with_(GAMES_SQL)} SELECT game_id, {BINOMIAL} AS home_team_result FROM games",
     "fixture_result_multiclass": f"{with_(GAMES_SQL)} SELECT game_id, CASE WHEN score_home > score_away THEN 'Win' WHEN score_home < score_away THEN 'Loss' WHEN score_home = score_away THEN 'Draw' END AS home_team_result FROM games",
@@ -239,6 +244,11 @@ ORACLE_SQL: dict[str, str] = {
         counts AS (SELECT k, count(*) FILTER (y AND step >= k) AS tp, count(*) FILTER (NOT y AND step >= k) AS fp, CAST(count(*) FILTER (y) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM s, range(1, 20) t(k) GROUP BY k),
         rates AS (SELECT *, (tp + n - p - fp) / n AS agreed, ((tp + fp) * p + (n - tp - fp) * (n - p)) / (n * n) AS chance FROM counts WHERE tp + fp > 0)
         SELECT k AS cutoff_no, {r('k / 20')} AS cutoff, tp, fp, {r('coalesce((agreed - chance) / nullif(1 - chance, 0), 0)')} AS kappa FROM rates""",
+    "score_roc_curve": f"{CURVE} SELECT cutoff, positives, negatives, tp, fp, {r('tp / p')} AS tpr, {r('fp / n')} AS fpr FROM curve, totals",
+    "score_auc": f"""{CURVE} SELECT {r('(SELECT sum(CASE WHEN a.cutoff > b.cutoff THEN 1.0 WHEN a.cutoff = b.cutoff THEN 0.5 ELSE 0.0 END * a.positives * b.negatives) FROM tied a, tied b) / (p * n)')} AS auc,
+        CAST(p AS BIGINT) AS positives, CAST(n AS BIGINT) AS negatives FROM totals""",
+    "score_best_cutoff": f"""{CURVE}, agreed AS (SELECT *, (tp + n - fp) / (p + n) AS a, ((tp + fp) * p + (p + n - tp - fp) * n) / ((p + n) * (p + n)) AS c FROM curve, totals)
+        SELECT cutoff, tp, fp, {r('coalesce((a - c) / nullif(1 - c, 0), 0)')} AS kappa FROM agreed ORDER BY round(coalesce((a - c) / nullif(1 - c, 0), 0), 12) DESC, cutoff LIMIT 1""",
     "crosstab_nulls": f"{with_(GAMES_SQL)} SELECT coalesce(round_name, 'missing') AS round_name, count(crowd) AS n_known, count(*) FILTER (crowd IS NULL) AS n_missing FROM games GROUP BY ALL",
     "profile_summary": with_(GAMES_SQL)
     + " UNION ALL ".join(

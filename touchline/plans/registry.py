@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import jobs
 from ..functions import columns as c
-from ..operators import cleaning, evaluation, features, models, prediction, ratings, standings
+from ..operators import cleaning, evaluation, features, forest, models, prediction, ranks, ratings, standings
 from ..operators.surrogate import Range
 from ..session import settle, shared_folder, ship_package
 from ..sources import store, xml
@@ -451,6 +451,27 @@ def kappa_cutoffs(spark, sf):
     return evaluation.kappa_by_cutoff(judged_chances(spark, sf), F.col("actual") == "home", F.col("ph"), 20)
 
 
+def score_curve(spark, sf) -> DataFrame:
+    return ranks.roc_curve(judged_chances(spark, sf), F.col("actual") == "home", F.round("ph", 6))
+
+
+@query
+def score_roc_curve(spark, sf):
+    """The curve of the home side's probability as a score, all its cutoffs."""
+    return score_curve(spark, sf)
+
+
+@query
+def score_auc(spark, sf):
+    return ranks.area(score_curve(spark, sf))
+
+
+@query
+def score_best_cutoff(spark, sf):
+    """The cutoff of most agreement beyond chance, of all that the scores allow."""
+    return ranks.largest_kappa(score_curve(spark, sf)).select("cutoff", "tp", "fp", "kappa")
+
+
 @query
 def log_loss(spark, sf):
     return evaluation.log_loss(judged_chances(spark, sf), "actual", {"home": "ph", "away": "pa", "draw": "pd"})
@@ -536,6 +557,36 @@ def feature_importance_top20(spark, sf):
     return models.feature_importances(model, train.fillna(0))
 
 
+#: What research forests see.
+RESEARCH = ["prev_result_diff", "matchup_form", "odds_home", "odds_away", "round_id", "team_home"]
+
+
+def research_rows(spark, sf) -> DataFrame:
+    train, _ = training_rows(spark, sf)
+    return settle(train.select("game_id", *RESEARCH, (F.col("score_home") >= F.col("score_away")).cast("int").alias("won")))
+
+
+@query
+def forest_out_of_bag_votes(spark, sf):
+    """Votes for a home win of the trees that didn't see the game."""
+    rows = research_rows(spark, sf)
+    return forest.fit(rows, RESEARCH, "won", "game_id", forest.Forest(trees=100, max_depth=8)).votes(rows, out_of_bag=True).select("game_id", "won", "votes", "trees")
+
+
+@query
+def forest_cutoff(spark, sf):
+    """The share of out-of-bag votes from which calling a home win agrees most with results, and the curve's area."""
+    votes = settle(forest_out_of_bag_votes(spark, sf))
+    curve = settle(ranks.roc_curve(votes, F.col("won") == 1, F.col("votes")))
+    return ranks.largest_kappa(curve).select("cutoff", "tp", "fp", "kappa").withColumn("auc", ranks.area(curve).select("auc").scalar())
+
+
+@query
+def forest_repeated_cv(spark, sf):
+    """Metrics of forests by predictors tried a split, repeat and fold."""
+    return forest.repeated_cv(research_rows(spark, sf), RESEARCH, "won", "game_id", tried=list(range(1, len(RESEARCH) + 1)), folds=5, repeats=2, forest=forest.Forest(trees=20, max_depth=6))
+
+
 @query
 def home_ground_advantage(spark, sf):
     rows = features.with_easy_columns(games(spark, sf))
