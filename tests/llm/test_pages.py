@@ -97,3 +97,65 @@ def test_salted_paths_agree(spark, monkeypatch):
     want = {tuple(r) for r in extract_pages(d).collect()}
     monkeypatch.setattr(p, "BROADCAST_HOSTS", 0)
     assert {tuple(r) for r in extract_pages(d).collect()} == want and len(want) == 60
+
+
+TEXT = LONG.strip()
+TOPICS = "toc share search notice discussion widget banner tags skip feedback".split()
+
+
+def read(body, paths=None, beside=None):
+    return extract(blocks_of(page(body)), paths, beside).split("\n\n")
+
+
+def test_a_form_around_the_page_stays_and_others_go():
+    form = "<form method='post'><nav>menu</nav><div class='main7'>{}</div><div class='ad'>Buy.</div><footer>end</footer></form>"
+    assert read(form.format(f"<p>{LONG}</p><p>two</p>")) == [TEXT, "two"]
+    assert read("<div>Some words of the site</div>" + form.format(f"<p>{LONG}</p><p>two</p>")) == [TEXT, "two"]
+    assert read(f"<article><p>{LONG}</p></article><form><p>{LONG * 9}</p></form>") == [TEXT]
+    assert read(f"<div class='c'><p>{LONG}</p><p>{LONG}</p><form><label>Your name and your address</label></form></div>") == [TEXT, TEXT]
+
+
+def test_leads_and_further_articles_stay():
+    long = (LONG * 9).strip()
+    assert read(f"<div class='w'><div class='intro'><p>{LONG}</p></div><div class='text'><p>{long}</p></div><div class='x'><p>other</p></div></div>") == [TEXT, long]
+    assert read(f"<div class='w'><div class='post-header'><h1>T</h1><p>{LONG}</p></div><div class='post-body'><p>{long}</p></div></div>") == ["T", TEXT, long]
+    assert read(f"<article class='first'><p>{LONG}</p></article><article class='second'><p>{long}</p></article><aside>x</aside>") == [TEXT, long]
+    assert read(f"<article class='first'><p>{long}</p></article><div class='related'><article class='second'><p>{LONG}</p></article></div>") == [long]
+
+
+@pytest.mark.parametrize("topic", TOPICS)
+def test_parts_of_articles_named_by_their_topic(topic):
+    part = f"<section id='{topic}'><h2>{topic}</h2><p>{LONG}</p></section>"
+    assert read(f"<article><p>{LONG}</p>{part}<p>z</p></article>") == [TEXT, topic, TEXT, "z"]
+    links = f"<section id='{topic}'><ul><li><a href='a'>one, two and three</a><li><a>four</a></ul></section><div class='{topic}'><p>{LONG}</p></div>"
+    assert read(f"<article><p>{LONG}</p>{links}<p>z</p></article>") == [TEXT, "z"]
+    comments = "<section id='discussion'><div class='comment'><p>" + "I disagree. " * 9 + "</p></div></section>"
+    assert read(f"<article><p>{LONG}</p>{comments}</article>") == [TEXT]
+
+
+def test_a_host_path_gives_way_to_a_layout_that_the_host_does_not_know(spark):
+    usual = lambda i: page(f"<div class='teaser'><p>{LONG * 5} {i}</p></div><div class='x'><p>short</p></div>")
+    other = page(f"<div class='teaser'><p>Read this.</p></div><div class='story'><p>{LONG * 9}</p></div>")
+    side = page(f"<div class='teaser'><p>Read this.</p></div><div class='x'><p>{LONG * 9}</p></div>")
+    rows = [(i, "http://h.org/a", usual(i)) for i in range(8)] + [(10, "http://h.org/b", other), (11, "http://h.org/b", side)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == (LONG * 9).strip() and got[11] == "Read this." and got[3] == f"{LONG * 5}3"
+
+
+def test_generated_pages_against_what_they_were_made_of():
+    """Random nestings of known articles in known surroundings."""
+    rng = random.Random(11)
+    sentence = lambda: " ".join(rng.choice(["stone", "river", "of", "the", "l\u2019\u00e9t\u00e9", "share", "menu", "<", "&"]) for _ in range(rng.randrange(12, 30)))
+    for _ in range(150):
+        blocks, parts = [], []
+        for _ in range(rng.randrange(3, 9)):
+            text = sentence()
+            blocks.append(text)
+            parts.append(rng.choice(["<p>{}</p>", "<div class='col'><p>{}</p></div>", "<section id='notice'><p>{}</p></section>", "<blockquote>{}</blockquote>", "<p>{}"]).format(p.html.escape(text)))
+        body = "<article class='entry-content'>" + "".join(parts) + rng.choice(["", "<aside>" + sentence().replace("<", "") + "</aside>", "<div class='share-buttons'>Share it</div>"]) + "</article>"
+        for _ in range(rng.randrange(4)):
+            body = rng.choice(["<div class='wrap'>{}</div>", "<form id='page'>{}</form>", "<main>{}</main>", "<div class='row has-sidebar'>{}</div>", "<section>{}</section>"]).format(body)
+        around = ["<nav><a href='/'>Home</a></nav>", "<header>Site name</header>", "<div class='cookie-banner'><p>We use cookies.</p></div>", "<div id='sidebar'><p>" + p.html.escape(sentence()) + "</p></div>", "<footer>end</footer>", "<div class='comments'><p>No.</p></div>"]
+        rng.shuffle(around)
+        cut = rng.randrange(len(around))
+        assert read("".join(around[:cut]) + body + "".join(around[cut:])) == blocks

@@ -11,7 +11,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -20,9 +19,9 @@ from .select import join_group
 # Fixed values. Elements by what they do to text: those whose content is no markup, those whose text is no
 # part of an article, those that end a block, those that hold others, those that leave a space, and those that hold nothing.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-LEFT_OUT = frozenset("nav footer aside form button dialog menu head datalist audio video map noscript template svg object canvas select annotation annotation-xml".split())
+LEFT_OUT = frozenset("nav footer aside button dialog menu head datalist audio video map noscript template svg object canvas select annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
-CONTAINERS = frozenset("html body article blockquote center details div dl fieldset figure header li main ol section table tbody tfoot thead tr td th ul".split()) | LEFT_OUT
+CONTAINERS = frozenset("html body article blockquote center details div dl fieldset figure form header li main ol section table tbody tfoot thead tr td th ul".split()) | LEFT_OUT
 WITHIN = frozenset("blockquote dl ol ul li figure details fieldset table tbody tfoot thead tr header".split())  # parts of an article, never all of it
 SPACES = frozenset("br td th img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +38,11 @@ BESIDE = frozenset(
     "outer page panel post posts primary right row secondary section site slot stories top unit wrap wrapper zone article story".split()
 )
 ARTICLE_WORDS = frozenset("article content entry main post story".split())
+# Fixed values. Words among the surroundings that an id of a part of an article may well be; words in names of what
+# comes before an article's text; words that make them with an article's word.
+TOPICS = frozenset("banner disclaimer discussion feedback footer header notice notices notification overlay pager reply respond response responses search share sharing skip tags toc toolbar tooltip widget widgets".split())
+LEADS = frozenset("abstract deck dek excerpt intro introduction lead lede preamble standfirst subheading subtitle summary".split())
+HEADS = frozenset("head header heading headline title top".split())
 
 _NAME = re.compile(r"[a-z][^\s/>]*", re.I)
 _QUOTE_OR_END = re.compile(r"""=\s*(["'])|>""")
@@ -54,8 +58,12 @@ MOST, SOME = 0.8, 0.4
 ALL_BUT = 0.95
 #: Share of a page's text that may be left when what looks like surroundings has gone; below, it stays.
 LITTLE = 0.1
-#: Share of a host's votes from which a path counts as one of its layouts.
+#: Share of a host's votes (of its pages) from which a path counts as one of its layouts (as beside its articles).
 LAYOUT = 0.2
+#: Share of what a page's own best path holds that a path of its host must hold to stand for it.
+ENOUGH = 0.5
+#: Characters outside links from which a part of an article is prose.
+PROSE = 60
 #: Hosts up to which the table of paths is sent to every executor (about 100 bytes a host).
 BROADCAST_HOSTS = 100_000
 
@@ -66,8 +74,8 @@ def host_of(url: str | None) -> str:
 
 
 class _Element:
-    """An open element: is its text left out for certain (out), by the look of an element around it (look),
-    or from within a block that goes on (silent)?"""
+    """An open element: is its text left out for certain (out), by the look of an element around it (look:
+    its number), or from within a block that goes on (silent)?"""
 
     __slots__ = ("tag", "path", "out", "look", "silent", "article", "depth")
 
@@ -147,29 +155,43 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
             at = start + 1
 
 
-def _names(attributes: str) -> tuple[list[str], str, bool]:
-    """Classes, ids and role; the role; is the element hidden?"""
+def _names(attributes: str) -> tuple[list[str], str, bool, list[str]]:
+    """Classes, ids and role; the role; is the element hidden? its ids."""
     names: list[str] = []
+    ids: list[str] = []
     hidden, role = False, ""
     for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             names += value.split()
+            if name == "id":
+                ids += value.split()
         elif name == "role":
             role = value.lower()
             names.append(role)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
             hidden = True
-    return names, role, hidden
+    return names, role, hidden, ids
+
+
+def _is_topic(name: str) -> bool:
+    return all(w.lower() in TOPICS for w in _WORD.findall(name))
 
 
 def _opened(tag: str, attributes: str, parent: _Element, number: int) -> _Element:
-    """The element for a start tag: its generalised path and whether its text is left out."""
-    names, role, hidden = _names(attributes)
+    """The element for a start tag: its generalised path and whether its text is left out. The look of a
+    form, and of an id that may be the topic of an article's part, has a negative number: see _settled."""
+    names, role, hidden, ids = _names(attributes)
     if tag in LEFT_OUT and tag not in BLOCKS:
         return _Element(tag, parent.path, parent.out, parent.look, True, parent.article, parent.depth)
     out = parent.out or hidden or tag in LEFT_OUT or (tag == "header" and not parent.article)
-    look = number if tag not in ("html", "body", "main") and any(map(is_surrounding, names)) else parent.look
+    look = parent.look
+    if tag not in ("html", "body", "main"):
+        looks = [n for n in names if is_surrounding(n)]
+        if looks:
+            look = -number if parent.article and tag in ("div", "section") and all(n in ids and _is_topic(n) for n in looks) else number
+        elif tag == "form" and not look:
+            look = -number
     article = parent.article or tag in ("article", "main") or role in ("main", "article")
     # digits are dropped from names, so numbered elements of one kind share a path
     words = {w.lower() for n in names for w in _WORD.findall(n)}
@@ -254,7 +276,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
             heading = tag in ("h1", "h2")
             if attributes:
                 number += 1
-                names, _, hidden = _names(attributes)
+                names, _, hidden, _ = _names(attributes)
                 own_out = hidden
                 own_look = number if any(map(is_surrounding, names)) else 0
     if at < len(page) and not stack[-1].silent:
@@ -264,17 +286,34 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
 
 
 def _settled(blocks: list[tuple[str, str, int, bool, bool, int]]) -> list[tuple[str, str, int, bool, bool]]:
-    """Blocks with the last word on those that only look left out: the largest element of them comes
-    back if what is shown is LITTLE beside it and in nothing that says it is an article."""
+    """Blocks with the last word on those that only look left out.
+
+    The largest element of them comes back if what is shown is LITTLE beside it and in nothing that says it
+    is an article. A form comes back if it holds more than is shown, in nothing that says so. A part of an
+    article whose id alone has the look comes back if it is prose: a block of PROSE characters, and no more
+    than half in links.
+    """
     own = lambda b: max(0, len(b[0]) - 2 * b[2])
-    shown = sum(own(b) for b in blocks if not b[3] and not b[5])
     by_look: Counter[int] = Counter()
+    prose: set[int] = set()
     for b in blocks:
         if not b[3] and b[5]:
             by_look[b[5]] += own(b)
-    stated = any(not b[3] and not b[5] and any(map(_says_article, _ancestors(b[1]))) for b in blocks) if by_look else False
-    back = {look for look, n in by_look.most_common(1) if not stated and shown < LITTLE * (shown + n)}
-    return [(text, path, links, out or (look > 0 and look not in back), heading) for text, path, links, out, heading, look in blocks]
+            if b[5] < 0 and own(b) >= PROSE:
+                prose.add(b[5])
+    if not by_look:
+        return [b[:5] for b in blocks]
+    in_article = {b[5] for b in blocks if b[5] < 0 and any(map(_is_article, _ancestors(b[1])[1:]))}
+    sizes = Counter()
+    for b in blocks:
+        sizes[b[5]] += len(b[0])
+    back = {look for look in prose & in_article if 2 * by_look[look] >= sizes[look]}
+    shown = sum(own(b) for b in blocks if not b[3] and (not b[5] or b[5] in back))
+    stated = any(not b[3] and (not b[5] or b[5] in back) and any(map(_says_article, _ancestors(b[1]))) for b in blocks)
+    for look, n in by_look.most_common(1):
+        if not stated and (shown < LITTLE * (shown + n) or (look < 0 and shown < n)):
+            back.add(look)
+    return [(text, path, links, out or (look != 0 and look not in back), heading) for text, path, links, out, heading, look in blocks]
 
 
 def _ancestors(path: str) -> list[str]:
@@ -309,64 +348,125 @@ def best_path(blocks: list[tuple[str, str, int, bool, bool]]) -> tuple[str, int]
     return path, score[path]
 
 
+def _is_article(path: str) -> bool:
+    return path.rpartition(">")[2].split(".")[0] in ("article", "main")
+
+
+def _leads(part: str, top: str) -> bool:
+    """Does an element beside (or beside what is around) the text's container belong to the article? Leads and
+    heads by their names do, and further article elements beside one."""
+    tag, *names = part.split(".")
+    words = set(names)
+    return not words.isdisjoint(LEADS) or (not words.isdisjoint(HEADS) and not words.isdisjoint(ARTICLE_WORDS)) or (tag == "article" and top.rpartition(">")[2].split(".")[0] == "article")
+
+
+def _belongs(path: str, top: str, around: set[str]) -> bool:
+    """Is a block of this path part of the article under top? In top, in a lead beside it or beside what is
+    around it, or between such parts (directly in what is around it, below body)."""
+    if path == top or path.startswith(top + ">"):
+        return True
+    parent = path
+    while parent and parent not in around:
+        parent, _, part = parent.rpartition(">")
+    if parent == path:
+        return False
+    return (parent in around or not parent) and parent != top and _leads(part, top)
+
+
 def _says_article(path: str) -> bool:
     tag, *names = path.rpartition(">")[2].split(".")
     return tag in ("article", "main") or not ARTICLE_WORDS.isdisjoint(names)
 
 
-def extract(blocks: list[tuple[str, str, int, bool, bool]], paths: list[str] | None) -> str:
-    """The text of the blocks under the first of paths that the page has text under; if it has none,
-    under the page's own best path. Main headings that stand before it, around it, belong to it."""
+def held(blocks: list[tuple[str, str, int, bool, bool]], top: str) -> int:
+    """Characters outside links that are shown under a path."""
+    return sum(max(0, len(text) - 2 * links) for text, path, links, out, _ in blocks if not out and (path == top or path.startswith(top + ">")))
+
+
+def extract(blocks: list[tuple[str, str, int, bool, bool]], paths: list[str] | None, beside: list[str] | None = None) -> str:
+    """The text of the blocks under one of a host's paths, or else under the page's own best path.
+
+    The path of the host is the one of paths that holds most of the page (the first of equals). It gives way
+    to the page's own if it holds less than ENOUGH of what that holds, unless the host knows the own path as
+    one that is beside its articles. Leads beside the path belong to it (see _leads), and main headings that
+    stand before it, around it.
+    """
     shown = [b for b in blocks if not b[3]]
     within = lambda path, top: path == top or path.startswith(top + ">")
-    top = next((p for p in paths or () if any(within(b[1], p) for b in shown)), None)
-    if top is None:
-        own = best_path(blocks)
-        top = own[0] if own else ""
+    of_host = [p for p in paths or () if any(within(b[1], p) for b in shown)]
+    own = best_path(blocks)
+    top = max(of_host, key=lambda p: (held(blocks, p), -of_host.index(p)), default=None)
+    if own and (top is None or (held(blocks, top) < ENOUGH * own[1] and not any(within(own[0], p) for p in beside or ()))):
+        top = own[0]
+    top = top or ""
     around = set(_ancestors(top))
     first = next((i for i, b in enumerate(shown) if within(b[1], top)), 0)
-    return "\n\n".join(b[0] for i, b in enumerate(shown) if within(b[1], top) or (i < first and b[4] and b[1] in around and not any(s[4] for s in shown[first:] if within(s[1], top))))
+    headed = any(b[4] for b in shown[first:] if within(b[1], top))
+    return "\n\n".join(b[0] for i, b in enumerate(shown) if _belongs(b[1], top, around) or (i < first and b[4] and b[1] in around and not headed))
+
+
+def beside_of(blocks: list[tuple[str, str, int, bool, bool]], top: str) -> set[str]:
+    """The outermost containers that hold shown text beside a page's article."""
+    around, out = set(_ancestors(top)), set()
+    for _, path, _, hidden, _ in blocks:
+        if not hidden and path not in around and not path.startswith(top + ">") and not _belongs(path, top, around):
+            while (parent := path.rpartition(">")[0]) and parent not in around:
+                path = parent
+            out.add(path)
+    return out
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, paths: what the pages (url, html) of each host vote for, most votes first.
+    """host, paths, beside: what the pages (url, html) of each host vote for, most votes first, and what
+    many of them have beside their articles.
 
-    Each page votes for its best path, with the logarithm of the text it holds. Votes are summed in
-    the tasks before they are dealt out, so a host with a third of all pages is a few rows a task.
+    Each page votes for its best path, with the logarithm of the text it holds, and names the containers
+    that hold other text. Votes are summed in the tasks before they are dealt out, so a host with a third
+    of all pages is a few rows a task. Shares are of the host's sums, joined with each host dealt over
+    salted keys, so neither are the paths of a host with generated class names gathered.
     """
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes: Counter[tuple[str, str]] = Counter()
+        votes: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
             for url, page in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist()):
-                if found := best_path(blocks_of(page)):
-                    votes[host_of(url), found[0]] += round(1000 * math.log1p(found[1]))
+                blocks = blocks_of(page)
+                if found := best_path(blocks):
+                    host = host_of(url)
+                    mine = votes.setdefault((host, found[0]), [0, 0, 0])
+                    mine[0] += round(1000 * math.log1p(found[1]))
+                    mine[1] += 1
+                    for path in beside_of(blocks, found[0]):
+                        votes.setdefault((host, path), [0, 0, 0])[2] += 1
             if len(votes) > 100_000:
                 yield _votes(votes)
                 votes.clear()
         yield _votes(votes)
 
-    summed = pages.select("url", "html").mapInArrow(vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    share = F.col("votes") >= LAYOUT * F.sum("votes").over(W.partitionBy("host"))
-    return (
-        summed.withColumn("layout", share)
-        .filter("layout")
-        .groupBy("host")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path"))), lambda s: s["path"]).alias("paths"))
+    counted = pages.select("url", "html").mapInArrow(vote, "host string, path string, votes long, voters long, others long")
+    summed = materialize(counted.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("votes", "voters", "others"))))
+    totals = summed.groupBy(F.col("host").alias("its")).agg(F.sum("votes").alias("all_votes"), F.sum("voters").alias("pages"))
+    shares = join_group(summed, totals, {"host": "its"}, "path")
+    layout = (F.col("votes") > 0) & (F.col("votes") >= LAYOUT * F.col("all_votes"))
+    beside = (F.col("others") >= LAYOUT * F.col("pages")) & (F.col("others") > F.col("voters"))
+    few = shares.withColumns({"layout": layout, "side": beside & ~layout}).filter("layout or side")
+    return few.groupBy("host").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("layout"), F.struct((-F.col("votes")).alias("less"), "path")))), lambda s: s["path"]).alias("paths"),
+        F.array_sort(F.collect_list(F.when(F.col("side"), F.col("path")))).alias("beside"),
     )
 
 
-def _votes(votes: Counter) -> pa.RecordBatch:
-    keys = list(votes)
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([votes[k] for k in keys], pa.int64())], names=["host", "path", "votes"])
+def _votes(votes: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+    names = [pa.array([k[i] for k in votes], pa.string()) for i in range(2)]
+    return pa.RecordBatch.from_arrays([*names, *(pa.array([v[i] for v in votes.values()], pa.int64()) for i in range(3))], names=["host", "path", "votes", "voters", "others"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of pages (page_id, url, html).
 
     Null and empty pages, and pages without text, give the empty text. Pages whose url is null or
-    names no host vote together. The table of paths holds at most 1 / LAYOUT rows' worth of paths a
-    host; up to BROADCAST_HOSTS hosts it goes to every executor, beyond that it is joined with each
+    names no host vote together. The table of paths holds at most 1 / LAYOUT paths a host, and as many
+    beside them for each container that a page has beside its article; up to BROADCAST_HOSTS hosts it goes to every executor, beyond that it is joined with each
     host dealt over salted keys.
     """
     paths = materialize(host_paths(pages))
@@ -380,7 +480,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(blocks_of(page), known) for page, known in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())]
+            texts = [extract(blocks_of(page), known, beside) for page, known, beside in zip(*(batch.column(c).to_pylist() for c in ("html", "paths", "beside")))]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "paths").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "paths", "beside").mapInArrow(read, "page_id long, url string, text string, n_chars long")
