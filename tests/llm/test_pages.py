@@ -145,7 +145,7 @@ def test_a_host_path_gives_way_to_a_layout_that_the_host_does_not_know(spark):
 def test_generated_pages_against_what_they_were_made_of():
     """Random nestings of known articles in known surroundings."""
     rng = random.Random(11)
-    sentence = lambda: " ".join(rng.choice(["stone", "river", "of", "the", "l\u2019\u00e9t\u00e9", "share", "menu", "<", "&"]) for _ in range(rng.randrange(12, 30)))
+    sentence = lambda: " ".join(rng.choice(["stone", "river", "of", "the", "l\u2019\u00e9t\u00e9", "share", "menu", "<", "&"]) for _ in range(rng.randrange(20, 30)))
     for _ in range(150):
         blocks, parts = [], []
         for _ in range(rng.randrange(3, 9)):

@@ -63,7 +63,7 @@ LAYOUT = 0.2
 #: Share of what a page's own best path holds that a path of its host must hold to stand for it.
 ENOUGH = 0.5
 #: Characters outside links from which a part of an article is prose.
-PROSE = 60
+PROSE = 40
 #: Hosts up to which the table of paths is sent to every executor (about 100 bytes a host).
 BROADCAST_HOSTS = 100_000
 
@@ -178,9 +178,10 @@ def _is_topic(name: str) -> bool:
     return all(w.lower() in TOPICS for w in _WORD.findall(name))
 
 
-def _opened(tag: str, attributes: str, parent: _Element, number: int) -> _Element:
+def _opened(tag: str, attributes: str, parent: _Element, number: int, topics: dict[int, int]) -> _Element:
     """The element for a start tag: its generalised path and whether its text is left out. The look of a
-    form, and of an id that may be the topic of an article's part, has a negative number: see _settled."""
+    form has a negative number; an id that may be the topic of an article's part is noted in topics, with the
+    look around it: see _settled."""
     names, role, hidden, ids = _names(attributes)
     if tag in LEFT_OUT and tag not in BLOCKS:
         return _Element(tag, parent.path, parent.out, parent.look, True, parent.article, parent.depth)
@@ -189,7 +190,9 @@ def _opened(tag: str, attributes: str, parent: _Element, number: int) -> _Elemen
     if tag not in ("html", "body", "main"):
         looks = [n for n in names if is_surrounding(n)]
         if looks:
-            look = -number if parent.article and tag in ("div", "section") and all(n in ids and _is_topic(n) for n in looks) else number
+            look = number
+            if parent.article and tag in ("div", "section") and all(n in ids and _is_topic(n) for n in looks):
+                topics[look] = parent.look
         elif tag == "form" and not look:
             look = -number
     article = parent.article or tag in ("article", "main") or role in ("main", "article")
@@ -215,6 +218,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
     in_link = heading = False
     own_look = own_out = 0  # of a paragraph or heading, which is no container
     number = 0
+    topics: dict[int, int] = {}
 
     def end_block() -> None:
         nonlocal own_look, own_out
@@ -270,7 +274,7 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
                     del stack[inner:]
             if not attributes.endswith("/") or tag in ("div", "article", "section"):
                 number += 1
-                stack.append(_opened(tag, attributes, stack[-1], number))
+                stack.append(_opened(tag, attributes, stack[-1], number, topics))
                 opened[tag] += 1
         elif tag in BLOCKS:
             heading = tag in ("h1", "h2")
@@ -282,37 +286,41 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int, bool, bool]]:
     if at < len(page) and not stack[-1].silent:
         held.append(page[at:])
     end_block()
-    return _settled(blocks)
+    return _settled(blocks, topics)
 
 
-def _settled(blocks: list[tuple[str, str, int, bool, bool, int]]) -> list[tuple[str, str, int, bool, bool]]:
+def _settled(blocks: list[tuple[str, str, int, bool, bool, int]], topics: dict[int, int]) -> list[tuple[str, str, int, bool, bool]]:
     """Blocks with the last word on those that only look left out.
 
-    The largest element of them comes back if what is shown is LITTLE beside it and in nothing that says it
-    is an article. A form comes back if it holds more than is shown, in nothing that says so. A part of an
-    article whose id alone has the look comes back if it is prose: a block of PROSE characters, and no more
-    than half in links.
+    A part of an article whose id alone has the look is like what is around it if it is prose: a block of
+    PROSE characters outside links, and no more than half in links. The largest element that looks left out
+    comes back if what is shown is LITTLE beside it and in nothing that says it is an article; a form, if it
+    holds more than is shown.
     """
     own = lambda b: max(0, len(b[0]) - 2 * b[2])
+    if topics:
+        outside, whole, prose = Counter(), Counter(), set()
+        for b in blocks:
+            if not b[3] and b[5] in topics:
+                outside[b[5]] += own(b)
+                whole[b[5]] += len(b[0])
+                if own(b) >= PROSE:
+                    prose.add(b[5])
+        kept = {t for t in prose if 2 * outside[t] >= whole[t]}
+
+        def look_of(look: int) -> int:
+            while look in kept:
+                look = topics[look]
+            return look
+
+        blocks = [(*b[:5], look_of(b[5])) for b in blocks]
     by_look: Counter[int] = Counter()
-    prose: set[int] = set()
     for b in blocks:
         if not b[3] and b[5]:
             by_look[b[5]] += own(b)
-            if b[5] < 0 and own(b) >= PROSE:
-                prose.add(b[5])
-    if not by_look:
-        return [b[:5] for b in blocks]
-    in_article = {b[5] for b in blocks if b[5] < 0 and any(map(_is_article, _ancestors(b[1])[1:]))}
-    sizes = Counter()
-    for b in blocks:
-        sizes[b[5]] += len(b[0])
-    back = {look for look in prose & in_article if 2 * by_look[look] >= sizes[look]}
-    shown = sum(own(b) for b in blocks if not b[3] and (not b[5] or b[5] in back))
-    stated = any(not b[3] and (not b[5] or b[5] in back) and any(map(_says_article, _ancestors(b[1]))) for b in blocks)
-    for look, n in by_look.most_common(1):
-        if not stated and (shown < LITTLE * (shown + n) or (look < 0 and shown < n)):
-            back.add(look)
+    shown = sum(own(b) for b in blocks if not b[3] and not b[5])
+    stated = any(not b[3] and not b[5] and any(map(_says_article, _ancestors(b[1]))) for b in blocks) if by_look else False
+    back = {look for look, n in by_look.most_common(1) if not stated and (shown < LITTLE * (shown + n) or (look < 0 and shown < n))}
     return [(text, path, links, out or (look != 0 and look not in back), heading) for text, path, links, out, heading, look in blocks]
 
 
@@ -348,10 +356,6 @@ def best_path(blocks: list[tuple[str, str, int, bool, bool]]) -> tuple[str, int]
     return path, score[path]
 
 
-def _is_article(path: str) -> bool:
-    return path.rpartition(">")[2].split(".")[0] in ("article", "main")
-
-
 def _leads(part: str, top: str) -> bool:
     """Does an element beside (or beside what is around) the text's container belong to the article? Leads and
     heads by their names do, and further article elements beside one."""
