@@ -4,10 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.llm.common import remainder
-from touchline.llm.hpyp import discount_of, draw_tables, log_stirling
+from touchline.llm.hpyp import TABLED, _poisson, discount_of, draw_tables, hashed_gamma, log_stirling
 from touchline.llm.lm import score_texts
 
 
@@ -268,3 +269,74 @@ def test_long_texts_and_many_buckets(spark, monkeypatch):
     many = {r["doc_id"]: r for r in score_texts(d, remainder("doc_id", 10) == 0).collect()}
     assert {i: tuple(r)[:5] for i, r in many.items()} == {i: r[:5] for i, r in one.items()}
     assert all(math.isfinite(r["score"]) for r in many.values()) and many[999]["n_tokens"] == 80_001
+
+
+def exact_joint(customers, bases, theta, d):
+    """Mean tables of each of two dishes of one restaurant, over all seatings."""
+    log_s = log_stirling(d)
+    t, u = (np.arange(1, c + 1) for c in customers)
+    log_p = (log_s[customers[0], 1 : customers[0] + 1] + t * math.log(bases[0]))[:, None] + log_s[customers[1], 1 : customers[1] + 1] + u * math.log(bases[1])
+    rising = np.concatenate([[0], np.cumsum(np.log(theta + d * np.arange(sum(customers))))])
+    p = np.exp(log_p + rising[t[:, None] + u] - (log_p + rising[t[:, None] + u]).max())
+    p /= p.sum()
+    return float((p.sum(1) * t).sum()), float((p.sum(0) * u).sum())
+
+
+def test_a_restaurant_of_several_dishes_follows_its_joint_law():
+    theta, d, n = 1.0, 0.6, 4000
+    for customers, bases in (((200, 3), (0.3, 0.05)), ((2, 2), (0.01, 0.02)), ((900, 400), (0.1, 0.3)), ((40, 8), (0.001, 0.5))):
+        c, log_base = np.repeat(customers, n), np.log(np.repeat(bases, n))
+        tables, keys, sums, kept = np.ones(2 * n), np.arange(n, dtype=np.uint64), np.zeros(2), 0
+        for sweep in range(40):
+            restaurant = tables[:n] + tables[n:]
+            gamma = hashed_gamma(keys, theta / d + restaurant, sweep)
+            tables = draw_tables(c, log_base, None, theta, d, np.random.default_rng(sweep).random(2 * n), np.tile(gamma, 2)).astype(float)
+            if sweep >= 15:
+                sums, kept = sums + [tables[:n].mean(), tables[n:].mean()], kept + 1
+        want = exact_joint(customers, bases, theta, d)
+        assert sums / kept == pytest.approx(want, rel=0.02), (customers, sums / kept, want)
+
+
+def test_large_dishes_given_gamma():
+    d, n = 0.5, 6000
+    for c, z in ((1500, 0.3), (4000, 2.0), (4000, 40.0)):  # z: base d gamma
+        log_s = np.array([0.0])
+        for k in range(1, c):
+            log_s = np.logaddexp(np.append(np.log(k - d * np.arange(1, k + 1)) + log_s, -np.inf), np.append(-np.inf, log_s))
+        t = np.arange(1, c + 1)
+        p = np.exp((log_p := log_s + t * math.log(z)) - log_p.max())
+        p /= p.sum()
+        mean = (t * p).sum()
+        drawn = draw_tables(np.full(n, c), np.full(n, math.log(z / (d * 100))), None, 1.0, d, np.random.default_rng(c).random(n), np.full(n, 100.0))
+        assert c > TABLED and abs(drawn.mean() - mean) < 0.02 * mean and abs(drawn.var() - ((t - mean) ** 2 * p).sum()) < 0.15 * ((t - mean) ** 2 * p).sum() + 0.02
+
+
+def test_hashed_numbers():
+    keys = np.arange(60_000, dtype=np.uint64)
+    for shape in (0.3, 1.0, 1.7, 30.0, 5000.0):
+        x = hashed_gamma(keys, np.full(len(keys), shape), 5)
+        assert abs(x.mean() - shape) < 0.03 * shape and abs(x.var() - shape) < 0.06 * shape
+    assert (hashed_gamma(keys[:5], np.full(5, 2.0), 1) == hashed_gamma(keys, np.full(len(keys), 2.0), 1)[:5]).all() and (hashed_gamma(keys[:3], np.zeros(3), 1) == 0).all()
+    drawn = _poisson(np.repeat([0.0, 0.4, 90.0], 20_000), np.random.default_rng(2).random(60_000)).reshape(3, -1)
+    assert drawn[0].max() == 0 and np.abs(drawn.mean(1)[1:] / [0.4, 90.0] - 1).max() < 0.03 and abs(drawn[2].var() / 90 - 1) < 0.05
+
+
+def test_frequent_pairs_against_explicit_tables(spark):
+    """Contexts with hundreds of customers, dishes with up to a hundred."""
+    rng = random.Random(4)
+    words = "abcdefghijkl"
+    docs = [(i, " ".join(rng.choices(words, [2.0 ** -k for k in range(12)], k=rng.randrange(10, 40)))) for i in range(60)]
+    train = [["", *(w.decode() for w in tokens(t))] for i, t in docs if not out(i)]
+    assert max(Counter(p for s in train for p in zip(s, s[1:])).values()) > 150
+    chance, n = Counter(), 0
+    asked = {p for _, t in docs for s in [["", *(w.decode() for w in tokens(t))]] for p in zip(s, s[1:])}
+    for p in gibbs(train, 90, 30, 2):
+        n += 1
+        for u, w in asked:
+            chance[u, w] += p(u, w)
+    got = {r["doc_id"]: r for r in score_texts(spark.createDataFrame(docs, "doc_id long, text string"), remainder("doc_id", 10) == 0).collect()}
+    errors = []
+    for i, t in docs:
+        s = ["", *(w.decode() for w in tokens(t))]
+        errors.append((got[i]["score"] - sum(math.log10(chance[p] / n) for p in zip(s, s[1:]))) / (len(s) - 1))
+    assert abs(np.mean(errors)) < 0.005 and np.abs(errors).max() < 0.03, (np.mean(errors), np.abs(errors).max())

@@ -38,53 +38,88 @@ def ratios(discount: float) -> np.ndarray:
         return np.ascontiguousarray(np.nan_to_num(np.exp(s[1:] - s[:-1]), nan=0.0))
 
 
-def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.ndarray, theta: float, discount: float, uniform: np.ndarray) -> np.ndarray:
+def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.ndarray, theta: float, discount: float, uniform: np.ndarray, gamma: np.ndarray | None = None) -> np.ndarray:
     """A draw of each dish's number of tables, given its customers (0 have none), the log probability
     of the dish under the parent, and the tables of the restaurant's other dishes.
 
-    From p(t) ~ S(c, t) base**t (theta + d T)(theta + d (T + 1)) ..., which sums over all seatings. Of more
-    than TABLED customers, t = s + n: s tables that the first TABLED open, and n of the others. Where a
-    customer's chance to join one of t tables falls by d t / c, weights of t obey, in log c, a linear
-    equation whose solution makes n negative binomial given s, and s a draw from the table with other
-    weights. The same uniform numbers (in [0, 1)) give the same draws.
+    From p(t) ~ S(c, t) base**t (theta + d T)(theta + d (T + 1)) ..., which sums over all seatings. Given a
+    draw `gamma` of Gamma(theta / d + tables of the restaurant), the dishes of a restaurant don't depend on
+    one another: p(t) ~ S(c, t) (base d gamma)**t, and other_tables is not looked at. Of more than TABLED
+    customers, t = s + n: s tables that the first TABLED open, and n of the others. Where a customer's
+    chance to join one of t tables falls by d t / c, weights of t obey, in log c, a linear equation whose
+    solution makes n negative binomial given s (Poisson given gamma), and s a draw from the table with
+    other weights. The same uniform numbers (in [0, 1)) give the same draws.
     """
     tables = np.minimum(customers, 1).astype(np.int64)
-    base, step = np.exp(log_base), theta + discount * other_tables
+    base = np.exp(log_base)
+    first = base * (theta + discount * other_tables if gamma is None else discount * gamma)
+    more = base * discount if gamma is None else np.zeros(len(base))
     stirling = np.exp(log_stirling(discount)[: FEW + 1, : FEW + 1])
     for c in range(2, FEW + 1):
         same = np.flatnonzero(customers == c)
         for at in range(0, len(same), BLOCK):
             some = same[at : at + BLOCK]
-            tables[some] = _few(stirling[c], base[some], step[some], discount, uniform[some])
+            tables[some] = _few(stirling[c], first[some], more[some], uniform[some])
     some = np.flatnonzero((customers > FEW) & (customers <= TABLED))
-    some = some[np.argsort(base[some] * step[some] * np.log(customers[some]))]  # those that open about as many tables go together
+    some = some[np.argsort(first[some] * np.log(customers[some]))]  # those that open about as many tables go together
     for at in range(0, len(some), BLOCK):
         part = some[at : at + BLOCK]
-        tables[part] = _tabled(customers[part], base[part], step[part], discount, uniform[part], None)
+        tables[part] = _tabled(customers[part], first[part], more[part], discount, uniform[part], None)
     large = np.flatnonzero(customers > TABLED)
     everyone = customers[large].astype(float)
-    # what a table among the first TABLED leaves of the later customers' chances, less what they open
-    opening = base[large] * (1 - (TABLED / everyone) ** discount)
-    first = _tabled(np.full(len(large), TABLED), base[large] / (1 - opening), step[large], discount, uniform[large], everyone)
+    left = 1 - (TABLED / everyone) ** discount  # of the later customers' chances, by a table among the first TABLED
     u = (mix64((uniform[large] * (1 << 53)).astype(np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
-    tables[large] = first + _negative_binomial(step[large] / discount + first, opening, u)
+    if gamma is None:
+        opening = base[large] * left
+        early = _tabled(np.full(len(large), TABLED), first[large] / (1 - opening), more[large] / (1 - opening), discount, uniform[large], everyone)
+        tables[large] = early + _negative_binomial((theta + discount * other_tables[large]) / discount + early, opening, u)
+    else:
+        early = _tabled(np.full(len(large), TABLED), first[large], more[large], discount, uniform[large], everyone)
+        tables[large] = early + _poisson(first[large] / discount * left, u)
     return tables
 
 
-def _few(stirling: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float, uniform: np.ndarray) -> np.ndarray:
+def hashed_uniform(key: np.ndarray, salt: int) -> np.ndarray:
+    """A number in (0, 1) for each key."""
+    return ((mix64(key + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+
+
+def hashed_gamma(key: np.ndarray, shape: np.ndarray, salt: int) -> np.ndarray:
+    """A Gamma(shape) number for each key, the same for the same key, shape and salt: normal numbers,
+    cubed, until accepted (shape 0: 0)."""
+    key = mix64(key + np.uint64(salt * 0xC4CEB9FE1A85EC53 & 0xFFFFFFFFFFFFFFFF))
+    size = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    out, todo, c = size.copy(), np.arange(len(key)), 1 / np.sqrt(9 * size)
+    for attempt in range(40):
+        u, v, w = (hashed_uniform(key[todo], 3 * attempt + k + 1) for k in range(3))
+        x = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)
+        cube = (1 + c[todo] * x) ** 3
+        with np.errstate(invalid="ignore", divide="ignore"):
+            yes = (cube > 0) & (np.log(w) < x * x / 2 + size[todo] * (1 - cube + np.log(cube)))
+        out[todo[yes]] = size[todo[yes]] * cube[yes]
+        todo = todo[~yes]
+        if not len(todo):
+            break
+    small = np.flatnonzero(shape < 1)
+    with np.errstate(divide="ignore"):
+        out[small] *= hashed_uniform(key[small], 0) ** (1 / shape[small])
+    return out
+
+
+def _few(stirling: np.ndarray, first: np.ndarray, more: np.ndarray, uniform: np.ndarray) -> np.ndarray:
     """Tables of dishes with the same number of customers, whose row of S is given: all weights, summed."""
     c = int(np.flatnonzero(stirling)[-1])
-    weight = np.empty((c, len(base)))
-    so_far = base * step
+    weight = np.empty((c, len(first)))
+    so_far = first.copy()
     weight[0] = stirling[1] * so_far
     for t in range(1, c):
-        so_far = so_far * (base * (step + discount * t))
+        so_far = so_far * (first + more * t)
         weight[t] = weight[t - 1] + stirling[t + 1] * so_far
     return 1 + (weight < uniform * weight[-1]).sum(axis=0)
 
 
-def _tabled(c: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float, uniform: np.ndarray, everyone: np.ndarray | None) -> np.ndarray:
-    """Tables of c customers, up to TABLED: p(t + 1) / p(t) = S(c, t + 1) / S(c, t) base (step + d t), and a
+def _tabled(c: np.ndarray, first: np.ndarray, more: np.ndarray, discount: float, uniform: np.ndarray, everyone: np.ndarray | None) -> np.ndarray:
+    """Tables of c customers, up to TABLED: p(t + 1) / p(t) = S(c, t + 1) / S(c, t) (first + more t), and a
     factor for the chances left to the later ones of `everyone`.
 
     Weights are summed from t = 1, all dishes at once, until what is left is REST of the sum; then again
@@ -96,11 +131,11 @@ def _tabled(c: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float,
         rows, t = np.arange(len(c)), 0
         p, so_far, opened = np.ones(len(c)), np.ones(len(c)), np.ones(len(c), np.int64)
         wanted = np.where(times > 0, np.inf, uniform * total)  # not reached before as many divisions as the total had
-        of_c, first, more, of_all = c, base * step, base * discount, everyone
+        of_c, of_first, of_more, of_all = c, first, more, everyone
         while len(rows) and t < TABLED - 1:
             t += 1
-            scratch = np.multiply(more, t)
-            scratch += first
+            scratch = np.multiply(of_more, t)
+            scratch += of_first
             if everyone is not None:
                 less = discount * t + (discount + 1) / 2
                 scratch *= ((TABLED - less) / (of_all - less)) ** discount
@@ -119,7 +154,7 @@ def _tabled(c: np.ndarray, base: np.ndarray, step: np.ndarray, discount: float,
                     tables[rows[ended]] = opened[ended]
                 else:
                     total[rows[ended]] = so_far[ended]
-                rows, p, so_far, opened, wanted, of_c, first, more = (x[going] for x in (rows, p, so_far, opened, wanted, of_c, first, more))
+                rows, p, so_far, opened, wanted, of_c, of_first, of_more = (x[going] for x in (rows, p, so_far, opened, wanted, of_c, of_first, of_more))
                 of_all = of_all[going] if everyone is not None else None
             if t % 8 == 0 and (large := p > LARGEST).any():
                 p[large] /= LARGEST
@@ -154,6 +189,24 @@ def _negative_binomial(shape: np.ndarray, q: np.ndarray, uniform: np.ndarray) ->
     return drawn
 
 
+def _poisson(mean: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """Poisson numbers, by inversion within 9 deviations of the mean."""
+    drawn = np.zeros(len(mean), np.int64)
+    spread = 9 * np.sqrt(mean) + 30
+    order = np.argsort(spread)
+    while len(order):
+        some = order[: max(1, CELLS // (4 * int(spread[order[0]]) + 4))]
+        some = some[spread[some] <= 2 * spread[order[0]]]
+        k = np.maximum(0, np.floor(mean[some] - spread[some]))[:, None] + np.arange(2 * int(spread[some[-1]]) + 2)
+        log_p = np.zeros(k.shape)
+        with np.errstate(divide="ignore"):
+            log_p[:, 1:] = np.cumsum(np.log(mean[some, None] / k[:, 1:]), axis=1)
+        so_far = np.cumsum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), axis=1)
+        drawn[some] = k[:, 0] + (so_far < (uniform[some] * so_far[:, -1])[:, None]).sum(axis=1)
+        order = order[len(some) :]
+    return drawn
+
+
 def discount_of(ones: float, twos: float) -> float:
     """The discount that counts of counts suggest."""
     return float(min(0.95, max(0.1, ones / (ones + 2 * twos)))) if ones else 0.5

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, note_written, shared_dir, shuffle_partitions, utf8_bytes
-from .hpyp import discount_of, draw_tables
+from .hpyp import discount_of, draw_tables, hashed_gamma, hashed_uniform
 
 #: Bytes of text that are counted together.
 CHUNK = 3_000_000
@@ -35,7 +35,9 @@ THETA = 1.0
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, n_words long, tokens binary, counts binary, pairs binary, pair_counts binary, trained long"
 ASKED = "bucket int, chunk long, at binary, names binary, counts binary"
 ANSWERED = "chunk long, bucket int, a binary, b binary, c binary, d binary, named long, types long, ones long, twos long"
-SEATED = "chunk long, bucket int, a binary, b binary, c binary, customers array<long>, tables array<long>"
+SEATED = "chunk long, bucket int, a binary, b binary, c binary, customers array<long>, tables array<long>, masses array<long>"
+#: Masses of words are whole multiples of 1 / MASS, so sums of them don't depend on their order.
+MASS = 1 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
@@ -153,11 +155,18 @@ class _Pairs:
             ids[at] = (np.uint64(a["bucket"]) << np.uint64(settings["place_bits"])) | place.astype(np.uint64)
         pair = np.cumsum(_unpack(row["pairs"]))
         self.context, self.word = pair // n, pair % n
+        self.ids = ids
         keys = _scramble((ids[self.context] << np.uint64(width)) | ids[self.word], 2 * width)
         self.order = np.argsort(keys)
         self.keys = keys
 
 
+def _runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """Value, begin and end of each run of a sorted array."""
+    begin = np.flatnonzero(np.diff(x, prepend=-1))
+    return list(zip(x[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(x)]))
+
+
 def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
     """The words of each chunk, dealt into buckets by hash, with their places and training counts."""
 
@@ -167,8 +176,7 @@ def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
                 words, counts = np.array(_unpack_words(row["words"]), object), _unpack(row["counts"])
                 bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
                 order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-                slices = [(b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b] < bounds[b + 1]]
+                slices = [(b, order[begin:end]) for b, begin, end in _runs(bucket[order])]
                 yield _record(ASKED, [(b, row["chunk"], _pack(np.diff(at, prepend=0)), _pack_words(list(words[at])), _pack(counts[at])) for b, at in slices])
 
     return chunks.select("chunk", "words", "counts").mapInArrow(ask, ASKED)
@@ -185,8 +193,7 @@ def _pair_requests(joined: DataFrame, buckets: int, settings: dict) -> DataFrame
                 row = batch.slice(i, 1).to_pylist()[0]
                 p = _Pairs(row, settings)
                 keys, counts = p.keys[p.order], _unpack(row["pair_counts"])[p.order]
-                edges = np.searchsorted(keys, starts).tolist() + [len(keys)]
-                slices = [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
+                slices = [(b, slice(begin, end)) for b, begin, end in _runs(np.searchsorted(starts, keys, "right") - 1)]
                 yield _record(ASKED, [(b, row["chunk"], None, _pack(np.diff(keys[s].view(np.int64), prepend=0)), _pack(counts[s])) for b, s in slices])
 
     return joined.select("chunk", "n_words", "pairs", "pair_counts", "word_answers").mapInArrow(ask, ASKED)
@@ -261,39 +268,65 @@ class _State(_Pairs):
         parent = (self.count + 0.5) / (s["tokens"] + 0.5 * (s["types"] + 1))
         return parent, self.count * (s["pairs"] / max(1, s["tokens"]))
 
-    def after(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same after a sweep: from the words' customers and tables in the parent, and the
-        contexts' tables."""
-        s = self.settings
+    def _seated(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """After a sweep: the words' customers and tables in the parent, and the contexts' tables."""
         customers, tables, opened = (np.zeros(len(self.count), np.int64) for _ in range(3))
         seated = {x["bucket"]: x for x in row[f"seated{sweep}"]}
         for bucket, at, _ in self.slots:
             for into, field in ((customers, "a"), (tables, "b"), (opened, "c")):
                 into[at] = _unpack(seated[bucket][field]).reshape(CHAINS, -1)[chain]
+        return customers, tables, opened
+
+    def after(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
+        """After a sweep: the parent's predictive probabilities of the words, and tables of the contexts."""
+        s = self.settings
+        customers, tables, opened = self._seated(row, sweep, chain)
         all_customers, all_tables = s["customers"][sweep][chain], s["tables"][sweep][chain]
         d = s["word_discount"]
         rest = (THETA + d * all_tables) / (THETA + all_customers) / (s["types"] + 1)
         return (customers - d * tables) / (THETA + all_customers) + rest, opened
 
+    def measure(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with a draw of the parent's probabilities given its seating."""
+        s = self.settings
+        customers, tables, opened = self._seated(row, sweep, chain)
+        rest = _rest_mass(s, sweep, chain)
+        masses = _masses(self.ids, customers, tables, s["word_discount"], sweep, chain)
+        return (masses / MASS + rest / (s["types"] + 1)) / (s["masses"][sweep][chain] / MASS + rest), opened
+
     def seat(self, row: dict, sweep: int, owned: bool) -> list[np.ndarray]:
         """By chain, the tables of each pair (or of those that the chunk owns) in the given sweep: the same
-        in every chunk that holds the pair, as they follow from counts and a hash."""
+        in every chunk that holds the pair, as they follow from counts and hashes.
+
+        Given the parent's probabilities and, for each context, a gamma number of its tables so far, pairs
+        don't depend on one another."""
         several = np.flatnonzero((self.pair_count > 1) & self.pair_owned if owned else self.pair_count > 1)
         key, context, word = mix64(self.keys[several]), self.context[several], self.word[several]
-        bases, others, uniforms = [], [], []
+        d = self.settings["pair_discount"]
+        bases, gammas, uniforms = [], [], []
         for chain in range(CHAINS):
-            parent, opened = self.after(row, sweep - 1, chain) if sweep else self.start()
-            salt = np.uint64((1 + chain + CHAINS * sweep) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-            uniforms.append((mix64(key + salt) >> np.uint64(11)).astype(float) / (1 << 53))
+            parent, opened = self.measure(row, sweep - 1, chain) if sweep else self.start()
+            uniforms.append(hashed_uniform(key, 1 + chain + CHAINS * sweep))
             bases.append(np.log(parent)[word])
-            others.append(np.maximum(opened[context] - 1.0, 0.0))
-        drawn = draw_tables(np.tile(self.pair_count[several], CHAINS), np.concatenate(bases), np.concatenate(others), THETA, self.settings["pair_discount"], np.concatenate(uniforms))
+            gammas.append(hashed_gamma(self.ids, THETA / d + opened, 2 * (chain + CHAINS * sweep))[context])
+        drawn = draw_tables(np.tile(self.pair_count[several], CHAINS), np.concatenate(bases), None, THETA, d, np.concatenate(uniforms), np.concatenate(gammas))
         out = [np.minimum(self.pair_count, 1) for _ in range(CHAINS)]
         for tables, part in zip(out, np.split(drawn, CHAINS)):
             tables[several] = part
         return out
 
 
+def _masses(ids: np.ndarray, customers: np.ndarray, tables: np.ndarray, discount: float, sweep: int, chain: int) -> np.ndarray:
+    """Gamma numbers of words in the parent's seating, in units of 1 / MASS: their shares are a draw of the
+    parent's probabilities."""
+    return np.rint(hashed_gamma(ids, customers - discount * tables, 2 * (chain + CHAINS * sweep) + 1) * MASS)
+
+
+def _rest_mass(settings: dict, sweep: int, chain: int) -> float:
+    """The gamma number of what the parent leaves to its own base."""
+    return float(np.random.default_rng([1, sweep, chain]).standard_gamma(THETA + settings["word_discount"] * settings["tables"][sweep][chain]))
+
+
 def _sweep(joined: DataFrame, settings: dict, sweep: int) -> DataFrame:
     """Each chunk seats the pairs that it owns and tells the words' buckets of their tables."""
     held = joined.sparkSession.sparkContext.broadcast(settings)
@@ -315,9 +348,13 @@ def _sweep(joined: DataFrame, settings: dict, sweep: int) -> DataFrame:
     return joined.mapInArrow(seat, ASKED)
 
 
-def _seat_words(sweep: int, types: int, discount: float) -> Callable[[int, list[dict]], pa.RecordBatch]:
-    """For a bucket of words: customers in the parent restaurant, tables drawn there, and the tables of
-    each word as a context. Random numbers go by the words' places in the bucket."""
+def _seat_words(sweep: int, settings: dict) -> Callable[[int, list[dict]], pa.RecordBatch]:
+    """For a bucket of words: customers in the parent restaurant, tables drawn there given a gamma number of
+    the parent's tables so far, masses, and the tables of each word as a context. Random numbers go by the
+    words' places in the bucket."""
+    types, discount, place_bits = settings["types"], settings["word_discount"], settings["place_bits"]
+    before = settings["tables"][sweep - 1] if sweep else [types] * CHAINS
+    gammas = [float(np.random.default_rng([0, sweep, chain]).standard_gamma(THETA / discount + before[chain])) for chain in range(CHAINS)]
 
     def answer(bucket: int, rows: list[dict]) -> pa.RecordBatch:
         places = [_unpack(r["at"]) for r in rows]
@@ -326,12 +363,15 @@ def _seat_words(sweep: int, types: int, discount: float) -> Callable[[int, list[
         for r, p in zip(rows, places):
             customers[:, p] += _unpack(r["names"]).reshape(CHAINS, -1)
             opened[:, p] += _unpack(r["counts"]).reshape(CHAINS, -1)
+        ids = (np.uint64(bucket) << np.uint64(place_bits)) | np.arange(n, dtype=np.uint64)
+        masses = []
         for chain in range(CHAINS):
-            rng = np.random.default_rng([bucket, chain, sweep])
-            tables[chain] = draw_tables(customers[chain], np.full(n, -np.log(types + 1)), np.full(n, float(max(0, types - 1))), THETA, discount, rng.random(n))
+            uniform = hashed_uniform(mix64(ids), 1 + chain + CHAINS * sweep)
+            tables[chain] = draw_tables(customers[chain], np.full(n, -np.log(types + 1)), None, THETA, discount, uniform, np.full(n, gammas[chain]))
+            masses.append(int(_masses(ids, customers[chain], tables[chain], discount, sweep, chain).sum()))
         none = [0] * CHAINS
         return _record(SEATED, [
-            (r["chunk"], bucket, _pack(customers[:, p].ravel()), _pack(tables[:, p].ravel()), _pack(opened[:, p].ravel()), *((customers.sum(axis=1).tolist(), tables.sum(axis=1).tolist()) if not i else (none, none)))
+            (r["chunk"], bucket, _pack(customers[:, p].ravel()), _pack(tables[:, p].ravel()), _pack(opened[:, p].ravel()), *((customers.sum(axis=1).tolist(), tables.sum(axis=1).tolist(), masses) if not i else (none, none, none)))
             for i, (r, p) in enumerate(zip(rows, places))
         ])
 
@@ -385,10 +425,12 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
        No table of words or pairs is ever in one place, and a frequent word or pair is named once a
        chunk. Buckets also say which chunk owns a thing, so that sums over distinct things add up. Their
        number grows with the tokens, BUCKET for each, so their memory is bounded.
-    3. A Gibbs sweep: every chunk draws the tables of its pairs, given the parent's probabilities and
-       the contexts' tables; what it owns goes to the words' buckets, which draw the parent's tables
-       and answer. Draws follow from hashes, so chunks agree on the pairs that they share. Within a
-       sweep all restaurants are drawn at once, given the sweep before.
+    3. A Gibbs sweep takes contexts and the parent in turn. A context's restaurant gets a gamma number,
+       given its tables; given that and the parent's probabilities, the tables of its pairs don't depend
+       on one another, so every chunk draws those of its own pairs. What a chunk owns goes to the words'
+       buckets: customers of the parent, whose tables are drawn alike (a gamma number, then all words),
+       and then its probabilities, a draw given its seating. Draws follow from hashes of words and
+       pairs, so chunks agree on what they share.
     4. Chunks add up their documents. Only sums come to the driver.
 
     Runs agree, however the rows are partitioned. A null text is the empty text: one token. Rows that
@@ -405,18 +447,19 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     width = place_bits + (buckets - 1).bit_length()
     if width > 32:
         raise ValueError("too many different words to number their pairs in 64 bits")
-    settings = {"tokens": totals["tokens"], "types": words["types"], "place_bits": place_bits, "width": width, "word_discount": discount_of(words["ones"], words["twos"]), "customers": [], "tables": []}
+    settings = {"tokens": totals["tokens"], "types": words["types"], "place_bits": place_bits, "width": width, "word_discount": discount_of(words["ones"], words["twos"]), "customers": [], "tables": [], "masses": []}
     joined = chunks.join(word_answers, "chunk")
     pair_answers, pairs = _collected(_gathered(_pair_requests(joined, buckets, settings), _count_pairs, ANSWERED), "pair_answers")
     settings = settings | {"pairs": pairs["types"], "pair_discount": discount_of(pairs["ones"], pairs["twos"])}
     joined = joined.join(pair_answers, "chunk")
+    sums = "customers", "tables", "masses"
     narrow = ["chunk", "n_words", "pairs", "word_answers", "pair_answers"]
     for sweep in range(SWEEPS):
-        sat = _gathered(_sweep(joined.select(*narrow, *([f"seated{sweep - 1}"] if sweep else [])), settings, sweep), _seat_words(sweep, settings["types"], settings["word_discount"]), SEATED)
-        per_chain = [F.sum(F.get(c, i)).alias(f"{c}{i}") for c in ("customers", "tables") for i in range(CHAINS)]
+        sat = _gathered(_sweep(joined.select(*narrow, *([f"seated{sweep - 1}"] if sweep else [])), settings, sweep), _seat_words(sweep, settings), SEATED)
+        per_chain = [F.sum(F.get(c, i)).alias(f"{c}{i}") for c in sums for i in range(CHAINS)]
         sat = _by_chunk(sat.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "a", "b", "c")).alias(f"seated{sweep}"), *per_chain), parts)
-        all_of = sat.agg(*(F.coalesce(F.sum(f"{c}{i}"), F.lit(0)).alias(f"{c}{i}") for c in ("customers", "tables") for i in range(CHAINS))).first()
-        settings = settings | {c: [*settings[c], [all_of[f"{c}{i}"] for i in range(CHAINS)]] for c in ("customers", "tables")}
+        all_of = sat.agg(*(F.coalesce(F.sum(f"{c}{i}"), F.lit(0)).alias(f"{c}{i}") for c in sums for i in range(CHAINS))).first()
+        settings = settings | {c: [*settings[c], [all_of[f"{c}{i}"] for i in range(CHAINS)]] for c in sums}
         joined = joined.join(sat.select("chunk", f"seated{sweep}"), "chunk")
     tokens, types = settings["tokens"], settings["types"]
     wanted = [*narrow, "doc_ids", "held", "sizes", "tokens", *(f"seated{k}" for k in range(SWEEPS - KEPT - 1, SWEEPS) if k >= 0)]
