@@ -286,13 +286,16 @@ class _State(_Pairs):
         rest = (THETA + d * all_tables) / (THETA + all_customers) / (s["types"] + 1)
         return (customers - d * tables) / (THETA + all_customers) + rest, opened
 
-    def measure(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
-        """The same, with a draw of the parent's probabilities given its seating."""
+    def measure(self, row: dict, sweep: int, chain: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same, with a draw of the parent's probabilities given its seating; those of other words than
+        the given ones are 1."""
         s = self.settings
         customers, tables, opened = self._seated(row, sweep, chain)
         rest = _rest_mass(s, sweep, chain)
-        masses = _masses(self.ids, customers, tables, s["word_discount"], sweep, chain)
-        return (masses / MASS + rest / (s["types"] + 1)) / (s["masses"][sweep][chain] / MASS + rest), opened
+        parent = np.ones(len(customers))
+        masses = _masses(self.ids[words], customers[words], tables[words], s["word_discount"], sweep, chain)
+        parent[words] = (masses / MASS + rest / (s["types"] + 1)) / (s["masses"][sweep][chain] / MASS + rest)
+        return parent, opened
 
     def seat(self, row: dict, sweep: int, owned: bool) -> list[np.ndarray]:
         """By chain, the tables of each pair (or of those that the chunk owns) in the given sweep: the same
@@ -303,12 +306,15 @@ class _State(_Pairs):
         several = np.flatnonzero((self.pair_count > 1) & self.pair_owned if owned else self.pair_count > 1)
         key, context, word = mix64(self.keys[several]), self.context[several], self.word[several]
         d = self.settings["pair_discount"]
+        words, contexts = (np.flatnonzero(np.bincount(x, minlength=len(self.count))) for x in (word, context))
         bases, gammas, uniforms = [], [], []
         for chain in range(CHAINS):
-            parent, opened = self.measure(row, sweep - 1, chain) if sweep else self.start()
+            parent, opened = self.measure(row, sweep - 1, chain, words) if sweep else self.start()
             uniforms.append(hashed_uniform(key, 1 + chain + CHAINS * sweep))
             bases.append(np.log(parent)[word])
-            gammas.append(hashed_gamma(self.ids, THETA / d + opened, 2 * (chain + CHAINS * sweep))[context])
+            gamma = np.zeros(len(self.count))
+            gamma[contexts] = hashed_gamma(self.ids[contexts], THETA / d + opened[contexts], 2 * (chain + CHAINS * sweep))
+            gammas.append(gamma[context])
         drawn = draw_tables(np.tile(self.pair_count[several], CHAINS), np.concatenate(bases), None, THETA, d, np.concatenate(uniforms), np.concatenate(gammas))
         out = [np.minimum(self.pair_count, 1) for _ in range(CHAINS)]
         for tables, part in zip(out, np.split(drawn, CHAINS)):
