@@ -42,14 +42,21 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base doubl
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Whole numbers, byte by byte and compressed."""
-    planes = np.ascontiguousarray(np.asarray(x, np.int64).view(np.uint8).reshape(-1, 8).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Whole numbers, as many bytes as the largest needs, byte by byte and compressed."""
+    x = np.asarray(x, np.int64)
+    width = 8 if not len(x) or x.min() < 0 else max(1, -(-int(x.max()).bit_length() // 8))
+    planes = np.empty((width, len(x)), np.uint8)
+    for k in range(width):
+        planes[k] = (x >> (8 * k)) & 255
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.int64).ravel()
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), np.uint8).reshape(blob[0], -1)
+    x = planes[0].astype(np.int64)
+    for k in range(1, len(planes)):
+        x |= planes[k].astype(np.int64) << (8 * k)
+    return x
 
 
 def _pack_words(words: list[bytes]) -> bytes:
@@ -258,6 +265,7 @@ class _State(_Pairs):
     def __init__(self, row: dict, settings: dict) -> None:
         super().__init__(row, settings)
         self.settings = settings
+        self.seated: dict[int, np.ndarray] = {}
         self.pair_count, self.pair_owned = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), bool)
         self.pair_count[self.order] = np.concatenate([_unpack(a["c"]) for a in row["pair_answers"]])
         self.pair_owned[self.order] = np.concatenate([_unpack(a["d"]) for a in row["pair_answers"]])
@@ -270,12 +278,14 @@ class _State(_Pairs):
 
     def _seated(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """After a sweep: the words' customers and tables in the parent, and the contexts' tables."""
-        customers, tables, opened = (np.zeros(len(self.count), np.int64) for _ in range(3))
-        seated = {x["bucket"]: x for x in row[f"seated{sweep}"]}
-        for bucket, at, _ in self.slots:
-            for into, field in ((customers, "a"), (tables, "b"), (opened, "c")):
-                into[at] = _unpack(seated[bucket][field]).reshape(CHAINS, -1)[chain]
-        return customers, tables, opened
+        if sweep not in self.seated:
+            found = np.zeros((3, CHAINS, len(self.count)), np.int64)
+            seated = {x["bucket"]: x for x in row[f"seated{sweep}"]}
+            for bucket, at, _ in self.slots:
+                for into, field in zip(found, "abc"):
+                    into[:, at] = _unpack(seated[bucket][field]).reshape(CHAINS, -1)
+            self.seated[sweep] = found
+        return tuple(self.seated[sweep][:, chain])
 
     def after(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
         """After a sweep: the parent's predictive probabilities of the words, and tables of the contexts."""
