@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import RFormula
@@ -20,37 +21,39 @@ def rate_games(games: DataFrame, settings: Settings = SETTINGS, ks: list[float]
     """competition_id, game_id, k, w, elo_home, elo_away (before the game), elo_home_prob of every
     game and each k of ks (the setting's by default).
 
-    The recurrence runs along the games of one competition and k, in the order of start_time and
-    game_id; competitions and ks are rated apart, so a group is as large as one competition's history.
-    Unplayed games get ratings but move none. The home advantage is the competition's mean margin.
+    The recurrence runs along the games of one competition, in the order of start_time and game_id, for
+    all ks at once: a game is dealt out once, and each team's ratings are an array over ks. So a group is
+    as large as one competition's history. Unplayed games get ratings but move none. The home advantage is
+    the competition's mean margin.
     """
     margin = F.col("score_home") - F.col("score_away")
     advantage = games.groupBy("competition_id").agg(F.coalesce(F.avg(margin), F.lit(0.0)).alias("advantage"))
     rows = games.join(advantage, "competition_id").select(
-        "competition_id", "competition_year", "game_id", "start_time", "team_home", "team_away", "advantage",
-        margin_outcome(margin, settings.margin_min, settings.margin_max).alias("w"),
-        F.explode(F.array(*(F.lit(float(k)) for k in ks or [settings.rating_k]))).alias("k"),
-    )
+        "competition_id", "competition_year", "game_id", "start_time", "team_home", "team_away", "advantage", margin_outcome(margin, settings.margin_min, settings.margin_max).alias("w")
+    )
+    steps = np.array(ks or [settings.rating_k], float)
 
     def rate(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["start_time", "game_id"], kind="stable")
-        ratings: dict[str, float] = {}
-        year, out = None, []
-        k, advantage = group["k"].iloc[0], group["advantage"].iloc[0]
-        for season, home, away, w in zip(group["competition_year"], group["team_home"], group["team_away"], group["w"]):
+        ratings: dict[str, np.ndarray] = {}
+        start, year, advantage = np.full(len(steps), settings.rating_start), None, group["advantage"].iloc[0]
+        out = np.empty((3, len(group), len(steps)))
+        for n, (season, home, away, w) in enumerate(zip(group["competition_year"], group["team_home"], group["team_away"], group["w"])):
             if year is not None and season != year:
                 ratings = {t: r + settings.carry_over * (settings.rating_start - r) for t, r in ratings.items()}
             year = season
-            a, b = ratings.get(home, settings.rating_start), ratings.get(away, settings.rating_start)
+            a, b = ratings.get(home, start), ratings.get(away, start)
             p = 1 / (1 + 10 ** ((b - (a + advantage)) / 400))
-            out.append((a, b, p))
+            out[:, n] = a, b, p
             if w == w:
-                ratings[home], ratings[away] = a + k * (w - p), b - k * (w - p)
-        rated = group[["competition_id", "game_id", "k", "w"]].copy()
-        rated[["elo_home", "elo_away", "elo_home_prob"]] = out
-        return rated
-
-    return rows.groupBy("competition_id", "k").applyInPandas(rate, RATED)
+                ratings[home], ratings[away] = a + steps * (w - p), b - steps * (w - p)
+        rated = group[["competition_id", "game_id", "w"]]
+        rated = rated.loc[rated.index.repeat(len(steps))].reset_index(drop=True)
+        rated["k"] = np.tile(steps, len(group))
+        rated["elo_home"], rated["elo_away"], rated["elo_home_prob"] = out.reshape(3, -1)
+        return rated[[c.split()[0] for c in RATED.split(", ")]]
+
+    return rows.groupBy("competition_id").applyInPandas(rate, RATED)
 
 
 def _bucket() -> Column:
