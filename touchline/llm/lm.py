@@ -94,8 +94,8 @@ def _by_chunk(df: DataFrame, buckets: int) -> DataFrame:
 
 
 def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
-    """Some documents a row: their words once, tokens as places in those words, the distinct pairs of
-    neighbouring tokens (by place, in order), and training counts of words and pairs."""
+    """Some documents a row: their words once, the distinct pairs of neighbouring tokens (by places of
+    words, in order), tokens as places in those pairs, and training counts of words and pairs."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, sizes, tokens, known, size, n_chunks = [], [], [], [], _LocalIds({END: 0}), 0, 0
@@ -108,7 +108,7 @@ def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
             pairs, pair_of = np.unique(pair, return_inverse=True)
             pair_counts = np.bincount(pair_of[training], minlength=len(pairs))
             name = (TaskContext.get().partitionId() << 32) + n_chunks
-            packed = _pack(place), _pack(counts), _pack(np.diff(pairs, prepend=0)), _pack(pair_counts)
+            packed = _pack(pair_of), _pack(counts), _pack(np.diff(pairs, prepend=0)), _pack(pair_counts)
             return _record(CHUNKS, [(name, ids, held, sizes, _pack_words(list(known)), len(known), *packed, int(counts.sum()))])
 
         for batch in batches:
@@ -404,15 +404,16 @@ def _score(joined: DataFrame, settings: dict) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 state, sizes = _State(row, s), np.array(row["sizes"], np.int64)
-                chance = np.zeros(len(state.keys))
+                seatings, discount = CHAINS * KEPT, s["pair_discount"]
+                chance = state.pair_count * float(seatings)
                 for sweep in range(SWEEPS - KEPT, SWEEPS):
                     for chain, tables in enumerate(state.seat(row, sweep, False)):
                         parent, opened = state.after(row, sweep, chain)
-                        own = np.maximum(state.pair_count - s["pair_discount"] * tables, 0)
-                        rest = THETA + s["pair_discount"] * opened[state.context]
-                        chance += (own + rest * parent[state.word]) / (THETA + state.count[state.context]) / (CHAINS * KEPT)
-                token, pair = _token_pairs(_unpack(row["tokens"]), sizes, row["n_words"])
-                pair_of = np.searchsorted(np.cumsum(_unpack(row["pairs"])), pair)
+                        chance -= discount * tables
+                        chance += (THETA + discount * opened)[state.context] * parent[state.word]
+                chance /= (seatings * (THETA + state.count))[state.context]
+                pair_of = _unpack(row["tokens"])
+                token = state.word[pair_of]
                 doc = np.repeat(np.arange(len(sizes)), sizes + 1)
                 sums = lambda x: np.bincount(doc, x, len(sizes)).astype(float)
                 known = np.bincount(doc, (state.count > 0)[token], len(sizes)).astype(np.int64)
