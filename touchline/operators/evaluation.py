@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +107,59 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
     """bin (0 below low, bins + 1 from high), n."""
     return df.filter(F.col(column).isNotNull()).groupBy(F.width_bucket(F.col(column).cast("double"), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def density(df: DataFrame, column: str, points: int = 200, bins: int = 2000) -> DataFrame:
+    """point (from 0), x, density: a Gaussian kernel density at `points` even places from the smallest to the largest value,
+    with the bandwidth sd * n ** (-1 / 5).
+
+    Values are counted in `bins` bins first and stand at the middle of theirs (at most (largest - smallest) / 4000 off with
+    2000), so what the kernel passes over does not grow with the rows. Nulls, NaN and infinities are passed over; without two
+    different values there are no rows.
+    """
+    x = F.col(column).cast("double")
+    known = df.select(x.alias("x")).filter(F.abs("x") < float("inf"))
+    low, high, n, sd = (known.select(f("x")).scalar() for f in (F.min, F.max, F.count, F.stddev_samp))
+    width, bandwidth = (high - low) / F.lit(float(bins)), sd * F.pow(n.cast("double"), F.lit(-0.2))
+    counts = known.filter(high > low).groupBy(F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.select("n", (low + (F.col("bin") + 0.5) * width).alias("middle"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))).alias("point"))
+    away = (low + F.col("point") * (high - low) / F.lit(points - 1.0) - F.col("middle")) / bandwidth
+    summed = placed.groupBy("point").agg(F.sum(F.col("n") * F.exp(-0.5 * away * away)).alias("s"))
+    return summed.select("point", (low + F.col("point") * (high - low) / F.lit(points - 1.0)).alias("x"), (F.col("s") / (n * bandwidth * math.sqrt(2 * math.pi))).alias("density"))
+
+
+def pair_counts(df: DataFrame, x: str, y: str, width: float) -> DataFrame:
+    """x, y (lower ends of squares of this width), n: how many rows lie in each square, the data of a scatter plot at
+    any number of rows. Rows without both numbers are passed over."""
+    end = lambda c: (F.floor(F.col(c).cast("double") / width) * F.lit(width)).alias(c)
+    both = df.filter((F.abs(F.col(x).cast("double")) < float("inf")) & (F.abs(F.col(y).cast("double")) < float("inf")))
+    return both.select(end(x), end(y)).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def present_shares(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, share of rows in which it isn't null, in one pass."""
+    sums = df.agg(F.count(F.lit(1)).alias("__rows"), *(F.count(c).alias(c) for c in columns))
+    cells = sums.select("__rows", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in columns))).alias("c"))
+    return cells.select("c.column", F.try_divide(F.col("c.n").cast("double"), "__rows").alias("share"))
+
+
+#: Values that profile_sketches tracks for its most frequent ones: counts are exact up to this many different values.
+TRACKED = 10_000
+
+
+def profile_sketches(df: DataFrame, columns: list[str], top: int = 3, accuracy: int = 10_000) -> DataFrame:
+    """column, present, missing, different, q25, median, q75, most_frequent (value, n): all columns in one pass by sketches
+    that merge, of bounded size: different values within about 1.6 %, quartiles (of numbers) within 1 / accuracy of
+    the rank, the `top` most frequent values by at most TRACKED counters. NaN counts as missing."""
+    kinds, wide = dict(df.dtypes), []
+    for c in columns:
+        numeric = kinds[c] not in ("string", "boolean", "date", "binary") and not kinds[c].startswith(("timestamp", "array", "map", "struct"))
+        value = F.when(~F.isnan(F.col(c)), F.col(c)) if kinds[c] in ("double", "float") else F.col(c)
+        quartiles = F.percentile_approx(value.cast("double"), [0.25, 0.5, 0.75], accuracy) if numeric else F.lit(None).cast("array<double>")
+        text = value.cast("string")
+        most = F.expr(f"approx_top_k(__text_{c}, {top}, {TRACKED})")
+        wide.append((c, value, text, F.struct(F.lit(c).alias("column"), F.count(value).alias("present"), F.count_if(value.isNull()).alias("missing"), F.hll_sketch_estimate(F.hll_sketch_agg(text, 14)).alias("different"), quartiles.alias("q"), most.alias("most"))))
+    rows = df.select(*columns, *(text.alias(f"__text_{c}") for c, _, text, _ in wide))
+    sketched = rows.agg(F.array(*(cell for *_, cell in wide)).alias("cells")).select(F.explode("cells").alias("c")).select("c.*")
+    named = F.transform(F.filter("most", lambda m: m["item"].isNotNull()), lambda m: F.struct(m["item"].alias("value"), m["count"].alias("n")))
+    return sketched.select("column", "present", "missing", F.coalesce("different", F.lit(0)).alias("different"), *(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))), named.alias("most_frequent"))

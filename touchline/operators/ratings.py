@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import RFormula
 from pyspark.sql import Column, DataFrame
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..functions.columns import margin_outcome
-from ..session import settle
+from ..session import release, settle
 from .cleaning import split_by_hash
 
 RATED = "competition_id string, game_id long, k double, w double, elo_home double, elo_away double, elo_home_prob double"
@@ -89,23 +92,30 @@ def sweep_k(games: DataFrame, ks: list[float], settings: Settings = SETTINGS) ->
     return judged.groupBy("k").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"), F.count(F.lit(1)).alias("games"))
 
 
-def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42) -> DataFrame:
+def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42, parallelism: int = 4) -> DataFrame:
     """k, kappa: agreement beyond chance of a forest on ratings and probabilities with the results of
     played games after the first season, for games that hashes of game_id keep from its training (a
-    fifth). One forest for each k, so ks should be few."""
+    fifth). One forest for each k; `parallelism` of them at a time, in scheduler pools of their own."""
+    spark = games.sparkSession
     rated = settle(rate_games(games, settings, ks).filter("w is not null"))
     first = games.groupBy("competition_id").agg(F.min("competition_year").alias("__first"))
     later = games.join(first, "competition_id").filter("competition_year <> __first").select("game_id")
     result = F.when(F.col("w") > 0.5, "home").when(F.col("w") < 0.5, "away").otherwise("draw")
     rows = settle(with_draws(rated).join(later, "game_id").withColumn("result", result))
-    kappas = []
-    for k in ks:
-        of_k = RFormula(formula="result ~ elo_home + elo_away + home_prob + draw_rate + away_prob").fit(rows).transform(rows.filter(F.col("k") == k))
-        train, test = split_by_hash(of_k, "game_id", 80)
+    prepared = RFormula(formula="result ~ elo_home + elo_away + home_prob + draw_rate + away_prob").fit(rows)
+
+    def kappa(n: int) -> tuple[float, float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"forests-{n % parallelism}")
+        train, test = split_by_hash(prepared.transform(rows.filter(F.col("k") == ks[n])), "game_id", 80)
         called = RandomForestClassifier(numTrees=trees, seed=seed).fit(train).transform(test).groupBy("label", "prediction").count().collect()  # 9 rows at most
-        n = sum(r["count"] for r in called)
-        agreed = sum(r["count"] for r in called if r["label"] == r["prediction"]) / n
-        of = lambda side, v: sum(r["count"] for r in called if r[side] == v) / n
+        total = sum(r["count"] for r in called)
+        agreed = sum(r["count"] for r in called if r["label"] == r["prediction"]) / total
+        of = lambda side, v: sum(r["count"] for r in called if r[side] == v) / total
         chance = sum(of("label", v) * of("prediction", v) for v in {r["label"] for r in called})
-        kappas.append((float(k), (agreed - chance) / (1 - chance) if chance < 1 else 0.0))
-    return games.sparkSession.createDataFrame(kappas, "k double, kappa double")
+        return float(ks[n]), (agreed - chance) / (1 - chance) if chance < 1 else 0.0
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        kappas = list(pool.map(inheritable_thread_target(spark)(kappa), range(len(ks))))
+    release(rows)
+    release(rated)
+    return spark.createDataFrame(kappas, "k double, kappa double")

@@ -188,7 +188,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT DISTINCT competition_year, round_id FROM games WHERE NOT (competition_year = 1996 AND round_id = 4) AND NOT (competition_year = 1998 AND round_id = 1))) WHERE n = round_id""",
     "schema_union": f"{with_(GAMES_SQL)} SELECT game_id, team_home, NULL AS team_away FROM games UNION ALL SELECT game_id, NULL, team_away FROM games",
     "level_vocabulary": f"{with_(GAMES_SQL)} SELECT team_home, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT team_home, CAST(count(*) AS BIGINT) AS n FROM games GROUP BY ALL UNION ALL SELECT 'T3', 0 UNION ALL SELECT 'Newcomers', 0) GROUP BY ALL",
-    "predictor_filter": f"SELECT n || '_' || s || '_ladder' AS predictor FROM (VALUES {', '.join(f"('{n}')" for n in ('wins', 'losses', 'draws', 'points_for', 'points_against', 'recent_form', 'win_rate', 'draw_rate', 'loss_rate', 'avg_points_for', 'avg_points_against'))}) t(n), (VALUES ('home'), ('away')) u(s)",
+    "predictor_filter": f"""{with_(GAMES_SQL, SIDES_SQL, LADDER)}, shares AS (SELECT count(h.team) / count(*) AS home, count(a.team) / count(*) AS away FROM games g
+        LEFT JOIN entering h ON g.competition_id = h.competition_id AND g.competition_year = h.competition_year AND g.round_id = h.round_id AND g.team_home = h.team
+        LEFT JOIN entering a ON g.competition_id = a.competition_id AND g.competition_year = a.competition_year AND g.round_id = a.round_id AND g.team_away = a.team)
+        SELECT n || '_' || s || '_ladder' AS predictor, {r("CASE s WHEN 'home' THEN home ELSE away END")} AS present
+        FROM shares, (VALUES {', '.join(f"('{n}')" for n in ('wins', 'losses', 'draws', 'points_for', 'points_against', 'recent_form', 'win_rate', 'draw_rate', 'loss_rate', 'avg_points_for', 'avg_points_against'))}) t(n), (VALUES ('home'), ('away')) u(s)""",
     "fct_lump_max": """WITH counts AS (SELECT p_name, count(*) AS n FROM part GROUP BY ALL), ranked AS (SELECT p_name, (SELECT count(*) FROM counts b WHERE b.n >= a.n) AS place FROM counts a)
         SELECT p_partkey, CASE WHEN p_name IS NULL OR place <= 40 THEN p_name ELSE 'Other' END AS p_name FROM part LEFT JOIN ranked USING (p_name)""",
     "fct_lump_min": f"""{with_(GAMES_SQL)}, counts AS (SELECT venue_name, count(*) AS n FROM games GROUP BY ALL), ranked AS (SELECT venue_name, rank() OVER (ORDER BY n DESC) AS place FROM counts)
@@ -256,6 +260,14 @@ ORACLE_SQL: dict[str, str] = {
         for x in ("score_home", "score_away", "odds_home", "odds_away", "crowd")
     ),
     "margin_histogram": f"""{with_(GAMES_SQL)} SELECT CAST(CASE WHEN m < -60 THEN 0 WHEN m >= 60 THEN 13 ELSE floor((m + 60) / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT score_home - score_away AS m FROM games) WHERE m IS NOT NULL GROUP BY ALL""",
+    "error_density": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)}, errors AS (SELECT 'home' AS side, {r('score_home - home_score_avg')} AS e FROM judged UNION ALL SELECT 'away', {r('score_away - away_score_avg')} FROM judged),
+        moments AS (SELECT side, min(e) AS low, max(e) AS high, count(e) AS n, stddev_samp(e) * pow(count(e), -0.2) AS h FROM errors GROUP BY side),
+        counts AS (SELECT side, least(floor((e - low) / ((high - low) / 1000)), 999) AS bin, count(*) AS c FROM errors JOIN moments USING (side) WHERE e IS NOT NULL GROUP BY ALL),
+        places AS (SELECT *, low + k * (high - low) / 99 AS x FROM moments, range(100) t(k))
+        SELECT k AS point, side, {r('any_value(x)')} AS x, {r('sum(c * exp(-0.5 * pow((x - low - (bin + 0.5) * (high - low) / 1000) / h, 2))) / any_value(n * h * sqrt(2 * pi()))')} AS density
+        FROM places JOIN counts USING (side) GROUP BY k, side""",
+    "score_scatter": f"""{with_(GAMES_SQL, EXPECTED, JUDGED)}, pairs AS (SELECT 'home' AS side, score_home AS x, home_score_avg AS y FROM judged UNION ALL SELECT 'away', score_away, away_score_avg FROM judged)
+        SELECT side, {r('floor(x / 2) * 2')} AS x, {r('floor(y / 2) * 2')} AS y, count(*) AS n FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL""",
     "crowd_imputation": f"""{with_(GAMES_SQL)}, seen AS (SELECT * FROM games WHERE competition_year NOT IN (1996, 1997))
         SELECT game_id, {r("CASE WHEN competition_year IN (1996, 1997) THEN 0 ELSE coalesce(crowd, (SELECT avg(crowd) FROM seen v WHERE v.venue_name = games.venue_name), (SELECT avg(crowd) FROM seen)) END")} AS crowd FROM games""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import jobs
 from ..functions import columns as c
-from ..operators import cleaning, evaluation, features, forest, models, prediction, ranks, ratings, standings
+from ..operators import chained, cleaning, evaluation, features, forest, models, prediction, ranks, ratings, standings
 from ..operators.surrogate import Range
 from ..session import settle, shared_folder, ship_package
 from ..sources import store, xml
@@ -286,9 +286,11 @@ def level_vocabulary(spark, sf):
 
 @query
 def predictor_filter(spark, sf):
-    """Names of the assembled columns that remain without those of statistics."""
-    found = standings.assemble(games(spark, sf), standings.ladder(games(spark, sf)), competition_statistics(spark, sf))
-    return spark.createDataFrame([(c,) for c in models.filter_predictors(found.columns[len(games(spark, sf).columns) :])], "predictor string")
+    """The assembled predictors that remain without those of statistics, and the share of games that know each."""
+    all_games = games(spark, sf)
+    found = standings.assemble(all_games, standings.ladder(all_games), competition_statistics(spark, sf))
+    kept = models.filter_predictors(found.columns[len(all_games.columns) :])
+    return evaluation.present_shares(found, kept).withColumnsRenamed({"column": "predictor", "share": "present"})
 
 
 # --- ratings
@@ -316,7 +318,7 @@ def elo_k_sweep(spark, sf):
 
 @query
 def elo_forest_kappa(spark, sf):
-    return ratings.forest_kappa(games(spark, sf), [30.0, 70.0], trees=20)
+    return ratings.forest_kappa(games(spark, sf), SWEPT, trees=20)
 
 
 # --- prediction, store, report
@@ -493,6 +495,33 @@ def margin_histogram(spark, sf):
     return evaluation.histogram(games(spark, sf).withColumn("margin", F.col("score_home") - F.col("score_away")), "margin", -60.0, 60.0, 12)
 
 
+def with_errors(spark, sf) -> DataFrame:
+    return judged(spark, sf).withColumns({f"{side}_error": F.round(F.col(f"score_{side}") - F.col(f"{side}_score_avg"), 6) for side in ("home", "away")})
+
+
+@query
+def error_density(spark, sf):
+    """The smoothed curve of both sides' score errors."""
+    found = with_errors(spark, sf)
+    curves = [evaluation.density(found, f"{side}_error", points=100, bins=1000).withColumn("side", F.lit(side)) for side in ("home", "away")]
+    return curves[0].unionByName(curves[1])
+
+
+@query
+def score_scatter(spark, sf):
+    """Actual by expected scores of both sides, games counted in squares of two points."""
+    found = judged(spark, sf)
+    squares = [evaluation.pair_counts(found, f"score_{side}", f"{side}_score_avg", 2.0).withColumn("side", F.lit(side)) for side in ("home", "away")]
+    return squares[0].unionByName(squares[1])
+
+
+@query
+def profile_sketches(spark, sf):
+    """Every column of games by sketches, in one pass."""
+    found = games(spark, sf)
+    return evaluation.profile_sketches(found, [c for c in found.columns if c != "start_time"])
+
+
 @query
 def crowd_imputation(spark, sf):
     return models.impute_crowd(games(spark, sf), (1996, 1997))
@@ -587,6 +616,34 @@ def forest_repeated_cv(spark, sf):
     return forest.repeated_cv(research_rows(spark, sf), RESEARCH, "won", "game_id", tried=list(range(1, len(RESEARCH) + 1)), folds=5, repeats=2, forest=forest.Forest(trees=20, max_depth=6))
 
 
+#: Seasons without crowds.
+CLOSED = (1996, 1997)
+
+
+@query
+def crowd_forest(spark, sf):
+    """Missing crowds as a forest expects them, of closed seasons 0."""
+    rows = with_positions(games(spark, sf))
+    return models.impute_crowd_by_forest(rows, CLOSED, ["team_home", "team_away", "position_home_ladder", "round_name", "venue_name", "competition_year"], trees=20)
+
+
+def completed_games(spark, sf) -> DataFrame:
+    rows = cleaning.training_games(games(spark, sf))
+    return chained.complete(rows, "game_id", ["crowd", "odds_home", "odds_away", "score_home", "score_away"], ["team_home", "venue_name"], tables=2, sweeps=2)
+
+
+@query
+def crowd_chained(spark, sf):
+    """Played games' missing crowds filled by chained equations, in two completed tables."""
+    return completed_games(spark, sf)
+
+
+@query
+def crowd_pooled(spark, sf):
+    """Mean crowd and price over the completed tables, with what their gaps add to the variance."""
+    return chained.pooled_means(completed_games(spark, sf), ["crowd", "odds_home"])
+
+
 @query
 def home_ground_advantage(spark, sf):
     rows = features.with_easy_columns(games(spark, sf))
