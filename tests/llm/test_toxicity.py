@@ -18,6 +18,17 @@ def test_exceptions_and_length():
     assert m.density("aclown is none")[0] == 0
 
 
+def test_letters_set_apart_and_drawn_out():
+    assert fold("you i.d.i.o.t, I D I O T! 1-d-1-0-t") == " you idiot idiot idiot "
+    assert fold("idiiiot stupiiiid 1.2.3.4 a b c x.y.z") == " idiot stupid 1 2 3 4 a b c x y z "
+    m = ToxicityModel({"asshole": 4.0, "troll": 3.0, "idiot": 2.0})
+    assert m.density("assshole ASSHOLE ashole")[:2] == (3, 4.0)
+    assert m.density("troll trotll pass ash")[:2] == (1, 3 / 4)
+    assert m.density("i_d_i_o_t idioooot i-d-i-o-t")[:2] == (3, 2.0)
+    text = "a " * 300_000 + "aaaa" * 100_000
+    assert len(fold(text).split()) <= 2
+
+
 def documents(rng, n, first=0):
     vocabulary = [a + b + c for a in ("ba", "ri", "to", "mel") for b in ("na", "sk", "or") for c in ("e", "ist", "um", "a")]
     rows, labels = [], []

@@ -48,6 +48,10 @@ EXCEPTION_PHRASES = (
 
 _HOMOGLYPH = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "]")
 _SUBSTITUTE = re.compile(r"(?<=[^\W\d_])[0134578](?=\w)|[0134578@$](?=[^\W\d_])|(?<=[^\W\d_])[!|](?=[^\W\d_])|(?<=[^\W\d_])[0134578]")
+#: At least four letters or digits, each alone between signs of one kind.
+_APART = re.compile(r"(?<![^\W_])[^\W_]([ .\-_*~/|])[^\W_](?:\1[^\W_]){2,}(?![.\-_*~/|]?[^\W_])")
+_DRAWN_OUT = re.compile(r"([^\W\d_])\1{2,}")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 _OTHER = re.compile(r"[\W_]+")
 _MARK = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f]+")
 
@@ -61,8 +65,21 @@ HELD = 100_000
 SEED_WEIGHT = math.log(30)
 
 
+def _together(found: re.Match) -> str:
+    """Letters set apart (i.d.i.o.t) as one word; digits alone stay as they are."""
+    own = found.group()
+    return own[::2] if any(c.isalpha() for c in own) else own
+
+
+def single(stem: str) -> str:
+    """The stem as fold leaves it where its doubled letters are drawn out further."""
+    return _DOUBLED.sub(r"\1", stem)
+
+
 def fold(text: str | None) -> str:
-    """' word word ' in lower case without accents, look-alikes and substitutes as the letters they stand for."""
+    """' word word ' in lower case without accents, look-alikes and substitutes as the letters they stand for, letters
+    set apart joined (four at least; a word of one letter right before them, set apart alike, joins too), three or more of
+    one letter as one."""
     if not text:
         return " "
     low = text.lower()
@@ -70,7 +87,9 @@ def fold(text: str | None) -> str:
         low = _MARK.sub("", unicodedata.normalize("NFKD", low)).lower()
         if _HOMOGLYPH.search(low):
             low = low.translate(HOMOGLYPHS)
+    low = _APART.sub(_together, low)
     low = _SUBSTITUTE.sub(lambda m: SUBSTITUTES[m.group()], low)
+    low = _DRAWN_OUT.sub(r"\1", low)
     return f" {_OTHER.sub(' ', low).strip()} "
 
 
@@ -100,6 +119,11 @@ class ToxicityModel:
             found.add_word(f" {fold(phrase).strip()} ", (len(fold(phrase)), None))
         for stem, weight in self.entries.items():
             found.add_word(f" {stem}", (len(stem) + 1, weight))
+        for stem, weight in self.entries.items():
+            drawn = single(stem)
+            # "asshole" drawn out is "ashole"; a beginning of the stem itself would count its word twice
+            if not stem.startswith(drawn) and not any(drawn.startswith(e) for e in self.entries) and f" {drawn}" not in found:
+                found.add_word(f" {drawn}", (len(drawn) + 1, weight))
         found.make_automaton()
         return found
 
