@@ -271,3 +271,7 @@ ORACLE_SQL: dict[str, str] = {
     "crowd_imputation": f"""{with_(GAMES_SQL)}, seen AS (SELECT * FROM games WHERE competition_year NOT IN (1996, 1997))
         SELECT game_id, {r("CASE WHEN competition_year IN (1996, 1997) THEN 0 ELSE coalesce(crowd, (SELECT avg(crowd) FROM seen v WHERE v.venue_name = games.venue_name), (SELECT avg(crowd) FROM seen)) END")} AS crowd FROM games""",
 }
+ORACLE_SQL["predictions_keyed"] = ORACLE_SQL["predictions_upsert"]
+ORACLE_SQL["stage_report"] = f"""{with_(GAMES_SQL)}, settled AS (SELECT * FROM games WHERE competition_year > (SELECT min(competition_year) FROM games f WHERE f.competition_id = games.competition_id))
+    SELECT 'games' AS stage, 'done' AS status, count(*) AS rows FROM games UNION ALL SELECT 'features', 'done', count(*) FROM games
+    UNION ALL SELECT 'settled', 'done', count(*) FROM settled UNION ALL SELECT 'training', 'done', count(*) FROM settled WHERE game_state_name = 'Final'"""

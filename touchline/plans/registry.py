@@ -9,12 +9,12 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import jobs
+from .. import jobs, stages
 from ..functions import columns as c
 from ..operators import chained, cleaning, evaluation, features, forest, models, prediction, ranks, ratings, standings
 from ..operators.surrogate import Range
 from ..session import settle, shared_folder, ship_package
-from ..sources import store, xml
+from ..sources import keyed, store, xml
 from . import oracle
 from .fixtures import games, statistics, table
 
@@ -367,6 +367,33 @@ def predictions_upsert(spark, sf):
     return store.upsert(existing, new, order="revision")
 
 
+@query
+def predictions_keyed(spark, sf):
+    """As predictions_upsert, through a keyed table of which the second batch rewrites the buckets that it touches."""
+    found = predicted(spark, sf).select(*store.PREDICTION_COLUMNS).join(games(spark, sf).select("game_id", "round_id"), "game_id")
+    first, last = found.select(F.min("round_id")).scalar(), found.select(F.max("round_id")).scalar()
+    existing = found.filter(F.col("round_id") < last).select(*store.PREDICTION_COLUMNS)
+    held = keyed.KeyedTable(spark, f"{shared_folder(spark)}/predictions-{uuid.uuid4().hex}", existing.schema, buckets=16)
+    held.upsert(existing)
+    revised = found.filter(F.col("round_id") > first).withColumn("revision", F.explode(F.array(F.lit(2), F.lit(1))))
+    held.upsert(revised.withColumn("home_team_win_prob", F.col("home_team_win_prob") * F.col("revision") / 4), order="revision")
+    return held.read()
+
+
+@query
+def stage_report(spark, sf):
+    """Rows of each stage from games to those that models learn from, as the stage runner counted them."""
+    steps = [
+        ("games", lambda spark, _: games(spark, sf)),
+        ("features", lambda _, df: features.fixture_features(df)),
+        ("settled", lambda _, df: cleaning.drop_first_season(df)),
+        ("training", lambda _, df: cleaning.training_games(df)),
+    ]
+    folder = f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
+    stages.run_stages(spark, steps, folder)
+    return stages.report(spark, folder).select("stage", "status", "rows")
+
+
 @query
 def prediction_report(spark, sf):
     statement = """
