@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import jobs, stages
 from ..functions import columns as c
-from ..operators import chained, cleaning, evaluation, features, forest, models, prediction, ranks, ratings, standings
+from ..operators import chained, cleaning, evaluation, features, forest, models, network, prediction, ranks, ratings, standings
 from ..operators.surrogate import Range
 from ..session import settle, shared_folder, ship_package
 from ..sources import keyed, store, xml
@@ -671,6 +671,26 @@ def crowd_pooled(spark, sf):
     return chained.pooled_means(completed_games(spark, sf), ["crowd", "odds_home"])
 
 
+@query
+def network_scores(spark, sf):
+    """Expected scores of games ahead by a Poisson network, the better of two sizes by its folds."""
+    train, ahead = training_rows(spark, sf)
+    sizes = [network.Network(hidden=h, steps=30) for h in (4, 8)]
+    numbers = ["prev_result_diff", "matchup_form", "odds_home", "odds_away", "round_id"]
+    for side in ("home", "away"):
+        fitted, _ = network.search(train, numbers, ["team_home", "team_away"], f"score_{side}", sizes, folds=3)
+        ahead = fitted.predict(ahead, f"{side}_score_avg")
+    return ahead.select("game_id", "home_score_avg", "away_score_avg")
+
+
+@query
+def predictor_elimination(spark, sf):
+    """Cross-validated deviance by how many predictors are left."""
+    train, _ = training_rows(spark, sf)
+    tried = models.eliminate_by_folds(train, RESEARCH, "score_home", folds=3)
+    return spark.createDataFrame([(len(kept), ", ".join(kept), d) for d, kept in tried], "size int, predictors string, deviance double")
+
+
 @query
 def home_ground_advantage(spark, sf):
     rows = features.with_easy_columns(games(spark, sf))
