@@ -74,3 +74,14 @@ def test_odd_tables(spark):
     rows = [(1, 1.0, None, None), (1, None, None, "a"), (2, float("nan"), None, "a"), (3, 5.0, None, None)]
     out = chained.complete(spark.createDataFrame(rows, schema), "id", ["x", "y"], ["place"], tables=2, sweeps=1).toPandas()
     assert len(out) == 8 and set(out["x"]) == {1.0, 5.0} and out["y"].isna().all()
+
+
+def test_ranges_of_several_batches_give_the_same_table(spark, masked):
+    whole, gaps, df = masked
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, want = spark.conf.get(name), filled(df, partitions=1)
+    spark.conf.set(name, "70")
+    try:
+        pd.testing.assert_frame_equal(filled(df, partitions=1), want, check_exact=True)
+    finally:
+        spark.conf.set(name, before)

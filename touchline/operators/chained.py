@@ -3,6 +3,7 @@ takes the value of a known row whose prediction is near its own. Several complet
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +17,8 @@ from ..session import keep, release
 #: Digits of coefficients (of scaled columns) that count, so the order in which sums were added doesn't.
 DIGITS = 9
 RIDGE = 1e-5
+#: Completed rows of a range of predictions, one of which is filled at a time.
+RANGE_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -84,7 +87,7 @@ def _edges(dealt: DataFrame, target: str, count: int) -> pd.DataFrame:
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             by = held.sort_values(["__at", "__tie"], kind="stable").groupby(["__range", "__table"])
             held = held.loc[by.cumcount().lt(count) | by.cumcount(ascending=False).lt(count)].reset_index(drop=True)
         if held is not None:
@@ -154,10 +157,10 @@ def complete(df: DataFrame, key: str, numbers: list[str], texts: list[str] | Non
     """
     texts = texts or []
     spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
     base = keep(df.select(F.col(key).alias("__key"), *(finite(c).alias(c) for c in numbers), *(F.col(c).cast("string").alias(c) for c in texts)))
     sums = base.agg(F.count(F.lit(1)).alias("__rows"), *(f(c).alias(f"{f.__name__}_{c}") for c in numbers for f in (F.count, F.avg, F.stddev_pop))).first()
+    partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(sums["__rows"] * tables / RANGE_ROWS))
     known = [c for c in numbers if sums[f"count_{c}"]]
     gaps = sorted((c for c in known if sums[f"count_{c}"] < sums["__rows"]), key=lambda c: (-sums[f"count_{c}"], c))
     frequent = {c: [r[c] for r in base.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(levels).collect()] for c in texts}
