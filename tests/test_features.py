@@ -7,12 +7,14 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from touchline import session
 from touchline.operators import features, ratings, standings
 from touchline.operators.cleaning import drop_first_season, fill_nulls, inference_games, lump_levels, training_games
 from touchline.functions.columns import evidence_strength
 from touchline.operators.evaluation import best_cutoff, kappa_by_cutoff
 from touchline.operators.models import eliminate_predictors
 from touchline.operators.prediction import PICK_LINES, prediction_records, report_texts, simulate, value_picks
+from touchline.plans.fixtures import games as fixture_games
 
 SCHEMA = "game_id long, competition_id string, competition_year long, round_id long, round_name string, start_time timestamp_ntz, team_home string, team_away string, game_state_name string, score_home double, score_away double, odds_home double, odds_away double"
 
@@ -169,3 +171,27 @@ def test_cutoff_of_most_agreement(spark):
 def test_elimination_keeps_what_matters(spark):
     df = spark.range(400).select((F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("t"), F.col("id") % 3).alias("noise"), (F.col("id") * 37 % 11).cast("double").alias("other"), F.round(F.exp(F.col("id") % 7 / 3)).alias("score"))
     assert eliminate_predictors(df, ["other", "x", "noise"], "score", 1) == ["x"]
+
+
+def test_ratings_for_many_k_keep_a_row_a_game(spark, monkeypatch):
+    """A row for each game and k was kept, joined and kept again, fifty times the games."""
+    games = fixture_games(spark, "/root/testdata/sf0.001")
+    ks, kept, keep = [21.0, 40.0, 70.0], [], session.keep
+
+    def counted(df):
+        kept.append(df.count())
+        return keep(df)
+
+    for module in (session, ratings):
+        monkeypatch.setattr(module, "keep", counted, raising=False)
+    swept = {r["k"]: r for r in ratings.sweep_k(games, ks).collect()}
+    assert not kept
+    rated = ratings.with_draws(ratings.rate_games(games, ks=ks).filter("w is not null"))
+    first = games.groupBy("competition_id").agg(F.min("competition_year").alias("first"))
+    later = games.join(first, "competition_id").filter("competition_year <> first").select("game_id")
+    p = F.when(F.col("w") > 0.5, F.col("home_prob")).when(F.col("w") < 0.5, F.col("away_prob")).otherwise(F.col("draw_rate"))
+    for r in rated.join(later, "game_id").groupBy("k").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"), F.count(F.lit(1)).alias("games")).collect():
+        assert swept[r["k"]]["games"] == r["games"] and swept[r["k"]]["log_loss"] == pytest.approx(r["log_loss"], rel=1e-12)
+    together = ratings.forest_kappa(games, ks, trees=3).collect()
+    assert together == ratings.forest_kappa(games, ks, trees=3, at_once=2).collect() and [r["k"] for r in together] == ks
+    assert max(kept) <= games.count()

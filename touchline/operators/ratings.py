@@ -14,10 +14,41 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..functions.columns import margin_outcome
-from ..session import release, settle
+from ..session import keep, release
 from .cleaning import split_by_hash
 
 RATED = "competition_id string, game_id long, k double, w double, elo_home double, elo_away double, elo_home_prob double"
+#: Buckets of the home probability: twentieths.
+BUCKETS = 21
+
+
+def _rateable(games: DataFrame, settings: Settings) -> DataFrame:
+    """What the recurrence reads of each game. `later`: not of its competition's first season."""
+    margin = F.col("score_home") - F.col("score_away")
+    of_competition = games.groupBy("competition_id").agg(F.coalesce(F.avg(margin), F.lit(0.0)).alias("advantage"), F.min("competition_year").alias("__first"))
+    return games.join(of_competition, "competition_id").select(
+        "competition_id", "competition_year", "game_id", "start_time", "team_home", "team_away", "advantage",
+        margin_outcome(margin, settings.margin_min, settings.margin_max).alias("w"),
+        F.coalesce(F.col("competition_year") != F.col("__first"), F.lit(False)).alias("later"),
+    )
+
+
+def _along(group: pd.DataFrame, steps: np.ndarray, settings: Settings) -> tuple[pd.DataFrame, np.ndarray]:
+    """A competition's games in their order, and elo_home, elo_away and elo_home_prob of each for each of steps."""
+    group = group.sort_values(["start_time", "game_id"], kind="stable")
+    ratings: dict[str, np.ndarray] = {}
+    start, year, advantage = np.full(len(steps), settings.rating_start), None, group["advantage"].iloc[0]
+    out = np.empty((3, len(group), len(steps)))
+    for n, (season, home, away, w) in enumerate(zip(group["competition_year"], group["team_home"], group["team_away"], group["w"])):
+        if year is not None and season != year:
+            ratings = {t: r + settings.carry_over * (settings.rating_start - r) for t, r in ratings.items()}
+        year = season
+        a, b = ratings.get(home, start), ratings.get(away, start)
+        p = 1 / (1 + 10 ** ((b - (a + advantage)) / 400))
+        out[:, n] = a, b, p
+        if w == w:
+            ratings[home], ratings[away] = a + steps * (w - p), b - steps * (w - p)
+    return group, out
 
 
 def rate_games(games: DataFrame, settings: Settings = SETTINGS, ks: list[float] | None = None) -> DataFrame:
@@ -29,27 +60,11 @@ def rate_games(games: DataFrame, settings: Settings = SETTINGS, ks: list[float]
     as large as one competition's history. Unplayed games get ratings but move none. The home advantage is
     the competition's mean margin.
     """
-    margin = F.col("score_home") - F.col("score_away")
-    advantage = games.groupBy("competition_id").agg(F.coalesce(F.avg(margin), F.lit(0.0)).alias("advantage"))
-    rows = games.join(advantage, "competition_id").select(
-        "competition_id", "competition_year", "game_id", "start_time", "team_home", "team_away", "advantage", margin_outcome(margin, settings.margin_min, settings.margin_max).alias("w")
-    )
+    rows = _rateable(games, settings)
     steps = np.array(ks or [settings.rating_k], float)
 
     def rate(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start_time", "game_id"], kind="stable")
-        ratings: dict[str, np.ndarray] = {}
-        start, year, advantage = np.full(len(steps), settings.rating_start), None, group["advantage"].iloc[0]
-        out = np.empty((3, len(group), len(steps)))
-        for n, (season, home, away, w) in enumerate(zip(group["competition_year"], group["team_home"], group["team_away"], group["w"])):
-            if year is not None and season != year:
-                ratings = {t: r + settings.carry_over * (settings.rating_start - r) for t, r in ratings.items()}
-            year = season
-            a, b = ratings.get(home, start), ratings.get(away, start)
-            p = 1 / (1 + 10 ** ((b - (a + advantage)) / 400))
-            out[:, n] = a, b, p
-            if w == w:
-                ratings[home], ratings[away] = a + steps * (w - p), b - steps * (w - p)
+        group, out = _along(group, steps, settings)
         rated = group[["competition_id", "game_id", "w"]]
         rated = rated.loc[rated.index.repeat(len(steps))].reset_index(drop=True)
         rated["k"] = np.tile(steps, len(group))
@@ -61,7 +76,7 @@ def rate_games(games: DataFrame, settings: Settings = SETTINGS, ks: list[float]
 
 def _bucket() -> Column:
     """0 to 20: the home probability in twentieths, half to even."""
-    return F.bround(F.col("elo_home_prob") * 20).cast("int").alias("prob_bucket")
+    return F.bround(F.col("elo_home_prob") * (BUCKETS - 1)).cast("int").alias("prob_bucket")
 
 
 def draw_rates(rated: DataFrame) -> DataFrame:
@@ -81,41 +96,100 @@ def with_draws(rated: DataFrame) -> DataFrame:
     return out.select(*rated.columns, (F.col("elo_home") - F.col("elo_away")).alias("elo_diff"), "draw_rate", home.alias("home_prob"), away.alias("away_prob"), (home - away).alias("elo_prob_diff"))
 
 
+def _rates_by_bucket(rows: DataFrame, steps: np.ndarray, settings: Settings) -> np.ndarray:
+    """The share of draws by k and bucket of the home probability (NaN without games): a competition sends counts
+    of 21 buckets a k, which Spark sums, so 21 rows a k come to the driver."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        group, (_, _, p) = _along(group, steps, settings)
+        w = group["w"].to_numpy(float)
+        cell = (np.arange(len(steps)) * BUCKETS + np.rint(p * (BUCKETS - 1)).astype(int))[w == w]
+        n = np.bincount(cell.ravel(), minlength=len(steps) * BUCKETS)
+        draws = np.bincount(cell[w[w == w] == 0.5].ravel(), minlength=len(n))
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"cell": at, "n": n[at], "draws": draws[at]})
+
+    out = np.full(len(steps) * BUCKETS, np.nan)
+    for r in rows.groupBy("competition_id").applyInPandas(count, "cell long, n long, draws long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("draws").alias("draws")).collect():
+        out[r["cell"]] = r["draws"] / r["n"]
+    return out.reshape(len(steps), BUCKETS)
+
+
 def sweep_k(games: DataFrame, ks: list[float], settings: Settings = SETTINGS) -> DataFrame:
     """k, log_loss, games: how well the ratings with each k foretell home win, draw and away win of the
-    played games after each competition's first season."""
-    rated = settle(rate_games(games, settings, ks).filter("w is not null"))
-    first = games.groupBy("competition_id").agg(F.min("competition_year").alias("__first"))
-    later = games.join(first, "competition_id").filter("competition_year <> __first").select("game_id")
-    judged = with_draws(rated).join(later, "game_id")
-    p = F.when(F.col("w") > 0.5, F.col("home_prob")).when(F.col("w") < 0.5, F.col("away_prob")).otherwise(F.col("draw_rate"))
-    return judged.groupBy("k").agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))).alias("log_loss"), F.count(F.lit(1)).alias("games"))
+    played games after each competition's first season.
+
+    Games are rated twice, for the shares of draws and for the losses; a competition sends sums by k, so
+    neither a row nor a written value for each game and k is made.
+    """
+    steps, rows = np.array(ks, float), _rateable(games, settings)
+    rates = _rates_by_bucket(rows, steps, settings)
 
+    def lose(group: pd.DataFrame) -> pd.DataFrame:
+        group, (_, _, p) = _along(group, steps, settings)
+        w = group["w"].to_numpy(float)
+        judged = (w == w) & group["later"].to_numpy(bool)
+        p, w = p[judged], w[judged, None]
+        draw = rates[np.arange(len(steps)), np.rint(p * (BUCKETS - 1)).astype(int)]
+        chance = np.where(w > 0.5, p * (1 - draw), np.where(w < 0.5, (1 - p) * (1 - draw), draw))
+        return pd.DataFrame({"k": steps, "loss": -np.log(np.maximum(chance, 1e-15)).sum(0), "n": len(p)}).head(len(steps) if len(p) else 0)
 
-def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42, parallelism: int = 4) -> DataFrame:
+    lost = rows.groupBy("competition_id").applyInPandas(lose, "k double, loss double, n long")
+    return lost.groupBy("k").agg((F.sum("loss") / F.sum("n")).alias("log_loss"), F.sum("n").alias("games"))
+
+
+def _wide(rows: DataFrame, steps: np.ndarray, settings: Settings) -> DataFrame:
+    """game_id and w of the played games after the first season, and a column elo_home_i, elo_away_i and
+    elo_home_prob_i for each i of steps: what reads one k reads its columns only."""
+    names = [f"{name}_{i}" for name in ("elo_home", "elo_away", "elo_home_prob") for i in range(len(steps))]
+
+    def rate(group: pd.DataFrame) -> pd.DataFrame:
+        group, out = _along(group, steps, settings)
+        seen = (group["w"].notna() & group["later"]).to_numpy()
+        values = pd.DataFrame(out.transpose(1, 0, 2).reshape(len(group), -1)[seen], columns=names)
+        return pd.concat([group.loc[seen, ["game_id", "w"]].reset_index(drop=True), values], axis=1)
+
+    return rows.groupBy("competition_id").applyInPandas(rate, f"game_id long, w double, {', '.join(f'{n} double' for n in names)}")
+
+
+def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42, parallelism: int = 4, at_once: int = 10) -> DataFrame:
     """k, kappa: agreement beyond chance of a forest on ratings and probabilities with the results of
     played games after the first season, for games that hashes of game_id keep from its training (a
-    fifth). One forest for each k; `parallelism` of them at a time, in scheduler pools of their own."""
+    fifth). One forest for each k; `parallelism` of them at a time, in scheduler pools of their own.
+
+    Games are rated, and their ratings kept, for `at_once` ks at a time: a row a game, three columns a k.
+    """
     spark = games.sparkSession
-    rated = settle(rate_games(games, settings, ks).filter("w is not null"))
-    first = games.groupBy("competition_id").agg(F.min("competition_year").alias("__first"))
-    later = games.join(first, "competition_id").filter("competition_year <> __first").select("game_id")
+    rows = keep(_rateable(games, settings))
+    rates = _rates_by_bucket(rows, np.array(ks, float), settings)
     result = F.when(F.col("w") > 0.5, "home").when(F.col("w") < 0.5, "away").otherwise("draw")
-    rows = settle(with_draws(rated).join(later, "game_id").withColumn("result", result))
-    prepared = RFormula(formula="result ~ elo_home + elo_away + home_prob + draw_rate + away_prob").fit(rows)
-
-    def kappa(n: int) -> tuple[float, float]:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"forests-{n % parallelism}")
-        train, test = split_by_hash(prepared.transform(rows.filter(F.col("k") == ks[n])), "game_id", 80)
-        called = RandomForestClassifier(numTrees=trees, seed=seed).fit(train).transform(test).groupBy("label", "prediction").count().collect()  # 9 rows at most
-        total = sum(r["count"] for r in called)
-        agreed = sum(r["count"] for r in called if r["label"] == r["prediction"]) / total
-        of = lambda side, v: sum(r["count"] for r in called if r[side] == v) / total
-        chance = sum(of("label", v) * of("prediction", v) for v in {r["label"] for r in called})
-        return float(ks[n]), (agreed - chance) / (1 - chance) if chance < 1 else 0.0
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        kappas = list(pool.map(inheritable_thread_target(spark)(kappa), range(len(ks))))
+
+    def of_k(wide: DataFrame, i: int, n: int) -> DataFrame:
+        """The columns of one k, named as with_draws does."""
+        p = F.col(f"elo_home_prob_{i}")
+        draw = F.get(F.lit([float(r) for r in np.nan_to_num(rates[n])]), F.bround(p * (BUCKETS - 1)).cast("int"))
+        return wide.select("game_id", result.alias("result"), F.col(f"elo_home_{i}").alias("elo_home"), F.col(f"elo_away_{i}").alias("elo_away"), p.alias("p"), draw.alias("draw_rate")).select(
+            "game_id", "result", "elo_home", "elo_away", (F.col("p") * (1 - F.col("draw_rate"))).alias("home_prob"), "draw_rate", ((1 - F.col("p")) * (1 - F.col("draw_rate"))).alias("away_prob")
+        )
+
+    kappas = []
+    for first in range(0, len(ks), at_once):
+        some = ks[first : first + at_once]
+        wide = keep(_wide(rows, np.array(some, float), settings))
+        prepared = RFormula(formula="result ~ elo_home + elo_away + home_prob + draw_rate + away_prob").fit(of_k(wide, 0, first))
+
+        def kappa(i: int) -> tuple[float, float]:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"forests-{i % parallelism}")
+            train, test = split_by_hash(prepared.transform(of_k(wide, i, first + i)), "game_id", 80)
+            called = RandomForestClassifier(numTrees=trees, seed=seed).fit(train).transform(test).groupBy("label", "prediction").count().collect()  # 9 rows at most
+            total = sum(r["count"] for r in called)
+            agreed = sum(r["count"] for r in called if r["label"] == r["prediction"]) / total
+            of = lambda side, v: sum(r["count"] for r in called if r[side] == v) / total
+            chance = sum(of("label", v) * of("prediction", v) for v in {r["label"] for r in called})
+            return float(some[i]), (agreed - chance) / (1 - chance) if chance < 1 else 0.0
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            kappas += pool.map(inheritable_thread_target(spark)(kappa), range(len(some)))
+        release(wide)
     release(rows)
-    release(rated)
     return spark.createDataFrame(kappas, "k double, kappa double")
