@@ -10,6 +10,7 @@ import math
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..session import release
-from .boosting import BINS, Binning, Tree, _matrix, _scramble, binned
+from .boosting import BINS, Binning, Tree, _matrix, _scramble, binned, together
 
 #: Trees that grow in the same passes.
 TREES_AT_ONCE = 100
+#: Sums of rows and of ones of a batch in one number: ones count this much.
+PACKED = float(1 << 26)
 #: Chances that a row is up to 0, 1, ... times in a bag: a Poisson number of mean 1, as of many draws with replacement.
 BAG = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
@@ -44,17 +47,41 @@ class Forest:
     fold: int = -1
 
 
-def _uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
-    """A number in [0, 1) for each key."""
+@cache
+def _salted(*salt: int) -> np.uint64:
     mixed = np.zeros(1, np.uint64)
     for s in salt:
         mixed = _scramble(mixed ^ np.array([s], np.int64).view(np.uint64) + np.uint64(0x9E37))
-    return (_scramble(_scramble(keys.view(np.uint64)) ^ mixed) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return mixed[0]
+
+
+def _uniform(keys: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in [0, 1) for each key."""
+    return (_scramble(_scramble(keys.view(np.uint64)) ^ _salted(*salt)) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+#: The 64-bit words from which on a row is at least 1, 2, ... times in a bag.
+FROM = np.array([math.ceil(b * (1 << 53)) << 11 for b in BAG.tolist()], np.uint64)
+
+
+def _bag_words(mixed: np.ndarray, forest: Forest, tree: int) -> np.ndarray:
+    """What FROM is compared with, for keys scrambled once (which serves all trees)."""
+    return _scramble(mixed ^ _salted(forest.seed, 1, tree))
+
+
+def _times(words: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(words), np.int64)
+    for bound in FROM:
+        more = words >= bound
+        if not more.any():
+            break
+        out += more
+    return out
 
 
 def in_bag(keys: np.ndarray, forest: Forest, tree: int) -> np.ndarray:
     """How often each row is in the tree's bag."""
-    return np.searchsorted(BAG, _uniform(keys, forest.seed, 1, tree), "right")
+    return _times(_bag_words(_scramble(keys.view(np.uint64)), forest, tree))
 
 
 def fold_of(keys: np.ndarray, forest: Forest) -> np.ndarray:
@@ -96,28 +123,34 @@ def _grow_level(table: DataFrame, texts: np.ndarray, trees: list[Growing]) -> No
     tried = [t.tried(width) if t.level else np.zeros((0, 1), int) for t in trees]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((2, *of.shape, bins)) for of in tried]
-        for batch in batches:
+        sums = [np.zeros((2, of.shape[1], len(of), bins)) for of in tried]  # rows and ones by try, node and bin
+        for batch in together(batches):
             codes, y, keys = _matrix(batch, width), batch.column("y").to_numpy(), batch.column("key").to_numpy()
-            folds: dict[tuple, np.ndarray] = {}
+            mixed, flat, packed = _scramble(keys.view(np.uint64)), codes.ravel(), 1.0 + y * PACKED
+            seen: dict[tuple, np.ndarray] = {}  # rows outside a fold
             for t, of, total in zip(trees, tried, sums):
                 if not t.level:
                     continue
-                weight = in_bag(keys, t.forest, t.number)
-                if t.forest.fold >= 0:
-                    name = (t.forest.repeat, t.forest.folds, t.forest.seed)
-                    folds[name] = folds[name] if name in folds else fold_of(keys, t.forest)
-                    weight = np.where(folds[name] == t.forest.fold, 0, weight)
-                rows = np.flatnonzero(weight)
+                name = (t.forest.seed, t.forest.folds, t.forest.repeat, t.forest.fold)
+                if name not in seen:
+                    seen[name] = np.flatnonzero(fold_of(keys, t.forest) != t.forest.fold) if t.forest.fold >= 0 else np.arange(len(keys))
+                words = _bag_words(mixed[seen[name]], t.forest, t.number)
+                bag = words >= FROM[0]
+                rows, weight = seen[name][bag], _times(words[bag])
                 place = np.full(len(t.tree.predictor), -1)
                 place[t.level] = np.arange(len(t.level))
                 node = place[t.tree.nodes_of(codes[rows], texts)]
-                rows, node = rows[node >= 0], node[node >= 0]
-                predictor = of[node]
-                cell = ((node[:, None] * of.shape[1] + np.arange(of.shape[1])) * bins + codes[rows[:, None], predictor]).ravel()
-                for out, w in zip(total, (weight[rows], weight[rows] * y[rows])):
-                    out += np.bincount(cell, np.repeat(w, of.shape[1]), out.size).reshape(out.shape)
-        found = [(k, n, int(of[n, p]), total[:, n, p].astype(np.int64).tobytes()) for k, (of, total) in enumerate(zip(tried, sums)) for n, p in zip(*np.nonzero(total[0].any(-1)))]
+                if t.depth:
+                    there = node >= 0
+                    rows, node, weight = rows[there], node[there], weight[there]
+                weight = weight * packed[rows]
+                start = rows * width
+                for k in range(of.shape[1]):
+                    cell = node * bins + flat.take(start + of[:, k].take(node))
+                    ones, n = np.divmod(np.bincount(cell, weight, total[0, k].size), PACKED)
+                    total[0, k] += n.reshape(total[0, k].shape)
+                    total[1, k] += ones.reshape(total[1, k].shape)
+        found = [(k, n, int(of[n, p]), total[:, p, n].astype(np.int64).tobytes()) for k, (of, total) in enumerate(zip(tried, sums)) for p, n in zip(*np.nonzero(total[0].any(-1)))]
         yield pa.RecordBatch.from_arrays([*(pa.array([f[i] for f in found], pa.int32()) for i in range(3)), pa.array([f[3] for f in found], pa.binary())], names=["tree", "node", "predictor", "sums"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +228,11 @@ class FittedForest:
         def vote(rows: pd.DataFrame) -> pd.DataFrame:
             keys = rows.pop("key").to_numpy(np.int64)
             codes = model.binning.of([pa.array(rows[c], from_pandas=True) for c in rows])
-            n, yes = np.zeros(len(keys), int), np.zeros(len(keys), int)
+            n, yes, mixed = np.zeros(len(keys), int), np.zeros(len(keys), int), _scramble(keys.view(np.uint64))
             for number, tree in enumerate(model.trees):
-                counts = in_bag(keys, model.forest, number) == 0 if out_of_bag else np.ones(len(keys), bool)
-                n += counts
-                yes += np.where(counts, votes_of(tree, codes, model.binning.texts), 0)
+                rows = np.flatnonzero(_bag_words(mixed, model.forest, number) < FROM[0]) if out_of_bag else np.arange(len(keys))
+                n[rows] += 1
+                yes[rows] += votes_of(tree, codes[rows], model.binning.texts)
             return pd.DataFrame({"votes": yes / np.maximum(n, 1), "trees": n.astype(np.int32)})
 
         voted = df.withColumn("__v", vote(F.struct(F.xxhash64(self.key).alias("key"), *self.binning.columns())))
@@ -226,11 +259,13 @@ def repeated_cv(df: DataFrame, predictors: list[str], label: str, key: str, trie
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros((len(specs), forest.trees + 1, 2), np.int64)
-        for batch in batches:
+        for batch in together(batches):
             codes, y, keys = _matrix(batch, width), batch.column("y").to_numpy().astype(int), batch.column("key").to_numpy()
+            folds = {spec.repeat: fold_of(keys, spec) for spec in specs}
             for s, (spec, trees) in enumerate(zip(specs, fitted)):
-                at = np.flatnonzero(fold_of(keys, spec) == spec.fold)
-                yes = sum((votes_of(t, codes[at], texts) for t in trees), start=np.zeros(len(at), int))
+                at = np.flatnonzero(folds[spec.repeat] == spec.fold)
+                unseen = codes[at]
+                yes = sum((votes_of(t, unseen, texts) for t in trees), start=np.zeros(len(at), int))
                 np.add.at(cells[s], (yes, y[at]), 1)
         s, yes, y = np.nonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(yes, pa.int32()), pa.array(y, pa.int32()), pa.array(cells[s, yes, y])], names=["spec", "yes", "y", "n"])
