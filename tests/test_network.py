@@ -48,3 +48,13 @@ def test_elimination_keeps_the_size_of_the_best_folds(counts):
     tried = models.eliminate_by_folds(counts.filter("x > 0"), ["x", "noise", "team"], "y", key="game_id", folds=2)
     assert [len(kept) for _, kept in tried] == [3, 2, 1]
     assert set(min(tried)[1]) >= {"x", "team"} and all(d > 0 for d, _ in tried)
+
+
+def test_texts_are_coded_once_for_all_passes(spark):
+    rows = [(k, float(k % 5), "abc"[k % 3] if k % 4 else None, None, float(k % 7)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, x double, place string, none string, y double")
+    table, design = network.prepare(df, ["x"], ["place", "none"], "y", "id", levels=2)
+    assert dict(table.dtypes)["place"] == "int" and dict(table.dtypes)["none"] == "int"
+    found = table.toPandas()
+    raw = found.assign(**{c: [dict(enumerate(design.levels[c])).get(k) for k in found[c]] for c in ("place", "none")})
+    assert (network._coded_matrix(design, found) == network._matrix(design, raw)).all() and set(found["place"]) == {-1, 0, 1}

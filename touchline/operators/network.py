@@ -44,7 +44,8 @@ def loss_and_gradient(weights: np.ndarray, x: np.ndarray, y: np.ndarray, hidden:
 
 
 def prepare(df: DataFrame, numbers: list[str], texts: list[str], label: str, key: str, folds: int = 1, levels: int = 30) -> tuple[DataFrame, Design]:
-    """The rows that know the label, kept in the shared folder: numbers (missing ones are the mean), texts, __y and __fold
+    """The rows that know the label, kept in the shared folder: numbers (missing ones are the mean), texts as places of their
+    levels (-1: another), made once and not in each pass, __y and __fold
     (a hash of key); and the matrix's design, with the `levels` most frequent levels of each text."""
     finite = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
     rows = df.select(*(finite(c).alias(c) for c in numbers), *(F.col(c).cast("string").alias(c) for c in texts), finite(label).alias("__y"), F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("__fold"))
@@ -53,13 +54,23 @@ def prepare(df: DataFrame, numbers: list[str], texts: list[str], label: str, key
     if sums["__y"] is None:
         raise ValueError(f"no row knows {label}")
     frequent = {c: [r[c] for r in table.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(levels).collect()] for c in texts}
-    return table, Design({c: sums[f"avg_{c}"] or 0.0 for c in numbers}, {c: sums[f"stddev_pop_{c}"] or 1.0 for c in numbers}, frequent)
+    place = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, frequent[c])), F.col(c)), F.lit(0)) - 1 if frequent[c] else F.lit(-1)
+    coded = keep(table.select(*numbers, *(place(c).cast("int").alias(c) for c in texts), "__y", "__fold"))
+    release(table)
+    return coded, Design({c: sums[f"avg_{c}"] or 0.0 for c in numbers}, {c: sums[f"stddev_pop_{c}"] or 1.0 for c in numbers}, frequent)
 
 
 def _matrix(design: Design, rows: pd.DataFrame) -> np.ndarray:
     return np.nan_to_num(design.matrix(rows, ""), nan=0.0)
 
 
+def _coded_matrix(design: Design, rows: pd.DataFrame) -> np.ndarray:
+    """_matrix of rows of prepare's table, in which texts are the places of their levels."""
+    numbers = [design.scaled(rows, c) for c in design.centre]
+    hot = [(rows[c].to_numpy()[:, None] == np.arange(len(known))).astype(float) for c, known in design.levels.items()]
+    return np.nan_to_num(np.column_stack([np.ones(len(rows)), *numbers, *hot]), nan=0.0)
+
+
 def train(table: DataFrame, design: Design, specs: list[tuple[Network, int]]) -> list[np.ndarray]:
     """Weights of each (network, fold that it doesn't see; -1: sees all), by Adam on whole gradients. All networks take
     their steps in the same passes over the rows; only sums of gradients come to the driver."""
@@ -79,7 +90,7 @@ def train(table: DataFrame, design: Design, specs: list[tuple[Network, int]]) ->
         def sums(batches: Iterator[pd.DataFrame], now=tuple(weights), active=tuple(active)) -> Iterator[pd.DataFrame]:
             total = {i: np.zeros(len(now[i]) + 1) for i in active}
             for batch in batches:
-                x, y, fold = _matrix(design, batch), batch["__y"].to_numpy(float), batch["__fold"].to_numpy()
+                x, y, fold = _coded_matrix(design, batch), batch["__y"].to_numpy(float), batch["__fold"].to_numpy()
                 for i in active:
                     own = fold != specs[i][1]
                     total[i] += np.append(loss_and_gradient(now[i], x[own], y[own], specs[i][0].hidden)[1], own.sum())
@@ -127,7 +138,7 @@ def search(df: DataFrame, numbers: list[str], texts: list[str], label: str, cand
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros((len(candidates), 2))
             for batch in batches:
-                x, y, fold = _matrix(design, batch), batch["__y"].to_numpy(float), batch["__fold"].to_numpy()
+                x, y, fold = _coded_matrix(design, batch), batch["__y"].to_numpy(float), batch["__fold"].to_numpy()
                 for i, (network, held) in enumerate(specs):
                     own = fold == held
                     eta = np.clip(expected(weights[i], x[own], network.hidden)[1], -STEEPEST, STEEPEST)
