@@ -89,7 +89,9 @@ def games_from_sides(by_side: DataFrame) -> DataFrame:
     keys = [c for c in by_side.columns if c not in (*halves, "is_home_team")]
     pick = [F.any_value(F.when(F.col("is_home_team") == home, F.col(c)), ignoreNulls=True).alias(f"{c}_{side}") for c in halves for home, side in ((True, "home"), (False, "away"))]
     seen = [F.bool_or(F.col("is_home_team") == home).alias(f"__{home}") for home in (True, False)]
-    return by_side.groupBy(*keys).agg(*pick, *seen).filter("__True AND __False").drop("__True", "__False")
+    # texts are gathered by sorting, which the first key alone decides where it tells games apart
+    by_game = by_side.groupBy(*sorted(keys, key=lambda c: c != "game_id")).agg(*pick, *seen)
+    return by_game.filter("__True AND __False").select(*keys, *(f"{c}_{side}" for c in halves for side in ("home", "away")))
 
 
 def panel_games(games: DataFrame) -> DataFrame:
