@@ -4,12 +4,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.llm.common import remainder
 from touchline.llm.hpyp import TABLED, _poisson, discount_of, draw_tables, hashed_gamma, log_stirling
 from touchline.llm.lm import score_texts
+from touchline.session import ship_package
 
 
 def tokens(t):
@@ -340,3 +342,28 @@ def test_frequent_pairs_against_explicit_tables(spark):
         s = ["", *(w.decode() for w in tokens(t))]
         errors.append((got[i]["score"] - sum(math.log10(chance[p] / n) for p in zip(s, s[1:]))) / (len(s) - 1))
     assert abs(np.mean(errors)) < 0.005 and np.abs(errors).max() < 0.03, (np.mean(errors), np.abs(errors).max())
+
+
+def test_batches_of_large_rows_are_small(spark):
+    ship_package(spark)
+    rows = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1000000)").alias("x"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = rows.mapInArrow(sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in found) == 40 and max(r["bytes"] for r in found) <= 10_000_000
+
+
+def test_many_tables_are_summed_past_a_byte_and_past_the_largest_weight():
+    # all customers sit alone where the base is huge, so weights grow beyond LARGEST and counts beyond 255
+    c = np.array([300, 1000, 17, 1024])
+    u = np.array([0.5, 0.2, 0.9, 0.7])
+    got = draw_tables(c, np.zeros(4), None, 1.0, 0.5, u, np.full(4, 1e9))
+    s = log_stirling(0.5)
+    for k in range(4):
+        t = np.arange(1, c[k] + 1)
+        log_p = s[c[k], 1 : c[k] + 1] + t * np.log(0.5e9)
+        p = np.exp(log_p - log_p.max())
+        assert got[k] == 1 + int((np.cumsum(p) < u[k] * p.sum()).sum())

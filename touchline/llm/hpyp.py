@@ -12,8 +12,9 @@ from .common import mix64
 TABLED = 1024
 #: Numbers that are weighed together, and the share of all weight below which further counts are left out.
 CELLS, REST = 400_000, 1e-9
-#: Dishes of at most so many customers are weighed together with all others of as many; dishes at a time.
-FEW, BLOCK = 16, 20_000
+#: Dishes of at most so many customers are weighed together with all others of as many; dishes at a time, few
+#: enough that the numbers of a step stay in a core's cache and the sums of all steps in some MB.
+FEW, BLOCK = 16, 4000
 #: Weights beyond this are divided by it.
 LARGEST = 1e200
 
@@ -53,29 +54,39 @@ def draw_tables(customers: np.ndarray, log_base: np.ndarray, other_tables: np.nd
     tables = np.minimum(customers, 1).astype(np.int64)
     base = np.exp(log_base)
     first = base * (theta + discount * other_tables if gamma is None else discount * gamma)
-    more = base * discount if gamma is None else np.zeros(len(base))
+    more = base * discount if gamma is None else None
     stirling = np.exp(log_stirling(discount)[: FEW + 1, : FEW + 1])
-    for c in range(2, FEW + 1):
-        same = np.flatnonzero(customers == c)
-        for at in range(0, len(same), BLOCK):
-            some = same[at : at + BLOCK]
-            tables[some] = _few(stirling[c], first[some], more[some], uniform[some])
-    some = np.flatnonzero((customers > FEW) & (customers <= TABLED))
+    of = lambda x, some: None if x is None else x[some]
+    few = np.minimum(customers, FEW + 1).astype(np.uint8)
+    order = np.argsort(few, kind="stable")
+    bounds = np.searchsorted(few[order], np.arange(2, FEW + 2)).tolist()
+    for c, begin, end in zip(range(2, FEW + 1), bounds, bounds[1:]):
+        for at in range(begin, end, BLOCK):
+            some = order[at : min(end, at + BLOCK)]
+            tables[some] = _few(stirling[c], first[some], of(more, some), uniform[some])
+    some = order[bounds[-1] :]
+    some = some[customers[some] <= TABLED]
     some = some[np.argsort(first[some] * np.log(customers[some]))]  # those that open about as many tables go together
     for at in range(0, len(some), BLOCK):
         part = some[at : at + BLOCK]
-        tables[part] = _tabled(customers[part], first[part], more[part], discount, uniform[part], None)
+        tables[part] = _tabled(customers[part], first[part], of(more, part), discount, uniform[part], None)
     large = np.flatnonzero(customers > TABLED)
     everyone = customers[large].astype(float)
     left = 1 - (TABLED / everyone) ** discount  # of the later customers' chances, by a table among the first TABLED
     u = (mix64((uniform[large] * (1 << 53)).astype(np.uint64)) >> np.uint64(11)).astype(float) / (1 << 53)
+    early = np.zeros(len(large), np.int64)
     if gamma is None:
         opening = base[large] * left
-        early = _tabled(np.full(len(large), TABLED), first[large] / (1 - opening), more[large] / (1 - opening), discount, uniform[large], everyone)
+        first, more = first[large] / (1 - opening), more[large] / (1 - opening)
+    else:
+        first = first[large]
+    for at in range(0, len(large), BLOCK):
+        some = slice(at, at + BLOCK)
+        early[some] = _tabled(np.full(len(large[some]), TABLED), first[some], of(more, some), discount, uniform[large[some]], everyone[some])
+    if gamma is None:
         tables[large] = early + _negative_binomial((theta + discount * other_tables[large]) / discount + early, opening, u)
     else:
-        early = _tabled(np.full(len(large), TABLED), first[large], more[large], discount, uniform[large], everyone)
-        tables[large] = early + _poisson(first[large] / discount * left, u)
+        tables[large] = early + _poisson(first / discount * left, u)
     return tables
 
 
@@ -106,67 +117,70 @@ def hashed_gamma(key: np.ndarray, shape: np.ndarray, salt: int) -> np.ndarray:
     return out
 
 
-def _few(stirling: np.ndarray, first: np.ndarray, more: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+def _few(stirling: np.ndarray, first: np.ndarray, more: np.ndarray | None, uniform: np.ndarray) -> np.ndarray:
     """Tables of dishes with the same number of customers, whose row of S is given: all weights, summed."""
     c = int(np.flatnonzero(stirling)[-1])
-    weight = np.empty((c, len(first)))
+    sums = [stirling[1] * first]
     so_far = first.copy()
-    weight[0] = stirling[1] * so_far
     for t in range(1, c):
-        so_far = so_far * (first + more * t)
-        weight[t] = weight[t - 1] + stirling[t + 1] * so_far
-    return 1 + (weight < uniform * weight[-1]).sum(axis=0)
+        so_far *= first if more is None else first + more * t
+        sums.append(sums[-1] + stirling[t + 1] * so_far)
+    wanted, opened = uniform * sums[-1], np.ones(len(first), np.uint8)
+    for x in sums:
+        opened += (x < wanted).view(np.uint8)
+    return opened
 
 
-def _tabled(c: np.ndarray, first: np.ndarray, more: np.ndarray, discount: float, uniform: np.ndarray, everyone: np.ndarray | None) -> np.ndarray:
+def _tabled(c: np.ndarray, first: np.ndarray, more: np.ndarray | None, discount: float, uniform: np.ndarray, everyone: np.ndarray | None) -> np.ndarray:
     """Tables of c customers, up to TABLED: p(t + 1) / p(t) = S(c, t + 1) / S(c, t) (first + more t), and a
     factor for the chances left to the later ones of `everyone`.
 
-    Weights are summed from t = 1, all dishes at once, until what is left is REST of the sum; then again
-    until they reach the random share of it.
+    Weights are summed from t = 1, all dishes at once, until what is left is REST of the sum; the sums so far
+    are kept, and those below the random share of the last are counted.
     """
-    table, tables = ratios(discount), np.ones(len(c), np.int64)
-    total, times = np.ones(len(c)), np.zeros(len(c), np.int64)  # divided so many times by LARGEST
-    for last in (False, True):
-        rows, t = np.arange(len(c)), 0
-        p, so_far, opened = np.ones(len(c)), np.ones(len(c)), np.ones(len(c), np.int64)
-        wanted = np.where(times > 0, np.inf, uniform * total)  # not reached before as many divisions as the total had
-        of_c, of_first, of_more, of_all = c, first, more, everyone
-        while len(rows) and t < TABLED - 1:
-            t += 1
-            scratch = np.multiply(of_more, t)
-            scratch += of_first
+    table, total = ratios(discount), np.ones(len(c))
+    rows, t = np.arange(len(c)), 0
+    p, so_far, scratch = np.ones(len(c)), np.ones(len(c)), np.empty(len(c))
+    kept = [(rows, [so_far])]
+    of_c, of_first, of_more, of_all = c, first, more, everyone
+    while len(rows) and t < TABLED - 1:
+        t += 1
+        if of_more is None and everyone is None:
+            p *= of_first
+        else:
+            factor = of_first.copy() if of_more is None else of_more * t + of_first
             if everyone is not None:
                 less = discount * t + (discount + 1) / 2
-                scratch *= ((TABLED - less) / (of_all - less)) ** discount
-            if last:
-                going = so_far < wanted
-                opened += going
-            p *= scratch
-            p *= np.take(table[t], of_c, out=scratch)
-            so_far += p
-            if not last:  # while weights rise, p is a t-th of the sum at least
-                going = p > np.multiply(so_far, REST, out=scratch)
-            # those that are done are carried along until they are many: their sums hardly grow
+                factor *= ((TABLED - less) / (of_all - less)) ** discount
+            p *= factor
+        p *= np.take(table[t], of_c, out=scratch, mode="clip")  # "raise" would copy first
+        so_far = so_far + p
+        kept[-1][1].append(so_far)
+        if t % 8 == 0 and (large := p > LARGEST).any():
+            p[large] /= LARGEST
+            for of_rows, sums in kept:
+                at = np.searchsorted(of_rows, rows[large])
+                for x in sums:
+                    x[at] /= LARGEST
+        # while weights rise, p is a t-th of the sum at least; those that are done are carried along until
+        # they are many: their sums hardly grow
+        if t % 4 == 0:
+            going = p > so_far * REST
             if np.count_nonzero(going) <= 0.8 * len(rows):
-                ended = ~going
-                if last:
-                    tables[rows[ended]] = opened[ended]
-                else:
-                    total[rows[ended]] = so_far[ended]
-                rows, p, so_far, opened, wanted, of_c, of_first, of_more = (x[going] for x in (rows, p, so_far, opened, wanted, of_c, of_first, of_more))
-                of_all = of_all[going] if everyone is not None else None
-            if t % 8 == 0 and (large := p > LARGEST).any():
-                p[large] /= LARGEST
-                so_far[large] /= LARGEST
-                times[rows[large]] += -1 if last else 1
-                if last:
-                    reached = large & (times[rows] == 0)
-                    wanted[reached] = (uniform * total)[rows[reached]]
-        if last:
-            tables[rows] = opened + (so_far < wanted)
-        else:
-            total[rows] = so_far
+                total[rows[~going]] = so_far[~going]
+                rows, p, so_far, of_c, of_first = (x[going] for x in (rows, p, so_far, of_c, of_first))
+                scratch = np.empty(len(rows))
+                of_more, of_all = (None if x is None else x[going] for x in (of_more, of_all))
+                kept.append((rows, []))
+    total[rows] = so_far
+    tables, wanted = np.ones(len(c), np.int64), uniform * total
+    for of_rows, sums in kept:
+        of_wanted, below = wanted[of_rows], np.empty(len(of_rows), bool)
+        for at in range(0, len(sums), 255):  # as many as a byte counts
+            opened = np.zeros(len(of_rows), np.uint8)
+            for x in sums[at : at + 255]:
+                opened += np.less(x, of_wanted, out=below).view(np.uint8)
+            tables[of_rows] += opened
     return tables
 
 

@@ -161,7 +161,8 @@ class _Pairs:
             self.count[at], self.owns[at] = _unpack(a["c"]), _unpack(a["d"])
             ids[at] = (np.uint64(a["bucket"]) << np.uint64(settings["place_bits"])) | place.astype(np.uint64)
         pair = np.cumsum(_unpack(row["pairs"]))
-        self.context, self.word = pair // n, pair % n
+        self.context = pair // n
+        self.word = pair - self.context * n
         self.ids = ids
         keys = _scramble((ids[self.context] << np.uint64(width)) | ids[self.word], 2 * width)
         self.order = np.argsort(keys)
@@ -279,13 +280,14 @@ class _State(_Pairs):
     def _seated(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """After a sweep: the words' customers and tables in the parent, and the contexts' tables."""
         if sweep not in self.seated:
-            found = np.zeros((3, CHAINS, len(self.count)), np.int64)
+            found = np.zeros((CHAINS, 3, len(self.count)), np.int64)
             seated = {x["bucket"]: x for x in row[f"seated{sweep}"]}
             for bucket, at, _ in self.slots:
-                for into, field in zip(found, "abc"):
-                    into[:, at] = _unpack(seated[bucket][field]).reshape(CHAINS, -1)
+                for k, field in enumerate("abc"):
+                    for into, part in zip(found, np.split(_unpack(seated[bucket][field]), CHAINS)):
+                        into[k][at] = part
             self.seated[sweep] = found
-        return tuple(self.seated[sweep][:, chain])
+        return tuple(self.seated[sweep][chain])
 
     def after(self, row: dict, sweep: int, chain: int) -> tuple[np.ndarray, np.ndarray]:
         """After a sweep: the parent's predictive probabilities of the words, and tables of the contexts."""
@@ -307,29 +309,25 @@ class _State(_Pairs):
         parent[words] = (masses / MASS + rest / (s["types"] + 1)) / (s["masses"][sweep][chain] / MASS + rest)
         return parent, opened
 
-    def seat(self, row: dict, sweep: int, owned: bool) -> list[np.ndarray]:
-        """By chain, the tables of each pair (or of those that the chunk owns) in the given sweep: the same
-        in every chunk that holds the pair, as they follow from counts and hashes.
+    def seat(self, row: dict, sweep: int, some: np.ndarray) -> Iterator[np.ndarray]:
+        """By chain, the tables of some pairs (given by their places) in the given sweep: the same in every
+        chunk that holds the pair, as they follow from counts and hashes.
 
         Given the parent's probabilities and, for each context, a gamma number of its tables so far, pairs
-        don't depend on one another."""
-        several = np.flatnonzero((self.pair_count > 1) & self.pair_owned if owned else self.pair_count > 1)
+        don't depend on one another. Chains come one after another, so that one's numbers are held at a time."""
+        count = self.pair_count[some]
+        at = np.flatnonzero(count > 1)
+        several, count, tables = some[at], count[at], np.minimum(count, 1)
         key, context, word = mix64(self.keys[several]), self.context[several], self.word[several]
         d = self.settings["pair_discount"]
         words, contexts = (np.flatnonzero(np.bincount(x, minlength=len(self.count))) for x in (word, context))
-        bases, gammas, uniforms = [], [], []
         for chain in range(CHAINS):
             parent, opened = self.measure(row, sweep - 1, chain, words) if sweep else self.start()
-            uniforms.append(hashed_uniform(key, 1 + chain + CHAINS * sweep))
-            bases.append(np.log(parent)[word])
             gamma = np.zeros(len(self.count))
             gamma[contexts] = hashed_gamma(self.ids[contexts], THETA / d + opened[contexts], 2 * (chain + CHAINS * sweep))
-            gammas.append(gamma[context])
-        drawn = draw_tables(np.tile(self.pair_count[several], CHAINS), np.concatenate(bases), None, THETA, d, np.concatenate(uniforms), np.concatenate(gammas))
-        out = [np.minimum(self.pair_count, 1) for _ in range(CHAINS)]
-        for tables, part in zip(out, np.split(drawn, CHAINS)):
-            tables[several] = part
-        return out
+            uniform = hashed_uniform(key, 1 + chain + CHAINS * sweep)
+            tables[at] = draw_tables(count, np.log(parent)[word], None, THETA, d, uniform, gamma[context])
+            yield tables
 
 
 def _masses(ids: np.ndarray, customers: np.ndarray, tables: np.ndarray, discount: float, sweep: int, chain: int) -> np.ndarray:
@@ -352,12 +350,12 @@ def _sweep(joined: DataFrame, settings: dict, sweep: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 state = _State(row, held.value)
-                n, own = len(state.count), state.pair_owned
+                n, own = len(state.count), np.flatnonzero(state.pair_owned)
+                own_word, own_context = state.word[own], state.context[own]
                 dish, context = [], []
-                for tables in state.seat(row, sweep, True):
-                    tables = tables[own]
-                    dish.append(np.bincount(state.word[own], tables, n).astype(np.int64))
-                    context.append(np.bincount(state.context[own], tables, n).astype(np.int64))
+                for tables in state.seat(row, sweep, own):
+                    dish.append(np.bincount(own_word, tables, n).astype(np.int64))
+                    context.append(np.bincount(own_context, tables, n).astype(np.int64))
                 told = [(b, row["chunk"], _pack(place), _pack(np.concatenate([d[at] for d in dish])), _pack(np.concatenate([c[at] for c in context]))) for b, at, place in state.slots]
                 yield _record(ASKED, told)
 
@@ -377,8 +375,9 @@ def _seat_words(sweep: int, settings: dict) -> Callable[[int, list[dict]], pa.Re
         n = int(max(p.max() for p in places)) + 1
         customers, opened, tables = (np.zeros((CHAINS, n), np.int64) for _ in range(3))
         for r, p in zip(rows, places):
-            customers[:, p] += _unpack(r["names"]).reshape(CHAINS, -1)
-            opened[:, p] += _unpack(r["counts"]).reshape(CHAINS, -1)
+            for sums, told in (customers, r["names"]), (opened, r["counts"]):
+                for of_chain, part in zip(sums, np.split(_unpack(told), CHAINS)):
+                    of_chain[p] += part
         ids = (np.uint64(bucket) << np.uint64(place_bits)) | np.arange(n, dtype=np.uint64)
         masses = []
         for chain in range(CHAINS):
@@ -386,8 +385,9 @@ def _seat_words(sweep: int, settings: dict) -> Callable[[int, list[dict]], pa.Re
             tables[chain] = draw_tables(customers[chain], np.full(n, -np.log(types + 1)), None, THETA, discount, uniform, np.full(n, gammas[chain]))
             masses.append(int(_masses(ids, customers[chain], tables[chain], discount, sweep, chain).sum()))
         none = [0] * CHAINS
+        told = lambda x, p: _pack(np.concatenate([of_chain[p] for of_chain in x]))
         return _record(SEATED, [
-            (r["chunk"], bucket, _pack(customers[:, p].ravel()), _pack(tables[:, p].ravel()), _pack(opened[:, p].ravel()), *((customers.sum(axis=1).tolist(), tables.sum(axis=1).tolist(), masses) if not i else (none, none, none)))
+            (r["chunk"], bucket, told(customers, p), told(tables, p), told(opened, p), *((customers.sum(axis=1).tolist(), tables.sum(axis=1).tolist(), masses) if not i else (none, none, none)))
             for i, (r, p) in enumerate(zip(rows, places))
         ])
 
@@ -407,7 +407,7 @@ def _score(joined: DataFrame, settings: dict) -> DataFrame:
                 seatings, discount = CHAINS * KEPT, s["pair_discount"]
                 chance = state.pair_count * float(seatings)
                 for sweep in range(SWEEPS - KEPT, SWEEPS):
-                    for chain, tables in enumerate(state.seat(row, sweep, False)):
+                    for chain, tables in enumerate(state.seat(row, sweep, np.arange(len(state.keys)))):
                         parent, opened = state.after(row, sweep, chain)
                         chance -= discount * tables
                         chance += (THETA + discount * opened)[state.context] * parent[state.word]
