@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from touchline.llm.licences import OTHER_SENTENCES, TEMPLATES, fit_licences, scan_licences
+from touchline.llm.licences import OTHER_SENTENCES, TEMPLATES, _hashes, _pair_hashes, _windows, fit_licences, scan_licences
 
 
 def test_finds_families_and_leaves_the_rest(spark):
@@ -76,3 +76,14 @@ def test_texts_that_share_an_id_and_what_no_notice_confirms(spark):
     assert sorted((r["doc_id"], r["paragraph"], r["family"]) for r in got) == [(1, 0, "apache-2.0"), (1, 0, "mit")] and len({r["text_hash"] for r in got}) == 2
     every = scan_licences(d, model, unconfirmed=True).collect()
     assert {tuple(r) for r in got} <= {tuple(r) for r in every} and all(r["confirmed"] == (r["similarity"] >= 0.6) for r in every)
+
+
+def test_windows_pass_on_the_numbers_that_training_learns(spark):
+    words = [f"w{i}x" for i in range(50)]
+    d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    found = {r["word"]: r for r in _windows(d).collect()}
+    assert sorted(found) == [1, 21] and found[21]["words"] == words[20:]
+    for first, row in found.items():
+        hashes = spark.createDataFrame([(row["words"],)], "words array<string>").select(_hashes(F.col("words")).alias("h"))
+        learned = hashes.select(F.concat("h", _pair_hashes(F.col("h"))).alias("grams")).first()["grams"]
+        assert row["grams"] == learned and len(set(learned)) == 2 * len(row["words"]) - 1

@@ -153,18 +153,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(cleaned, WORDS), lambda w: F.length(w) > 0)
 
 
-def _grams(words: Column) -> Column:
-    """Words and pairs of neighbouring words."""
-    return F.array_distinct(F.concat(words, _pairs(words)))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _neighbours(words: Column) -> Column:
-    """Pairs of neighbouring words, in order."""
-    return F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+def _pair_hashes(hashes: Column) -> Column:
+    """Hashes of pairs of neighbouring words, in order, from those of the words."""
+    return F.zip_with(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
 
 def _pairs(words: Column) -> Column:
-    return F.array_distinct(_neighbours(words))
+    """Pairs of neighbouring words."""
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(pairs)
 
 
 def _notices() -> list[tuple[str, str, int]]:
@@ -175,17 +176,18 @@ def _notices() -> list[tuple[str, str, int]]:
 
 def _windows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, paragraph (its place among the text's paragraphs that hold a word), word (the window's
-    first), words, neighbours (pairs of words): windows over the words of every paragraph, the lines up to an empty one."""
+first), words, grams (hashes of its words and pairs): windows over the words of every paragraph, the lines up to an empty one."""
     parts = F.filter(F.split("text", r"(?:\r?\n[ \t]*){2,}"), lambda p: F.length(F.trim(p)) > 0)
     found = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(parts).alias("paragraph", "paragraph_text"))
     # exploded, so that the words are made once and not for each use of them
     words = found.select("doc_id", "text_hash", "paragraph", F.explode(F.array(_words(F.col("paragraph_text")))).alias("all_words")).filter(F.size("all_words") > 0)
-    # pairs too are made once a paragraph, though windows overlap
-    words = words.select("*", F.explode(F.array(_neighbours(F.col("all_words")))).alias("all_pairs"))
+    # each is hashed once a paragraph, though windows overlap, and numbers are passed on faster than texts
+    words = words.select("*", F.explode(F.array(_hashes(F.col("all_words")))).alias("all_hashes"))
+    words = words.select("*", F.explode(F.array(_pair_hashes(F.col("all_hashes")))).alias("all_pairs"))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all_words") - (WINDOW - STEP)), F.lit(STEP))
-    windows = words.select("doc_id", "text_hash", "paragraph", "all_words", "all_pairs", F.explode(starts).alias("word"))
-    parts = F.slice("all_words", F.col("word"), F.lit(WINDOW)).alias("words"), F.slice("all_pairs", F.col("word"), F.lit(WINDOW - 1)).alias("neighbours")
-    return windows.select("doc_id", "text_hash", "paragraph", "word", *parts)
+    windows = words.select("doc_id", "text_hash", "paragraph", "all_words", "all_hashes", "all_pairs", F.explode(starts).alias("word"))
+    grams = F.concat(F.slice("all_hashes", F.col("word"), F.lit(WINDOW)), F.slice("all_pairs", F.col("word"), F.lit(WINDOW - 1)))
+    return windows.select("doc_id", "text_hash", "paragraph", "word", F.slice("all_words", F.col("word"), F.lit(WINDOW)).alias("words"), grams.alias("grams"))
 
 
 def _similarity(pairs: Column, notices: Column) -> Column:
@@ -285,10 +287,12 @@ def fit_licences(docs: DataFrame) -> LicenceModel:
     other = others.select(F.lit(UNKNOWN).alias("family"), F.col("n").alias("v"), "words", "drawn")
     label = F.array_position(F.array(*(F.lit(f) for f in families)), F.col("family")) - 1
     rows = made.select("family", "v", "words", F.lit(False).alias("drawn")).unionByName(other)
-    rows = materialize(rows.select("v", "drawn", label.cast("double").alias("label"), _grams(F.col("words")).alias("grams")), 2)
+    rows = materialize(rows.select("v", "drawn", label.cast("double").alias("label"), _hashes(F.col("words")).alias("hashes")), 2)
+    rows = rows.withColumn("grams", F.concat("hashes", _pair_hashes(F.col("hashes"))))
     rows = _hashing().transform(rows)
     regression = LogisticRegression(family="multinomial", regParam=2e-4, maxIter=60, standardization=False)
     model = regression.fit(rows.filter("v % 5 <> 4"))
+    model.setRawPredictionCol("").setPredictionCol("")  # only probabilities are read
     aside = _best(model.transform(rows.filter("v % 5 = 4 and drawn")).drop("label"), families)
     passing = aside.agg(F.percentile("chance", 1 - FALSE_ALARMS)).first()[0]
     return LicenceModel(model, families, min(0.99, max(0.5, passing or 0.5)))
@@ -307,8 +311,7 @@ def scan_licences(docs: DataFrame, model: LicenceModel, unconfirmed: bool = Fals
     """
     windows = _windows(docs.select("doc_id", "text"))
     # features are binary, so what comes twice in a window counts once
-    grams = windows.select("doc_id", "text_hash", "paragraph", "word", "words", F.concat("words", "neighbours").alias("grams"))
-    scored = _best(model.classifier.transform(_hashing().transform(grams)), model.families).filter(F.col("chance") >= model.threshold)
+    scored = _best(model.classifier.transform(_hashing().transform(windows)), model.families).filter(F.col("chance") >= model.threshold)
     family = F.element_at(F.array(*(F.lit(f) for f in model.families)), (F.col("label") + 1).cast("int"))
     scored = scored.select("doc_id", "text_hash", "paragraph", "word", _pairs(F.col("words")).alias("pairs"), family.alias("family"), "chance")
     compared = scored.join(F.broadcast(_notice_pairs(docs.sparkSession)), "family").withColumn("similarity", _similarity(F.col("pairs"), F.col("notices")))
