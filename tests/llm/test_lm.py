@@ -367,3 +367,52 @@ def test_many_tables_are_summed_past_a_byte_and_past_the_largest_weight():
         log_p = s[c[k], 1 : c[k] + 1] + t * np.log(0.5e9)
         p = np.exp(log_p - log_p.max())
         assert got[k] == 1 + int((np.cumsum(p) < u[k] * p.sum()).sum())
+
+
+class Chunk:
+    """Pairs of a chunk whose tables are what their keys say; notes which pairs it was asked to seat."""
+
+    def __init__(self, keys, counts):
+        self.keys, self.pair_count, self.asked = np.array(keys, np.uint64), np.array(counts, np.int64), []
+        self.order = np.argsort(self.keys)
+
+    def seat(self, row, sweep, some):
+        self.asked.append(sorted(self.keys[some].tolist()))
+        for chain in range(2):
+            yield np.minimum(self.keys[some].astype(np.int64) + chain + sweep, self.pair_count[some])
+
+
+def test_frequent_pairs_are_drawn_once_a_worker(monkeypatch):
+    from touchline.llm import lm
+
+    alone = lambda keys, counts: lm._kept_tables(Chunk(keys, counts), {}, lm._Frequent("")).tolist()
+    first, second = ([5, 3, 9, 7, 1], [100, 2, 40, 1, 0]), ([9, 4, 5, 3], [40, 90, 100, 2])
+    memory = lm._Frequent("run")
+    assert lm._kept_tables(Chunk(*first), {}, memory).tolist() == alone(*first) == [28, 8, 44, 4, 0]
+    again = Chunk(*second)
+    assert lm._kept_tables(again, {}, memory).tolist() == alone(*second)
+    assert again.asked == [[3, 4]] * 2  # of both sweeps: the rare pair, and the one not seen before
+    assert memory.keys.tolist() == [4, 5, 9] and memory.counts.tolist() == [90, 100, 40]
+    assert lm._frequent("x") is lm._frequent("x") and not len(lm._frequent("y").keys)
+
+    monkeypatch.setattr(lm, "REMEMBERED", 8)
+    small, rng = lm._Frequent("run"), random.Random(3)
+    of = {k: rng.randrange(17, 200) for k in range(100)}
+    for _ in range(30):
+        keys = rng.sample(range(100), 20)
+        counts = [of[k] for k in keys]
+        assert lm._kept_tables(Chunk(keys, counts), {}, small).tolist() == alone(keys, counts)
+        assert len(small.keys) <= 8 and (np.diff(small.keys.astype(np.int64)) > 0).all()
+    assert len(small.keys) and small.counts.min() > 100  # those of most customers
+
+
+def test_words_as_bytes_are_split():
+    from touchline.llm.lm import _joined, _words
+
+    texts = ["a", "Ä B\x1cc  D\n", None, "", " \t\x0b\x0c\r\n", " x Y z ", "É\u0085q w", "End"] * 3
+    for array in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(texts).slice(1, 9), pa.array([], pa.string()), pa.array([None], pa.string())):
+        want = [(t or "").encode().lower().split() for t in array.to_pylist()]
+        words, sizes = _words(array)
+        assert [w.encode() for w in words.to_pylist()] == [w for t in want for w in t]
+        assert sizes.tolist() == [len(t) for t in want]
+        assert b" ".join(_joined(words)) == b" ".join(w for t in want for w in t)

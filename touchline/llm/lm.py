@@ -12,14 +12,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, note_written, shared_dir, shuffle_partitions, utf8_bytes
-from .hpyp import discount_of, draw_tables, hashed_gamma, hashed_uniform
+from .common import mix64, note_written, shared_dir, shuffle_partitions
+from .hpyp import FEW, discount_of, draw_tables, hashed_gamma, hashed_uniform
 
 #: Bytes of text that are counted together.
 CHUNK = 3_000_000
@@ -32,6 +33,9 @@ END = b"\n"
 CHAINS, SWEEPS, KEPT = 2, 3, 2
 THETA = 1.0
 
+#: Pairs that a worker remembers the tables of, from one chunk to the next: those of most customers.
+REMEMBERED = 1 << 19
+
 CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes array<int>, words binary, n_words long, tokens binary, counts binary, pairs binary, pair_counts binary, trained long"
 ASKED = "bucket int, chunk long, at binary, names binary, counts binary"
 ANSWERED = "chunk long, bucket int, a binary, b binary, c binary, d binary, named long, types long, ones long, twos long"
@@ -41,6 +45,9 @@ MASS = 1 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
+_TO_BYTES, _FROM_BYTES = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Whole numbers, as many bytes as the largest needs, byte by byte and compressed."""
     x = np.asarray(x, np.int64)
@@ -48,11 +55,11 @@ def _pack(x: np.ndarray) -> bytes:
     planes = np.empty((width, len(x)), np.uint8)
     for k in range(width):
         planes[k] = (x >> (8 * k)) & 255
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return bytes([width]) + _TO_BYTES.compress(planes)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), np.uint8).reshape(blob[0], -1)
+    planes = np.frombuffer(_FROM_BYTES.decompress(memoryview(blob)[1:]), np.uint8).reshape(blob[0], -1)
     x = planes[0].astype(np.int64)
     for k in range(1, len(planes)):
         x |= planes[k].astype(np.int64) << (8 * k)
@@ -60,17 +67,21 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _pack_words(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b" ".join(words))
+    return _TO_BYTES.compress(b" ".join(words))
 
 
 def _unpack_words(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split(b" ")
+    return _FROM_BYTES.decompress(blob).split(b" ")
 
 
-class _LocalIds(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has (null: none)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    ends -= ends[0]
+    there = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty words
+    so_far = np.concatenate(([0], np.cumsum(there.to_numpy(zero_copy_only=False))))
+    return words.filter(there), np.diff(so_far[ends])
 
 
 _TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_()), "array<int>": pa.list_(pa.int32())}
@@ -93,35 +104,50 @@ def _by_chunk(df: DataFrame, buckets: int) -> DataFrame:
     return written
 
 
+def _joined(words: pa.Array) -> list[bytes]:
+    """All words as one, blanks between them (none: nothing)."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.large_binary()))
+    return pc.binary_join(whole, pa.scalar(b" ", pa.large_binary())).to_pylist() if len(words) else []
+
+
 def _chunks(docs: DataFrame, held_out: Column) -> DataFrame:
     """Some documents a row: their words once, the distinct pairs of neighbouring tokens (by places of
     words, in order), tokens as places in those pairs, and training counts of words and pairs."""
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, sizes, tokens, known, size, n_chunks = [], [], [], [], _LocalIds({END: 0}), 0, 0
+        ids, held, sizes, words, size, n_chunks = [], [], [], [], 0, 0
 
         def done() -> pa.RecordBatch:
-            place = np.concatenate(tokens).astype(np.int64)
-            training = np.repeat(~np.array(held, bool), np.array(sizes, np.int64) + 1)
-            token, pair = _token_pairs(place, np.array(sizes, np.int64), len(known))
-            counts = np.bincount(token[training], minlength=len(known))
+            coded = pa.concat_arrays(words).dictionary_encode()
+            known = coded.dictionary  # END stands before these
+            words.clear()
+            place, n_tokens = coded.indices.to_numpy().astype(np.int64) + 1, np.concatenate(sizes)
+            training = np.repeat(~np.array(held, bool), n_tokens + 1)
+            token, pair = _token_pairs(place, n_tokens, len(known) + 1)
+            counts = np.bincount(token[training], minlength=len(known) + 1)
             pairs, pair_of = np.unique(pair, return_inverse=True)
             pair_counts = np.bincount(pair_of[training], minlength=len(pairs))
             name = (TaskContext.get().partitionId() << 32) + n_chunks
             packed = _pack(pair_of), _pack(counts), _pack(np.diff(pairs, prepend=0)), _pack(pair_counts)
-            return _record(CHUNKS, [(name, ids, held, sizes, _pack_words(list(known)), len(known), *packed, int(counts.sum()))])
+            return _record(CHUNKS, [(name, ids, held, n_tokens.tolist(), _pack_words([END, *_joined(known)]), len(known) + 1, *packed, int(counts.sum()))])
 
         for batch in batches:
-            for doc, out, text in zip(batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), utf8_bytes(batch.column("text"))):
-                words = text.lower().split() if text else []
-                ids.append(doc)
-                held.append(bool(out))
-                sizes.append(len(words))
-                tokens.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                size += len(text or b"") + 16
+            texts, at, weighed = batch.column("text"), 0, 0
+            weigh = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            while at < len(texts):  # up to the text that fills a chunk
+                end = min(len(texts), 1 + int(np.searchsorted(weigh, weighed + CHUNK - size)))
+                found, n_words = _words(texts.slice(at, end - at))
+                ids += batch.column("doc_id").slice(at, end - at).to_pylist()
+                held += batch.column("held").slice(at, end - at).to_pylist()
+                sizes.append(n_words)
+                words.append(found)
+                size += int(weigh[end - 1]) - weighed
+                at, weighed = end, int(weigh[end - 1])
                 if size >= CHUNK:
                     yield done()
-                    ids, held, sizes, tokens, known, size, n_chunks = [], [], [], [], _LocalIds({END: 0}), 0, n_chunks + 1
+                    ids, held, sizes, words, size, n_chunks = [], [], [], [], 0, n_chunks + 1
+                    del found
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield done()
 
@@ -182,7 +208,7 @@ def _word_requests(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words, counts = np.array(_unpack_words(row["words"]), object), _unpack(row["counts"])
-                bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
+                bucket = (np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 slices = [(b, order[begin:end]) for b, begin, end in _runs(bucket[order])]
                 yield _record(ASKED, [(b, row["chunk"], _pack(np.diff(at, prepend=0)), _pack_words(list(words[at])), _pack(counts[at])) for b, at in slices])
@@ -330,6 +356,65 @@ class _State(_Pairs):
             yield tables
 
 
+class _Frequent:
+    """Tables of frequent pairs, summed over the kept seatings, as this worker drew them for earlier chunks of a
+    run: they are the same in every chunk. Of more than REMEMBERED pairs, those of most customers stay."""
+
+    def __init__(self, run: str) -> None:
+        self.run, self.least = run, FEW
+        self.keys, self.sums, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of some sorted keys are known, and the sums of these."""
+        if not len(self.keys):
+            return np.zeros(len(keys), bool), self.sums
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        return known, self.sums[at[known]]
+
+    def add(self, keys: np.ndarray, sums: np.ndarray, counts: np.ndarray) -> None:
+        """Sorted keys that are not known yet."""
+        new = counts.astype(np.float32) > self.least
+        if not new.any():
+            return
+        at = np.searchsorted(self.keys, keys[new])
+        self.keys = np.insert(self.keys, at, keys[new])
+        self.sums = np.insert(self.sums, at, sums[new])
+        self.counts = np.insert(self.counts, at, counts[new])
+        if (over := len(self.keys) - REMEMBERED) > 0:
+            over += REMEMBERED // 8  # not with each chunk
+            self.least = np.partition(self.counts, over)[over]
+            stay = self.counts > self.least
+            self.keys, self.sums, self.counts = self.keys[stay], self.sums[stay], self.counts[stay]
+
+
+_LAST_RUN = [_Frequent("")]
+
+
+def _frequent(run: str) -> _Frequent:
+    """What this worker remembers of a run; of the runs before, nothing."""
+    if _LAST_RUN[0].run != run:
+        _LAST_RUN[0] = _Frequent(run)
+    return _LAST_RUN[0]
+
+
+def _kept_tables(state: _State, row: dict, frequent: _Frequent) -> np.ndarray:
+    """The tables of each pair of a chunk, summed over the kept seatings."""
+    count = state.pair_count
+    sums, todo = np.minimum(count, 1) * (CHAINS * KEPT), count > 1
+    often = state.order[count[state.order] > FEW]  # by key
+    known, of_known = frequent.find(state.keys[often])
+    sums[often[known]], todo[often[known]] = of_known, False
+    draw = np.flatnonzero(todo)
+    sums[draw] = 0
+    for sweep in range(SWEEPS - KEPT, SWEEPS):
+        for tables in state.seat(row, sweep, draw):
+            sums[draw] += tables
+    fresh = often[~known]
+    frequent.add(state.keys[fresh], sums[fresh], count[fresh])
+    return sums
+
+
 def _masses(ids: np.ndarray, customers: np.ndarray, tables: np.ndarray, discount: float, sweep: int, chain: int) -> np.ndarray:
     """Gamma numbers of words in the parent's seating, in units of 1 / MASS: their shares are a draw of the
     parent's probabilities."""
@@ -405,11 +490,10 @@ def _score(joined: DataFrame, settings: dict) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 state, sizes = _State(row, s), np.array(row["sizes"], np.int64)
                 seatings, discount = CHAINS * KEPT, s["pair_discount"]
-                chance = state.pair_count * float(seatings)
+                chance = state.pair_count * float(seatings) - discount * _kept_tables(state, row, _frequent(s["run"]))
                 for sweep in range(SWEEPS - KEPT, SWEEPS):
-                    for chain, tables in enumerate(state.seat(row, sweep, np.arange(len(state.keys)))):
+                    for chain in range(CHAINS):
                         parent, opened = state.after(row, sweep, chain)
-                        chance -= discount * tables
                         chance += (THETA + discount * opened)[state.context] * parent[state.word]
                 chance /= (seatings * (THETA + state.count))[state.context]
                 pair_of = _unpack(row["tokens"])
@@ -464,7 +548,7 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     width = place_bits + (buckets - 1).bit_length()
     if width > 32:
         raise ValueError("too many different words to number their pairs in 64 bits")
-    settings = {"tokens": totals["tokens"], "types": words["types"], "place_bits": place_bits, "width": width, "word_discount": discount_of(words["ones"], words["twos"]), "customers": [], "tables": [], "masses": []}
+    settings = {"run": uuid.uuid4().hex, "tokens": totals["tokens"], "types": words["types"], "place_bits": place_bits, "width": width, "word_discount": discount_of(words["ones"], words["twos"]), "customers": [], "tables": [], "masses": []}
     joined = chunks.join(word_answers, "chunk")
     pair_answers, pairs = _collected(_gathered(_pair_requests(joined, buckets, settings), _count_pairs, ANSWERED), "pair_answers")
     settings = settings | {"pairs": pairs["types"], "pair_discount": discount_of(pairs["ones"], pairs["twos"])}
