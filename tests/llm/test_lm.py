@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -416,3 +417,20 @@ def test_words_as_bytes_are_split():
         assert [w.encode() for w in words.to_pylist()] == [w for t in want for w in t]
         assert sizes.tolist() == [len(t) for t in want]
         assert b" ".join(_joined(words)) == b" ".join(w for t in want for w in t)
+
+
+def test_shuffled_files_go_when_a_step_is_written(spark):
+    from touchline.llm.lm import _by_chunk
+
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(conf, "false")  # as in a session of its own
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for n in files.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before = shuffled()
+    dealt = spark.range(1000).withColumn("chunk", F.col("id") % 7).repartition(3, "id")
+    written = _by_chunk(dealt.groupBy("chunk").agg(F.count("*").alias("n")), 2)
+    deadline = time.time() + 20
+    while shuffled() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert sorted(r["n"] for r in written.collect()) == [142, 143, 143, 143, 143, 143, 143] and spark.conf.get(conf) == "false"

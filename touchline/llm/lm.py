@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, note_written, shared_dir, shuffle_partitions
@@ -93,11 +94,24 @@ def _record(fields: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES[k]) for c, k in zip(columns, kinds)], names=list(names))
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Files that executions shuffle inside are removed as each ends, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _by_chunk(df: DataFrame, buckets: int) -> DataFrame:
     """Write df in the shared folder bucketed by chunk, so joins by chunk need not deal it out again."""
     spark, name = df.sparkSession, f"touchline_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    df.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
+    with _shuffles_freed(spark):  # what is written is read from here on
+        df.write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     note_written(path)
     written = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name only; the files stay
