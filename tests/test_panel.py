@@ -1,8 +1,10 @@
 """Assembly in one go: the same rows as by joins, and games dealt out once."""
 
 import datetime
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline import jobs, session
@@ -65,3 +67,11 @@ def test_kept_tables_leave_no_shuffle_files(spark):
     kept = session.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert kept.count() == 7 and registered() <= count + 1  # the count's own
     session.release(kept)
+
+
+@pytest.mark.parametrize("name", ["search_candidates", "feature_importance_top20"])
+def test_finished_searches_leave_nothing_in_the_shared_folder(spark, name):
+    folder = session.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert set(os.listdir(folder)) == before
