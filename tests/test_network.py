@@ -58,3 +58,13 @@ def test_texts_are_coded_once_for_all_passes(spark):
     found = table.toPandas()
     raw = found.assign(**{c: [dict(enumerate(design.levels[c])).get(k) for k in found[c]] for c in ("place", "none")})
     assert (network._coded_matrix(design, found) == network._matrix(design, raw)).all() and set(found["place"]) == {-1, 0, 1}
+
+
+def test_folds_and_all_rows_take_the_same_passes(counts, monkeypatch):
+    """The chosen network took its steps anew, and passes looked at batches of a thousand rows."""
+    some, passes, train = [network.Network(hidden=h, steps=4) for h in (1, 2)], [], network.train
+    monkeypatch.setattr(network, "train", lambda table, design, specs: passes.append(specs) or train(table, design, specs))
+    found, deviances = network.search(counts, ["x"], ["team"], "y", some, folds=2)
+    assert len(passes) == 1 and [f for _, f in passes[0]] == [0, 1, 0, 1, -1, -1]
+    table, design = network.prepare(counts, ["x"], ["team"], "y", "game_id", 2)
+    assert np.allclose(found.weights, train(table, design, [(found.network, -1)])[0], atol=1e-9)

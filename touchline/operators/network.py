@@ -7,10 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import keep, release
+from .boosting import together
 from .chained import Design
 
 #: Digits of mean gradients that count, so the order in which rows were added doesn't.
@@ -34,13 +36,14 @@ def expected(weights: np.ndarray, x: np.ndarray, hidden: int) -> tuple[np.ndarra
     return layer, layer @ weights[-hidden - 1 : -1] + weights[-1]
 
 
-def loss_and_gradient(weights: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int) -> tuple[float, np.ndarray]:
-    """Sums over the rows of the Poisson loss (without its constant) and of its gradient."""
+def loss_and_gradient(weights: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int, seen: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
+    """Sums over the rows (weighted by seen) of the Poisson loss (without its constant) and of its gradient."""
     layer, eta = expected(weights, x, hidden)
     held = np.clip(eta, -STEEPEST, STEEPEST)
-    off = np.where(held == eta, np.exp(held) - y, 0.0)
+    mean = np.exp(held)
+    off = np.where(held == eta, mean - y, 0.0) * seen
     first = x.T @ (off[:, None] * weights[-hidden - 1 : -1] * (1 - layer**2))
-    return float((np.exp(held) - y * held).sum()), np.concatenate([first.ravel(), layer.T @ off, [off.sum()]])
+    return float(((mean - y * held) * seen).sum()), np.concatenate([first.ravel(), layer.T @ off, [off.sum()]])
 
 
 def prepare(df: DataFrame, numbers: list[str], texts: list[str], label: str, key: str, folds: int = 1, levels: int = 30) -> tuple[DataFrame, Design]:
@@ -87,18 +90,18 @@ def train(table: DataFrame, design: Design, specs: list[tuple[Network, int]]) ->
     for step in range(max((n.steps for n, _ in specs), default=0)):
         active = [i for i, (n, _) in enumerate(specs) if step < n.steps]
 
-        def sums(batches: Iterator[pd.DataFrame], now=tuple(weights), active=tuple(active)) -> Iterator[pd.DataFrame]:
+        def sums(batches: Iterator[pa.RecordBatch], now=tuple(weights), active=tuple(active)) -> Iterator[pa.RecordBatch]:
             total = {i: np.zeros(len(now[i]) + 1) for i in active}
-            for batch in batches:
-                x, y, fold = _coded_matrix(design, batch), batch["__y"].to_numpy(float), batch["__fold"].to_numpy()
+            for rows in map(pa.RecordBatch.to_pandas, together(batches)):
+                x, y, fold = _coded_matrix(design, rows), rows["__y"].to_numpy(float), rows["__fold"].to_numpy()
                 for i in active:
-                    own = fold != specs[i][1]
-                    total[i] += np.append(loss_and_gradient(now[i], x[own], y[own], specs[i][0].hidden)[1], own.sum())
+                    seen = (fold != specs[i][1]).astype(float)
+                    total[i] += np.append(loss_and_gradient(now[i], x, y, specs[i][0].hidden, seen)[1], seen.sum())
             for i, t in total.items():
-                yield pd.DataFrame({"i": i, "place": np.arange(len(t)), "g": t})
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), i, np.int32)), pa.array(np.arange(len(t), dtype=np.int32)), pa.array(t)], names=["i", "place", "g"])
 
         found = {i: np.zeros(len(weights[i]) + 1) for i in active}
-        for r in table.mapInPandas(sums, "i int, place int, g double").groupBy("i", "place").agg(F.sum("g").alias("g")).collect():
+        for r in table.mapInArrow(sums, "i int, place int, g double").groupBy("i", "place").agg(F.sum("g").alias("g")).collect():
             found[r["i"]][r["place"]] = r["g"]
         for i in active:
             network = specs[i][0]
@@ -129,26 +132,26 @@ class FittedNetwork:
 
 def search(df: DataFrame, numbers: list[str], texts: list[str], label: str, candidates: list[Network], key: str = "game_id", folds: int = 3) -> tuple[FittedNetwork, list[float]]:
     """The candidate of least cross-validated Poisson deviance (the first of equals) fitted on all rows, and all candidates'
-    deviances. All candidates and folds are trained in the same passes."""
+    deviances. All candidates, by folds and on all rows, are trained in the same passes."""
     table, design = prepare(df, numbers, texts, label, key, folds)
     try:
         specs = [(n, f) for n in candidates for f in range(folds)]
-        weights = train(table, design, specs)
+        weights = train(table, design, [*specs, *((n, -1) for n in candidates)])
 
-        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((len(candidates), 2))
-            for batch in batches:
-                x, y, fold = _coded_matrix(design, batch), batch["__y"].to_numpy(float), batch["__fold"].to_numpy()
+            for rows in map(pa.RecordBatch.to_pandas, together(batches)):
+                x, y, fold = _coded_matrix(design, rows), rows["__y"].to_numpy(float), rows["__fold"].to_numpy()
                 for i, (network, held) in enumerate(specs):
                     own = fold == held
                     eta = np.clip(expected(weights[i], x[own], network.hidden)[1], -STEEPEST, STEEPEST)
                     log_y = np.log(np.where(y[own] > 0, y[own], 1.0))
                     total[i // folds] += (2 * (y[own] * (log_y - eta) - y[own] + np.exp(eta))).sum(), own.sum()
-            yield pd.DataFrame({"i": np.arange(len(candidates)), "d": total[:, 0], "n": total[:, 1]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(candidates), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["i", "d", "n"])
 
-        found = {r["i"]: r["d"] for r in table.mapInPandas(judge, "i int, d double, n double").groupBy("i").agg((F.sum("d") / F.sum("n")).alias("d")).collect()}
+        found = {r["i"]: r["d"] for r in table.mapInArrow(judge, "i int, d double, n double").groupBy("i").agg((F.sum("d") / F.sum("n")).alias("d")).collect()}
         deviances = [found[i] for i in range(len(candidates))]
         best = min(range(len(candidates)), key=lambda i: (deviances[i], i))
-        return FittedNetwork(design, candidates[best], train(table, design, [(candidates[best], -1)])[0]), deviances
+        return FittedNetwork(design, candidates[best], weights[len(specs) + best]), deviances
     finally:
         release(table)
