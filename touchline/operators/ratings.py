@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import RFormula
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SETTINGS, Settings
 from ..functions.columns import margin_outcome
 from ..session import keep, release
-from .cleaning import split_by_hash
+from . import cells
+from .boosting import together
 
 RATED = "competition_id string, game_id long, k double, w double, elo_home double, elo_away double, elo_home_prob double"
 #: Buckets of the home probability: twentieths.
 BUCKETS = 21
+#: Rows after which a task counts the cells that it holds.
+TALLIED = 1 << 18
 
 
 def _rateable(games: DataFrame, settings: Settings) -> DataFrame:
@@ -152,44 +153,80 @@ def _wide(rows: DataFrame, steps: np.ndarray, settings: Settings) -> DataFrame:
     return rows.groupBy("competition_id").applyInPandas(rate, f"game_id long, w double, {', '.join(f'{n} double' for n in names)}")
 
 
-def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42, parallelism: int = 4, at_once: int = 10) -> DataFrame:
+def forest_kappa(games: DataFrame, ks: list[float], trees: int = 100, settings: Settings = SETTINGS, seed: int = 42, at_once: int = 10) -> DataFrame:
     """k, kappa: agreement beyond chance of a forest on ratings and probabilities with the results of
     played games after the first season, for games that hashes of game_id keep from its training (a
-    fifth). One forest for each k; `parallelism` of them at a time, in scheduler pools of their own.
+    fifth). One forest for each k.
 
-    Games are rated, and their ratings kept, for `at_once` ks at a time: a row a game, three columns a k.
+    Games are rated, and their ratings kept, for `at_once` ks at a time: a row a game, three columns a k. Forests learn from
+    how many games there are in each cell of bins (see cells), which one pass counts for all of these ks; a k's cells, a bounded number,
+    are one group.
     """
-    spark = games.sparkSession
     rows = keep(_rateable(games, settings))
-    rates = _rates_by_bucket(rows, np.array(ks, float), settings)
-    result = F.when(F.col("w") > 0.5, "home").when(F.col("w") < 0.5, "away").otherwise("draw")
-
-    def of_k(wide: DataFrame, i: int, n: int) -> DataFrame:
-        """The columns of one k, named as with_draws does."""
-        p = F.col(f"elo_home_prob_{i}")
-        draw = F.get(F.lit([float(r) for r in np.nan_to_num(rates[n])]), F.bround(p * (BUCKETS - 1)).cast("int"))
-        return wide.select("game_id", result.alias("result"), F.col(f"elo_home_{i}").alias("elo_home"), F.col(f"elo_away_{i}").alias("elo_away"), p.alias("p"), draw.alias("draw_rate")).select(
-            "game_id", "result", "elo_home", "elo_away", (F.col("p") * (1 - F.col("draw_rate"))).alias("home_prob"), "draw_rate", ((1 - F.col("p")) * (1 - F.col("draw_rate"))).alias("away_prob")
-        )
-
-    kappas = []
+    rates = np.nan_to_num(_rates_by_bucket(rows, np.array(ks, float), settings))
+    found = []
     for first in range(0, len(ks), at_once):
         some = ks[first : first + at_once]
         wide = keep(_wide(rows, np.array(some, float), settings))
-        prepared = RFormula(formula="result ~ elo_home + elo_away + home_prob + draw_rate + away_prob").fit(of_k(wide, 0, first))
-
-        def kappa(i: int) -> tuple[float, float]:
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"forests-{i % parallelism}")
-            train, test = split_by_hash(prepared.transform(of_k(wide, i, first + i)), "game_id", 80)
-            called = RandomForestClassifier(numTrees=trees, seed=seed).fit(train).transform(test).groupBy("label", "prediction").count().collect()  # 9 rows at most
-            total = sum(r["count"] for r in called)
-            agreed = sum(r["count"] for r in called if r["label"] == r["prediction"]) / total
-            of = lambda side, v: sum(r["count"] for r in called if r[side] == v) / total
-            chance = sum(of("label", v) * of("prediction", v) for v in {r["label"] for r in called})
-            return float(some[i]), (agreed - chance) / (1 - chance) if chance < 1 else 0.0
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            kappas += pool.map(inheritable_thread_target(spark)(kappa), range(len(some)))
+        found += _kappas(wide, some, rates[first : first + at_once], trees, seed)
         release(wide)
     release(rows)
-    return spark.createDataFrame(kappas, "k double, kappa double")
+    return games.sparkSession.createDataFrame(found, "k double, kappa double")
+
+
+def _predictors(i: int, home: np.ndarray, away: np.ndarray, p: np.ndarray, rates: np.ndarray) -> list[np.ndarray]:
+    """Ratings, and probabilities as with_draws gives them, of the i-th k."""
+    draw = rates[i][np.rint(p * (BUCKETS - 1)).astype(int)]
+    return [home, away, p * (1 - draw), draw, (1 - p) * (1 - draw)]
+
+
+def _kappas(wide: DataFrame, ks: list[float], rates: np.ndarray, trees: int, seed: int) -> list[tuple[float, float]]:
+    """k and kappa of each k of _wide's rows."""
+    rows = wide.withColumn("learned", F.pmod(F.xxhash64("game_id"), F.lit(100)) < 80)
+    shares = [b / cells.BINS for b in range(1, cells.BINS)]
+    # quantiles of ratings, and of the three probabilities that follow from one
+    table = [F.lit([float(r) for r in of_k]) for of_k in rates]
+    quantiles = []
+    for i in range(len(ks)):
+        p = F.col(f"elo_home_prob_{i}")
+        draw = F.get(table[i], F.bround(p * (BUCKETS - 1)).cast("int"))
+        values = [F.col(f"elo_home_{i}"), F.col(f"elo_away_{i}"), p * (1 - draw), draw, (1 - p) * (1 - draw)]
+        quantiles += [F.percentile_approx(v, shares, 1000).alias(f"q{i}_{j}") for j, v in enumerate(values)]
+    row = rows.filter("learned").agg(*quantiles).first()
+    bounds = [[np.unique(np.array(row[f"q{i}_{j}"] or [], float)) for j in range(5)] for i in range(len(ks))]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in ks]
+        tallies = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ks]
+
+        def tally(i: int) -> None:
+            codes, n = np.unique(np.concatenate(held[i]), return_counts=True)
+            both, place = np.unique(np.concatenate([tallies[i][0], codes]), return_inverse=True)
+            tallies[i], held[i] = (both, np.bincount(place, np.concatenate([tallies[i][1], n]), len(both)).astype(np.int64)), []
+
+        n = 0
+        for batch in together(batches):
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            w, train = column("w"), column("learned")
+            label = np.where(w > 0.5, 2, np.where(w < 0.5, 0, 1))
+            for i in range(len(ks)):
+                values = _predictors(i, *(column(f"{c}_{i}") for c in ("elo_home", "elo_away", "elo_home_prob")), rates)
+                held[i].append(cells.pack([np.searchsorted(b, v) for b, v in zip(bounds[i], values)], label, train))
+            n += batch.num_rows
+            if n >= TALLIED:
+                n = 0
+                for i in range(len(ks)):
+                    tally(i)
+        for i in range(len(ks)):
+            if held[i]:
+                tally(i)
+            codes, counts = tallies[i]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), i, np.int32)), pa.array(codes), pa.array(counts)], names=["i", "code", "n"])
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        i = int(group["i"].iloc[0])
+        return pd.DataFrame({"i": [i], "kappa": [cells.kappa(group["code"].to_numpy(), group["n"].to_numpy(), 5, trees, seed)]})
+
+    counted = rows.drop("game_id").mapInArrow(count, "i int, code long, n long").groupBy("i", "code").agg(F.sum("n").alias("n"))
+    found = {r["i"]: r["kappa"] for r in counted.groupBy("i").applyInPandas(judge, "i int, kappa double").collect()}
+    return [(float(k), found.get(i, 0.0)) for i, k in enumerate(ks)]
